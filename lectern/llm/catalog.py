@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import simhash
+from lectern.llm import decontaminate, licenses, simhash, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,53 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, budget=2)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"))
+    return licenses.license_summary(found).drop("spans")
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_licenses": op4_licenses,
+    "op5_substrings": op5_substrings,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_tokens": op10_tokens,
+}
+ORACLES: dict[str, str] = {
+    "op5_substrings": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS pos, ws FROM w WHERE len(ws) >= 20
+), seq AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(ws[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS k FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, pos + d AS at FROM seq, unnest(range(0, 20)) AS t(d) WHERE k > 1
+), word AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS at, unnest(ws) AS w FROM w
+), kept AS (
+  SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.at) AS t, count(*) AS n
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.at = gone.at GROUP BY 1
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
 }
-ORACLES: dict[str, str] = {}
