@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, simhash, substrings, tokens
+from lectern.llm import decontaminate, licenses, mixing, quality_crf, quality_rules, simhash, substrings, tokens, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,42 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+#: Rules of the URL filter, host and path together.
+URL_RULES = {"allow": ["org/", "com/fr/"], "block": ["example.org/es/", "example.org/en/1", "com/de/"]}
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host list stands for a block list drawn from the corpus: hosts whose MD5 begins with 0 (a sixteenth)."""
+    pages = _table(spark, sf_dir, "pages")
+    hosts = urls.split_url(pages.select("url")).select("host").distinct().where("host <> '' and substr(md5(cast(host as binary)), 1, 1) = '0'")
+    return urls.filter_urls(pages, URL_RULES, hosts)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
     "op5_substrings": op5_substrings,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_urls": op7_urls,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_tokens": op10_tokens,
 }
@@ -63,5 +96,48 @@ WITH w AS (
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
+    "op2_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17-' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
+), lv AS (
+  SELECT 0.0::DOUBLE AS level, 0 AS k
+  UNION ALL
+  SELECT (SELECT (1.5 * (SELECT sum(source_size) FROM s) - sum(CASE WHEN w * lv.level > 2.0 * source_size THEN 2.0 * source_size ELSE 0.0 END)) / sum(CASE WHEN w * lv.level > 2.0 * source_size THEN 0.0 ELSE w END) FROM s), k + 1
+  FROM lv WHERE k < 30
+), top AS (SELECT max(level) AS level FROM lv
+), t AS (
+  SELECT source, source_size, n, least(w * level, 2.0 * source_size) AS target FROM s, top
+), g AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part,
+    ('0x' || substr(h, 1, 8))::BIGINT % ceil(n / 4096)::BIGINT AS g
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, g) AS total,
+    coalesce(sum(size) OVER (PARTITION BY source, g ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  (whole * size + greatest(0, least(size, floor(total * part + 0.5) - before)))::BIGINT AS taken FROM c
+""",
+    "op7_urls": r"""
+WITH r AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+), rule(h, q, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), hit AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
+  FROM p JOIN rule ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(path, q) GROUP BY page_id
+), listed AS (SELECT DISTINCT host AS l FROM p WHERE host <> '' AND md5(host)[1] = '0'
+), blocked AS (
+  SELECT page_id, arg_max(l, length(l)) AS l FROM p JOIN listed ON p.host = l OR ends_with(p.host, '.' || l) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(v, CASE WHEN l IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l AS listed_host
+FROM p LEFT JOIN hit USING (page_id) LEFT JOIN blocked USING (page_id)
 """,
 }

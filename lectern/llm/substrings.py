@@ -6,9 +6,10 @@ it stands, so a window stays only if that k-mer is the least of some other windo
 The k-mers that are ever the least are about a seventh of all.
 
 Edges that occur again and again together form a path: an edge whose every occurrence
-is followed by the same edge, with as many occurrences. Paths are found in the
-coordinates of the first occurrence and joined back to all occurrences of their first
-edge; every occurrence but the first is a repeat of known length.
+is followed by the same edge, with as many occurrences. (An occurrence is where a
+document first has the edge; what it has again is a repeat without any join.) Paths are
+found in the coordinates of the first occurrence and joined back to all occurrences of
+their first edge; every occurrence but the first is a repeat of known length.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick, staged
+from lectern.llm.common import pick, small, staged
 from lectern.llm.vocabulary import Vocabulary
 
 #: Words of a sampled k-mer.
 SEED_WORDS = 8
+#: Exact copies are left out by a broadcast of their ids up to so many, else by a join.
+COPIES_ROWS = 1_000_000
+#: Stands for a null id.
+_NULL = -(2**63)
 _MASK = (1 << 64) - 1
 
 
@@ -100,68 +105,104 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _repeated(ids: pa.Array, sizes: list[int]) -> pa.Array:
+    return ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+
+
 def _sample(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Sampled k-mers of each document, once each; `more` if the document holds it twice."""
     make = _Hasher(window)
     for batch in batches:
-        ids, ths, hashes, more = [], [], [], []
-        for i, th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        found, none = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for t in batch.column(1):
             words = split_words(t.as_py())
-            if len(words) >= window:
-                m, c = np.unique(make.sampled(make.words(words))[1], return_counts=True)
-                ids.append(np.full(len(m), i, np.int64)), ths.append(np.full(len(m), th, np.int64)), hashes.append(m), more.append(c > 1)
-        if ids:
-            yield pa.record_batch([_signed(np.concatenate(hashes)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)), pa.array(np.concatenate(more))], names=["m", "at", "th", "more"])
+            found.append(np.unique(make.sampled(make.words(words))[1], return_counts=True) if len(words) >= window else none)
+        if found:
+            yield pa.record_batch([_signed(np.concatenate([m for m, _ in found])), _repeated(batch.column(0), [len(m) for m, _ in found]), pa.array(np.concatenate([c for _, c in found]) > 1)], names=["m", "at", "more"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Edges of each document that may repeat: two hashes, place, and the hash of what follows (0: nothing)."""
+    """Edges of each document that may repeat, where it first has them; and what repeats inside the document.
+
+    An edge has two hashes, its place and the hash of what follows (0: nothing), and stop
+    0. A run of windows that the document had before is one row from pos to stop.
+    """
     make = _Hasher(window)
     for batch in batches:
-        for i, th, t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            repeated = m.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            at, one, two, after = make.edges(make.words(split_words(t.as_py())), repeated)
-            if n := len(at):
-                yield pa.record_batch([_signed(one), _signed(two), pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, th, np.int64)), pa.array(at.astype(np.int32)), _signed(after)], names=["h1", "h2", "at", "th", "pos", "after"])
+        for row in range(batch.num_rows):
+            words = split_words(batch.column(1)[row].as_py())
+            repeated = batch.column(2)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            pos, one, two, after = make.edges(make.words(words), repeated)
+            if not len(pos):
+                continue
+            first = np.zeros(len(pos), bool)
+            first[np.unique(one, return_index=True)[1]] = True
+            again = np.flatnonzero(~first)
+            head = again[np.flatnonzero(np.diff(pos[again], prepend=-2) != 1)]
+            tail = again[np.flatnonzero(np.diff(pos[again], append=pos[-1] + 2) != 1)]
+            stop = np.concatenate([np.zeros(first.sum(), np.int64), pos[tail] + window]).astype(np.int32)
+            rows = np.concatenate([np.flatnonzero(first), head])
+            two = np.concatenate([two[first], ~two[head]])
+            yield pa.record_batch([_signed(one[rows]), _signed(two), _repeated(batch.column(0).slice(row, 1), [len(rows)]), pa.array(pos[rows].astype(np.int32)), _signed(after[rows]), pa.array(stop)], names=["h1", "h2", "at", "pos", "after", "stop"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for i, t, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            words = split_words(t)
-            change = np.zeros(len(words) + 1, np.int64)
-            for s in spans or ():
-                change[s["start"]] += 1
-                change[s["stop"]] -= 1
-            gone = np.cumsum(change)[:-1] > 0
-            kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if spans else b" ".join(words)
-            merged = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            rows.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass"), merged.astype(np.int64)))
-        yield pa.record_batch([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+        ids, rows = batch.column(0), []
+        for t, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            words = split_words(t.as_py())
+            n = len(words)
+            gone = np.zeros(n, bool)
+            if spans and n >= window:
+                change = np.zeros(n + 1, np.int64)
+                for s in spans:
+                    change[s["start"]] += 1
+                    change[min(n, s["stop"])] -= 1
+                gone = np.cumsum(change)[:-1] > 0
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            kept = b" ".join(words)
+            ends = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            rows.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass"), ends.astype(np.int64)))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+        yield pa.record_batch([ids, *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=["at", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """at of each document whose text a smaller at has too."""
+    keyed = docs.select("at", F.md5(F.col("text").cast("binary")).alias("k")).where("k is not null")
+    least = keyed.groupBy("k").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1").select("k", "least")
+    return keyed.join(least, "k").where("at <> least").select("at")
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Spans that repeat an earlier span of at least `window` words: at, th, start, stop (words, half open).
+    """Spans that repeat an earlier span of at least `window` words: at, start, stop (words, half open; stop may be beyond the end).
 
-    Expects at, th, text, one row per (at, th); earlier means a smaller (at, th), or the
-    same and an earlier start.
+    Expects at (unique) and text; earlier means a smaller at, or the same and an earlier
+    start. Of documents with one text only the first takes part; the others repeat it whole.
     """
-    seeds = docs.mapInArrow(lambda b: _sample(b, window), "m long, at long, th long, more boolean")
+    kind = docs.schema["at"].dataType.simpleString()
+    copies = staged(copies_of(docs), "copies")
+    seeds = docs.join(small(copies, COPIES_ROWS), "at", "left_anti").select("at", "text")
+    seeds = seeds.mapInArrow(lambda b: _sample(b, window), f"m long, at {kind}, more boolean")
     often = seeds.groupBy("m").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1 or more").select("m")
-    per_doc = seeds.select("m", "at", "th").join(often, "m", "left_semi").groupBy("at", "th").agg(F.collect_list("m").alias("ms"))
-    held = docs.join(per_doc, ["at", "th"]).select("at", "th", "text", "ms")
-    edges = staged(held.mapInArrow(lambda b: _edges(b, window), "h1 long, h2 long, at long, th long, pos int, after long"), "edges")
-    found = edges.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("at", "th", "pos")).alias("first"), F.min("after").alias("a0"), F.max("after").alias("a1")).where("n > 1")
-    found = found.select("h1", "h2", "n", "a0", F.expr("a0 = a1 and a0 <> 0").alias("plain"), "first.at", "first.th", "first.pos")
-    order = Window.partitionBy("at", "th").orderBy("pos")
-    joined = F.lag("plain").over(order) & (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("n").over(order) == F.col("n")) & (F.lag("a0").over(order) == F.col("h1"))
+    per_doc = seeds.select("m", "at").join(often, "m", "left_semi").groupBy("at").agg(F.collect_list("m").alias("ms"))
+    edges = docs.join(per_doc, "at").select("at", "text", "ms")
+    edges = edges.mapInArrow(lambda b: _edges(b, window), f"h1 long, h2 long, at {kind}, pos int, after long, stop int")
+    found = edges.where("stop = 0").groupBy("h1", "h2").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("sum"), F.min(F.struct("at", "pos")).alias("first"), F.min("after").alias("a0"), F.max("after").alias("a1")
+    ).where("n > 1")
+    found = found.select("h1", "h2", "n", "sum", F.expr("case when a0 = a1 then a0 else 0 end").alias("next"), "first.at", "first.pos")
+    order = Window.partitionBy("at").orderBy("pos")
+    was = lambda c: F.lag(c).over(order)
+    joined = (was("pos") == F.col("pos") - 1) & (was("next") == F.col("h1")) & (was("n") == F.col("n")) & (was("sum") + F.col("n") == F.col("sum"))
     marked = found.withColumn("head", F.when(joined, 0).otherwise(1))
     paths = marked.withColumn("path", F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = paths.groupBy("at", "th", "path").agg(F.min(F.struct("pos", "h1", "h2")).alias("head"), F.count("*").alias("length"))
-    paths = staged(paths.select("head.h1", "head.h2", F.struct("at", "th", "head.pos").alias("first"), "length"), "paths")
-    again = edges.select("h1", "h2", "at", "th", "pos").join(paths, ["h1", "h2"]).where(F.struct("at", "th", "pos") != F.col("first"))
-    return again.select("at", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("length") + (window - 1)).cast("int").alias("stop"))
+    paths = paths.groupBy("at", "path").agg(F.min(F.struct("pos", "h1", "h2")).alias("head"), F.count("*").cast("int").alias("length"))
+    paths = paths.select("head.h1", "head.h2", F.struct("at", "head.pos").alias("first"), "length")
+    again = edges.select("h1", "h2", "at", "pos", "stop").join(paths, ["h1", "h2"], "left")
+    again = again.where((F.col("stop") > 0) | (F.struct("at", "pos") != F.col("first")))
+    spans = again.select("at", F.col("pos").alias("start"), F.when(F.col("stop") > 0, F.col("stop")).otherwise(F.col("pos") + F.col("length") + (window - 1)).alias("stop"))
+    return spans.unionByName(copies.select("at", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -177,12 +218,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id and text are one document, and each of them is returned with its result. An empty
     table gives no rows; other columns are not read.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    unclear = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.xxhash64("text") if unclear else F.lit(0).cast("long"))
-    one = rows.select("at", "th", "text")
-    spans = repeated_spans(one.dropDuplicates(["at", "th"]) if unclear else one, window)
-    spans = spans.groupBy("at", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    held = rows.join(spans, ["at", "th"], "left").select("doc_id", "text", "spans")
-    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>"
-    return held.mapInArrow(lambda b: _removed(b, window), kinds)
+    rows = pick(docs, at=id_col, text=text_col).select(F.coalesce(F.col("at").cast("long"), F.lit(_NULL)).alias("at"), "text")
+    unclear = rows.groupBy("at").count().where(F.col("count") > 1).limit(1).count()
+    doc_id = F.col("at")
+    if unclear:
+        rows = rows.select(F.struct("at", F.xxhash64("text").alias("th")).alias("at"), "text")
+        doc_id = F.col("at.at")
+    spans = repeated_spans(rows.dropDuplicates(["at"]) if unclear else rows, window)
+    spans = spans.groupBy("at").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    held = rows.join(spans, "at", "left").select("at", "text", "spans")
+    kinds = f"at {rows.schema['at'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>"
+    done = held.mapInArrow(lambda b: _removed(b, window), kinds)
+    return done.select(F.when(doc_id != _NULL, doc_id).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "spans")
