@@ -236,3 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(group, "root").select(F.col("fp").alias("f"), "component_id")
     return fp.join(named, fp["fp"] == named["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 2) -> DataFrame:
+    """The rows of `docs`, all columns, whose id is the smallest of a group of near-duplicates.
+
+    Rows that share that id all stay; rows with a null id stay if their group has no other id.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, budget).select(F.col("doc_id").alias("__id"), "component_id").where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__id"]), "left_semi")
