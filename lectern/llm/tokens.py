@@ -20,6 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lectern.llm.common import pick, shared_dir
 
@@ -28,7 +29,7 @@ BLOCK_IDS = 1 << 16
 #: A chunk is closed when it holds so many ids.
 CHUNK_IDS = 1 << 19
 #: A worker forgets the ids of words when it holds so many.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 CHUNKS = "part int, chunk int, start long, doc_ids array<long>, n_tokens array<long>, block_ids int, planes string, index array<int>, payload binary"
 
@@ -72,13 +73,6 @@ def unpack(payload: bytes, index: list[int], n: int, planes: str, block: int) ->
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordEncoder:
     """Ids of texts, word by word with a cache.
 
@@ -87,7 +81,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -96,20 +90,23 @@ class WordEncoder:
         self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
-            n, total = len(self.known), sum(map(len, found))
+        """Words are encoded together; an id belongs to the word in which its first character is."""
+        for at in range(0, len(words), 8192):
+            some = [w.decode("utf-8", "replace") for w in words[at : at + 8192]]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(w) + 1 for w in some)])
+            offsets = np.array([o[0] for o in found.offsets], np.int64)
+            sizes = np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some))
+            n, total = len(self.known), len(offsets)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(some) > len(self.starts):
                 self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            sizes = np.array([len(x) for x in found], np.int64)
             self.sizes[n : n + len(some)] = sizes
             self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + total] = [i for x in found for i in x]
+            self.flat[self.used : self.used + total] = found.ids
             self.used += total
-            self.known.update(zip(some, range(n, n + len(some))))
+            self.known.update(zip(words[at : at + 8192], range(n, n + len(some))))
 
     def encode(self, text: str) -> np.ndarray:
         pieces = text.encode("utf-8", "replace").split()
@@ -126,8 +123,14 @@ class WordEncoder:
         return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker, so that words learned once serve them all."""
+    return WordEncoder(path)
+
+
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, planes: str) -> Iterator[pa.RecordBatch]:
-    encoder, part, chunk, start = WordEncoder(path), TaskContext.get().partitionId(), 0, 0
+    encode, part, chunk, start = encoder(path).encode, TaskContext.get().partitionId(), 0, 0
     doc_ids: list = []
     held: list[np.ndarray] = []
     count = 0
@@ -141,7 +144,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, planes: st
 
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id))
+            ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
             doc_ids.append(i), held.append(ids)
             count += len(ids)
             if count >= CHUNK_IDS:
