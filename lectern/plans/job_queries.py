@@ -1,2 +1,166 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the job grid, the timeline, sources and extension points."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.operators import engines as E
+from lectern.operators import jobs as J
+from lectern.options import PostOptions
+from lectern.plans import views as V
+from lectern.sources import audio as A
+
+POST = PostOptions(lead_in_ms=120)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_idx"), "text")
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.job_grid(turns(spark, sf_dir).select("segment_idx"), 3)
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = V.words(spark, sf_dir).withColumn("score", F.when(F.col("idx") % 4 != 0, F.col("score")))
+    return J.job_score(w, w, True).withColumn("score", F.round("score", 6))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.assemble(V.timeline(spark, sf_dir), POST).select("doc_id", "idx", "slice_start", "slice_end", "pause_ms", F.round("offset_s", 6).alias("offset_s"))
+
+
+def moved_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = V.words(spark, sf_dir).select(F.floor(F.col("clip_id") / 1000).alias("doc_id"), (F.col("clip_id") % 1000).alias("idx"), F.col("idx").alias("word_idx"), "word", "start", "end")
+    return J.shifted_words(w, J.assemble(V.timeline(spark, sf_dir), POST)).select("doc_id", "idx", "word_idx", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = V.slices(spark, sf_dir).select(F.col("clip_id").alias("doc_id"), F.col("seg_idx").alias("idx"), "samples")
+    return J.joined_samples(parts).select("doc_id", F.posexplode("samples").alias("pos", "x"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = V.table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    audio = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".MP3")).alias("path")).where(A.suffix(F.col("path")).isin(*A.AUDIO_SUFFIXES))
+    texts = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.when(F.col("doc_id") % 9 != 0, F.substring("text", 1, 30)).otherwise("  ").alias("text"))
+    return A.paired_texts(audio, texts)
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = V.table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("key", "value"))
+    return props.where("value > 10")
+
+
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = V.table(spark, sf_dir, "documents").where("doc_id < 200")
+    entry = F.struct(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("a/"), F.col("doc_id").cast("string"))).alias("active_audio_file_path"), F.substring("text", 1, 20).alias("concatenated_text_for_tts"))
+    js = docs.select(F.to_json(F.struct(F.create_map(F.col("doc_id").cast("string"), entry).alias("superblocks"))).alias("json"))
+    return A.manifest_rows(js)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    body = F.when(F.col("segment_idx") % 5 == 0, F.lit("{broken")).when(F.col("segment_idx") % 5 == 1, F.lit('{"text": ""}')).otherwise(F.to_json(F.struct("text", (F.col("segment_idx") % 13).alias("best_of"))))
+    reqs = t.select("segment_idx", F.when(F.col("segment_idx") % 7 == 0, "other").otherwise("tone").alias("engine"), body.alias("json"))
+    return A.parsed_requests(reqs, ["tone"]).select("segment_idx", "status", "error")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.base64(F.encode(F.substring("text", 1, 30), "UTF-8")).alias("audio_base64"))
+    return t
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = J.job_grid(turns(spark, sf_dir).withColumn("text", F.substring("text", 1, 20)), 2).withColumn("attempt", F.lit(0))
+    made = E.generated(J.assign_seeds(jobs, 42), E.ToneEngine)
+    wav = A.encoded(made, E.ToneEngine.sample_rate).select(F.concat_ws("/", "segment_idx", "candidate_idx").alias("path"), F.col("audio").alias("content"))
+    return A.decoded(wav).select("path", "rate", F.size("samples").alias("n"), "error")
+
+
+def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = V.table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("token"), "embedding")
+    asked = turns(spark, sf_dir).select("segment_idx", (F.col("segment_idx") % 50).cast("string").alias("token"))
+    return E.voice_lookup(asked, known).select("segment_idx", "token", "error")
+
+
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(F.lit(None).cast("string"), *map(F.lit, [*E.ERROR_STATUS, "else"]))
+    return turns(spark, sf_dir).select("segment_idx", F.get(kinds, (F.col("segment_idx") % 6).cast("int")).alias("kind")).withColumn("status", E.error_status("kind"))
+
+
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, k, s) for n in (1, 2, 10, 64) for k, s in enumerate(E.retry_sizes(n))], "n int, step int, size int")
+
+
+def severity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest key that is at most the length: an as-of lookup in a table of a few rows."""
+    from lectern.operators.words import threshold
+    from lectern.options import AlignmentOptions
+
+    return V.words(spark, sf_dir).select("clip_id", "idx", threshold(F.length("word"), AlignmentOptions().poor).alias("threshold"))
+
+
+_A = f"WITH {V.SQL_ATTEMPTS}"
+_SETTLED = "settled AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY segment_idx, candidate_idx ORDER BY ok DESC, CASE WHEN ok THEN attempt ELSE -attempt END) AS k FROM attempts) WHERE k = 1)"
+_PLACED = f"""WITH {V.SQL_TIMELINE}, n AS (
+  SELECT *, lag(idx) OVER w IS NULL AS first, lead(idx) OVER w IS NULL AS last, lag(boundary) OVER w AS after FROM timeline WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+), p AS (
+  SELECT *, CASE WHEN first OR NOT first THEN least(coalesce(vad_start, 0), coalesce(word_start, vad_start, 0)) END AS slice_start,
+    least(CASE WHEN last THEN n ELSE greatest(coalesce(vad_end, n), coalesce(word_end, vad_end, n)) END, n) AS slice_end,
+    CASE WHEN first THEN 120 WHEN after = 'SENTENCE' THEN 200 WHEN after = 'PARAGRAPH' THEN 600 ELSE 150 END AS pause_ms FROM n
+), o AS (
+  SELECT *, sum(pause_ms / 1000.0::DOUBLE + greatest(0, slice_end - slice_start) / rate::DOUBLE) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - greatest(0, slice_end - slice_start) / rate::DOUBLE AS offset_s FROM p
+)"""
+
+QUERIES = {
+    "j01_grid": grid,
+    "j02_seeds": lambda s, d: J.assign_seeds(grid(s, d), 42, "segment_idx"),
+    "j02_seed_list": lambda s, d: J.assign_seeds(grid(s, d), [42, 7, 99], "segment_idx"),
+    "j03_retry_seeds": lambda s, d: J.retry_seeds(J.assign_seeds(V.attempts(s, d).select("segment_idx", "candidate_idx", "attempt"), 42)).groupBy("candidate_idx", "attempt").agg(F.countDistinct("seed").alias("n_seeds")),
+    "j04_batches": lambda s, d: J.seed_batches(J.assign_seeds(grid(s, d), 42)),
+    "j05_settled": lambda s, d: J.settled(V.attempts(s, d)),
+    "j06_score": scores,
+    "j07_best": lambda s, d: J.best_candidates(J.settled(V.attempts(s, d))).select("segment_idx", "candidate_idx", "attempt", "score"),
+    "j08_failed": lambda s, d: J.failed_segments(J.settled(V.attempts(s, d)), turns(s, d)),
+    "j09_failures": lambda s, d: J.settled(V.attempts(s, d)).agg(F.count_if(F.col("status") == "FAILED_FINAL").alias("n")),
+    "j10_timeline": placed,
+    "j10_words": moved_words,
+    "j11_joined": joined,
+    "l01_pairs": pairs,
+    "l02_results": voices,
+    "l07_lookup": severity_lookup,
+    "s01_requests": requests,
+    "s04_manifest": manifest,
+    "s04_entries": manifest_entries,
+    "s06_audio": spoken,
+    "s07_responses": responses,
+    "s08_template": lambda s, d: A.config_template(s),
+    "s09_health": lambda s, d: A.health(s, {"tone": True, "other": False}),
+    "u05_batch_sizes": batch_sizes,
+    "u08_status": statuses,
+}
+ORACLES = {
+    "j01_grid": "SELECT conv_id * 1000 + turn AS segment_idx, unnest(range(3))::INT AS candidate_idx FROM conversations",
+    "j02_seeds": "SELECT segment_idx, c AS candidate_idx, (42 + 1000 * c)::BIGINT AS seed FROM (SELECT conv_id * 1000 + turn AS segment_idx, unnest(range(3))::INT AS c FROM conversations)",
+    "j02_seed_list": "SELECT segment_idx, c AS candidate_idx, ([42, 7, 99])[c + 1]::BIGINT AS seed FROM (SELECT conv_id * 1000 + turn AS segment_idx, unnest(range(3))::INT AS c FROM conversations)",
+    "j03_retry_seeds": f"{_A} SELECT candidate_idx, attempt, 1::BIGINT AS n_seeds FROM attempts GROUP BY 1, 2",
+    "j04_batches": "SELECT (42 + 1000 * c)::BIGINT AS seed, (SELECT count(*) FROM conversations) AS n FROM unnest(range(3)) AS t(c)",
+    "j05_settled": f"{_A}, {_SETTLED} SELECT *, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED_FINAL' END AS status FROM settled",
+    "j06_score": f"WITH {V.SQL_WORDS} SELECT clip_id, round(coalesce(avg(CASE WHEN idx % 4 <> 0 THEN score END), 0), 6) AS score FROM words GROUP BY 1",
+    "j07_best": f"{_A}, {_SETTLED} SELECT segment_idx, candidate_idx, attempt, score FROM (SELECT *, row_number() OVER (PARTITION BY segment_idx ORDER BY score DESC, candidate_idx) AS k FROM settled WHERE ok) WHERE k = 1",
+    "j08_failed": f"{_A}, {_SETTLED}, t AS (SELECT conv_id * 1000 + turn AS segment_idx, text FROM conversations) SELECT t.segment_idx, substr(text, 1, 100) AS text, arg_min(reason, candidate_idx) AS reason FROM t JOIN settled s USING (segment_idx) GROUP BY 1, 2 HAVING NOT bool_or(ok)",
+    "j09_failures": f"{_A}, {_SETTLED} SELECT count(*) FILTER (NOT ok) AS n FROM settled",
+    "j10_timeline": f"{_PLACED} SELECT doc_id, idx, slice_start, slice_end, pause_ms, round(offset_s, 6) AS offset_s FROM o",
+    "j10_words": f"""{_PLACED}, {V.SQL_WORDS} SELECT o.doc_id, o.idx, w.idx AS word_idx, word, round(greatest(0, w.start - slice_start / rate::DOUBLE) + offset_s, 6) AS start, round(greatest(0, w."end" - slice_start / rate::DOUBLE) + offset_s, 6) AS "end" FROM words w JOIN o ON w.clip_id = o.doc_id * 1000 + o.idx""",
+    "j11_joined": "SELECT vec_id AS doc_id, unnest(range(len(e)))::INT AS pos, unnest(e) AS x FROM (SELECT vec_id, embedding[1:64]::DOUBLE[] AS e FROM embeddings)",
+    "l01_pairs": "SELECT 'in/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.wav' ELSE '.MP3' END AS path, regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0",
+    "l02_results": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 50)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) v ON v.vec_id::VARCHAR = token",
+    "l07_lookup": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, (CASE WHEN length(word) >= 7 THEN 0.55 WHEN length(word) >= 4 THEN 0.45 WHEN length(word) >= 2 THEN 0.35 ELSE 0.25 END)::DOUBLE AS threshold FROM words",
+    "s01_requests": "WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (SELECT i, CASE WHEN i % 7 = 0 THEN 'unknown engine' WHEN i % 5 = 0 THEN 'malformed JSON' WHEN i % 5 = 1 THEN 'text is empty' WHEN i % 13 NOT BETWEEN 1 AND 10 THEN 'best_of is out of range' END AS error FROM t) SELECT i AS segment_idx, (CASE WHEN i % 7 = 0 THEN 404 WHEN error IS NOT NULL THEN 422 ELSE 200 END)::INT AS status, error FROM e",
+    "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k WHERE json_extract(props, '$.' || key)::INT > 10",
+    "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, substr(text, 1, 20) AS text FROM documents WHERE doc_id < 200 AND doc_id % 4 <> 0",
+    "s07_responses": "SELECT conv_id, turn, base64(encode(substr(text, 1, 30))) AS audio_base64 FROM conversations",
+    "u08_status": "SELECT segment_idx, kind, (CASE WHEN kind IS NULL THEN 200 WHEN kind = 'client' THEN 400 WHEN kind = 'invalid_token' THEN 409 ELSE 500 END)::INT AS status FROM (SELECT conv_id * 1000 + turn AS segment_idx, ([NULL, 'client', 'invalid_token', 'synthesis', 'alignment', 'else'])[(conv_id * 1000 + turn) % 6 + 1] AS kind FROM conversations)",
+}
