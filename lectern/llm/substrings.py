@@ -1,15 +1,15 @@
 """Repeated passages: token k-mers as edges of a De Bruijn graph, compacted into unbranched paths.
 
-An edge is a window of `window` words. Only windows that can repeat become rows: every
-word sequence of that length has a least short k-mer (by hash), the same one wherever
-it stands, so a window stays only if that k-mer is the least of some other window too.
-The k-mers that are ever the least are about a seventh of all.
-
-Edges that occur again and again together form a path: an edge whose every occurrence
-is followed by the same edge, with as many occurrences. (An occurrence is where a
-document first has the edge; what it has again is a repeat without any join.) Paths are
-found in the coordinates of the first occurrence and joined back to all occurrences of
-their first edge; every occurrence but the first is a repeat of known length.
+An edge is a window of `window` words. Every word sequence of that length has a least
+short k-mer (by hash), the same one wherever it stands, so only windows matter whose
+least k-mer is the least of some other window too. Successive edges of a document with
+one least k-mer form a path and are one row from the start; joins on the path find its
+occurrences, all of which but the first, by source coordinates, are repeats. Where a
+k-mer has one path the graph does not branch. Where it has more, the windows of each
+path's first occurrence are compared one by one.
+
+An occurrence is where a document first has an edge; what it has again is a repeat
+without any join.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.bloom import filled, sized
 from lectern.llm.common import pick, small, staged
 from lectern.llm.vocabulary import Vocabulary
 
@@ -30,6 +31,9 @@ from lectern.llm.vocabulary import Vocabulary
 SEED_WORDS = 8
 #: Exact copies are left out by a broadcast of their ids up to so many, else by a join.
 COPIES_ROWS = 1_000_000
+#: Repeated k-mers go to the tasks as a Bloom filter up to so many (under a byte each), else by a join; its false positives.
+FILTER_KEYS = 64_000_000
+FILTER_RATE = 0.03
 #: Stands for a null id.
 _NULL = -(2**63)
 _MASK = (1 << 64) - 1
@@ -69,7 +73,7 @@ class _Hasher:
     def __init__(self, window: int) -> None:
         self.window, self.seed = window, min(SEED_WORDS, window)
         self.known = Vocabulary(lambda w: (xxhash.xxh64_intdigest(w, 7),), [np.uint64])
-        self.first, self.second, self.short = _weights(window, 1), _weights(window, 2), _weights(self.seed, 3)
+        self.first, self.short = _weights(window, 1), _weights(self.seed, 3)
 
     def words(self, words: list[bytes]) -> np.ndarray:
         self.known.begin()
@@ -87,13 +91,9 @@ class _Hasher:
         at = np.flatnonzero(_slid(np.concatenate([pad, least, pad]), span, np.maximum) == m)
         return at, m[at]
 
-    def edges(self, h: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Windows whose least k-mer repeats: place, two hashes, the next window's hash (0: none)."""
-        least = _slid(_rolled(h, self.short), self.window - self.seed + 1, np.minimum)
-        ok = np.flatnonzero(np.isin(least, repeated))
-        one, two = _rolled(h, self.first), _rolled(h, self.second)
-        after = np.append(one[1:], np.uint64(0))
-        return ok, one[ok], two[ok], after[ok]
+    def least(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every window its least k-mer's hash, and its own hash."""
+        return _slid(_rolled(h, self.short), self.window - self.seed + 1, np.minimum), _rolled(h, self.first)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -121,29 +121,46 @@ def _sample(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             yield pa.record_batch([_signed(np.concatenate([m for m, _ in found])), _repeated(batch.column(0), [len(m) for m, _ in found]), pa.array(np.concatenate([c for _, c in found]) > 1)], names=["m", "at", "more"])
 
 
-def _edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Edges of each document that may repeat, where it first has them; and what repeats inside the document.
+def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterator[pa.RecordBatch]:
+    """Paths of each document: runs of windows with one least k-mer, and what repeats inside the document.
 
-    An edge has two hashes, its place and the hash of what follows (0: nothing), and stop
-    0. A run of windows that the document had before is one row from pos to stop.
+    Only windows whose least k-mer may repeat count, where the document first has them. A
+    path has its k-mer m, the hashes of its windows, and stop 0. A run of windows that the
+    document had before is one row from pos to stop.
     """
     make = _Hasher(window)
     for batch in batches:
+        sizes, parts = [], []
         for row in range(batch.num_rows):
             words = split_words(batch.column(1)[row].as_py())
-            repeated = batch.column(2)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            pos, one, two, after = make.edges(make.words(words), repeated)
+            sizes.append(0)
+            if len(words) < window:
+                continue
+            m, h = make.least(make.words(words))
+            pos = np.flatnonzero(may_repeat(m, batch, row))
             if not len(pos):
                 continue
             first = np.zeros(len(pos), bool)
-            first[np.unique(one, return_index=True)[1]] = True
-            again = np.flatnonzero(~first)
-            head = again[np.flatnonzero(np.diff(pos[again], prepend=-2) != 1)]
-            tail = again[np.flatnonzero(np.diff(pos[again], append=pos[-1] + 2) != 1)]
-            stop = np.concatenate([np.zeros(first.sum(), np.int64), pos[tail] + window]).astype(np.int32)
-            rows = np.concatenate([np.flatnonzero(first), head])
-            two = np.concatenate([two[first], ~two[head]])
-            yield pa.record_batch([_signed(one[rows]), _signed(two), _repeated(batch.column(0).slice(row, 1), [len(rows)]), pa.array(pos[rows].astype(np.int32)), _signed(after[rows]), pa.array(stop)], names=["h1", "h2", "at", "pos", "after", "stop"])
+            first[np.unique(h[pos], return_index=True)[1]] = True
+            again, pos = pos[~first], pos[first]
+            head = again[np.flatnonzero(np.diff(again, prepend=-2) != 1)]
+            tail = again[np.flatnonzero(np.diff(again, append=len(m) + 2) != 1)]
+            new = np.concatenate([[True], (np.diff(pos) != 1) | (m[pos[1:]] != m[pos[:-1]])])
+            group = np.cumsum(new) - 1  # runs are cut so that their first and last window have all their words
+            step = np.arange(len(pos)) - np.flatnonzero(new)[group]
+            start = np.flatnonzero(step % (window - make.seed + 1) == 0)
+            parts.append((m[pos[start]], pos[start], np.diff(np.append(start, len(pos))), h[pos], head, tail + window))
+            sizes[-1] = len(start) + len(head)
+        if not parts:
+            continue
+        none = np.zeros(0, np.int64)
+        ones = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(np.concatenate([x for p in parts for x in (p[2], np.zeros(len(p[4]), np.int64))]))]).astype(np.int32)),
+            _signed(np.concatenate([p[3] for p in parts])),
+        )
+        both = lambda k, j: np.concatenate([x for p in parts for x in (p[k], p[j] if j else np.zeros(len(p[4]), p[k].dtype))] or [none])
+        stop = np.concatenate([x for p in parts for x in (np.zeros(len(p[1]), np.int64), p[5])])
+        yield pa.record_batch([_signed(both(0, None)), _repeated(batch.column(0), sizes), pa.array(both(1, 4).astype(np.int32)), pa.array(stop.astype(np.int32)), ones], names=["m", "at", "pos", "stop", "ones"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -174,7 +191,50 @@ def copies_of(docs: DataFrame) -> DataFrame:
     return keyed.join(least, "k").where("at <> least").select("at")
 
 
-def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
+def repeated_runs(docs: DataFrame, seeds: DataFrame, window: int, kind: str, filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """The rows of _runs() of documents (at, text) with sampled k-mers (m, at, more).
+
+    The k-mers that repeat go to the tasks as a Bloom filter, up to `filter_keys` of them;
+    it lets a few others pass, which costs time alone. Beyond, each document is joined
+    with its own repeated k-mers.
+    """
+    often = seeds.groupBy("m").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1 or more").select("m")
+    often = staged(often, "repeated")
+    schema = f"m long, at {kind}, pos int, stop int, ones array<long>"
+    n = often.count()
+    if n <= filter_keys:
+        keys = _bloom_keys(often)
+        held = docs.sparkSession.sparkContext.broadcast(filled(sized(0, max(n, 1), 1, FILTER_RATE), keys, 1))
+
+        def passes(m: np.ndarray, batch: pa.RecordBatch, row: int) -> np.ndarray:
+            one, back = np.unique(m, return_inverse=True)
+            return held.value.passes(one.view(np.int64), second_hash(one), np.zeros(len(one), np.int64))[back]
+
+        return docs.select("at", "text").mapInArrow(lambda b: _runs(b, window, passes), schema)
+
+    def listed(m: np.ndarray, batch: pa.RecordBatch, row: int) -> np.ndarray:
+        return np.isin(m, batch.column(2)[row].values.to_numpy(zero_copy_only=False).view(np.uint64))
+
+    own = seeds.select("m", "at").join(often, "m", "left_semi").groupBy("at").agg(F.collect_list("m").alias("ms"))
+    return docs.join(own, "at").select("at", "text", "ms").mapInArrow(lambda b: _runs(b, window, listed), schema)
+
+
+def _bloom_keys(often: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.record_batch([b.column(0), pa.array(second_hash(m.view(np.uint64))), pa.array(np.zeros(len(m), np.int64))], names=["one", "two", "shard"])
+
+    return often.mapInArrow(run, "one long, two long, shard long")
+
+
+def second_hash(x: np.ndarray) -> np.ndarray:
+    """Second hash of k-mers, by a multiplicative rule."""
+    x = x * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ x >> np.uint64(29)).view(np.int64)
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """Spans that repeat an earlier span of at least `window` words: at, start, stop (words, half open; stop may be beyond the end).
 
     Expects at (unique) and text; earlier means a smaller at, or the same and an earlier
@@ -182,27 +242,23 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     kind = docs.schema["at"].dataType.simpleString()
     copies = staged(copies_of(docs), "copies")
-    seeds = docs.join(small(copies, COPIES_ROWS), "at", "left_anti").select("at", "text")
-    seeds = seeds.mapInArrow(lambda b: _sample(b, window), f"m long, at {kind}, more boolean")
-    often = seeds.groupBy("m").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1 or more").select("m")
-    per_doc = seeds.select("m", "at").join(often, "m", "left_semi").groupBy("at").agg(F.collect_list("m").alias("ms"))
-    edges = docs.join(per_doc, "at").select("at", "text", "ms")
-    edges = edges.mapInArrow(lambda b: _edges(b, window), f"h1 long, h2 long, at {kind}, pos int, after long, stop int")
-    found = edges.where("stop = 0").groupBy("h1", "h2").agg(
-        F.count("*").alias("n"), F.sum("pos").alias("sum"), F.min(F.struct("at", "pos")).alias("first"), F.min("after").alias("a0"), F.max("after").alias("a1")
-    ).where("n > 1")
-    found = found.select("h1", "h2", "n", "sum", F.expr("case when a0 = a1 then a0 else 0 end").alias("next"), "first.at", "first.pos")
-    order = Window.partitionBy("at").orderBy("pos")
-    was = lambda c: F.lag(c).over(order)
-    joined = (was("pos") == F.col("pos") - 1) & (was("next") == F.col("h1")) & (was("n") == F.col("n")) & (was("sum") + F.col("n") == F.col("sum"))
-    marked = found.withColumn("head", F.when(joined, 0).otherwise(1))
-    paths = marked.withColumn("path", F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = paths.groupBy("at", "path").agg(F.min(F.struct("pos", "h1", "h2")).alias("head"), F.count("*").cast("int").alias("length"))
-    paths = paths.select("head.h1", "head.h2", F.struct("at", "head.pos").alias("first"), "length")
-    again = edges.select("h1", "h2", "at", "pos", "stop").join(paths, ["h1", "h2"], "left")
-    again = again.where((F.col("stop") > 0) | (F.struct("at", "pos") != F.col("first")))
-    spans = again.select("at", F.col("pos").alias("start"), F.when(F.col("stop") > 0, F.col("stop")).otherwise(F.col("pos") + F.col("length") + (window - 1)).alias("stop"))
-    return spans.unionByName(copies.select("at", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop")))
+    first_texts = docs.join(small(copies, COPIES_ROWS), "at", "left_anti").select("at", "text")
+    seeds = first_texts.mapInArrow(lambda b: _sample(b, window), f"m long, at {kind}, more boolean")
+    runs = staged(repeated_runs(first_texts, seeds, window, kind, filter_keys), "runs")
+    # a path is known by its k-mer, its first and last window and its length, for these hold all its words
+    path = ["m", "h0", "h1", "length"]
+    found = runs.where("stop = 0").select("m", F.get("ones", 0).alias("h0"), F.element_at("ones", -1).alias("h1"), F.size("ones").alias("length"), "at", "pos", "ones")
+    paths = staged(found.groupBy(*path).agg(F.count("*").alias("n"), F.min(F.struct("at", "pos", "ones")).alias("first")), "paths")
+    again = found.drop("ones").join(paths.where("n > 1").select(*path, F.struct("first.at", "first.pos").alias("f")), path).where(F.struct("at", "pos") != F.col("f"))
+    whole = again.select("at", F.col("pos").alias("start"), (F.col("pos") + F.col("length") + (window - 1)).alias("stop"))
+    # where paths branch at a k-mer, their windows are compared one by one, each path's first occurrence alone
+    forks = paths.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    steps = paths.join(forks, "m", "left_semi").select("m", "first.at", "first.pos", F.posexplode("first.ones").alias("step", "one"))
+    steps = steps.select("m", "one", "at", (F.col("pos") + F.col("step")).alias("pos"))
+    earliest = steps.groupBy("m", "one").agg(F.count("*").alias("n"), F.min(F.struct("at", "pos")).alias("f")).where("n > 1").drop("n")
+    part = steps.join(earliest, ["m", "one"]).where(F.struct("at", "pos") != F.col("f")).select("at", F.col("pos").alias("start"), (F.col("pos") + window).alias("stop"))
+    inside = runs.where("stop > 0").select("at", F.col("pos").alias("start"), "stop")
+    return whole.unionByName(part).unionByName(inside).unionByName(copies.select("at", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.bloom import Level, filled, mixed, sized
 from lectern.llm.common import pick, staged
 
 #: False positives of the first level and of the others.
@@ -33,34 +34,6 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key, F.lit(k)) for k in (1, 2)]
 
 
-def _mixed(x: np.ndarray, level: int) -> np.ndarray:
-    x = x.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (1 << 64) - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-@dataclass
-class Level:
-    """A Bloom filter of `bits` for each of the shards held."""
-
-    number: int
-    bits: int
-    functions: int
-    bitmap: np.ndarray | None = None
-
-    def places(self, one: np.ndarray, two: np.ndarray, shard: np.ndarray) -> Iterator[np.ndarray]:
-        a, b = _mixed(one, self.number), _mixed(two, self.number)
-        for i in range(self.functions):
-            yield ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64) + shard * self.bits
-
-    def passes(self, one: np.ndarray, two: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(one), bool)
-        for at in self.places(one, two, shard):
-            ok &= self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-        return ok
-
-
 @dataclass
 class Cascade:
     """Levels for `held` of all `shards`, from shard `first` on."""
@@ -72,7 +45,7 @@ class Cascade:
 
     def listed(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether each key of the universe, by its two hashes, is listed; false in shards that aren't held."""
-        shard = (_mixed(one, 99) % np.uint64(self.shards)).astype(np.int64) - self.first
+        shard = (mixed(one, 99) % np.uint64(self.shards)).astype(np.int64) - self.first
         out = np.zeros(len(one), bool)
         alive = np.flatnonzero((shard >= 0) & (shard < self.held))
         for level in self.levels:
@@ -83,28 +56,6 @@ class Cascade:
         return out
 
 
-def _level(number: int, n: int, shards: int) -> Level:
-    """Sized for n keys in all shards."""
-    rate = RATE if number else FIRST_RATE
-    per = max(1, math.ceil(n / shards))
-    return Level(number, max(64, 8 * math.ceil(per * -math.log(rate) / math.log(2) ** 2 / 8)), max(1, round(-math.log2(rate))))
-
-
-def _filled(level: Level, keys: DataFrame, shards: int) -> Level:
-    """The level with the bits of keys (one, two, shard) set, by Spark's bitmap aggregate; its own bytes reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in level.places(*(c.to_numpy(zero_copy_only=False) for c in b.columns)):
-                yield pa.record_batch([pa.array(at >> 15), pa.array(at & 32767)], names=["bucket", "bit"])
-
-    at = keys.select("one", "two", "shard").mapInArrow(run, "bucket long, bit long")
-    bitmap = np.zeros((level.bits * shards >> 15) + 1 << 12, np.uint8)
-    for r in at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("m")).collect():
-        bitmap[r["bucket"] << 12 : r["bucket"] + 1 << 12] = np.frombuffer(r["m"], np.uint8)
-    return Level(level.number, level.bits, level.functions, bitmap)
-
-
 def _passing(keys: DataFrame, level: Level) -> DataFrame:
     held = keys.sparkSession.sparkContext.broadcast(level)
 
@@ -133,7 +84,7 @@ def build(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS,
         cascade = Cascade(shards, first, min(at_once, shards - first))
         now, other = (_sharded(x, cascade) for x in (inside, outside))
         while n := now.count():
-            level = _filled(_level(len(cascade.levels), n, cascade.held), now, cascade.held)
+            level = filled(sized(len(cascade.levels), n, cascade.held, RATE if cascade.levels else FIRST_RATE), now, cascade.held)
             cascade.levels.append(level)
             now, other = _passing(other, level), now
         out.append(cascade)
@@ -144,7 +95,7 @@ def _sharded(keys: DataFrame, cascade: Cascade) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             one = b.column(0).to_numpy(zero_copy_only=False)
-            shard = (_mixed(one, 99) % np.uint64(cascade.shards)).astype(np.int64) - cascade.first
+            shard = (mixed(one, 99) % np.uint64(cascade.shards)).astype(np.int64) - cascade.first
             mine = pa.array((shard >= 0) & (shard < cascade.held))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(shard)], names=["one", "two", "shard"]).filter(mine)
 
