@@ -113,7 +113,7 @@ def _split(keys: DataFrame, nodes: DataFrame, r: int, depth: int, budget: int, n
         left = child.select(F.col("node").alias("a"), F.col("child").alias("ca"), F.col("count").alias("na"))
         right = child.select(F.col("node").alias("b"), F.col("child").alias("cb"), F.col("count").alias("nb"))
         grown = pairs.join(left, "a").join(right, "b").where("a <> b or ca <= cb")
-        grown = grown.withColumn("diff", F.col("diff") + F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))).where(F.col("diff") <= budget)
+        grown = grown.withColumn("diff", F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))).where(F.col("diff") <= budget)
         size = F.when(F.col("ca") == F.col("cb"), F.col("na")).otherwise(F.col("na") + F.col("nb"))
         grown = staged(grown.select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("diff").cast("int").alias("diff"), size.alias("size")), "pairs").where("size > 1")
         done, pairs = grown.where((F.col("size") <= node_rows) | F.lit(deeper == 64)), grown.where((F.col("size") > node_rows) & F.lit(deeper < 64))
@@ -200,7 +200,7 @@ def walk(left: np.ndarray, right: np.ndarray, budget: int, brute: int = 4096) ->
 
 def _half(keys: np.ndarray, lo: int, hi: int, bit: np.uint64) -> int:
     """Where the keys with that bit begin in a range with one prefix above it."""
-    above = keys[lo] & ~((bit << np.uint64(1)) - np.uint64(1))
+    above = keys[lo] & ~(bit | (bit - np.uint64(1)))
     return lo + int(np.searchsorted(keys[lo:hi], above | bit))
 
 
