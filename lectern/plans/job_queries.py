@@ -79,6 +79,13 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.decoded(wav).select("path", "rate", F.size("samples").alias("n"), "error")
 
 
+def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the aligner's stub for clips of the events' signals; one language in five has no aligner."""
+    texts = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("text"), F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("language"))
+    clips = V.signal(spark, sf_dir).join(texts, F.col("clip_id") == F.col("doc_id")).withColumn("rate", F.lit(100))
+    return E.aligned(clips, E.EvenAligner).select("clip_id", F.size("words").alias("n_words"), F.round(F.element_at("words", -1)["end"], 6).alias("last_end"), "error")
+
+
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = V.table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("token"), "embedding")
     asked = turns(spark, sf_dir).select("segment_idx", (F.col("segment_idx") % 50).cast("string").alias("token"))
@@ -137,6 +144,7 @@ QUERIES = {
     "s06_audio": spoken,
     "s07_responses": responses,
     "s08_template": lambda s, d: A.config_template(s),
+    "s10_aligned": aligned_words,
     "s09_health": lambda s, d: A.health(s, {"tone": True, "other": False}),
     "u05_batch_sizes": batch_sizes,
     "u08_status": statuses,
@@ -162,5 +170,6 @@ ORACLES = {
     "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k WHERE json_extract(props, '$.' || key)::INT > 10",
     "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, substr(text, 1, 20) AS text FROM documents WHERE doc_id < 200 AND doc_id % 4 <> 0",
     "s07_responses": "SELECT conv_id, turn, base64(encode(substr(text, 1, 30))) AS audio_base64 FROM conversations",
+    "s10_aligned": "WITH c AS (SELECT user_id AS clip_id, count(*) AS n FROM events GROUP BY 1), d AS (SELECT clip_id, n, len(list_filter(regexp_split_to_array(substr(text, 1, 60), '\\s+'), lambda x: x <> '')) AS w, CASE WHEN doc_id % 5 = 0 THEN 'no aligner for xx' END AS error FROM c JOIN documents ON clip_id = doc_id) SELECT clip_id, CASE WHEN error IS NULL THEN w ELSE NULL END AS n_words, CASE WHEN error IS NULL THEN round(n / 100.0::DOUBLE, 6) END AS last_end, error FROM d",
     "u08_status": "SELECT segment_idx, kind, (CASE WHEN kind IS NULL THEN 200 WHEN kind = 'client' THEN 400 WHEN kind = 'invalid_token' THEN 409 ELSE 500 END)::INT AS status FROM (SELECT conv_id * 1000 + turn AS segment_idx, ([NULL, 'client', 'invalid_token', 'synthesis', 'alignment', 'else'])[(conv_id * 1000 + turn) % 6 + 1] AS kind FROM conversations)",
 }
