@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, licenses, mixing, quality_crf, quality_rules, simhash, substrings, tokens, toxicity, urls
 

@@ -21,6 +21,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_{names.index(source)}").alias(target) for target, source in columns.items()])
 
 
+def plain(docs: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """`docs` with columns _0, _1, ... in place of names that may clash, and its id; toDF(*docs.columns) names them again."""
+    names = docs.columns
+    return docs.toDF(*[f"_{i}" for i in range(len(names))]), F.col(f"_{names.index(id_col)}").cast("long")
+
+
+def by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of `docs`, all columns, whose id is among `ids` (one column; left_semi) or isn't (left_anti); null is an id like others."""
+    rows, key = plain(docs, id_col)
+    return rows.join(ids.toDF("__id"), key.eqNullSafe(F.col("__id")), how).toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one is made only where the session names none (local tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick, staged
+from lectern.llm.common import by_id, pick, staged
 from lectern.llm.vocabulary import Vocabulary
 
 #: Words of a window.
@@ -225,5 +225,5 @@ def _matcher(index):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose id is not that of a contaminated document. Rows with a null id stay."""
-    bad = staged(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].cast("long") == bad["__bad"], "left_anti")
+    bad = staged(contaminated(docs, benchmark, id_col, text_col).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
+    return by_id(docs, id_col, bad, "left_anti")

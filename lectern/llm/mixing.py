@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, pick, small, staged
+from lectern.llm.common import SPACES, pick, plain, small, staged
 
 #: Weights by the rank of the source.
 WEIGHTS = (5, 2, 1)
@@ -82,8 +82,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as the mix takes it; one taken in part counts if that is half of it or more."""
-    times = mix(docs, id_col, **options).select(F.col("doc_id").alias("__id"), (F.col("repeats") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)).alias("__times"))
+    """The rows of `docs`, all columns, each as often as the mix takes it; one taken in part counts if that is half of it or more. Rows of one id are taken alike."""
+    half = (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size"))
+    times = mix(docs, id_col, **options).select(F.col("doc_id").cast("long").alias("__id"), (F.col("repeats") + F.when(half, 1).otherwise(0)).alias("__times"))
     times = times.where("__times > 0").dropDuplicates(["__id"])
-    held = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
-    return held.withColumn("__n", F.explode(F.sequence(F.lit(1), "__times"))).select(*[docs[c] for c in docs.columns])
+    rows, key = plain(docs, id_col)
+    held = rows.join(times, key.eqNullSafe(F.col("__id"))).withColumn("__n", F.explode(F.sequence(F.lit(1), "__times")))
+    return held.select(*rows.columns).toDF(*docs.columns)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick, small, staged
+from lectern.llm.common import by_id, pick, small, staged
 from lectern.llm.components import connected_components
 
 #: Bits by which a node that is too large is split.
@@ -243,5 +243,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share that id all stay; rows with a null id stay if their group has no other id.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, budget).select(F.col("doc_id").alias("__id"), "component_id").where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__id"]), "left_semi")
+    found = near_duplicates(docs, id_col, text_col, shingle, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return by_id(docs, id_col, found.select("doc_id").distinct(), "left_semi")

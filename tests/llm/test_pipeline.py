@@ -27,3 +27,11 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_take_nulls_and_clashing_names(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() > 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
