@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids.toDF("__id"), key.eqNullSafe(F.col("__id")), how).toDF(*docs.columns)
 
 
+def portions(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in parts of at most so many rows, to hold less at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one is made only where the session names none (local tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bloom import filled, sized
-from lectern.llm.common import pick, small, staged
+from lectern.llm.common import pick, portions, small, staged
 from lectern.llm.vocabulary import Vocabulary
 
 #: Words of a sampled k-mer.
@@ -112,7 +112,7 @@ def _repeated(ids: pa.Array, sizes: list[int]) -> pa.Array:
 def _sample(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Sampled k-mers of each document, once each; `more` if the document holds it twice."""
     make = _Hasher(window)
-    for batch in batches:
+    for batch in portions(batches):
         found, none = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for t in batch.column(1):
             words = split_words(t.as_py())
@@ -129,7 +129,7 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
     document had before is one row from pos to stop.
     """
     make = _Hasher(window)
-    for batch in batches:
+    for batch in portions(batches):
         sizes, parts = [], []
         for row in range(batch.num_rows):
             words = split_words(batch.column(1)[row].as_py())
@@ -164,7 +164,7 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         ids, rows = batch.column(0), []
         for t, spans in zip(batch.column(1), batch.column(2).to_pylist()):
             words = split_words(t.as_py())
