@@ -1,4 +1,7 @@
-"""Word scores in order: severities, runs, dips and windows. Rows are (clip_id, idx, word, score)."""
+"""Word scores in order: severities, runs, dips and windows. Rows are (clip_id, idx, word, score).
+
+Means are compared after rounding to nine places, so that the order of additions doesn't decide.
+"""
 
 from __future__ import annotations
 
@@ -42,54 +45,72 @@ def immediate_fail(graded: DataFrame, level: int) -> DataFrame:
     return graded.where(F.col("severity") >= level).groupBy("clip_id").agg(F.min("idx").alias("stop"))
 
 
+def run_hit(level: int, limit: int) -> Column:
+    """Whether a run of words of that severity reaches the limit here, or a multiple of it; idx has no gaps."""
+    before = F.max(F.when(F.col("severity") < level, F.col("idx"))).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    return (F.col("severity") >= level) & ((F.col("idx") - F.coalesce(before, F.lit(-1))) % limit == 0)
+
+
 def runs(graded: DataFrame, level: int, limit: int) -> DataFrame:
     """Rows at which a run of words of that severity reaches the limit; the count then starts anew."""
-    bad = F.when(F.col("severity") >= level, 1).otherwise(0)
-    order = Window.partitionBy("clip_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    held = graded.withColumn("g", F.sum(1 - bad).over(order))
-    within = Window.partitionBy("clip_id", "g").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return held.withColumn("pos", F.sum(bad).over(within)).where((F.col("severity") >= level) & (F.col("pos") % limit == 0)).drop("g", "pos")
+    return graded.withColumn("__hit", run_hit(level, limit)).where("__hit").drop("__hit")
+
+
+def _order():
+    return Window.partitionBy("clip_id").orderBy("idx")
 
 
 def _frame(size: int):
-    return Window.partitionBy("clip_id").orderBy("idx").rowsBetween(-(size // 2), size - 1 - size // 2)
+    return _order().rowsBetween(-(size // 2), size - 1 - size // 2)
 
 
 def word_weight(word: Column, base: float, per_char: float) -> Column:
     return base + F.length(word) * per_char
 
 
-def dips(graded: DataFrame, size: int, limit: float, least_len: int) -> DataFrame:
-    """Words of a full window's centre that score less than the mean of the others by more than the limit."""
+def dip_hit(size: int, limit: float, least_len: int) -> Column:
+    """Whether the centre of a full window scores less than the mean of the others by more than the limit."""
     w, s = _frame(size), F.coalesce("score", F.lit(1.0))
-    held = graded.withColumn("__n", F.count("*").over(w)).withColumn("__others", (F.sum(s).over(w) - s) / (size - 1))
-    return held.where((F.col("__n") == size) & (F.length("word") >= least_len) & (s < F.col("__others") - limit)).drop("__n", "__others")
+    return (F.count("*").over(w) == size) & (F.length("word") >= least_len) & (F.round((F.sum(s).over(w) - s) / (size - 1) - s, 9) > limit)
 
 
-def low_windows(graded: DataFrame, size: int, limit: float, base: float, per_char: float) -> DataFrame:
-    """Centres of full windows with a weighted mean score below the limit; mean is kept."""
+def dips(graded: DataFrame, size: int, limit: float, least_len: int) -> DataFrame:
+    """Words at which dip_hit() holds."""
+    return graded.withColumn("__hit", dip_hit(size, limit, least_len)).where("__hit").drop("__hit")
+
+
+def low_hit(size: int, limit: float, base: float, per_char: float) -> Column:
+    """Whether the weighted mean score of a full window around the word is below the limit."""
     w, s, weight = _frame(size), F.coalesce("score", F.lit(1.0)), word_weight(F.col("word"), base, per_char)
-    held = graded.withColumn("__n", F.count("*").over(w)).withColumn("mean", F.sum(s * weight).over(w) / F.nullif(F.sum(weight).over(w), F.lit(0.0)))
-    return held.where((F.col("__n") == size) & (F.col("mean") < limit)).drop("__n")
+    mean = F.sum(s * weight).over(w) / F.nullif(F.sum(weight).over(w), F.lit(0.0))
+    return (F.count("*").over(w) == size) & F.coalesce(F.round(mean, 9) < limit, F.lit(False))
+
+
+def low_windows(graded: DataFrame, size: int, limit: float, base: float, per_char: float) -> DataFrame:
+    """Words at which low_hit() holds."""
+    return graded.withColumn("__hit", low_hit(size, limit, base, per_char)).where("__hit").drop("__hit")
 
 
 def issues(words: DataFrame, o: AlignmentOptions) -> DataFrame:
-    """Every distinct issue: clip_id, idx, type, word, score. Nothing after an immediate failure counts."""
-    graded = with_severity(cleaned_words(words), o)
-    stop = immediate_fail(graded, o.immediate_fail_severity)
-    parts = [graded.where(F.col("severity") >= o.immediate_fail_severity).join(stop, "clip_id").where("idx = stop").drop("stop").withColumn("type", F.lit("critical"))]
+    """Every distinct issue: clip_id, idx, type, word, score. Nothing after an immediate failure counts.
+
+    All checks are windows over one partitioning by clip, so words are shuffled once.
+    """
+    critical = F.col("severity") >= o.immediate_fail_severity
+    stop = F.min(F.when(critical, F.col("idx"))).over(Window.partitionBy("clip_id"))
+    early = F.col("__stop").isNull() | (F.col("idx") < F.col("__stop"))
+    hits = {"critical": F.col("idx") == F.col("__stop")}
     if o.consecutive_poor_limit:
-        parts.append(runs(graded, 2, o.consecutive_poor_limit).withColumn("type", F.lit("consecutive_poor")))
+        hits["consecutive_poor"] = early & run_hit(2, o.consecutive_poor_limit)
     if o.consecutive_weak_limit:
-        parts.append(runs(graded, 1, o.consecutive_weak_limit).withColumn("type", F.lit("consecutive_weak")))
+        hits["consecutive_weak"] = early & run_hit(1, o.consecutive_weak_limit)
     if o.dip_threshold is not None:
-        parts.append(dips(graded, o.window_size, o.dip_threshold, o.dip_min_word_len).withColumn("type", F.lit("dip")))
+        hits["dip"] = early & dip_hit(o.window_size, o.dip_threshold, o.dip_min_word_len)
     if o.window_average is not None:
-        parts.append(low_windows(graded, o.window_size, o.window_average, o.window_base_weight, o.window_weight_per_char).drop("mean").withColumn("type", F.lit("window")))
-    out = parts[0].select(*ISSUE)
-    for p in parts[1:]:
-        out = out.unionByName(p.join(stop, "clip_id", "left").where("stop is null or idx < stop").select(*ISSUE))
-    return out.dropDuplicates(["clip_id", "idx", "type"])
+        hits["window"] = early & low_hit(o.window_size, o.window_average, o.window_base_weight, o.window_weight_per_char)
+    held = with_severity(cleaned_words(words), o).withColumn("__stop", stop)
+    types = F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()]), lambda t: t.isNotNull())
+    return held.withColumn("__types", types).withColumn("type", F.explode("__types")).select(*ISSUE)
 
 
 def first_issue(found: DataFrame) -> DataFrame:

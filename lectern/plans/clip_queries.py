@@ -159,8 +159,8 @@ def _sql_runs(level: int, limit: int) -> str:
 
 
 _FRAME = "(PARTITION BY clip_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)"
-_SQL_DIP = f"SELECT clip_id, idx, word, score FROM (SELECT *, count(*) OVER {_FRAME} AS k, (sum(score) OVER {_FRAME} - score) / 3 AS o FROM graded) WHERE k = 4 AND length(word) >= 4 AND score < o - 0.4"
-_SQL_LOW = f"SELECT clip_id, idx, word, score FROM (SELECT *, count(*) OVER {_FRAME} AS k, sum(score * (1.0 + length(word) * 0.15)) OVER {_FRAME} / sum(1.0 + length(word) * 0.15) OVER {_FRAME} AS m FROM graded) WHERE k = 4 AND m < 0.6"
+_SQL_DIP = f"SELECT clip_id, idx, word, score FROM (SELECT *, count(*) OVER {_FRAME} AS k, (sum(score) OVER {_FRAME} - score) / 3 AS o FROM graded) WHERE k = 4 AND length(word) >= 4 AND round(o - score, 9) > 0.4"
+_SQL_LOW = f"SELECT clip_id, idx, word, score FROM (SELECT *, count(*) OVER {_FRAME} AS k, sum(score * (1.0 + length(word) * 0.15)) OVER {_FRAME} / sum(1.0 + length(word) * 0.15) OVER {_FRAME} AS m FROM graded) WHERE k = 4 AND round(m, 9) < 0.6"
 SQL_ISSUES = f"""{SQL_GRADED}, later AS (
   SELECT *, 'consecutive_poor' AS type FROM ({_sql_runs(2, 2)}) UNION ALL SELECT *, 'consecutive_weak' FROM ({_sql_runs(1, 3)})
   UNION ALL SELECT *, 'dip' FROM ({_SQL_DIP}) UNION ALL SELECT *, 'window' FROM ({_SQL_LOW})

@@ -59,10 +59,10 @@ def test_word_issues_like_a_loop(spark):
                     runs[level] = 0
             a, b = i - 2, i + 2
             if a >= 0 and b <= len(v):
-                if len(v[i][0]) >= 4 and score[i] < (sum(score[a:b]) - score[i]) / 3 - 0.4:
+                if len(v[i][0]) >= 4 and round((sum(score[a:b]) - score[i]) / 3 - score[i], 9) > 0.4:
                     want.add((c, i, "dip"))
                 weight = [1 + len(w) * 0.15 for w, _ in v[a:b]]
-                if sum(x * y for x, y in zip(score[a:b], weight)) / sum(weight) < 0.6:
+                if round(sum(x * y for x, y in zip(score[a:b], weight)) / sum(weight), 9) < 0.6:
                     want.add((c, i, "window"))
     assert {(r.clip_id, r.idx, r.type) for r in W.issues(df, o).collect()} == want
 
