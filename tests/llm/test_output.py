@@ -55,3 +55,18 @@ def test_token_files_hold_the_library_ids(docs, rows, empty):
 @pytest.mark.parametrize("text", ["", "  ", "it's\t'll", "a\x1cb é é 'S don't <|endoftext|>x ΟΔΟΣ Σ q ́z\ń 12 3.5km ﬁ", "Ü" * 5000])
 def test_word_encoder_is_the_tokenizer(text):
     assert tokens.WordEncoder(PATH).encode(text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_on_odd_pieces():
+    import random
+
+    rng, tk, own = random.Random(1), Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+    for _ in range(2000):
+        text = "".join(rng.choice("abcXYé.,'!#<|>19\"-_sdtm \ń") for _ in range(rng.randint(1, 30)))
+        assert own.encode(text).tolist() == tk.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Two  words,\n and a third."
+    assert tokens.WordEncoder(path).encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
