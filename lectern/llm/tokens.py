@@ -9,6 +9,7 @@ commits the files, so a task that is lost or run twice leaves nothing behind.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -77,6 +78,31 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>")
 
 
+class KnownWords(dict):
+    """Ids of words as bytes, encoded when first asked for.
+
+    Some tokenizers cut between an ASCII letter and a mark that follows, but for
+    apostrophes; then a word that ends in marks is what is before them and the marks.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, cuts: bool) -> None:
+        super().__init__()
+        self.tokenizer, self.cuts = tokenizer, cuts
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS) if self.cuts else word
+        if len(core) < len(word) and core and core[-1] in _LETTERS:
+            found = self[core] + self[word[len(core) :]]
+        else:
+            found = pack_ids(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        self[word] = found
+        return found
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Ids of texts, word by word with a cache.
 
@@ -91,63 +117,8 @@ class WordEncoder:
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         words, marks = ("Stone", "river", "x9", "é"), (",", ".", "###", "!?", ")", "-", '"')
         self.by_word = all(ids(a + gap + b) == ids(a) + ids(b) for a in words for b in words for gap in (" ", "\n ", "\t\t"))
-        self.cuts = all(ids(a + m) == ids(a) + ids(m) for a in words for m in marks)
         self.lowers = all(ids(a) == ids(a.lower()) for a in ("Stone", "RIVER", "X9"))
-        self._clear()
-
-    def _clear(self) -> None:
-        """Word k has sizes[k] ids of flat, from starts[k]."""
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes, self.used = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        """New words: those that end in marks are put together from what is before the marks and the marks.
-
-        Such tokenizers cut between an ASCII letter and a mark that follows, but for apostrophes.
-        """
-        parts = {}
-        for w in words:
-            core = w.rstrip(_MARKS) if self.cuts else w
-            if len(core) < len(w) and core and core[-1] in _LETTERS:
-                parts[w] = core, w[len(core) :]
-        whole = dict.fromkeys([w for w in words if w not in parts])
-        whole.update((p, None) for pair in parts.values() for p in pair if p not in self.known)
-        self._encode(list(whole))
-        for w, (core, marks) in parts.items():
-            one, two = self.known[core], self.known[marks]
-            n = int(self.sizes[one] + self.sizes[two])
-            at = self._room(1, n)
-            first = int(self.sizes[one])
-            self.flat[self.used : self.used + first] = self.flat[self.starts[one] : self.starts[one] + first]
-            self.flat[self.used + first : self.used + n] = self.flat[self.starts[two] : self.starts[two] + n - first]
-            self.starts[at], self.sizes[at] = self.used, n
-            self.used += n
-            self.known[w] = at
-
-    def _room(self, words: int, ids: int) -> int:
-        """Number of the next word; the arrays have room for so many more."""
-        n = len(self.known)
-        while self.used + ids > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + words > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        return n
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Words are encoded together; an id belongs to the word in which its first character is."""
-        for at in range(0, len(words), 8192):
-            some = [w.decode("utf-8", "replace") for w in words[at : at + 8192]]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(w) + 1 for w in some)])
-            offsets = np.array([o[0] for o in found.offsets], np.int64)
-            sizes = np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some))
-            total = len(offsets)
-            n = self._room(len(some), total)
-            self.sizes[n : n + len(some)] = sizes
-            self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + total] = found.ids
-            self.used += total
-            self.known.update(zip(words[at : at + 8192], range(n, n + len(some))))
+        self.known = KnownWords(self.tokenizer, all(ids(a + m) == ids(a) + ids(m) for a in words for m in marks))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_word:
@@ -155,18 +126,9 @@ class WordEncoder:
         raw = text.encode("utf-8", "replace")
         if self.lowers and not (b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw):
             raw = raw.lower()  # A-Z alone; not with special tokens, nor with marks that may join a letter of one case only
-        pieces = raw.split()
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        if new := [w for w in dict.fromkeys(pieces) if w not in self.known]:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self._clear()
-                new = list(dict.fromkeys(pieces))
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, raw.split())), "<u4")
 
 
 @lru_cache(maxsize=1)
