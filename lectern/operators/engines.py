@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts that an engine gets at once; their samples are passed on before the next.
+ROWS_AT_ONCE = 64
+
+
 class Engine(Protocol):
     """Speech from texts; load() runs once in each task."""
 
@@ -126,8 +130,9 @@ def generated(jobs: DataFrame, engine_class: type) -> DataFrame:
         engine.load()
         for batch in batches:
             for seed, part in batch.groupby("seed", sort=False):
-                part = part.assign(samples=in_batches(engine, list(part["text"]), int(seed)))
-                yield part[["segment_idx", "candidate_idx", "attempt", "samples"]]
+                for at in range(0, len(part), ROWS_AT_ONCE):
+                    some = part[at : at + ROWS_AT_ONCE]
+                    yield some.assign(samples=in_batches(engine, list(some["text"]), int(seed)))[["segment_idx", "candidate_idx", "attempt", "samples"]]
 
     dealt = jobs.repartition("seed", F.pmod(F.hash("segment_idx"), F.lit(64))).sortWithinPartitions("seed", F.length("text").desc())
     return dealt.select("segment_idx", "candidate_idx", "attempt", "seed", "text").mapInPandas(run, "segment_idx long, candidate_idx int, attempt int, samples array<float>")

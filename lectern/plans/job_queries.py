@@ -42,20 +42,19 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    docs = V.table(spark, sf_dir, "documents")
     audio = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".MP3")).alias("path")).where(A.suffix(F.col("path")).isin(*A.AUDIO_SUFFIXES))
-    texts = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.when(F.col("doc_id") % 9 != 0, F.substring("text", 1, 30)).otherwise("  ").alias("text"))
+    texts = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).otherwise("  ").alias("text"))
     return A.paired_texts(audio, texts)
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = V.table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("key", "value"))
-    return props.where("value > 10")
+    return V.table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("key", "value"))
 
 
 def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = V.table(spark, sf_dir, "documents").where("doc_id < 200")
-    entry = F.struct(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("a/"), F.col("doc_id").cast("string"))).alias("active_audio_file_path"), F.substring("text", 1, 20).alias("concatenated_text_for_tts"))
+    docs = V.table(spark, sf_dir, "documents")
+    entry = F.struct(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("a/"), F.col("doc_id").cast("string"))).alias("active_audio_file_path"), F.col("text").alias("concatenated_text_for_tts"))
     js = docs.select(F.to_json(F.struct(F.create_map(F.col("doc_id").cast("string"), entry).alias("superblocks"))).alias("json"))
     return A.manifest_rows(js)
 
@@ -68,12 +67,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.base64(F.encode(F.substring("text", 1, 30), "UTF-8")).alias("audio_base64"))
-    return t
+    t = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("audio"), F.array().cast("array<string>").alias("words"))
+    return A.responses(t).select("conv_id", "turn", F.get_json_object("response", "$.audio_base64").alias("audio_base64"))
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = J.job_grid(turns(spark, sf_dir).withColumn("text", F.substring("text", 1, 20)), 2).withColumn("attempt", F.lit(0))
+    jobs = J.job_grid(turns(spark, sf_dir), 2).withColumn("attempt", F.lit(0))
     made = E.generated(J.assign_seeds(jobs, 42), E.ToneEngine)
     wav = A.encoded(made, E.ToneEngine.sample_rate).select(F.concat_ws("/", "segment_idx", "candidate_idx").alias("path"), F.col("audio").alias("content"))
     return A.decoded(wav).select("path", "rate", F.size("samples").alias("n"), "error")
@@ -81,14 +80,14 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the aligner's stub for clips of the events' signals; one language in five has no aligner."""
-    texts = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("text"), F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("language"))
+    texts = V.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("language"))
     clips = V.signal(spark, sf_dir).join(texts, F.col("clip_id") == F.col("doc_id")).withColumn("rate", F.lit(100))
     return E.aligned(clips, E.EvenAligner).select("clip_id", F.size("words").alias("n_words"), F.round(F.element_at("words", -1)["end"], 6).alias("last_end"), "error")
 
 
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = V.table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("token"), "embedding")
-    asked = turns(spark, sf_dir).select("segment_idx", (F.col("segment_idx") % 50).cast("string").alias("token"))
+    known = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("token"), "embedding")
+    asked = turns(spark, sf_dir).select("segment_idx", (F.col("segment_idx") % 997).cast("string").alias("token"))
     return E.voice_lookup(asked, known).select("segment_idx", "token", "error")
 
 
@@ -163,13 +162,13 @@ ORACLES = {
     "j10_timeline": f"{_PLACED} SELECT doc_id, idx, slice_start, slice_end, pause_ms, round(offset_s, 6) AS offset_s FROM o",
     "j10_words": f"""{_PLACED}, {V.SQL_WORDS} SELECT o.doc_id, o.idx, w.idx AS word_idx, word, round(greatest(0, w.start - slice_start / rate::DOUBLE) + offset_s, 6) AS start, round(greatest(0, w."end" - slice_start / rate::DOUBLE) + offset_s, 6) AS "end" FROM words w JOIN o ON w.clip_id = o.doc_id * 1000 + o.idx""",
     "j11_joined": "SELECT vec_id AS doc_id, unnest(range(len(e)))::INT AS pos, unnest(e) AS x FROM (SELECT vec_id, embedding[1:64]::DOUBLE[] AS e FROM embeddings)",
-    "l01_pairs": "SELECT 'in/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.wav' ELSE '.MP3' END AS path, regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0",
-    "l02_results": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 50)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) v ON v.vec_id::VARCHAR = token",
+    "l01_pairs": "SELECT 'in/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.wav' ELSE '.MP3' END AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE doc_id % 9 <> 0",
+    "l02_results": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 997)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN embeddings v ON v.vec_id::VARCHAR = token",
     "l07_lookup": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, (CASE WHEN length(word) >= 7 THEN 0.55 WHEN length(word) >= 4 THEN 0.45 WHEN length(word) >= 2 THEN 0.35 ELSE 0.25 END)::DOUBLE AS threshold FROM words",
     "s01_requests": "WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (SELECT i, CASE WHEN i % 7 = 0 THEN 'unknown engine' WHEN i % 5 = 0 THEN 'malformed JSON' WHEN i % 5 = 1 THEN 'text is empty' WHEN i % 13 NOT BETWEEN 1 AND 10 THEN 'best_of is out of range' END AS error FROM t) SELECT i AS segment_idx, (CASE WHEN i % 7 = 0 THEN 404 WHEN error IS NOT NULL THEN 422 ELSE 200 END)::INT AS status, error FROM e",
-    "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k WHERE json_extract(props, '$.' || key)::INT > 10",
-    "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, substr(text, 1, 20) AS text FROM documents WHERE doc_id < 200 AND doc_id % 4 <> 0",
-    "s07_responses": "SELECT conv_id, turn, base64(encode(substr(text, 1, 30))) AS audio_base64 FROM conversations",
-    "s10_aligned": "WITH c AS (SELECT user_id AS clip_id, count(*) AS n FROM events GROUP BY 1), d AS (SELECT clip_id, n, len(list_filter(regexp_split_to_array(substr(text, 1, 60), '\\s+'), lambda x: x <> '')) AS w, CASE WHEN doc_id % 5 = 0 THEN 'no aligner for xx' END AS error FROM c JOIN documents ON clip_id = doc_id) SELECT clip_id, CASE WHEN error IS NULL THEN w ELSE NULL END AS n_words, CASE WHEN error IS NULL THEN round(n / 100.0::DOUBLE, 6) END AS last_end, error FROM d",
+    "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k",
+    "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, text FROM documents WHERE doc_id % 4 <> 0 AND text <> ''",
+    "s07_responses": "SELECT conv_id, turn, base64(encode(text)) AS audio_base64 FROM conversations",
+    "s10_aligned": "WITH c AS (SELECT user_id AS clip_id, count(*) AS n FROM events GROUP BY 1), d AS (SELECT clip_id, n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, CASE WHEN doc_id % 5 = 0 THEN 'no aligner for xx' END AS error FROM c JOIN documents ON clip_id = doc_id) SELECT clip_id, CASE WHEN error IS NULL THEN w ELSE NULL END AS n_words, CASE WHEN error IS NULL THEN round(n / 100.0::DOUBLE, 6) END AS last_end, error FROM d",
     "u08_status": "SELECT segment_idx, kind, (CASE WHEN kind IS NULL THEN 200 WHEN kind = 'client' THEN 400 WHEN kind = 'invalid_token' THEN 409 ELSE 500 END)::INT AS status FROM (SELECT conv_id * 1000 + turn AS segment_idx, ([NULL, 'client', 'invalid_token', 'synthesis', 'alignment', 'else'])[(conv_id * 1000 + turn) % 6 + 1] AS kind FROM conversations)",
 }

@@ -76,8 +76,7 @@ SELECT doc_id, unnest(range(len(c)))::INT AS chunk_idx, unnest(c) AS text FROM (
 
 
 def chunk_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    return V.table(spark, sf_dir, "documents").where(n <= 500).select("doc_id", F.round(C.chunk_cost(n, DEFAULT), 6).alias("cost"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.round(C.chunk_cost(F.col("n_chars"), DEFAULT), 6).alias("cost"))
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +140,7 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", L.strip_ansi(F.concat(F.lit("\x1b[31m"), F.substring("text", 1, 40), F.lit("\x1b[0m"))).alias("out"))
+    return docs.select("doc_id", L.strip_ansi(F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m"))).alias("out"))
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +202,7 @@ ORACLES = {
     "t14_lower": f"WITH {V.SQL_NOISE}, f AS (SELECT doc_id, {_SQL_FLAT} AS flat FROM noisy) SELECT doc_id, lower(CASE WHEN {_SQL_CORE} <> '' AND {_SQL_CORE}[-1] NOT IN ('.', '?', '!') THEN flat || '.' ELSE flat END) AS out FROM f",
     "c01_sentences": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT * FROM sents",
     "c02_paragraphs": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, count(DISTINCT para_idx) AS n_paragraphs FROM sents GROUP BY doc_id",
-    "c04_cost": "SELECT doc_id, round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) AS cost FROM documents WHERE n_chars <= 500",
+    "c04_cost": "SELECT doc_id, CASE WHEN n_chars > 500 THEN 'inf'::DOUBLE ELSE round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) END AS cost FROM documents",
     "c06_greedy": _SQL_GREEDY,
     "c09_boundaries": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, para_idx, sent_idx AS chunk_idx, CASE WHEN lead(para_idx) OVER (PARTITION BY doc_id ORDER BY para_idx, sent_idx) <> para_idx THEN 'PARAGRAPH' ELSE 'SENTENCE' END AS boundary FROM sents",
     "c11_empty": "SELECT doc_id, 'No text to synthesize' AS error FROM documents WHERE doc_id % 10 = 0",
@@ -213,6 +212,6 @@ ORACLES = {
     "f04_budget": f"WITH {V.SQL_WORDS}, w AS (SELECT clip_id, idx, {_SQL_TRIM} AS w, {_SQL_SYLL} AS s FROM words) SELECT clip_id, idx, round(CASE WHEN length(w) >= 7 AND ({_SQL_LNV}) < 1.6 THEN greatest(1, ceil(length(w) / 4.0)) * 0.6 ELSE s * 0.35 END, 6) AS out FROM w",
     "f05_token": "SELECT doc_id, sha256(text) || '-' || lang AS token FROM documents",
     "f06_numeric": _sql_words(r"regexp_full_match(word, '\p{N}+')"),
-    "f07_ansi": "SELECT doc_id, substr(text, 1, 40) AS out FROM documents",
+    "f07_ansi": "SELECT doc_id, text AS out FROM documents",
     "f08_status": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, CASE WHEN idx % 5 = 0 THEN 'N/A' WHEN idx % 3 = 0 THEN 'INFO' WHEN score >= 0.5 THEN 'PASS' ELSE 'FAIL' END AS status FROM words",
 }

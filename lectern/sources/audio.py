@@ -62,8 +62,9 @@ def parsed_requests(requests: DataFrame, engines: list[str], json_col: str = "js
 
 
 def responses(results: DataFrame) -> DataFrame:
-    """`results` (audio binary, words array) as one JSON text each, the audio in base64."""
-    return results.withColumn("response", F.to_json(F.struct(F.base64("audio").alias("audio_base64"), F.col("words").alias("word_segments"))))
+    """`results` (audio binary, words array) as one JSON text each, the audio in base64 without line ends."""
+    audio = F.replace(F.base64("audio"), F.lit("\r\n"), F.lit(""))
+    return results.withColumn("response", F.to_json(F.struct(audio.alias("audio_base64"), F.col("words").alias("word_segments"))))
 
 
 def config_template(spark: SparkSession) -> DataFrame:
