@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import catalog, decontaminate, mixing, quality_rules, simhash, tokens
+from lectern.llm import catalog, decontaminate, mixing, near_copies, quality_rules, tokens
 from lectern.llm.common import staged
 
 
@@ -18,8 +18,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of SimHash near-duplicates."""
-    return simhash.deduplicate(docs, shingle=3, budget=2)
+    """One document, the one with the smallest id, of each group of near copies (SimHash links and MinHash bands, compared exactly)."""
+    return near_copies.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
