@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates.
 
 Words become canonical: lower case without outer punctuation, with typed placeholders
-for numbers, names (capitalised inside a sentence) and units (after a number). Windows
-of canonical words of every benchmark item are hashed and sent to every task, in blocks
-of bounded size; windows of documents meet them by hash. Hits of one item on one
-alignment count together if their slots are consistent: a value of the item always
+for numbers, names (capitalised inside a sentence) and units (after a number); adjacent
+words of one type are one placeholder, and a capitalised word that starts a sentence is
+hashed both as it is and as a name. Windows of canonical words of every benchmark item
+are hashed and sent to every task, in blocks of bounded size; windows of documents meet
+them by hash. Hits of one item in one order, between which a few words may be put in or
+left out, count together if their slots are consistent: a value of the item always
 stands for one value of the document, and the other way round. So a question asked again
 with other numbers or names is caught, one that mixes them up is not.
 """
@@ -12,7 +14,9 @@ with other numbers or names is caught, one that mixes them up is not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ from lectern.llm.vocabulary import Vocabulary
 WINDOW = 5
 #: Share of an item's windows that have to be found on one alignment.
 SIMILARITY = 0.8
+#: Words put in or left out between two hits of an alignment.
+DRIFT = 0
 #: Literal words that a window needs.
 LITERALS = 2
 #: Bytes of benchmark text that go to the tasks at once; more takes another pass.
@@ -53,66 +59,92 @@ def _hash(word: str) -> int:
 
 
 _SLOT = {k: _hash(k) for k in (_NUM, _NAME, _UNIT)}
+_NAMES = [np.uint64(_SLOT[_NAME] * int(w) % (1 << 64)) for w in _WEIGHTS]
+
+
+class Words(NamedTuple):
+    """Canonical words of a text, a run of name, number or unit words as one: hashes, value hashes, which are slots, which may be names (they start a sentence), and the first word of each, and the end."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    slot: np.ndarray
+    maybe: np.ndarray
+    at: np.ndarray
 
 
 class Canonical:
-    """Canonical words of a text: hash and, for slots, the hash of the value (else 0)."""
+    """Canonical words of texts."""
 
     def __init__(self) -> None:
-        self.known = Vocabulary(self._word, [np.int8, np.uint64, np.uint64, bool, bool])
+        self.known = Vocabulary(self._word, [np.int8, np.uint64, np.uint64, bool, bool, bool])
 
     @staticmethod
-    def _word(raw: str) -> tuple[int, int, int, bool, bool]:
-        """kind (0 literal, 1 number, 2 titled, 3 number with unit, 4 line feed), hash, value hash, ends a sentence, may be a unit."""
+    def _word(raw: str) -> tuple[int, int, int, bool, bool, bool]:
+        """kind (0 literal, 1 number, 2 titled, 3 number with unit, 4 line feed), hash, value hash, ends a sentence, ends a run of words, may be a unit."""
         if raw == "\x01":
-            return 4, 0, 0, True, False
+            return 4, 0, 0, True, True, False
         plain = raw.isalpha()
         core = raw if plain else raw.strip(_EDGE)
         low = core.lower()
         h = _hash(low)
         ends = not plain and raw.rstrip("\"')]”’»").endswith((".", "!", "?"))
+        stops = ends or not plain and raw.endswith((",", ";", ":", ")", "]", '"', "”", "»"))
         unit = low in UNITS or not low and raw.strip("()[]\".,;") in UNITS
         if not plain and _DIGIT.search(raw) and (m := _NUMBER.fullmatch(raw.strip("\"'()[]{}<>,;:!?*#&“”‘’«»¿¡…|."))):
-            return 3 if m[1].lower() in UNITS and m[1] else 1, _SLOT[_NUM], h, ends, False
+            return 3 if m[1].lower() in UNITS and m[1] else 1, _SLOT[_NUM], h, ends, stops, False
         titled = low != core and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:]
-        return 2 if titled else 0, h, h, ends, unit
+        return 2 if titled else 0, h, h, ends, stops, unit
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str) -> Words:
         self.known.begin()
         rows = self.known.rows(text.replace("\n", " \x01 ").split())
-        kind, hashes, values, ends, unit = (c[rows] for c in self.known.columns)
+        kind, hashes, values, ends, stops, unit = (c[rows] for c in self.known.columns)
         start = np.concatenate([[True], ends[:-1]])[: len(rows)]
         words = kind != 4
-        kind, hashes, values, unit, start = (x[words] for x in (kind, hashes, values, unit, start))
+        kind, hashes, values, stops, unit, start = (x[words] for x in (kind, hashes, values, stops, unit, start))
         number = (kind == 1) | (kind == 3)
-        after = np.concatenate([[False], kind[:-1] == 1])[: len(kind)]
-        measure = unit & after & ~number
+        measure = unit & _after(kind == 1) & ~number
         name = (kind == 2) & ~start & ~measure
+        maybe = (kind == 2) & start & ~measure
+        code = number + 2 * name.astype(np.int8) + 3 * measure.astype(np.int8)
         hashes[measure], hashes[name] = _SLOT[_UNIT], _SLOT[_NAME]
-        values[~(number | measure | name)] = 0
-        return hashes, values
+        at = np.arange(len(code))
+        return Words(hashes, values, code > 0, maybe, np.append(at, len(kind)))
 
 
-def windows(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough literal words; a shorter text is one window."""
-    n = min(WINDOW, len(hashes))
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    size = len(hashes) - n + 1
-    out, literal = np.full(size, n, np.uint64), np.zeros(size, np.int64)
-    for j in range(n):
-        out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + hashes[j : j + size] * _WEIGHTS[j]
-        literal += values[j : j + size] == 0
-    at = np.flatnonzero(literal >= min(LITERALS, n))
-    return at, out[at]
+def _after(x: np.ndarray, first=False) -> np.ndarray:
+    return np.concatenate([[first], x[:-1]])[: len(x)].astype(bool)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.append(x[1:], False)[: len(x)]
 
 
-def _pieces(item: int, hashes: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
-    for at in range(0, max(len(hashes), 1), PIECE_WORDS):
-        h, v = hashes[at : at + PIECE_WORDS], values[at : at + PIECE_WORDS]
-        pos, win = windows(h, v)
+def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of n words with enough literal words; a word that may be a name gives both forms."""
+    size = len(w.hashes) - n + 1
+    if n < 1 or size < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, out, literal = np.arange(size), np.full(size, n, np.uint64), np.zeros(size, np.int8)
+    plain, least = (~w.slot).astype(np.int8), min(LITERALS, n)
+    for j in range(n):
+        out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        both = np.flatnonzero(w.maybe[at + j] & (literal + (n - 1 - j) >= least)) if least < n else at[:0]
+        more = at[both], out[both] + _NAMES[j], literal[both]
+        out = out + w.hashes[at + j] * _WEIGHTS[j]
+        literal = literal + plain[at + j]
+        if len(both):
+            at, out, literal = (np.concatenate(x) for x in zip((at, out, literal), more))
+    enough = literal >= least
+    return at[enough], out[enough]
+
+
+def _pieces(item: int, w: Words) -> Iterator[tuple]:
+    for at in range(0, max(len(w.hashes), 1), PIECE_WORDS):
+        part = Words(*(x[at : at + PIECE_WORDS] for x in w))
+        pos, win = windows(part, min(WINDOW, len(part.hashes)))
         if len(pos):
-            yield item, h, v, pos, win
+            yield item, len(part.hashes), np.where(part.slot | part.maybe, part.values, 0).tolist(), pos, win, len(np.unique(pos))
 
 
 class Index:
@@ -120,7 +152,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         canonical = Canonical()
-        self.pieces = [p for i, text in items for p in _pieces(i, *canonical(text or ""))]
+        self.pieces = [p for i, text in items for p in _pieces(i, canonical(text or ""))]
+        self.sizes = sorted({min(p[1], WINDOW) for p in self.pieces})
         if self.pieces:
             win = np.concatenate([p[4] for p in self.pieces])
             order = np.argsort(win, kind="stable")
@@ -130,15 +163,10 @@ class Index:
         else:
             self.win = np.zeros(0, np.uint64)
 
-    def find(self, hashes: np.ndarray, values: np.ndarray) -> list[tuple[int, float, int, int]]:
+    def find(self, w: Words) -> list[tuple[int, float, int, int]]:
         """item_id, share of its windows found, first word and words of the span; the best alignment of each item."""
-        short = {len(p[1]) for p in self.pieces if len(p[1]) < WINDOW}
-        groups = [windows(hashes, values)]
-        for n in short:  # items of fewer words than a window
-            k = len(hashes) - n + 1
-            groups += [(np.array([j]), windows(hashes[j : j + n], values[j : j + n])[1]) for j in range(max(k, 0))]
-        at = np.concatenate([g[0][: len(g[1])] for g in groups])
-        win = np.concatenate([g[1] for g in groups])
+        groups = [windows(w, n) for n in self.sizes]
+        at, win = (np.concatenate(x) for x in zip(*groups))
         lo = np.searchsorted(self.win, win)
         hit = np.flatnonzero((lo < len(self.win)) & (self.win[np.minimum(lo, len(self.win) - 1)] == win))
         if not len(hit):
@@ -147,29 +175,34 @@ class Index:
         n = hi - lo
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         where = np.repeat(at[hit], n)
-        piece, shift = self.piece[entry], where - self.pos[entry]
-        order = np.lexsort((shift, piece))
-        piece, shift, pos = piece[order], shift[order], self.pos[entry][order]
-        starts = np.concatenate([[0], np.flatnonzero((piece[1:] != piece[:-1]) | (shift[1:] != shift[:-1])) + 1, [len(piece)]])
+        piece, pos = self.piece[entry], self.pos[entry]
+        order = np.lexsort((-pos, where, piece))
+        piece, where, pos = piece[order], where[order], pos[order]
+        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (where[1:] != where[:-1]) | (pos[1:] != pos[:-1])])
+        piece, where, pos = piece[new], where[new], pos[new]
+        starts = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(piece)]])
         best: dict[int, tuple] = {}
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            item, _, v, own, _ = self.pieces[piece[s]]
-            if e - s < SIMILARITY * len(own):
+            item, size, v, _, _, own = self.pieces[piece[s]]
+            if e - s < SIMILARITY * own or len(np.unique(pos[s:e])) < SIMILARITY * own:
                 continue
-            share = self._consistent(v, values, pos[s:e], int(shift[s])) / len(own)
-            if share >= SIMILARITY and share > best.get(item, (0, 0.0))[1]:
-                best[item] = (item, share, int(shift[s]), len(v))
+            for chain in chains(pos[s:e].tolist(), where[s:e].tolist(), SIMILARITY * own):
+                share = self._consistent(v, w.values, chain) / own
+                if share >= SIMILARITY and share > best.get(item, (0, 0.0))[1]:
+                    (p, q), (p1, q1) = chain[0], chain[-1]
+                    first, last = max(0, q - p), min(len(w.hashes), q1 + size - p1)
+                    best[item] = (item, share, int(w.at[first]), int(w.at[last] - w.at[first]))
         return list(best.values())
 
     @staticmethod
-    def _consistent(v: np.ndarray, values: np.ndarray, pos: np.ndarray, shift: int) -> int:
+    def _consistent(v: list[int], values: np.ndarray, chain: list[tuple[int, int]]) -> int:
         """Windows without a slot that breaks the one-to-one correspondence of values."""
         there: dict[int, int] = {}
         back: dict[int, int] = {}
         good = 0
         n = min(WINDOW, len(v))
-        for p in np.sort(pos).tolist():
-            pairs = [(a, b) for a, b in zip(v[p : p + n].tolist(), values[p + shift : p + shift + n].tolist()) if a]
+        for p, q in chain:
+            pairs = [(a, b) for a, b in zip(v[p : p + n], values[q : q + n].tolist()) if a]
             if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
                 there.update(pairs)
                 back.update((b, a) for a, b in pairs)
@@ -177,6 +210,38 @@ class Index:
         return good
 
 
+def chains(pos: list[int], where: list[int], least: float) -> Iterator[list[tuple[int, int]]]:
+    """Hits in one order in item and document, whose shifts differ by up to DRIFT from one to the next.
+
+    Hits come by document place, the later item place first. All hits of a shift, and the
+    longest chain that ends on it, are given if they are `least` hits.
+    """
+    places: dict[int, list[int]] = {}
+    known: dict[int, list[tuple]] = {}
+    for p, q in zip(pos, where):
+        length, link = 0, None
+        for shift in range(q - p - DRIFT, q - p + DRIFT + 1):
+            if shift in places and (k := bisect_left(places[shift], p)) and known[shift][k - 1][0] > length:
+                length, link = known[shift][k - 1][0], known[shift][k - 1]
+        places.setdefault(q - p, []).append(p)
+        known.setdefault(q - p, []).append((length + 1, p, q, link))
+    for shift, found in places.items():
+        if len(found) >= least:
+            yield [(p, p + shift) for p in found]
+    followed = set()
+    for end in sorted((max(x, key=lambda y: y[0]) for x in known.values()), key=lambda x: -x[0]):
+        if end[0] < least:
+            return
+        if id(end) in followed:
+            continue
+        chain, node = [], end
+        while node:
+            followed.add(id(node))
+            chain.append((node[1], node[2]))
+            node = node[3]
+        yield chain[::-1]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded bytes; no more than a block is on the driver."""
     block, size = [], 0
@@ -216,7 +281,7 @@ def _matcher(index):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if text.is_valid and len(index.value.win):
-                    rows += [(i, *x) for x in index.value.find(*canonical(text.as_py()))]
+                    rows += [(i, *x) for x in index.value.find(canonical(text.as_py()))]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)], names=["doc_id", "item_id", "share", "first_word", "n_words"])
 
