@@ -32,7 +32,7 @@ WINDOW = 5
 #: Share of an item's windows that have to be found on one alignment.
 SIMILARITY = 0.8
 #: Words put in or left out between two hits of an alignment.
-DRIFT = 0
+DRIFT = 10
 #: Literal words that a window needs.
 LITERALS = 2
 #: Bytes of benchmark text that go to the tasks at once; more takes another pass.
@@ -58,6 +58,7 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11)
 
 
+_PER = _hash("per")
 _SLOT = {k: _hash(k) for k in (_NUM, _NAME, _UNIT)}
 _NAMES = [np.uint64(_SLOT[_NAME] * int(w) % (1 << 64)) for w in _WEIGHTS]
 
@@ -89,7 +90,7 @@ class Canonical:
         h = _hash(low)
         ends = not plain and raw.rstrip("\"')]”’»").endswith((".", "!", "?"))
         stops = ends or not plain and raw.endswith((",", ";", ":", ")", "]", '"', "”", "»"))
-        unit = low in UNITS or not low and raw.strip("()[]\".,;") in UNITS
+        unit = low in UNITS or not low and raw.strip("()[]\".,;") in UNITS or "/" in low and all(x in UNITS for x in low.split("/"))
         if not plain and _DIGIT.search(raw) and (m := _NUMBER.fullmatch(raw.strip("\"'()[]{}<>,;:!?*#&“”‘’«»¿¡…|."))):
             return 3 if m[1].lower() in UNITS and m[1] else 1, _SLOT[_NUM], h, ends, stops, False
         titled = low != core and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:]
@@ -104,11 +105,22 @@ class Canonical:
         kind, hashes, values, stops, unit, start = (x[words] for x in (kind, hashes, values, stops, unit, start))
         number = (kind == 1) | (kind == 3)
         measure = unit & _after(kind == 1) & ~number
+        if (per := (hashes == _PER) & _after(measure) & _before(unit)).any():
+            measure |= per | _after(per)
         name = (kind == 2) & ~start & ~measure
         maybe = (kind == 2) & start & ~measure
         code = number + 2 * name.astype(np.int8) + 3 * measure.astype(np.int8)
         hashes[measure], hashes[name] = _SLOT[_UNIT], _SLOT[_NAME]
         at = np.arange(len(code))
+        joined = ((code > 0) & _after(code, 0) & (code == np.concatenate([[0], code[:-1]])[: len(code)]) | name & _after(maybe)) & ~_after(stops) & ~start
+        if joined.any():
+            at = np.flatnonzero(~joined)
+            place = np.arange(len(code))
+            weight = (2 * (place - np.maximum.accumulate(np.where(joined, 0, place))) + 1).astype(np.uint64)
+            values = np.add.reduceat(values * weight, at)
+            named = np.maximum.reduceat(name.astype(np.int8), at) > 0
+            hashes, code, maybe = hashes[at], code[at], maybe[at] & ~named
+            hashes[named], code[named] = _SLOT[_NAME], 2
         return Words(hashes, values, code > 0, maybe, np.append(at, len(kind)))
 
 

@@ -19,3 +19,19 @@ def found(spark, item, text):
 ])
 def test_names_that_start_sentences(spark, text, hit):
     assert bool(found(spark, JANET, text)) == hit
+
+
+@pytest.mark.parametrize("text", [
+    TRIP.replace("Paris", "New York"),
+    TRIP.replace("1200", "1 200"),
+    TRIP.replace("miles per hour", "km/h"),
+    TRIP.replace("back at", "back late at"),
+    TRIP.replace("the others", "others"),
+])
+def test_values_of_other_lengths_and_words_put_in(spark, text):
+    assert found(spark, TRIP, text)
+
+
+def test_spans_are_in_words_of_the_document(spark):
+    text = TRIP.replace("Paris", "New York")
+    assert found(spark, TRIP, f"Some words before\n{text}\nand after") == [(5, 1, 1.0, 3, len(text.split()))]
