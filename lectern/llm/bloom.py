@@ -34,9 +34,18 @@ class Level:
             yield ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64) + shard * self.bits
 
     def passes(self, one: np.ndarray, two: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(one), bool)
-        for at in self.places(one, two, shard):
-            ok &= self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+        a, left = mixed(one, self.number), np.arange(len(one))
+        for i in range(self.functions):  # each on those that passed so far
+            if i:
+                step = mixed(two[left], self.number) if i == 1 else step[kept]
+                at = (a[left] + np.uint64(i) * step) % np.uint64(self.bits)
+            else:
+                at = a % np.uint64(self.bits)
+            at = at.astype(np.int64) + shard[left] * self.bits
+            kept = self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+            left = left[kept]
+        ok = np.zeros(len(one), bool)
+        ok[left] = True
         return ok
 
 

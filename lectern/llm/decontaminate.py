@@ -4,11 +4,17 @@ Words become canonical: lower case without outer punctuation, with typed placeho
 for numbers, names (capitalised inside a sentence) and units (after a number); adjacent
 words of one type are one placeholder, and a capitalised word that starts a sentence is
 hashed both as it is and as a name. Windows of canonical words of every benchmark item
-are hashed and sent to every task, in blocks of bounded size; windows of documents meet
-them by hash. Hits of one item in one order, between which a few words may be put in or
-left out, count together if their slots are consistent: a value of the item always
-stands for one value of the document, and the other way round. So a question asked again
-with other numbers or names is caught, one that mixes them up is not.
+and every document are hashed and joined by hash. Hits of one item in one order, between
+which a few words may be put in or left out, count together if their slots are
+consistent: a value of the item always stands for one value of the document, and the
+other way round. So a question asked again with other numbers or names is caught, one
+that mixes them up is not.
+
+The join goes in steps, so that windows in many items or documents don't multiply. A
+Bloom filter of the items' windows leaves out most windows of documents where they are
+made. An item that is found to 0.8 has at least one hit among any 0.2 of its windows and
+one more, so its rarest windows decide which pairs of document and item are looked at;
+the other windows are joined for those pairs.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import by_id, pick, staged
+from lectern.llm.bloom import Level, filled, sized
+from lectern.llm.common import by_id, pick, small, staged
 from lectern.llm.vocabulary import Vocabulary
 
 #: Words of a window.
@@ -35,10 +42,11 @@ SIMILARITY = 0.8
 DRIFT = 10
 #: Literal words that a window needs.
 LITERALS = 2
-#: Bytes of benchmark text that go to the tasks at once; more takes another pass.
-BLOCK_BYTES = 16 << 20
-#: Words of a longer item are compared in pieces of so many.
-PIECE_WORDS = 2000
+#: The items' windows go to the tasks as a Bloom filter up to so many (under two bytes each); more are joined unfiltered.
+FILTER_KEYS = 64_000_000
+FILTER_RATE = 0.001
+#: A window in more items than that is joined only for pairs of document and item that rarer windows found.
+SHARED_ITEMS = 16
 
 # Units of measure and money that follow a number.
 UNITS = frozenset(
@@ -87,7 +95,7 @@ class Canonical:
         plain = raw.isalpha()
         core = raw if plain else raw.strip(_EDGE)
         low = core.lower()
-        h = _hash(low)
+        h = _hash(low or raw)
         ends = not plain and raw.rstrip("\"')]”’»").endswith((".", "!", "?"))
         stops = ends or not plain and raw.endswith((",", ";", ":", ")", "]", '"', "”", "»"))
         unit = low in UNITS or not low and raw.strip("()[]\".,;") in UNITS or "/" in low and all(x in UNITS for x in low.split("/"))
@@ -96,13 +104,16 @@ class Canonical:
         titled = low != core and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:]
         return 2 if titled else 0, h, h, ends, stops, unit
 
-    def __call__(self, text: str) -> Words:
+    def __call__(self, text: str) -> tuple[Words, Words]:
+        """Canonical words, and the words as they are (lower case, none of them a slot)."""
         self.known.begin()
         rows = self.known.rows(text.replace("\n", " \x01 ").split())
         kind, hashes, values, ends, stops, unit = (c[rows] for c in self.known.columns)
         start = np.concatenate([[True], ends[:-1]])[: len(rows)]
         words = kind != 4
         kind, hashes, values, stops, unit, start = (x[words] for x in (kind, hashes, values, stops, unit, start))
+        none = np.zeros(len(kind), bool)
+        exact = Words(values, values, none, none, np.arange(len(kind) + 1))
         number = (kind == 1) | (kind == 3)
         measure = unit & _after(kind == 1) & ~number
         if (per := (hashes == _PER) & _after(measure) & _before(unit)).any():
@@ -121,7 +132,7 @@ class Canonical:
             named = np.maximum.reduceat(name.astype(np.int8), at) > 0
             hashes, code, maybe = hashes[at], code[at], maybe[at] & ~named
             hashes[named], code[named] = _SLOT[_NAME], 2
-        return Words(hashes, values, code > 0, maybe, np.append(at, len(kind)))
+        return Words(hashes, values, code > 0, maybe, np.append(at, len(kind))), exact
 
 
 def _after(x: np.ndarray, first=False) -> np.ndarray:
@@ -151,75 +162,104 @@ def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at[enough], out[enough]
 
 
-def _pieces(item: int, w: Words) -> Iterator[tuple]:
-    for at in range(0, max(len(w.hashes), 1), PIECE_WORDS):
-        part = Words(*(x[at : at + PIECE_WORDS] for x in w))
-        pos, win = windows(part, min(WINDOW, len(part.hashes)))
-        if len(pos):
-            yield item, len(part.hashes), np.where(part.slot | part.maybe, part.values, 0).tolist(), pos, win, len(np.unique(pos))
-
-
-class Index:
-    """Windows of a block of benchmark items, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        canonical = Canonical()
-        self.pieces = [p for i, text in items for p in _pieces(i, canonical(text or ""))]
-        self.sizes = sorted({min(p[1], WINDOW) for p in self.pieces})
-        if self.pieces:
-            win = np.concatenate([p[4] for p in self.pieces])
-            order = np.argsort(win, kind="stable")
-            self.win = win[order]
-            self.piece = np.concatenate([np.full(len(p[3]), k) for k, p in enumerate(self.pieces)])[order]
-            self.pos = np.concatenate([p[3] for p in self.pieces])[order]
-        else:
-            self.win = np.zeros(0, np.uint64)
-
-    def find(self, w: Words) -> list[tuple[int, float, int, int]]:
-        """item_id, share of its windows found, first word and words of the span; the best alignment of each item."""
-        groups = [windows(w, n) for n in self.sizes]
-        at, win = (np.concatenate(x) for x in zip(*groups))
-        lo = np.searchsorted(self.win, win)
-        hit = np.flatnonzero((lo < len(self.win)) & (self.win[np.minimum(lo, len(self.win) - 1)] == win))
-        if not len(hit):
-            return []
-        lo, hi = lo[hit], np.searchsorted(self.win, win[hit], "right")
-        n = hi - lo
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        where = np.repeat(at[hit], n)
-        piece, pos = self.piece[entry], self.pos[entry]
-        order = np.lexsort((-pos, where, piece))
-        piece, where, pos = piece[order], where[order], pos[order]
-        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (where[1:] != where[:-1]) | (pos[1:] != pos[:-1])])
-        piece, where, pos = piece[new], where[new], pos[new]
-        starts = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(piece)]])
-        best: dict[int, tuple] = {}
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            item, size, v, _, _, own = self.pieces[piece[s]]
-            if e - s < SIMILARITY * own or len(np.unique(pos[s:e])) < SIMILARITY * own:
+def tagged(win: np.ndarray, form: int) -> np.ndarray:
+    """Hashes of windows of one form (their size; 8 more if of exact words), so that forms don't meet; signed."""
+    win = (win ^ np.uint64(form * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+    return (win ^ win >> np.uint64(32)).view(np.int64)
+
+
+def template(texts: tuple[Words, Words]) -> tuple[int, np.ndarray, np.ndarray, Words]:
+    """Form, places and hashes of an item's windows; of its exact words if no window has enough literal ones."""
+    for k, w in enumerate(texts):
+        n = min(WINDOW, len(w.hashes))
+        at, win = windows(w, n)
+        if len(at):
+            break
+    return 8 * k + n, at, tagged(win, 8 * k + n), w
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each item with words: its form, how many places have windows, and place, hash and slot values (0: none) of each window."""
+    canonical = Canonical()
+    for batch in batches:
+        out = []
+        for item, item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if text.is_valid and text.as_py().split():
+                form, at, win, w = template(canonical(text.as_py()))
+                slots = np.where(w.slot | w.maybe, w.values, 0).view(np.int64)
+                values = slots[at[:, None] + np.arange(form & 7)]
+                out.append((item, item_id, form, len(np.unique(at)), [{"win": h, "p": p, "slots": v} for h, p, v in zip(win.tolist(), at.tolist(), values.tolist())]))
+        kind = pa.list_(pa.struct([("win", pa.int64()), ("p", pa.int32()), ("slots", pa.list_(pa.int64()))]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), kind)
+        yield pa.record_batch([pa.array([r[k] for r in out], x) for k, x in enumerate(kinds)], names=["item", "item_id", "form", "own", "windows"])
+
+
+def _document_windows(batches: Iterator[pa.RecordBatch], forms: list[int], held: Level | None) -> Iterator[pa.RecordBatch]:
+    """A row for each window that passes the filter: hash, place, values of its words, first word and end in the text."""
+    canonical = Canonical()
+    for batch in batches:
+        parts = []
+        for row, text in enumerate(batch.column(2)):
+            if not text.is_valid:
                 continue
-            for chain in chains(pos[s:e].tolist(), where[s:e].tolist(), SIMILARITY * own):
-                share = self._consistent(v, w.values, chain) / own
-                if share >= SIMILARITY and share > best.get(item, (0, 0.0))[1]:
-                    (p, q), (p1, q1) = chain[0], chain[-1]
-                    first, last = max(0, q - p), min(len(w.hashes), q1 + size - p1)
-                    best[item] = (item, share, int(w.at[first]), int(w.at[last] - w.at[first]))
-        return list(best.values())
-
-    @staticmethod
-    def _consistent(v: list[int], values: np.ndarray, chain: list[tuple[int, int]]) -> int:
-        """Windows without a slot that breaks the one-to-one correspondence of values."""
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        good = 0
-        n = min(WINDOW, len(v))
-        for p, q in chain:
-            pairs = [(a, b) for a, b in zip(v[p : p + n], values[q : q + n].tolist()) if a]
-            if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
-                there.update(pairs)
-                back.update((b, a) for a, b in pairs)
-                good += 1
-        return good
+            both = canonical(text.as_py())
+            for form in forms:
+                w, n = both[form >> 3], form & 7
+                at, win = windows(w, n)
+                win = tagged(win, form)
+                if held is not None:
+                    ok = held.passes(win, second_hash(win), np.zeros(len(win), np.int64))
+                    at, win = at[ok], win[ok]
+                if len(at):
+                    values = np.zeros((len(at), WINDOW), np.uint64)
+                    values[:, :n] = w.values[at[:, None] + np.arange(n)]
+                    parts.append((np.full(len(at), row), win, at, w.at[at], w.at[at + n], values.view(np.int64)))
+        if parts:
+            row, win, q, first, stop, values = (np.concatenate(x) for x in zip(*parts))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, WINDOW, np.int32)), pa.array(values.ravel()))
+            at = pa.array(row)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(t)) for x, t in ((win, np.int64), (q, np.int32), (first, np.int64), (stop, np.int64))), lists]
+            yield pa.record_batch(columns, names=["row", "doc_id", "win", "q", "first", "stop", "values"])
+
+
+def second_hash(win: np.ndarray) -> np.ndarray:
+    win = win.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (win ^ win >> np.uint64(29)).view(np.int64)
+
+
+def consistent(chain: list[tuple[int, int]], slots: dict[int, list[int]], values: dict[int, list[int]]) -> int:
+    """Windows without a slot that breaks the one-to-one correspondence of values."""
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    good = 0
+    for p, q in chain:
+        pairs = [(a, b) for a, b in zip(slots[p], values[q]) if a]
+        if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
+            there.update(pairs)
+            back.update((b, a) for a, b in pairs)
+            good += 1
+    return good
+
+
+def best_alignment(hits: list[tuple], own: int) -> tuple[float, int, int] | None:
+    """Share of an item's `own` windows that its best alignment has, first word and number of words of the span.
+
+    Hits are (p, q, first, stop, slots, values). Of equal shares the one with the first
+    span counts. None below SIMILARITY.
+    """
+    least = SIMILARITY * own - 1e-9
+    if len({h[0] for h in hits}) < least:
+        return None
+    places = sorted({(h[1], -h[0]) for h in hits})
+    slots, values = {h[0]: h[4] for h in hits}, {h[1]: h[5] for h in hits}
+    first, stop = {h[1]: h[2] for h in hits}, {h[1]: h[3] for h in hits}
+    best = None
+    for chain in chains([-p for _, p in places], [q for q, _ in places], least):
+        good = consistent(chain, slots, values)
+        if good >= least:
+            at = first[chain[0][1]]
+            best = max(best or (-1.0, 0, 0), (good / own, -at, stop[chain[-1][1]] - at))
+    return best and (best[0], -best[1], best[2])
 
 
 def chains(pos: list[int], where: list[int], least: float) -> Iterator[list[tuple[int, int]]]:
@@ -254,50 +294,77 @@ def chains(pos: list[int], where: list[int], least: float) -> Iterator[list[tupl
         yield chain[::-1]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded bytes; no more than a block is on the driver."""
-    block, size = [], 0
-    for row in benchmark.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"] or "")
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc_id, item_id, own, hits in zip(*(batch.column(k) for k in range(4))):
+            found = best_alignment([tuple(h.values()) for h in hits.as_py()], own.as_py())
+            if found:
+                out.append((doc_id.as_py(), item_id.as_py(), *found))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array([r[k] for r in out], x) for k, x in enumerate(kinds)], names=["doc_id", "item_id", "share", "first_word", "n_words"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", filter_keys: int = FILTER_KEYS, shared_items: int = SHARED_ITEMS) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other numbers, names or units.
 
-    Returns a row for each document and item: doc_id, item_id, share (of the item's
-    windows found on its best alignment with consistent slots, at least 0.8), first_word,
-    n_words (of the span, in words between white space). Null and empty texts match
-    nothing, repeated rows are each reported, empty tables give no rows; an item with too
-    few literal words for any window is not searched. Other columns are not read.
+    Returns a row for each row of `docs` and each row of `benchmark` in it: doc_id,
+    item_id, share (of all the item's windows, those found on its best alignment with
+    consistent slots; at least 0.8), first_word, n_words (from the first window found to
+    the last, in words between white space). Of alignments with one share the one that
+    starts first counts, then the longer. An item without a window of two literal words
+    (numbers or names alone, one word) is sought by its exact words, case and outer
+    punctuation aside. Null and empty texts match nothing, repeated rows are each
+    reported, empty tables give no rows. Other columns are not read.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("long").alias("item_id"), "text")
     kinds = "doc_id long, item_id long, share double, first_word long, n_words long"
-    out = None
-    for block in _blocks(items):
-        found = rows.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(Index(block))), kinds)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], kinds)
-
-
-def _matcher(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical = Canonical()
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if text.is_valid and len(index.value.win):
-                    rows += [(i, *x) for x in index.value.find(canonical(text.as_py()))]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)], names=["doc_id", "item_id", "share", "first_word", "n_words"])
-
-    return run
+    items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    items = staged(items.mapInArrow(_item_windows, "item long, item_id long, form int, own long, windows array<struct<win:long,p:int,slots:array<long>>>"), "items")
+    forms = sorted(r[0] for r in items.select("form").distinct().collect())  # ten at most
+    if not forms:
+        return docs.sparkSession.createDataFrame([], kinds)
+    wins = staged(items.select("item", "own", F.explode("windows").alias("w")).select("item", "own", "w.*"), "windows")
+    found = staged(_found(docs, wins, forms, id_col, text_col, filter_keys), "found")
+
+    # how often each window of an item is in the documents, and in how many items
+    often = small(staged(found.groupBy("win").agg(F.count("*").alias("n")), "often"))
+    spread = wins.groupBy("win").agg(F.countDistinct("item").alias("items"))
+    known = staged(wins.join(often, "win").join(spread, "win"), "known")
+    # the rarest places, one of which has to be there, of items that have enough places at all
+    place = known.groupBy("item", "own", "p").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("item")
+    missing = F.col("own") - F.count("*").over(whole)
+    place = place.withColumn("missing", missing).withColumn("k", F.row_number().over(whole.orderBy("n", "p")))
+    spare = F.col("own") - F.ceil(F.col("own") * SIMILARITY - 1e-9)
+    anchors = place.where((F.col("missing") <= spare) & (F.col("k") + F.col("missing") <= spare + 1)).select("item", "p")
+    anchors = staged(known.join(anchors, ["item", "p"], "left_semi").select("win", "item").distinct(), "anchors")
+    pairs = staged(found.select("row", "win").join(small(anchors), "win").select("row", "item").distinct(), "pairs")
+
+    rows = found.join(small(staged(pairs.select("row").distinct(), "rows")), "row", "left_semi")
+    rare = known.where(F.col("items") <= shared_items).select("win", "item", "p", "slots")
+    common = known.where(F.col("items") > shared_items).select("win", "item", "p", "slots")
+    hits = rows.join(rare, "win").join(pairs, ["row", "item"], "left_semi")
+    shared = rows.join(common.select("win").distinct(), "win", "left_semi").join(pairs, "row").join(common, ["item", "win"])
+    hit = F.struct("p", "q", "first", "stop", "slots", "values")
+    hits = hits.unionByName(shared.select(*hits.columns)).groupBy("row", "doc_id", "item").agg(F.collect_list(hit).alias("hits"))
+    return hits.join(items.select("item", "item_id", "own"), "item").select("doc_id", "item_id", "own", "hits").mapInArrow(_judged, kinds)
+
+
+def _found(docs: DataFrame, wins: DataFrame, forms: list[int], id_col: str, text_col: str, filter_keys: int) -> DataFrame:
+    """Windows of documents that items may have."""
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = wins.select("win").distinct()
+    n, held = keys.count(), None
+    if n <= filter_keys:
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                win = b.column(0).to_numpy(zero_copy_only=False)
+                yield pa.record_batch([b.column(0), pa.array(second_hash(win)), pa.array(np.zeros(len(win), np.int64))], names=["one", "two", "shard"])
+
+        held = docs.sparkSession.sparkContext.broadcast(filled(sized(0, n, 1, FILTER_RATE), keys.mapInArrow(both, "one long, two long, shard long"), 1))
+    schema = "row long, doc_id long, win long, q int, first long, stop long, `values` array<long>"
+    return rows.mapInArrow(lambda b: _document_windows(b, forms, held and held.value), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
