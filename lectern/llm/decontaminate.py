@@ -92,14 +92,17 @@ class Canonical:
         """kind (0 literal, 1 number, 2 titled, 3 number with unit, 4 line feed), hash, value hash, ends a sentence, ends a run of words, may be a unit."""
         if raw == "\x01":
             return 4, 0, 0, True, True, False
-        plain = raw.isalpha()
-        core = raw if plain else raw.strip(_EDGE)
+        if raw.isalpha():
+            low = raw.lower()
+            h = _hash(low)
+            return 2 if low != raw and len(raw) > 1 and raw[0] != low[0] and raw[1:] == low[1:] else 0, h, h, False, False, low in UNITS
+        core = raw.strip(_EDGE)
         low = core.lower()
         h = _hash(low or raw)
-        ends = not plain and raw.rstrip("\"')]”’»").endswith((".", "!", "?"))
-        stops = ends or not plain and raw.endswith((",", ";", ":", ")", "]", '"', "”", "»"))
+        ends = raw.rstrip("\"')]”’»").endswith((".", "!", "?"))
+        stops = ends or raw.endswith((",", ";", ":", ")", "]", '"', "”", "»"))
         unit = low in UNITS or not low and raw.strip("()[]\".,;") in UNITS or "/" in low and all(x in UNITS for x in low.split("/"))
-        if not plain and _DIGIT.search(raw) and (m := _NUMBER.fullmatch(raw.strip("\"'()[]{}<>,;:!?*#&“”‘’«»¿¡…|."))):
+        if _DIGIT.search(raw) and (m := _NUMBER.fullmatch(raw.strip("\"'()[]{}<>,;:!?*#&“”‘’«»¿¡…|."))):
             return 3 if m[1].lower() in UNITS and m[1] else 1, _SLOT[_NUM], h, ends, stops, False
         titled = low != core and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:]
         return 2 if titled else 0, h, h, ends, stops, unit

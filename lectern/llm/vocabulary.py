@@ -18,6 +18,7 @@ class Vocabulary(dict):
         super().__init__()
         self.learn, self.limit = learn, limit
         self.columns = [np.zeros(1024, d) for d in dtypes]
+        self.fresh: list[tuple] = []
 
     def begin(self) -> None:
         if len(self) > self.limit:
@@ -25,11 +26,16 @@ class Vocabulary(dict):
 
     def __missing__(self, word) -> int:
         k = self[word] = len(self)
-        if k == len(self.columns[0]):
-            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
-        for c, v in zip(self.columns, self.learn(word)):
-            c[k] = v
+        self.fresh.append(self.learn(word))
         return k
 
     def rows(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            end = len(self)
+            while end > len(self.columns[0]):
+                self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
+            for c, v in zip(self.columns, zip(*self.fresh)):
+                c[end - len(self.fresh) : end] = np.array(v, c.dtype)
+            self.fresh.clear()
+        return out
