@@ -16,8 +16,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.find_licenses(_table(spark, sf_dir, "documents"))
-    return licenses.license_summary(found).drop("spans")
+    return licenses.license_summary(licenses.find_licenses(_table(spark, sf_dir, "documents")))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """License notices in texts, exact and with a bounded number of errors.
 
 A notice that may have k errors is cut into k + 1 pieces; by the pigeonhole principle at
-least one stands unchanged in any such match. Around each piece found, the regex library's bounded-error matching verifies
-the whole notice and counts its edits.
+least one stands unchanged in any such match. A piece found says where the notice may
+begin and end, give or take k characters; each run of whole words between such ends is
+verified by the regex library's bounded-error matching, which also counts its edits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,17 +60,6 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Ranges that overlap or touch become one."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
-        else:
-            out.append([lo, hi])
-    return out
-
-
 def spans_end(span: dict) -> int:
     return span["first_word"] + span["n_words"]
 
@@ -83,7 +74,7 @@ class Searcher:
         self.seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (label, notice) in enumerate((label, encode(n)) for label, n in notices):
             errors = errors_allowed(notice, per)
-            self.notices.append((label, notice, errors, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={errors}}}")))
+            self.notices.append((label, notice, errors, [regex.compile(f"(?:{regex.escape(notice)}){{e<={e}}}") for e in range(1, errors + 1)]))
             for offset, seed in pieces(notice, errors):
                 self.seeds.setdefault(seed, []).append((k, offset))
 
@@ -118,24 +109,33 @@ class Searcher:
         return out
 
     def _fuzzy(self, line: str) -> list[dict]:
-        near: dict[int, list[tuple[int, int]]] = {}
+        near: dict[int, set[tuple[int, int]]] = {}
         for seed, found in self.seeds.items():
             at = line.find(seed)
             while at >= 0:
                 for k, offset in found:
                     _, notice, errors, _ = self.notices[k]
-                    lo = max(0, at - offset - errors)
-                    near.setdefault(k, []).append((lo, min(len(line), lo + len(notice) + 2 * errors)))
+                    first, last = at - offset, at - offset + len(notice)
+                    starts = [s for s in range(max(1, first - errors), first + errors + 1) if line[s - 1 : s] == " "]
+                    ends = [e for e in range(last - errors, min(len(line) - 1, last + errors) + 1) if line[e : e + 1] == " "]
+                    near.setdefault(k, set()).update((s, e) for s in starts for e in ends if s < e)
                 at = line.find(seed, at + 1)
-        out = []
-        for k, spans in near.items():
-            label, _, _, pattern = self.notices[k]
-            for lo, hi in merged(spans):
-                for m in pattern.finditer(line, lo, hi):
-                    first = line.count(" ", 0, m.start() + 1) - 1
-                    last = line.count(" ", 0, max(m.end() - 1, m.start() + 1)) - 1
-                    out.append({"label": label, "first_word": first, "n_words": last - first + 1, "errors": sum(m.fuzzy_counts), "base": False})
-        return out
+        return [p for k, spans in near.items() for p in self._places(line, k, spans)]
+
+    def _places(self, line: str, k: int, spans: set[tuple[int, int]]) -> list[dict]:
+        """The spans within the bound of notice k; of those that overlap the one with fewest errors, then the first, then the shortest."""
+        label, notice, _, patterns = self.notices[k]
+        judged = []
+        for s, e in spans:
+            errors = 0 if line[s:e] == notice else next((n + 1 for n, p in enumerate(patterns) if p.fullmatch(line, s, e)), None)
+            if errors is not None:
+                judged.append((errors, s, e))
+        taken: list[tuple[int, int, int]] = []
+        for errors, s, e in sorted(judged):
+            at = bisect(taken, (s,))
+            if not (at < len(taken) and taken[at][0] < e or at and taken[at - 1][1] > s):
+                taken.insert(at, (s, e, errors))
+        return [{"label": label, "first_word": line.count(" ", 0, s) - 1, "n_words": line.count(" ", s, e) + 1, "errors": errors, "base": False} for s, e, errors in taken]
 
 
 @lru_cache(maxsize=2)
@@ -147,9 +147,12 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Every place of a phrase or notice in every whole text.
 
     Returns doc_id, n_words and spans (label, first_word from 0, n_words, errors, and
-    base: an exact phrase; others are notices with at most one error for `per`
-    characters) for every row. Words are runs of a-z, digits and characters beyond ASCII,
-    A-Z lower-cased. Null and empty texts have no words and spans; repeated rows are
+    base: an exact phrase; others are runs of whole words that differ from a notice by at
+    most one character put in, left out or changed for `per` characters of it) for every
+    row. Of overlapping runs the one with fewest errors counts, then the first, then the
+    shortest. A notice goes if it overlaps an exact phrase of its label or a place of
+    another label with fewer errors; places of equal errors of two labels both stay. Words
+    are runs of a-z, digits and characters beyond ASCII, A-Z lower-cased. Null and empty texts have no words and spans; repeated rows are
     each returned, an empty table gives none; other columns are not read.
     """
 
@@ -167,8 +170,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def license_summary(found: DataFrame) -> DataFrame:
     """One row of figures for each row of find_licenses(): places, labels and a score.
 
-    score is 1 for an exact phrase, else the best notice's share of unchanged characters
-    in tenths of its allowance (1 - errors / 10), 0 without any.
+    score is 1 for a phrase or notice without errors, else 1 - errors / 10 of the place
+    with fewest errors, 0 without any. Null and empty texts have no places.
     """
     base = F.filter("spans", lambda s: s["base"])
     labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
