@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A sentence's probability is logistic in hashed words and word beginnings; a document's is their noisy-or,
-1 - prod(1 - p). Weights are fitted by gradient descent on the document labels of a
-bounded sample; sentences with a high probability are then the offending ones.
+1 - prod(1 - p). Spark counts which of them are commoner in toxic documents of a bounded
+sample; only those reach the driver, which fits their weights by gradient descent on the
+document labels. Sentences with a high probability are then the offending ones.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick
+from lectern.llm.common import pick, staged
 from lectern.llm.vocabulary import Vocabulary
 
 #: Hashed words.
 BUCKETS = 1 << 18
 #: Labelled rows of each class that training takes at most, by the order of a hash of the id.
 SAMPLE_ROWS = 4000
+#: Words that the texts of those rows have at most in each class: rows are taken in that order up to it.
+SAMPLE_WORDS = 4_000_000
 #: Letters of the prefixes that are features besides the word.
 PREFIXES = (3, 4, 5, 6)
 #: Documents of the sample that a word has to be in.
@@ -37,11 +40,14 @@ SENTENCE_LIMIT = 0.5
 _OUTER = "\"'()[]{}<>.,;:!?*#&$%“”‘’«»¿¡…–—-_|"
 
 
+_SEEDS = [zlib.crc32(b"%d " % k) for k in range(1 + len(PREFIXES))]
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word and of its prefixes; BUCKETS where there is none."""
     core = (word if word.isalpha() else word.strip(_OUTER)).lower()
     parts = [core, *(core[:n] if len(core) > n else "" for n in PREFIXES)]
-    return [zlib.crc32(f"{k} {p}".encode("utf-8", "surrogatepass")) % BUCKETS if p else BUCKETS for k, p in enumerate(parts)]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass"), seed) % BUCKETS if p else BUCKETS for p, seed in zip(parts, _SEEDS)]
 
 
 def _ends(word: str) -> bool:
@@ -58,7 +64,8 @@ class Sentences:
         if model is None:
             self.known = Vocabulary(lambda w: (*features(w), _ends(w)), [np.int32] * (1 + len(PREFIXES)) + [bool])
         else:
-            self.known = Vocabulary(lambda w: (model.weights[features(w)].sum(), _ends(w)), [np.float64, bool])
+            weight = {k: float(model.weights[k]) for k in np.flatnonzero(model.weights).tolist()}
+            self.known = Vocabulary(lambda w: (sum([weight[f] for f in features(w) if f in weight]), _ends(w)), [np.float64, bool])
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         self.known.begin()
@@ -86,51 +93,40 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np.ndarray, rounds: int = 150, rate: float = 0.1) -> Model:
-    """Weights by proximal Adam on the log loss of the noisy-or, with an L1 penalty; share: weight of each document.
+@dataclass
+class Bags:
+    """Sampled documents: label, weight, and how many of their sentences have no feature; of each feature its sentence, of each sentence its document."""
 
-    Words enter that are in toxic documents more often than chance would have it.
-    """
-    y = labels.astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS + 1), -20.0 if not len(y) or not y.max() else 20.0)
-    share = share / share.mean()
-    once = [np.unique(f) for f, _ in bags]
-    once = [f[f < BUCKETS] for f in once]
-    at, words = np.repeat(np.arange(len(bags)), [len(x) for x in once]), np.concatenate(once)
-    held = np.bincount(words, minlength=BUCKETS)
-    rate_all = np.average(y, weights=share)
-    mass, toxic = np.bincount(words, share[at], BUCKETS), np.bincount(words, (share * y)[at], BUCKETS)
-    chance = np.sqrt(np.maximum(mass * rate_all * (1 - rate_all), 1e-9))
-    keep = (held >= LEAST_DOCS) & ((toxic - mass * rate_all) / chance >= LEAST_LIFT)
-    keep, number = np.append(keep, False), np.cumsum(keep) - 1
-    feats, sentence, docs, total = [], [], [], 0
-    for f, s in bags:  # only words that enter
-        word, column = np.nonzero(keep[f])
-        feats.append(number[f[word, column]])
-        sentence.append(np.searchsorted(s, word, "right") - 1 + total)
-        docs.append(max(1, len(s)))
-        total += docs[-1]
-    feats, sentence, docs = np.concatenate(feats), np.concatenate(sentence), np.array(docs)
-    doc_at = np.cumsum(docs) - docs
-    n, size = len(y), int(keep.sum())
+    labels: np.ndarray
+    share: np.ndarray
+    empty: np.ndarray
+    feats: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+
+
+def log_miss(bags: Bags, z: np.ndarray, bias: float) -> np.ndarray:
+    """-log of the noisy-or's product, prod(1 - p), of each document."""
+    return np.bincount(bags.doc, np.logaddexp(0, z), len(bags.labels)) + bags.empty * np.logaddexp(0, bias)
+
+
+def fit(bags: Bags, size: int, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and bias, by proximal Adam on the log loss of the noisy-or, with an L1 penalty."""
+    n, share = len(bags.labels), bags.share / bags.share.mean()
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = -6.0
     penalty = np.append(np.full(size, PENALTY_DOCS / n), 0.0)
     for t in range(1, rounds + 1):
-        z = np.clip(np.bincount(sentence, w[feats], total) + w[-1], -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        toxic = -np.expm1(-np.add.reduceat(np.logaddexp(0, z), doc_at))
-        slope = share / n * np.where(y > 0, -(1 - toxic) / np.maximum(toxic, 1e-9), 1.0)
-        g_sentence = np.repeat(slope, docs) * p
-        g = np.append(np.bincount(feats, g_sentence[sentence], size), g_sentence.sum())
+        z = np.clip(np.bincount(bags.sentence, w[bags.feats], len(bags.doc)) + w[-1], -30, 30)
+        toxic = -np.expm1(-log_miss(bags, z, w[-1]))
+        slope = share / n * np.where(bags.labels > 0, -(1 - toxic) / np.maximum(toxic, 1e-9), 1.0)
+        g_sentence = slope[bags.doc] / (1 + np.exp(-z))
+        g = np.append(np.bincount(bags.feats, g_sentence[bags.sentence], size), g_sentence.sum() + (slope * bags.empty).sum() / (1 + np.exp(-w[-1])))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
         w = w - step * m / (1 - 0.9**t)
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
-    weights = np.zeros(BUCKETS + 1)
-    weights[keep] = w[:-1]
-    return Model(weights, float(w[-1]))
+    return w[:-1], float(w[-1])
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -154,21 +150,67 @@ def sampled_labels(labels: DataFrame, label_col: str, parts: int, part: int, row
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 5, part: int = 0, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a sample of labelled rows that are not held out; the driver gets their hashed words."""
+def sampled_texts(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, sample_rows: int, sample_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """label, share, text of a bounded sample of labelled rows, staged: the documents of sampled_labels() in the order of a hash, whole, up to `sample_words` words of each class. Of rows with one id the text with the least hash counts."""
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    picked = F.broadcast(sampled_labels(labels, label_col, parts, part, sample_rows))  # at most twice sample_rows
+    one = rows.join(picked, "doc_id").groupBy("doc_id", "label", "share").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = staged(one.withColumn("n", F.size(F.split("text", r"\s+"))), "sample")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = one.select("doc_id", "label", F.sum("n").over(order).alias("before")).where(F.col("before") <= sample_words).select("doc_id")
+    return staged(one.join(F.broadcast(taken), "doc_id").select("label", "share", "text"), "sample")
+
+
+def chosen_features(sample: DataFrame) -> np.ndarray:
+    """Buckets of words and prefixes that are in toxic documents more often than chance would have it; fewer than BUCKETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Sentences()
         for batch in batches:
-            bags = [cut(t.as_py()) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([f.ravel() for f, _ in bags], pa.list_(pa.int32())), pa.array([s for _, s in bags], pa.list_(pa.int32()))], names=["label", "share", "feats", "starts"])
+            once = [np.unique(cut(t.as_py())[0]).astype(np.int32) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([f[f < BUCKETS] for f in once], pa.list_(pa.int32()))], names=["label", "share", "feats"])
+
+    n, mass, toxic = sample.agg(F.count("*"), F.sum("share"), F.sum(F.col("share") * F.col("label"))).first()
+    rate, scale = toxic / mass, n / mass
+    found = sample.mapInArrow(run, "label int, share double, feats array<int>").select("label", "share", F.explode("feats").alias("f"))
+    found = found.groupBy("f").agg(F.count("*").alias("held"), F.sum(F.col("share") * scale).alias("mass"), F.sum(F.col("share") * scale * F.col("label")).alias("toxic"))
+    lift = (F.col("toxic") - F.col("mass") * rate) / F.sqrt(F.col("mass") * (rate * (1 - rate)))
+    return np.sort(np.array([r[0] for r in found.where((F.col("held") >= LEAST_DOCS) & (lift >= LEAST_LIFT)).select("f").collect()], np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 5, part: int = 0, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on a sample of labelled rows that are not held out; the driver gets the chosen features of their sentences."""
+    sample = sampled_texts(docs, labels, label_col, parts, part, sample_rows, sample_words, id_col, text_col)
+    classes = {r[0] for r in sample.select("label").distinct().collect()}
+    if len(classes) < 2:
+        return Model(np.zeros(BUCKETS + 1), 20.0 if 1 in classes else -20.0)
+    chosen = chosen_features(sample)
+    number = np.full(BUCKETS + 1, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    held = docs.sparkSession.sparkContext.broadcast(number)
 
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = F.broadcast(sampled_labels(labels, label_col, parts, part, sample_rows))  # at most twice sample_rows
-    found = rows.join(picked, "doc_id").select("label", "share", "text").mapInArrow(run, "label int, share double, feats array<int>, starts array<int>").toArrow()
-    width = 1 + len(PREFIXES)
-    bags = [(f.values.to_numpy().reshape(-1, width), s.values.to_numpy()) for f, s in zip(found["feats"], found["starts"])]
-    return fit(bags, found["label"].to_numpy(), found["share"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Sentences()
+        for batch in batches:
+            feats, sentence, empty = [], [], []
+            for t in batch.column(2):
+                f, starts = cut(t.as_py())
+                k = held.value[f.astype(np.int64)]
+                word, column = np.nonzero(k >= 0)
+                own, local = np.unique(np.searchsorted(starts, word, "right"), return_inverse=True)
+                feats.append(k[word, column]), sentence.append(local.astype(np.int32)), empty.append(max(1, len(starts)) - len(own))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (feats, sentence)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(empty, pa.int32()), *lists], names=["label", "share", "empty", "feats", "sentence"])
+
+    found = sample.mapInArrow(run, "label int, share double, empty int, feats array<int>, sentence array<int>").toArrow()
+    local = [x.values.to_numpy() for x in found["sentence"]]
+    sizes = np.array([x.max() + 1 if len(x) else 0 for x in local], np.int64)
+    sentence = np.concatenate([x + at for x, at in zip(local, np.cumsum(sizes) - sizes)]).astype(np.int64)
+    feats = np.concatenate([x.values.to_numpy() for x in found["feats"]]).astype(np.int64)
+    bags = Bags(*(found[c].to_numpy() for c in ("label", "share", "empty")), feats, sentence, np.repeat(np.arange(len(sizes)), sizes))
+    weights = np.zeros(BUCKETS + 1)
+    weights[chosen], bias = fit(bags, len(chosen))
+    return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", limit: float = SENTENCE_LIMIT) -> DataFrame:
