@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +33,12 @@ class Level:
         for i in range(self.functions):
             yield ((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64) + shard * self.bits
 
-    def passes(self, one: np.ndarray, two: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    def passes(self, one: np.ndarray, two: np.ndarray | Callable, shard: np.ndarray) -> np.ndarray:
+        """Which keys may be in the filter; `two`, the second hashes, may be a function of the first ones."""
         a, left = mixed(one, self.number), np.arange(len(one))
         for i in range(self.functions):  # each on those that passed so far
             if i:
-                step = mixed(two[left], self.number) if i == 1 else step[kept]
+                step = mixed(two(one[left]) if callable(two) else two[left], self.number) if i == 1 else step[kept]
                 at = (a[left] + np.uint64(i) * step) % np.uint64(self.bits)
             else:
                 at = a % np.uint64(self.bits)

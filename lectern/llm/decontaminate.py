@@ -60,6 +60,11 @@ _DIGIT = re.compile(r"\d")
 _EDGE = "\"'()[]{}<>.,;:!?*#&$%“”‘’«»¿¡…–—-_|"
 _NUM, _NAME, _UNIT = "\x00num", "\x00name", "\x00unit"
 _WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64) | 1) for j in range(WINDOW)]
+#: Characters of texts that are made canonical at once.
+STREAM_CHARS = 1 << 20
+# kinds of words, and flags besides
+_LITERAL, _NUMBER_WORD, _TITLED, _WITH_UNIT, _LINE_FEED = range(5)
+_ENDS, _STOPS, _UNIT_WORD = 8, 16, 32
 
 
 def _hash(word: str) -> int:
@@ -67,79 +72,99 @@ def _hash(word: str) -> int:
 
 
 _PER = _hash("per")
-_SLOT = {k: _hash(k) for k in (_NUM, _NAME, _UNIT)}
-_NAMES = [np.uint64(_SLOT[_NAME] * int(w) % (1 << 64)) for w in _WEIGHTS]
+_SLOT = {k: np.uint64(_hash(k)) for k in (_NUM, _NAME, _UNIT)}
 
 
 class Words(NamedTuple):
-    """Canonical words of a text, a run of name, number or unit words as one: hashes, value hashes, which are slots, which may be names (they start a sentence), and the first word of each, and the end."""
+    """Canonical words of texts, a run of name, number or unit words as one: hashes, value hashes, which are slots, which may be names (they start a sentence), the text of each, its first word there and the end."""
 
     hashes: np.ndarray
     values: np.ndarray
     slot: np.ndarray
     maybe: np.ndarray
-    at: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+
+
+def classified(raw: str) -> tuple[int, int]:
+    """Hash of a word's value, and its kind with flags: ends a sentence, ends a run of words, may be a unit."""
+    if raw.isalpha():
+        low = raw.lower()
+        flags = _UNIT_WORD if low in UNITS else _LITERAL
+        if low != raw and len(raw) > 1 and raw[0] != low[0] and raw[1:] == low[1:]:
+            flags |= _TITLED
+        return _digest(low.encode(), 11), flags
+    if raw == "\x01":
+        return 0, _LINE_FEED | _ENDS | _STOPS
+    core = raw.strip(_EDGE)
+    low = core.lower()
+    value = _hash(low or raw)
+    flags = 0
+    if raw.rstrip("\"')]”’»").endswith((".", "!", "?")):
+        flags = _ENDS | _STOPS
+    elif raw.endswith((",", ";", ":", ")", "]", '"', "”", "»")):
+        flags = _STOPS
+    if _DIGIT.search(raw) and (m := _NUMBER.fullmatch(raw.strip("\"'()[]{}<>,;:!?*#&“”‘’«»¿¡…|."))):
+        return value, flags | (_WITH_UNIT if m[1].lower() in UNITS and m[1] else _NUMBER_WORD)
+    if low in UNITS or not low and raw.strip("()[]\".,;") in UNITS or "/" in low and all(x in UNITS for x in low.split("/")):
+        flags |= _UNIT_WORD
+    if low != core and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:]:
+        flags |= _TITLED
+    return value, flags
+
+
+_digest = xxhash.xxh64_intdigest
 
 
 class Canonical:
-    """Canonical words of texts."""
+    """Canonical words of texts, and the words as they are (lower case, none of them a slot)."""
 
     def __init__(self) -> None:
-        self.known = Vocabulary(self._word, [np.int8, np.uint64, np.uint64, bool, bool, bool])
-
-    @staticmethod
-    def _word(raw: str) -> tuple[int, int, int, bool, bool, bool]:
-        """kind (0 literal, 1 number, 2 titled, 3 number with unit, 4 line feed), hash, value hash, ends a sentence, ends a run of words, may be a unit."""
-        if raw == "\x01":
-            return 4, 0, 0, True, True, False
-        if raw.isalpha():
-            low = raw.lower()
-            h = _hash(low)
-            return 2 if low != raw and len(raw) > 1 and raw[0] != low[0] and raw[1:] == low[1:] else 0, h, h, False, False, low in UNITS
-        core = raw.strip(_EDGE)
-        low = core.lower()
-        h = _hash(low or raw)
-        ends = raw.rstrip("\"')]”’»").endswith((".", "!", "?"))
-        stops = ends or raw.endswith((",", ";", ":", ")", "]", '"', "”", "»"))
-        unit = low in UNITS or not low and raw.strip("()[]\".,;") in UNITS or "/" in low and all(x in UNITS for x in low.split("/"))
-        if _DIGIT.search(raw) and (m := _NUMBER.fullmatch(raw.strip("\"'()[]{}<>,;:!?*#&“”‘’«»¿¡…|."))):
-            return 3 if m[1].lower() in UNITS and m[1] else 1, _SLOT[_NUM], h, ends, stops, False
-        titled = low != core and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:]
-        return 2 if titled else 0, h, h, ends, stops, unit
-
-    def __call__(self, text: str) -> tuple[Words, Words]:
-        """Canonical words, and the words as they are (lower case, none of them a slot)."""
+        self.known = Vocabulary(classified, [np.uint64, np.uint8])
+
+    def __call__(self, texts: list[str]) -> tuple[Words, Words]:
         self.known.begin()
-        rows = self.known.rows(text.replace("\n", " \x01 ").split())
-        kind, hashes, values, ends, stops, unit = (c[rows] for c in self.known.columns)
-        start = np.concatenate([[True], ends[:-1]])[: len(rows)]
-        words = kind != 4
-        kind, hashes, values, stops, unit, start = (x[words] for x in (kind, hashes, values, stops, unit, start))
-        none = np.zeros(len(kind), bool)
-        exact = Words(values, values, none, none, np.arange(len(kind) + 1))
-        number = (kind == 1) | (kind == 3)
-        measure = unit & _after(kind == 1) & ~number
-        if (per := (hashes == _PER) & _after(measure) & _before(unit)).any():
+        words, sizes = [], []
+        for t in texts:
+            words += t.replace("\n", " \x01 ").split()
+            words.append("\x01")
+            sizes.append(len(words))
+        rows = self.known.rows(words)
+        value, flags = (c[rows] for c in self.known.columns)
+        text = np.repeat(np.arange(len(texts)), np.diff([0, *sizes]))
+        start = np.concatenate([[True], flags[:-1] & _ENDS > 0])[: len(rows)]
+        real = flags & 7 != _LINE_FEED
+        value, flags, text, start = value[real], flags[real], text[real], start[real]
+        n, kind, stops, unit = len(value), flags & 7, flags & _STOPS > 0, flags & _UNIT_WORD > 0
+        place = np.arange(n)
+        own = place - np.searchsorted(text, np.arange(len(texts)))[text]
+        fresh = own == 0
+        number = (kind == _NUMBER_WORD) | (kind == _WITH_UNIT)
+        measure = unit & _after(kind == _NUMBER_WORD) & ~number & ~fresh
+        if (per := (value == _PER) & _after(measure) & _before(unit & ~fresh) & ~fresh).any():
             measure |= per | _after(per)
-        name = (kind == 2) & ~start & ~measure
-        maybe = (kind == 2) & start & ~measure
+        name = (kind == _TITLED) & ~start & ~measure
+        maybe = (kind == _TITLED) & start & ~measure
+        hashes, values = value.copy(), value
+        hashes[number], hashes[measure], hashes[name] = _SLOT[_NUM], _SLOT[_UNIT], _SLOT[_NAME]
         code = number + 2 * name.astype(np.int8) + 3 * measure.astype(np.int8)
-        hashes[measure], hashes[name] = _SLOT[_UNIT], _SLOT[_NAME]
-        at = np.arange(len(code))
-        joined = ((code > 0) & _after(code, 0) & (code == np.concatenate([[0], code[:-1]])[: len(code)]) | name & _after(maybe)) & ~_after(stops) & ~start
+        exact = Words(value, value, np.zeros(n, bool), np.zeros(n, bool), text, own, own + 1)
+        stop = own + 1
+        joined = ((code > 0) & (code == np.concatenate([[0], code[:-1]])[:n]) | name & _after(maybe)) & ~_after(stops) & ~start
         if joined.any():
             at = np.flatnonzero(~joined)
-            place = np.arange(len(code))
             weight = (2 * (place - np.maximum.accumulate(np.where(joined, 0, place))) + 1).astype(np.uint64)
-            values = np.add.reduceat(values * weight, at)
+            values = np.add.reduceat(value * weight, at)
             named = np.maximum.reduceat(name.astype(np.int8), at) > 0
             hashes, code, maybe = hashes[at], code[at], maybe[at] & ~named
             hashes[named], code[named] = _SLOT[_NAME], 2
-        return Words(hashes, values, code > 0, maybe, np.append(at, len(kind))), exact
+            text, own, stop = text[at], own[at], stop[np.append(at[1:], n) - 1]
+        return Words(hashes, values, code > 0, maybe, text, own, stop), exact
 
 
-def _after(x: np.ndarray, first=False) -> np.ndarray:
-    return np.concatenate([[first], x[:-1]])[: len(x)].astype(bool)
+def _after(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[False], x[:-1]])[: len(x)]
 
 
 def _before(x: np.ndarray) -> np.ndarray:
@@ -147,22 +172,24 @@ def _before(x: np.ndarray) -> np.ndarray:
 
 
 def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of n words with enough literal words; a word that may be a name gives both forms."""
+    """Places and hashes of the windows of n words of one text with enough literal words; a word that may be a name gives both forms."""
     size = len(w.hashes) - n + 1
     if n < 1 or size < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, out, literal = np.arange(size), np.full(size, n, np.uint64), np.zeros(size, np.int8)
-    plain, least = (~w.slot).astype(np.int8), min(LITERALS, n)
+    least = min(LITERALS, n)
+    literal = np.concatenate([[0], np.cumsum(~w.slot)])
+    literal = literal[n:] - literal[:-n]
+    at = np.flatnonzero((literal >= least) & (w.text[:size] == w.text[n - 1 :]))
+    out = np.zeros(size, np.uint64)
     for j in range(n):
-        out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-        both = np.flatnonzero(w.maybe[at + j] & (literal + (n - 1 - j) >= least)) if least < n else at[:0]
-        more = at[both], out[both] + _NAMES[j], literal[both]
-        out = out + w.hashes[at + j] * _WEIGHTS[j]
-        literal = literal + plain[at + j]
+        out += w.hashes[j : j + size] * _WEIGHTS[j]
+    out, literal = out[at], literal[at]
+    for j in range(n if least < n else 0):
+        both = np.flatnonzero(w.maybe[at + j] & (literal > least))
         if len(both):
-            at, out, literal = (np.concatenate(x) for x in zip((at, out, literal), more))
-    enough = literal >= least
-    return at[enough], out[enough]
+            named = out[both] + (_SLOT[_NAME] - w.hashes[at[both] + j]) * _WEIGHTS[j]
+            at, out, literal = (np.concatenate(x) for x in ((at, at[both]), (out, named), (literal, literal[both] - 1)))
+    return at, out
 
 
 def tagged(win: np.ndarray, form: int) -> np.ndarray:
@@ -188,8 +215,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out = []
         for item, item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if text.is_valid and text.as_py().split():
-                form, at, win, w = template(canonical(text.as_py()))
-                slots = np.where(w.slot | w.maybe, w.values, 0).view(np.int64)
+                form, at, win, w = template(canonical([text.as_py()]))
+                slots = np.where(w.slot | w.maybe, w.values, np.uint64(0)).view(np.int64)
                 values = slots[at[:, None] + np.arange(form & 7)]
                 out.append((item, item_id, form, len(np.unique(at)), [{"win": h, "p": p, "slots": v} for h, p, v in zip(win.tolist(), at.tolist(), values.tolist())]))
         kind = pa.list_(pa.struct([("win", pa.int64()), ("p", pa.int32()), ("slots", pa.list_(pa.int64()))]))
@@ -201,28 +228,38 @@ def _document_windows(batches: Iterator[pa.RecordBatch], forms: list[int], held:
     """A row for each window that passes the filter: hash, place, values of its words, first word and end in the text."""
     canonical = Canonical()
     for batch in batches:
-        parts = []
-        for row, text in enumerate(batch.column(2)):
-            if not text.is_valid:
-                continue
-            both = canonical(text.as_py())
+        for at, texts in _streams(batch.column(2)):
+            both, parts = canonical(texts), []
             for form in forms:
                 w, n = both[form >> 3], form & 7
-                at, win = windows(w, n)
+                place, win = windows(w, n)
                 win = tagged(win, form)
                 if held is not None:
-                    ok = held.passes(win, second_hash(win), np.zeros(len(win), np.int64))
-                    at, win = at[ok], win[ok]
-                if len(at):
-                    values = np.zeros((len(at), WINDOW), np.uint64)
-                    values[:, :n] = w.values[at[:, None] + np.arange(n)]
-                    parts.append((np.full(len(at), row), win, at, w.at[at], w.at[at + n], values.view(np.int64)))
-        if parts:
-            row, win, q, first, stop, values = (np.concatenate(x) for x in zip(*parts))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, WINDOW, np.int32)), pa.array(values.ravel()))
-            at = pa.array(row)
-            columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(t)) for x, t in ((win, np.int64), (q, np.int32), (first, np.int64), (stop, np.int64))), lists]
-            yield pa.record_batch(columns, names=["row", "doc_id", "win", "q", "first", "stop", "values"])
+                    ok = held.passes(win, second_hash, np.zeros(len(win), np.int64))
+                    place, win = place[ok], win[ok]
+                if len(place):
+                    values = np.zeros((len(place), WINDOW), np.uint64)
+                    values[:, :n] = w.values[place[:, None] + np.arange(n)]
+                    base = np.searchsorted(w.text, w.text[place])
+                    parts.append((w.text[place] + at, win, place - base, w.first[place], w.stop[place + n - 1], values.view(np.int64)))
+            if parts:
+                row, win, q, first, stop, values = (np.concatenate(x) for x in zip(*parts))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, WINDOW, np.int32)), pa.array(values.ravel()))
+                columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *(pa.array(x.astype(t)) for x, t in ((win, np.int64), (q, np.int32), (first, np.int64), (stop, np.int64))), lists]
+                yield pa.record_batch(columns, names=["row", "doc_id", "win", "q", "first", "stop", "values"])
+
+
+def _streams(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts in parts of about STREAM_CHARS, each with the row of its first; null is empty."""
+    at, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size > STREAM_CHARS:
+            yield at, held
+            at, held, size = k + 1, [], 0
+    if held:
+        yield at, held
 
 
 def second_hash(win: np.ndarray) -> np.ndarray:
