@@ -1,10 +1,17 @@
 """Document quality from lines: a linear-chain conditional random field with two states.
 
 Each line is good or bad. Its features are figures of the line and of the lines before
-and after it; neighbouring states are tied by transition weights. Training takes each
-line of a labelled document to have the document's label. A document's quality is the
-mean of its lines' forward-backward marginals, weighted by their lengths, put on a
-probability scale that is fitted on the same training documents.
+and after it; neighbouring states are tied by transition weights. Only documents are
+labelled, so the states of their lines are latent: training alternates between the
+lines' marginals, tilted in each document just so far that their length-weighted mean
+agrees with its label, and weights fitted to those. A bad document's good lines are thus
+learned as good ones. A document's quality is the mean of its lines' forward-backward
+marginals, weighted by their lengths, put on a probability scale that is fitted on the
+same training documents.
+
+Training cuts a document of more than SEQUENCE_LINES lines into several sequences, whose
+lines are tilted alike; only the transitions at the cuts are not learned from. Scoring
+cuts nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import pick
-from lectern.llm.toxicity import held_out, sampled_labels
+from lectern.llm.toxicity import held_out, sampled_texts
 
 #: Labelled rows of each class that training takes at most, by the order of a hash of the id.
 SAMPLE_ROWS = 3000
+#: Lines that the texts of those rows have at most in each class: rows are taken in that order up to it.
+SAMPLE_LINES = 100_000
+#: Length-weighted mean of the marginals that a good document has at least, a bad one at most, in training.
+GOOD_SHARE, BAD_SHARE = 0.9, 0.25
 #: Lines of a training sequence; a longer document is several.
 SEQUENCE_LINES = 64
 #: Figures of a line.
@@ -90,15 +101,16 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def marginals(field: Field, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(field: Field, x: np.ndarray, sizes: np.ndarray, tilt: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Probability that each line is good, and expected transitions in all; sequences of `sizes` lines, one after the other.
 
-    Sequences are walked side by side, the longest first, a line at a time.
+    `tilt` is added to the log odds of each line. Sequences are walked side by side, the
+    longest first, a line at a time.
     """
     order = np.argsort(-sizes, kind="stable")
     starts = (np.cumsum(sizes) - sizes)[order]
     sizes = sizes[order]
-    z = np.clip(x @ field.emission, -20, 20)
+    z = np.clip(x @ field.emission + tilt, -20, 20)
     local = np.stack([np.exp(-z / 2), np.exp(z / 2)], axis=1)
     move = np.exp(field.transition)
     alpha, beta = np.empty_like(local), np.ones_like(local)
@@ -119,27 +131,47 @@ def marginals(field: Field, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     return both[:, 1] / both.sum(1), expected
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Field:
-    """Maximum conditional likelihood of the line labels by Adam."""
+def tilted(field: Field, x: np.ndarray, sizes: np.ndarray, doc: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected transitions with each document's log odds shifted just so far that its label holds; `doc` numbers each line's document."""
+    n = len(labels)
+    share = lengths + 1e-9
+    share = share / np.bincount(doc, share, n)[doc]
+    mean = lambda shift: np.bincount(doc, marginals(field, x, sizes, shift[doc])[0] * share, n)
+    start = mean(np.zeros(n))
+    wrong = np.where(labels > 0, start < GOOD_SHARE, start > BAD_SHARE)
+    low, high = np.zeros(n), np.full(n, 40.0)  # bisection on how far; more lets the label hold
+    for _ in range(12):
+        mid = (low + high) / 2
+        now = mean(np.where(wrong, np.where(labels > 0, mid, -mid), 0.0))
+        holds = np.where(labels > 0, now >= GOOD_SHARE, now <= BAD_SHARE)
+        low, high = np.where(holds, low, mid), np.where(holds, mid, high)
+    return marginals(field, x, sizes, np.where(wrong, np.where(labels > 0, high, -high), 0.0)[doc])
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np.ndarray, turns: int = 5, rounds: int = 40, rate: float = 0.15, decay: float = 1e-4) -> Field:
+    """Weights from documents (features and lengths of their lines), their labels and weights."""
     width = 3 * WIDTH + 1
     if not len(docs) or labels.min() == labels.max():
         return Field(np.zeros(width), np.zeros((2, 2)), 0.0, 20.0 if len(docs) and labels.max() else -20.0)
-    parts = [(x[i : i + SEQUENCE_LINES], y, s / len(x)) for (x, _), y, s in zip(docs, labels, share / share.sum()) for i in range(0, len(x), SEQUENCE_LINES)]
-    x = np.vstack([p[0] for p in parts])
-    sizes = np.array([len(p[0]) for p in parts])
-    y, weight = (np.repeat(np.array([p[k] for p in parts], np.float64), sizes) for k in (1, 2))
-    field = Field(np.zeros(width), np.zeros((2, 2)))
-    steps = np.array([[max(0, n - 1) * (1 - label), max(0, n - 1) * label] for n, (_, label, _) in zip(sizes, parts)]).sum(0)
-    total = max(1.0, steps.sum())
-    m, v = np.zeros(width + 4), np.zeros(width + 4)
-    for t in range(1, rounds + 1):
-        good, expected = marginals(field, x, sizes)
-        g = np.append((weight * (good - y)) @ x, ((expected - np.diag(steps)) / total).ravel())
-        g += decay * np.append(field.emission, field.transition.ravel() * 100)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        field = Field(field.emission - step[:width], field.transition - step[width:].reshape(2, 2))
-    good, _ = marginals(field, np.vstack([d[0] for d in docs]), n := np.array([len(d[0]) for d in docs]))
+    x, lengths = np.vstack([d[0] for d in docs]), np.concatenate([d[1] for d in docs])
+    n = np.array([len(d[0]) for d in docs])
+    doc = np.repeat(np.arange(len(docs)), n)
+    sizes = np.concatenate([[min(SEQUENCE_LINES, k - i) for i in range(0, k, SEQUENCE_LINES)] for k in n.tolist()]).astype(np.int64)
+    weight = (share / share.sum() / n)[doc]
+    field, total = Field(np.zeros(width), np.zeros((2, 2))), max(1.0, float((sizes - 1).sum()))
+    for turn in range(turns):
+        # the first turn takes lines as their documents and learns no transitions
+        y, steps = tilted(field, x, sizes, doc, lengths, labels) if turn else (labels[doc], None)
+        m, v = np.zeros(width + 4), np.zeros(width + 4)
+        for t in range(1, rounds + 1):
+            good, expected = marginals(field, x, sizes)
+            moved = (expected - steps) / total if turn else np.zeros((2, 2))
+            g = np.append((weight * (good - y)) @ x, moved.ravel())
+            g += decay * np.append(field.emission, field.transition.ravel() * 10)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            field = Field(field.emission - step[:width], field.transition - step[width:].reshape(2, 2))
+    good, _ = marginals(field, x, n)
     raw = _logit(np.array([field.document(p, d[1]) for p, d in zip(np.split(good, np.cumsum(n)[:-1]), docs)]))
     slope, shift = 1.0, 0.0
     for _ in range(200):  # logistic scale, by damped gradient steps
@@ -151,8 +183,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np
     return Field(field.emission, field.transition, max(slope, 0.05), shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts: int = 3, part: int = 1, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on a sample of labelled rows that are not held out; the driver gets the figures of their lines."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts: int = 3, part: int = 1, sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Fit on a sample of labelled rows that are not held out; the driver gets the figures of their lines, at most 2 * sample_lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts:
             figures = [x[:, :WIDTH].astype(np.float32).ravel() for x, _ in lines]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(figures, pa.list_(pa.float32())), pa.array([n for _, n in lines], pa.list_(pa.float64()))], names=["label", "share", "x", "n"])
 
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = F.broadcast(sampled_labels(labels, label_col, parts, part, sample_rows))  # at most twice sample_rows
-    found = rows.join(picked, "doc_id").select("label", "share", "text").mapInArrow(run, "label int, share double, x array<float>, n array<double>").toArrow()
+    sample = sampled_texts(docs, labels, label_col, parts, part, sample_rows, sample_lines, F.size(F.split("text", "\n")), id_col, text_col)
+    found = sample.mapInArrow(run, "label int, share double, x array<float>, n array<double>").toArrow()
     lines = [(with_neighbours(x.values.to_numpy().reshape(-1, WIDTH).astype(np.float64)), n.values.to_numpy()) for x, n in zip(found["x"], found["n"])]
     return fit(lines, found["label"].to_numpy().astype(np.float64), found["share"].to_numpy())
 

@@ -150,14 +150,14 @@ def sampled_labels(labels: DataFrame, label_col: str, parts: int, part: int, row
     return out
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, sample_rows: int, sample_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label, share, text of a bounded sample of labelled rows, staged: the documents of sampled_labels() in the order of a hash, whole, up to `sample_words` words of each class. Of rows with one id the text with the least hash counts."""
+def sampled_texts(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, sample_rows: int, most: int, size: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """label, share, text of a bounded sample of labelled rows, staged: the documents of sampled_labels() in the order of a hash, whole, up to a sum of `size` (of text) of `most` in each class. Of rows with one id the text with the least hash counts."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     picked = F.broadcast(sampled_labels(labels, label_col, parts, part, sample_rows))  # at most twice sample_rows
     one = rows.join(picked, "doc_id").groupBy("doc_id", "label", "share").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    one = staged(one.withColumn("n", F.size(F.split("text", r"\s+"))), "sample")
+    one = staged(one.withColumn("n", size), "sample")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    taken = one.select("doc_id", "label", F.sum("n").over(order).alias("before")).where(F.col("before") <= sample_words).select("doc_id")
+    taken = one.select("doc_id", "label", F.sum("n").over(order).alias("before")).where(F.col("before") <= most).select("doc_id")
     return staged(one.join(F.broadcast(taken), "doc_id").select("label", "share", "text"), "sample")
 
 
@@ -180,7 +180,7 @@ def chosen_features(sample: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 5, part: int = 0, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a sample of labelled rows that are not held out; the driver gets the chosen features of their sentences."""
-    sample = sampled_texts(docs, labels, label_col, parts, part, sample_rows, sample_words, id_col, text_col)
+    sample = sampled_texts(docs, labels, label_col, parts, part, sample_rows, sample_words, F.size(F.split("text", r"\s+")), id_col, text_col)
     classes = {r[0] for r in sample.select("label").distinct().collect()}
     if len(classes) < 2:
         return Model(np.zeros(BUCKETS + 1), 20.0 if 1 in classes else -20.0)
