@@ -12,18 +12,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document: three-word shingles, links of two bits."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, budget=2)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices in every document, exact and with errors: figures, labels, score and the places themselves."""
     return licenses.license_summary(licenses.find_licenses(_table(spark, sf_dir, "documents")))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages of 20 words that start earlier: counts and hash of what is left."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or re-parameterised, with share and span."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
@@ -34,18 +38,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: where each document's ids stand, how many, and their CRC."""
     return tokens.token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and its offending sentences."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of the quality rules for every document."""
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
@@ -54,13 +62,14 @@ URL_RULES = {"allow": ["org/", "com/fr/"], "block": ["example.org/es/", "example
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The host list stands for a block list drawn from the corpus: hosts whose MD5 begins with 0 (a sixteenth)."""
+    """Host, path, rule and verdict of every page's url. The host list stands for a block list drawn from the corpus: hosts whose MD5 begins with 0 (a sixteenth)."""
     pages = _table(spark, sf_dir, "pages")
     hosts = urls.split_url(pages.select("url")).select("host").distinct().where("host <> '' and substr(md5(cast(host as binary)), 1, 1) = '0'")
     return urls.filter_urls(pages, URL_RULES, hosts)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, and its bad lines."""
     return quality_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
@@ -96,10 +105,12 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """,
     "op2_mixing": r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17-' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17-' || coalesce(doc_id::VARCHAR, 'null') || '-' || md5(coalesce(text, ''))) AS h FROM documents
+), d AS (
+  SELECT doc_id, source, size, h, count(*) AS copies FROM r GROUP BY ALL
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
+  SELECT source, sum(size * copies)::BIGINT AS source_size, count(*) AS n, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
 ), lv AS (
   SELECT 0.0::DOUBLE AS level, 0 AS k
   UNION ALL
@@ -114,11 +125,13 @@ WITH RECURSIVE d AS (
     ('0x' || substr(h, 1, 8))::BIGINT % ceil(n / 4096)::BIGINT AS g
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, g) AS total,
-    coalesce(sum(size) OVER (PARTITION BY source, g ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g
+  SELECT *, sum(size * copies) OVER (PARTITION BY source, g) AS total,
+    coalesce(sum(size * copies) OVER (PARTITION BY source, g ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g
+), e AS (
+  SELECT *, greatest(0, least(size * copies, floor(total * part + 0.5) - before)) AS more, unnest(range(copies)) AS k FROM c
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  (whole * size + greatest(0, least(size, floor(total * part + 0.5) - before)))::BIGINT AS taken FROM c
+  (whole * size + greatest(0, least(size, more - k * size)))::BIGINT AS taken FROM e
 """,
     "op7_urls": r"""
 WITH r AS (

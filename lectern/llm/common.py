@@ -42,9 +42,12 @@ def portions(batches: Iterator, rows: int = 500) -> Iterator:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none (local tests)."""
+    """The folder that all executors share; a temporary one is made where the session names none and runs in one process (local tests), on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(where)
     return where

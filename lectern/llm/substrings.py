@@ -31,6 +31,8 @@ from lectern.llm.vocabulary import Vocabulary
 SEED_WORDS = 8
 #: Exact copies are left out by a broadcast of their ids up to so many, else by a join.
 COPIES_ROWS = 1_000_000
+#: Parts that the copies of a text are dealt to in that join.
+SALTS = 32
 #: Repeated k-mers go to the tasks as a Bloom filter up to so many (under a byte each), else by a join; its false positives.
 FILTER_KEYS = 64_000_000
 FILTER_RATE = 0.03
@@ -184,11 +186,20 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.record_batch([ids, *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=["at", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
 
-def copies_of(docs: DataFrame) -> DataFrame:
-    """at of each document whose text a smaller at has too."""
-    keyed = docs.select("at", F.md5(F.col("text").cast("binary")).alias("k")).where("k is not null")
+def copies_of(docs: DataFrame, rows: int = COPIES_ROWS) -> DataFrame:
+    """at of each document whose text a smaller at has too.
+
+    Texts that repeat are broadcast if they are at most `rows`; else they are joined with
+    each text's documents dealt over SALTS keys, for one text may have very many.
+    """
+    keyed = docs.select("at", F.unhex(F.md5(F.col("text").cast("binary"))).alias("k")).where("k is not null")
     least = keyed.groupBy("k").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1").select("k", "least")
-    return keyed.join(least, "k").where("at <> least").select("at")
+    least = staged(least, "repeated_texts")
+    if least.limit(rows + 1).count() <= rows:
+        found = keyed.join(F.broadcast(least), "k")
+    else:
+        found = keyed.withColumn("s", F.pmod(F.xxhash64("at"), F.lit(SALTS))).join(least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["k", "s"])
+    return found.where("at <> least").select("at")
 
 
 def repeated_runs(docs: DataFrame, seeds: DataFrame, window: int, kind: str, filter_keys: int = FILTER_KEYS) -> DataFrame:

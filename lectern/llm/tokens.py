@@ -166,12 +166,12 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, planes: st
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte") -> None:
     """Encode every whole text and write the ids, each document closed by `end_id`, in ascending id order.
 
-    Documents are dealt to tasks by ranges of their id and sorted by id, then text; null
-    ids come first, null and empty texts hold the end id alone, repeated rows are written
+    Documents are dealt to tasks by ranges of their id and the beginning of their text
+    (many rows may share an id) and sorted by id, then text; null ids come first, null and empty texts hold the end id alone, repeated rows are written
     each, an empty table gives a folder without chunks. Other columns are not read.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(lambda b: _write(b, tokenizer, end_id, planes), CHUNKS).write.option("compression", "none").parquet(folder)
 
 
