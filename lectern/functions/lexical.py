@@ -19,10 +19,12 @@ def word_syllables(token: Column) -> Column:
     return F.when(token == "", 0).otherwise(F.greatest(F.lit(1), vowels + F.regexp_count(token, F.lit(r"(?<=\w)-(?=\w)"))))
 
 
-def syllables(text: Column) -> Column:
-    """Syllables of all tokens between white space; 0 for null."""
+def syllables(text: Column, known: dict[str, int] | None = None) -> Column:
+    """Syllables of all tokens between white space; 0 for null. `known` is a dictionary of lower-case words that goes before the rule."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
-    return F.aggregate(tokens, F.lit(0), lambda a, t: a + word_syllables(t))
+    entries = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else None
+    count = lambda t: word_syllables(t) if entries is None else F.coalesce(F.try_element_at(entries, F.lower(t)), word_syllables(t))
+    return F.aggregate(tokens, F.lit(0), lambda a, t: a + count(t))
 
 
 def log_variety(word: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -15,6 +16,8 @@ from lectern.options import TextOptions
 
 #: Marks a place inside expressions; private-use characters are gone after clean_characters().
 MARK = "\ue000"
+#: Takes texts and their language, gives as many texts.
+Verbaliser = Callable[[list[str], str], list[str]]
 #: Letters, digits and the underscore, as Python's \w has them.
 _WORD = r"\p{L}\p{N}_"
 
@@ -69,6 +72,7 @@ def scene_breaks(text: Column, least: int = 3) -> Column:
     return F.regexp_replace(text, f"(?mUd)^(?=(?:{other}*?[^{_WORD}\\s]){{{least}}}){other}+$", "\n\n")
 
 
+# The patterns of repeated_punctuation(), collapse_stutter() and strip_emphasis().
 def repeated_punctuation(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?:!\?|\?!){2,}", "?!")
     out = F.regexp_replace(out, "--+", "—")
@@ -109,11 +113,20 @@ def strip_emphasis(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\*\*|__)(.+?)\1", "$2"), r"(\*|_)(.+?)\1", "$2")
 
 
+def one_space(text: Column) -> Column:
+    """One space between words, none around them."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
+def full_stop(flat: Column) -> Column:
+    """A full stop unless a terminator ends the text, quotes aside; texts of quotes alone stay. `flat` is used twice: bind it first where it is dear."""
+    last = F.substring(F.rtrim(flat, F.lit(" \"'’”")), -1, 1)  # the empty string is in any other
+    return F.when(F.instr(F.lit(".?!"), last) == 0, F.concat(flat, F.lit("."))).otherwise(flat)
+
+
 def finish_sentence(text: Column) -> Column:
     """One space between words, and a full stop unless a terminator ends it, quotes aside."""
-    flat = strip(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
-    core = F.regexp_replace(flat, "[ \"'’”]+\\z", "")
-    return F.when((core != "") & ~F.regexp_like(core, F.lit(r"[.?!]\z")), F.concat(flat, F.lit("."))).otherwise(flat)
+    return full_stop(one_space(text))
 
 
 def prepared(text: Column, o: TextOptions) -> Column:
@@ -134,17 +147,36 @@ def split_sentences(paragraph: Column, language: str = "en") -> Column:
     return F.filter(F.split(F.regexp_replace(cut, r"\n+", MARK), MARK), lambda s: s != "")
 
 
-def sentences(text: Column, o: TextOptions) -> Column:
-    """Array of paragraphs, each an array of finished sentences, of a prepared text."""
+def verbalised(paragraphs: Column, verbalise: Verbaliser, language: str) -> Column:
+    """Sentences of all paragraphs of a batch through a hook that takes and gives a list of texts."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(batch: pd.Series) -> pd.Series:
+        texts = iter(verbalise([s for ps in batch if ps is not None for p in ps for s in p], language))
+        return batch.map(lambda ps: [[next(texts) for _ in p] for p in ps], na_action="ignore")
+
+    return run(paragraphs)
+
+
+def sentences(text: Column, o: TextOptions, verbalise: Verbaliser | None = None) -> Column:
+    """Array of paragraphs, each an array of finished sentences, of a prepared text.
+
+    `verbalise` may spell out numbers, dates and the like before sentences are finished.
+    Each step is a transform() of its own: what a lambda is given is computed once.
+    """
 
     def local(s: Column) -> Column:
         if o.normalize_stuttering:
             s = collapse_stutter(s)
-        if o.normalize_emphasis:
-            s = strip_emphasis(s)
-        s = finish_sentence(s)
-        return strip(F.lower(s)) if o.to_lowercase else s
+        return strip_emphasis(s) if o.normalize_emphasis else s
+
+    def finished(s: Column) -> Column:
+        return F.trim(F.lower(full_stop(s))) if o.to_lowercase else full_stop(s)
 
+    each = lambda ps, rule: F.transform(ps, lambda p: F.transform(p, rule))
     paragraphs = F.filter(F.split(text, r"\n\n+"), lambda p: p != "")
-    done = F.transform(paragraphs, lambda p: F.filter(F.transform(split_sentences(p, o.text_language), local), lambda s: s != ""))
-    return F.filter(done, lambda p: F.size(p) > 0)
+    found = F.transform(paragraphs, lambda p: F.transform(split_sentences(p, o.text_language), local))
+    if verbalise is not None:
+        found = verbalised(found, verbalise, o.text_language)
+    done = each(each(found, one_space), finished)
+    return F.filter(F.transform(done, lambda p: F.filter(p, lambda s: s != "")), lambda p: F.size(p) > 0)

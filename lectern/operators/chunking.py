@@ -92,28 +92,41 @@ def _chunker(o: TextOptions):
     return run
 
 
-def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chunk_idx, text, boundary, n_chars: a row for each chunk. A row stays in its partition; each text goes to Python once."""
+def split_long(sentences: Column, limit: int) -> Column:
+    """Array of each sentence's pieces of at most `limit` characters."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda ss: [force_split(s, limit) for s in ss], na_action="ignore")
+
+    return run(sentences)
+
+
+def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str = "doc_id", text_col: str = "text", verbalise: T.Verbaliser | None = None) -> DataFrame:
+    """doc_id, chunk_idx, text, boundary, n_chars: a row for each chunk. A row stays in its partition; each text goes to the chunker once."""
     o = o or TextOptions()
     held = docs.select(F.col(id_col).alias("doc_id"), T.prepared(F.col(text_col), o).alias("__t"))
-    held = held.select("doc_id", T.sentences(F.col("__t"), o).alias("__p"))
+    held = held.select("doc_id", T.sentences(F.col("__t"), o, verbalise).alias("__p"))
     held = held.select("doc_id", F.posexplode(_chunker(o)("__p")).alias("chunk_idx", "__c"))
     return held.select("doc_id", "chunk_idx", F.col("__c.text").alias("text"), F.col("__c.boundary").alias("boundary"), F.length("__c.text").alias("n_chars"))
 
 
 def greedy_chunks(sentences: Column, limit: int) -> Column:
-    """Greedy chunks of an array of sentences without Python; a sentence above the limit stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Greedy chunks of an array of sentences without Python; a sentence above the limit stays whole.
+
+    A first pass over the lengths says at each sentence how long its chunk is up to there:
+    only numbers are carried along. The marks between chunks are put in and cut at once.
+    """
+    marks = F.transform(sentences, lambda s: F.length(s))
+    start = F.struct(F.lit(0).alias("size"), F.lit("").alias("cuts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["now"]) + F.length(s) + 1 <= limit
-        return (
-            F.when(acc["now"] == "", F.struct(acc["done"].alias("done"), s.alias("now")))
-            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.lit(" "), s).alias("now")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), s.alias("now")))
-        )
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["size"] > 0) & (acc["size"] + n + 1 <= limit)
+        return F.struct(F.when(fits, acc["size"] + n + 1).otherwise(n).alias("size"), F.concat(acc["cuts"], F.when(fits, " ").otherwise(T.MARK)).alias("cuts"))
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    cuts = F.aggregate(marks, start, step, lambda acc: acc["cuts"])
+    joined = F.array_join(F.zip_with(F.split(cuts, ""), sentences, lambda c, s: F.concat(c, s)), "")
+    return F.filter(F.split(joined, T.MARK), lambda c: c != "")
 
 
 def label_boundaries(chunks: DataFrame, by_paragraph: bool = True) -> DataFrame:
@@ -127,4 +140,4 @@ def label_boundaries(chunks: DataFrame, by_paragraph: bool = True) -> DataFrame:
 
 def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id and error of the documents that have nothing to say."""
-    return docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("No text to synthesize").alias("error"))
+    return docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("nothing to say").alias("error"))

@@ -41,12 +41,12 @@ def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def faded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.signal(spark, sf_dir).select("clip_id", F.posexplode(F.transform(S.faded(F.col("samples"), 5), lambda x: F.round(x, 6))).alias("pos", "x"))
+    return V.signal(spark, sf_dir).select("clip_id", F.posexplode(F.transform(S.faded(F.col("samples"), 5), lambda x: F.round(x, 9))).alias("pos", "x"))
 
 
 def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array(F.struct(F.lit(3).alias("start"), F.lit(12).alias("end")), F.struct(F.lit(20).alias("start"), F.lit(24).alias("end")))
-    return V.signal(spark, sf_dir).select("clip_id", F.posexplode(F.transform(S.denoised(F.col("samples"), spans, 4), lambda x: F.round(x, 6))).alias("pos", "x"))
+    return V.signal(spark, sf_dir).select("clip_id", F.posexplode(F.transform(S.denoised(F.col("samples"), spans, 4), lambda x: F.round(x, 9))).alias("pos", "x"))
 
 
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +244,8 @@ ORACLES = {
     "a03_slice": f"WITH {_G} SELECT clip_id, unnest(range(len(s)))::INT AS pos, unnest(s) AS x FROM (SELECT clip_id, samples[3:6] AS s FROM signal)",
     "a04_clipping": f"WITH {_G} SELECT clip_id, round(100.0 * len(list_filter(samples, lambda x: abs(x) >= {CLIP})) / len(samples), 6) AS clipping FROM signal",
     "a06_speech_ratio": f'{_WS} SELECT clip_id, round(sum("end" - start) / max("end")::DOUBLE, 6) AS ratio FROM segments GROUP BY 1',
-    "a07_fade": f"WITH {_G}, k AS (SELECT clip_id, samples, len(samples) AS n, least(5, len(samples) // 2) AS k FROM signal), e AS (SELECT *, unnest(range(n))::INT AS pos, unnest(samples) AS x FROM k) SELECT clip_id, pos, round(x * CASE WHEN pos < k THEN CASE WHEN k <= 1 THEN 0 ELSE pos / (k - 1)::DOUBLE END WHEN pos >= n - k THEN CASE WHEN k <= 1 THEN 0 ELSE (n - 1 - pos) / (k - 1)::DOUBLE END ELSE 1 END, 6) AS x FROM e",
-    "a08_denoise": f"WITH {_G}, e AS (SELECT clip_id, unnest(range(len(samples)))::INT AS pos, unnest(samples) AS x FROM signal), s AS (SELECT *, CASE WHEN pos BETWEEN 3 AND 11 THEN least(pos - 3, 11 - pos) WHEN pos BETWEEN 20 AND 23 THEN least(pos - 20, 23 - pos) END AS near, CASE WHEN pos < 12 THEN 4 ELSE 2 END AS k FROM e) SELECT clip_id, pos, round(CASE WHEN near IS NULL THEN 0 WHEN near < k THEN x * near / (k - 1)::DOUBLE ELSE x END, 6) AS x FROM s",
+    "a07_fade": f"WITH {_G}, k AS (SELECT clip_id, samples, len(samples) AS n, least(5, len(samples) // 2) AS k FROM signal), e AS (SELECT *, unnest(range(n))::INT AS pos, unnest(samples) AS x FROM k) SELECT clip_id, pos, round(x * CASE WHEN pos < k THEN CASE WHEN k <= 1 THEN 0 ELSE pos / (k - 1)::DOUBLE END WHEN pos >= n - k THEN CASE WHEN k <= 1 THEN 0 ELSE (n - 1 - pos) / (k - 1)::DOUBLE END ELSE 1 END, 9) AS x FROM e",
+    "a08_denoise": f"WITH {_G}, e AS (SELECT clip_id, unnest(range(len(samples)))::INT AS pos, unnest(samples) AS x FROM signal), s AS (SELECT *, CASE WHEN pos BETWEEN 3 AND 11 THEN least(pos - 3, 11 - pos) WHEN pos BETWEEN 20 AND 23 THEN least(pos - 20, 23 - pos) END AS near, CASE WHEN pos < 12 THEN 4 ELSE 2 END AS k FROM e) SELECT clip_id, pos, round(CASE WHEN near IS NULL THEN 0 WHEN near < k THEN x * near / (k - 1)::DOUBLE ELSE x END, 9) AS x FROM s",
     "i01_coalesce": f"{_WS}, {SQL_MERGED}",
     "i02_gap_speech": f"{_WS}, {SQL_GAPS.format(ms=200)}, {SQL_GAP_SPEECH} SELECT * FROM gap_speech",
     "i03_word_gaps": f'{_W}, {SQL_GAPS.format(ms=200)} SELECT clip_id, idx, round(start, 6) AS start, round("end", 6) AS "end" FROM gaps',

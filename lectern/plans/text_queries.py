@@ -9,14 +9,10 @@ from lectern.functions import lexical as L
 from lectern.functions import text as T
 from lectern.operators import chunking as C
 from lectern.options import TextOptions
+from lectern.plans import text_sql as Q
 from lectern.plans import views as V
 
 DEFAULT = TextOptions()
-#: White space as the JVM's Unicode classes have it, for RE2.
-_WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}\x{1c}-\x{1f}]"
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
-
 def _each(rule, column: str = "text"):
     """A query that applies a rule to every noisy document."""
 
@@ -30,23 +26,6 @@ def _sql(expression: str) -> str:
     return f"WITH {V.SQL_NOISE} SELECT doc_id, {expression} AS out FROM noisy"
 
 
-def _sql_chain(column: str, steps: list[tuple[str, str]], flags: str = "g") -> str:
-    for pattern, to in steps:
-        q = pattern.replace("'", "''")
-        column = f"regexp_replace({column}, '{q}', '{to}', '{flags}')"
-    return column
-
-
-_SPACES = [(r"\r\n?", "' || chr(10) || '"), (r"[ \t]+", " "), (_WS + r"*\n\n" + _WS + "*", "' || chr(57344) || '"), (_WS + r"*\n" + _WS + "*", "' || chr(10) || '")]
-_SQL_T03 = f"trim(replace({_sql_chain('text', _SPACES)}, chr(57344), chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(160))"
-_SQL_T05 = _sql_chain("text", [(r"(?:!\?|\?!){2,}", "?!"), ("--+", "—"), (r"\.{4,}", "..."), *[(f"[{c}]{{3,}}", c) for c in "!?,;:"]])
-_SQL_T06 = _sql_chain("text", [(f"(?i)({c}){c}{{4,}}", r"\1\1\1\1") for c in _LETTERS])
-_SQL_T07 = _sql_chain("text", [(f"\\x{{{ord(c):x}}}{{2,}}", c) for c in "#*$%&|<>()[]{}@+=/-~^\"" if c != "'"])
-_SQL_T11 = _sql_chain(_sql_chain("text", [(r"\*\*(.+?)\*\*|__(.+?)__", r"\1\2")]), [(r"\*(.+?)\*|_(.+?)_", r"\1\2")])
-_SQL_FLAT = f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
-_SQL_CORE = "rtrim(flat, ' \"''’”')"
-
-
 def sentences_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, para_idx, sent_idx, text of the plain rule."""
     docs = V.noisy_documents(spark, sf_dir).select("doc_id", F.filter(F.split(T.normalize_whitespace(F.col("text")), "\n\n"), lambda p: p != "").alias("p"))
@@ -54,10 +33,10 @@ def sentences_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "para_idx", "sent_idx", T.strip(F.col("s")).alias("text"))
 
 
-_SQL_SENTENCES = f"""noisy_n AS (SELECT doc_id, {_SQL_T03} AS text FROM noisy),
+_SQL_SENTENCES = f"""noisy_n AS (SELECT doc_id, {Q.T03} AS text FROM noisy),
 paras AS (SELECT doc_id, unnest(range(len(p)))::INT AS para_idx, unnest(p) AS p FROM (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: x <> '') AS p FROM noisy_n)),
 sents AS (SELECT doc_id, para_idx, unnest(range(len(s)))::INT AS sent_idx, trim(unnest(s), ' ' || chr(9) || chr(10) || chr(160)) AS text FROM (
-  SELECT doc_id, para_idx, list_filter(string_split(regexp_replace(regexp_replace(p, '([.?!]["''’”)]?){_WS}+', '\\1' || chr(57344), 'g'), '\\n+', chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS s FROM paras))"""
+  SELECT doc_id, para_idx, list_filter(string_split(regexp_replace(regexp_replace(p, '([.?!]["''’”)]?){Q.WS}+', '\\1' || chr(57344), 'g'), '\\n+', chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS s FROM paras))"""
 
 
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +81,37 @@ def _strategy(name: str):
     return run
 
 
-def _force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = TextOptions(chunking_strategy="simple", max_chunk_length=80)
-    return C.chunk_documents(V.table(spark, sf_dir, "documents"), o)
+def finished_sentences(spark: SparkSession, sf_dir: str, verbalise: T.Verbaliser | None = None) -> DataFrame:
+    """doc_id, para_idx, sent_idx, text: normalised sentences of noisy documents, default options."""
+    held = V.noisy_documents(spark, sf_dir).select("doc_id", T.prepared(F.col("text"), DEFAULT).alias("t")).select("doc_id", T.sentences(F.col("t"), DEFAULT, verbalise).alias("p"))
+    return held.select("doc_id", F.posexplode("p").alias("para_idx", "p")).select("doc_id", "para_idx", F.posexplode("p").alias("sent_idx", "text"))
+
+
+def spelt(texts: list[str], language: str) -> list[str]:
+    """Stands for a grammar of numbers: signs as words."""
+    return [t.replace("$", " dollar ").replace("&", " and ") for t in texts]
+
+
+def force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, para_idx, sent_idx, k, text: pieces of 80 characters of every sentence."""
+    held = sentences_flat(spark, sf_dir).groupBy("doc_id", "para_idx").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "text"))).alias("s"))
+    held = held.select("doc_id", "para_idx", F.posexplode(C.split_long(F.transform("s", lambda x: x["text"]), 80)).alias("sent_idx", "p"))
+    return held.select("doc_id", "para_idx", "sent_idx", F.posexplode("p").alias("k", "text"))
+
+
+#: Stutters put before texts, by doc_id % 8.
+STUTTERS = ["W-w-what is it", "P.p.please help", "S-S-Stop", "b-b-b-but I", "no-on and T-tea", "e.g. a-an", "I-I-I x-ray", "well-known"]
+#: Characters in other forms put before texts, and what they become.
+FORMS, COMPOSED = "「ﬁｌｅ」 『Ａ①』 ½ ２km… ㎏ ", "“file” “A1” 1⁄2 2km... kg "
+
+
+def stutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = V.table(spark, sf_dir, "documents").withColumn("s", F.get(F.array(*map(F.lit, STUTTERS)), (F.col("doc_id") % 8).cast("int")))
+    return held.select("doc_id", T.collapse_stutter(F.concat("s", F.lit(" "), "text")).alias("out"))
+
+
+def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.noisy_documents(spark, sf_dir).select("doc_id", T.normalize_unicode(F.concat(F.lit(FORMS), "text")).alias("out"))
 
 
 def _words(rule, *columns: Column):
@@ -138,6 +145,14 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", L.content_token(F.col("text").cast("binary"), F.col("lang")).alias("token"))
 
 
+#: Syllables by a dictionary, and words it has no entry for by the rule.
+HYPHENS = {"the": 1, "and": 1, "thing": 2, "information": 4}
+
+
+def dictionary_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", L.syllables(F.col("text"), HYPHENS).cast("long").alias("syllables"))
+
+
 def ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     return docs.select("doc_id", L.strip_ansi(F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m"))).alias("out"))
@@ -150,9 +165,11 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("clip_id", "idx", L.status_label(value, ok).alias("status"))
 
 
+_SPELT = "replace(replace(text, '$', ' dollar '), '&', ' and ')"
+
 QUERIES = {
     "entry_chunks": entry_chunks,
-    "t01_unicode": _each(T.normalize_unicode),
+    "t01_unicode": unicode_forms,
     "t02_characters": _each(T.clean_characters),
     "t03_whitespace": _each(T.normalize_whitespace),
     "t04_scene_breaks": _each(T.scene_breaks),
@@ -161,14 +178,15 @@ QUERIES = {
     "t07_symbols": _each(lambda c: T.repeated_symbols(c, 1)),
     "t08_global_style": _each(lambda c: T.global_style(c, DEFAULT)),
     "t09_brackets": _each(T.remove_brackets),
-    "t10_stutter": _each(T.collapse_stutter),
+    "t10_stutter": stutters,
     "t11_emphasis": _each(T.strip_emphasis),
     "t13_finish": _each(T.finish_sentence),
     "t14_lower": _each(lambda c: F.lower(T.finish_sentence(c))),
-    "t15_prepare": _each(lambda c: F.to_json(T.sentences(T.prepared(c, DEFAULT), DEFAULT))),
+    "t12_verbalised": lambda s, d: finished_sentences(s, d, spelt),
+    "t15_prepare": finished_sentences,
     "c01_sentences": sentences_flat,
     "c02_paragraphs": lambda s, d: sentences_flat(s, d).groupBy("doc_id").agg(F.countDistinct("para_idx").alias("n_paragraphs")),
-    "c03_force_split": _force_split,
+    "c03_force_split": force_split,
     "c04_cost": chunk_costs,
     "c05_balanced": _strategy("balanced"),
     "c06_greedy": greedy,
@@ -179,6 +197,7 @@ QUERIES = {
     "c10_entry_point": lambda s, d: entry_chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("n_chars").alias("longest")),
     "c11_empty": empty_documents,
     "f01_syllables": text_syllables,
+    "f01_dictionary": dictionary_syllables,
     "f02_log_variety": lambda s, d: V.words(s, d).select("clip_id", "idx", F.round(L.log_variety(F.col("word")), 6).alias("out")),
     "f03_trim": _words(L.trim_word),
     "f04_budget": word_budgets,
@@ -188,30 +207,41 @@ QUERIES = {
     "f08_status": status,
 }
 ORACLES = {
-    "t01_unicode": _sql("text"),
-    "t02_characters": _sql(r"regexp_replace(text, '[^\p{L}\p{N}\p{P}\p{S}\s\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')"),
-    "t03_whitespace": _sql(_SQL_T03),
-    "t04_scene_breaks": _sql("regexp_replace(text, '(^|\\n)\\*\\*\\*(\\n|$)', '\\1' || chr(10) || chr(10) || '\\2', 'g')"),
-    "t05_punctuation": _sql(_SQL_T05),
-    "t06_letters": _sql(_SQL_T06),
-    "t07_symbols": _sql(_SQL_T07),
-    "t09_brackets": _sql(_sql_chain("text", [(r"\[[^\n]*?\]", ""), (r"\([^\n]*?\)", "")])),
-    "t10_stutter": _sql("CASE WHEN doc_id % 8 = 4 THEN replace(text, 'W-w-what', 'What') ELSE text END"),
-    "t11_emphasis": _sql(_SQL_T11),
-    "t13_finish": f"WITH {V.SQL_NOISE}, f AS (SELECT doc_id, {_SQL_FLAT} AS flat FROM noisy) SELECT doc_id, CASE WHEN {_SQL_CORE} <> '' AND {_SQL_CORE}[-1] NOT IN ('.', '?', '!') THEN flat || '.' ELSE flat END AS out FROM f",
-    "t14_lower": f"WITH {V.SQL_NOISE}, f AS (SELECT doc_id, {_SQL_FLAT} AS flat FROM noisy) SELECT doc_id, lower(CASE WHEN {_SQL_CORE} <> '' AND {_SQL_CORE}[-1] NOT IN ('.', '?', '!') THEN flat || '.' ELSE flat END) AS out FROM f",
+    "t01_unicode": _sql(f"'{COMPOSED}' || text"),
+    "t02_characters": _sql(Q.T02),
+    "t03_whitespace": _sql(Q.T03),
+    "t04_scene_breaks": _sql(Q.T04),
+    "t05_punctuation": _sql(Q.T05),
+    "t06_letters": _sql(Q.T06),
+    "t07_symbols": _sql(Q.T07),
+    "t09_brackets": _sql(Q.chain("text", [(r"\[[^\n]*?\]", ""), (r"\([^\n]*?\)", "")])),
+    "t10_stutter": f"SELECT doc_id, {Q.T10} AS out FROM (SELECT doc_id, {STUTTERS}[doc_id % 8 + 1] || ' ' || text AS text FROM documents)",
+    "t11_emphasis": _sql(Q.T11),
+    "t13_finish": f"WITH {V.SQL_NOISE}, f AS (SELECT doc_id, {Q.FLAT} AS flat FROM noisy) SELECT doc_id, {Q.FINISHED} AS out FROM f",
+    "t14_lower": f"WITH {V.SQL_NOISE}, f AS (SELECT doc_id, {Q.FLAT} AS flat FROM noisy) SELECT doc_id, lower({Q.FINISHED}) AS out FROM f",
+    "t08_global_style": f"WITH {V.SQL_NOISE}, a AS (SELECT doc_id, {Q.T04} AS text FROM noisy), b AS (SELECT doc_id, {Q.T05} AS text FROM a), c AS (SELECT doc_id, {Q.T06} AS text FROM b) SELECT doc_id, {Q.T07} AS out FROM c",
+    "t12_verbalised": f"WITH {V.SQL_NOISE}, {Q.prepared('noisy')}, {Q.sentences('prep', _SPELT)} SELECT * FROM sents",
+    "t15_prepare": f"WITH {V.SQL_NOISE}, {Q.prepared('noisy')}, {Q.sentences('prep')} SELECT * FROM sents",
+    "entry_chunks": Q.chunk_query("documents", "", "paragraph"),
+    "c03_force_split": f"WITH RECURSIVE {V.SQL_NOISE}, {_SQL_SENTENCES}, {Q.force_split('sents', 'doc_id, para_idx, sent_idx', 80, 'pieces')} SELECT * FROM pieces",
+    "c05_balanced": Q.chunk_query("noisy", V.SQL_NOISE, "balanced"),
+    "c06_greedy_split": Q.chunk_query("noisy", V.SQL_NOISE, "greedy"),
+    "c07_simple": Q.chunk_query("noisy", V.SQL_NOISE, "simple"),
+    "c08_paragraph": Q.chunk_query("noisy", V.SQL_NOISE, "paragraph"),
+    "c10_entry_point": f"SELECT doc_id, count(*) AS n_chunks, max(n_chars) AS longest FROM ({Q.chunk_query('documents', '', 'paragraph')}) GROUP BY doc_id",
     "c01_sentences": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT * FROM sents",
     "c02_paragraphs": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, count(DISTINCT para_idx) AS n_paragraphs FROM sents GROUP BY doc_id",
     "c04_cost": "SELECT doc_id, CASE WHEN n_chars > 500 THEN 'inf'::DOUBLE ELSE round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) END AS cost FROM documents",
     "c06_greedy": _SQL_GREEDY,
     "c09_boundaries": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, para_idx, sent_idx AS chunk_idx, CASE WHEN lead(para_idx) OVER (PARTITION BY doc_id ORDER BY para_idx, sent_idx) <> para_idx THEN 'PARAGRAPH' ELSE 'SENTENCE' END AS boundary FROM sents",
-    "c11_empty": "SELECT doc_id, 'No text to synthesize' AS error FROM documents WHERE doc_id % 10 = 0",
+    "c11_empty": "SELECT doc_id, 'nothing to say' AS error FROM documents WHERE doc_id % 10 = 0",
     "f01_syllables": f"SELECT conv_id, turn, sum(s)::BIGINT AS syllables FROM (SELECT conv_id, turn, {_SQL_SYLL} AS s FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\\s+')) AS word FROM conversations)) GROUP BY ALL",
+    "f01_dictionary": f"SELECT conv_id, turn, sum(s)::BIGINT AS syllables FROM (SELECT conv_id, turn, coalesce(map_extract(MAP {HYPHENS}, lower(word))[1], {_SQL_SYLL}) AS s FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\\s+')) AS word FROM conversations)) GROUP BY ALL",
     "f02_log_variety": f"WITH {V.SQL_WORDS}, w AS (SELECT clip_id, idx, word AS w FROM words) SELECT clip_id, idx, round({_SQL_LNV}, 6) AS out FROM w",
     "f03_trim": _sql_words(_SQL_TRIM),
     "f04_budget": f"WITH {V.SQL_WORDS}, w AS (SELECT clip_id, idx, {_SQL_TRIM} AS w, {_SQL_SYLL} AS s FROM words) SELECT clip_id, idx, round(CASE WHEN length(w) >= 7 AND ({_SQL_LNV}) < 1.6 THEN greatest(1, ceil(length(w) / 4.0)) * 0.6 ELSE s * 0.35 END, 6) AS out FROM w",
     "f05_token": "SELECT doc_id, sha256(text) || '-' || lang AS token FROM documents",
     "f06_numeric": _sql_words(r"regexp_full_match(word, '\p{N}+')"),
-    "f07_ansi": "SELECT doc_id, text AS out FROM documents",
+    "f07_ansi": r"SELECT doc_id, regexp_replace(chr(27) || '[31m' || text || chr(27) || '[0m', '\x1B\[[0-?]*[ -/]*[@-~]', '', 'g') AS out FROM documents",
     "f08_status": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, CASE WHEN idx % 5 = 0 THEN 'N/A' WHEN idx % 3 = 0 THEN 'INFO' WHEN score >= 0.5 THEN 'PASS' ELSE 'FAIL' END AS status FROM words",
 }
