@@ -50,7 +50,8 @@ def pictograph_class() -> str:
 def clean_characters(text: Column) -> Column:
     """Runs of what is no letter, number, punctuation, symbol or white space become a space, then runs of pictographs."""
     kept = F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\p{P}\p{S}\s\x1C-\x1F]+", " ")
-    return F.regexp_replace(kept, f"{pictograph_class()}+", " ")
+    # the first range alone answers for nearly every character
+    return F.regexp_replace(kept, f"[\\x{{2300}}-\\x{{1fb00}}&&{pictograph_class()}]+", " ")
 
 
 def strip(text: Column) -> Column:

@@ -107,7 +107,7 @@ def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str =
     o = o or TextOptions()
     held = docs.select(F.col(id_col).alias("doc_id"), T.prepared(F.col(text_col), o).alias("__t"))
     held = held.select("doc_id", T.sentences(F.col("__t"), o, verbalise).alias("__p"))
-    held = held.select("doc_id", F.posexplode(_chunker(o)("__p")).alias("chunk_idx", "__c"))
+    held = held.select("doc_id", F.posexplode_outer(_chunker(o)("__p")).alias("chunk_idx", "__c")).where("__c is not null")
     return held.select("doc_id", "chunk_idx", F.col("__c.text").alias("text"), F.col("__c.boundary").alias("boundary"), F.length("__c.text").alias("n_chars"))
 
 

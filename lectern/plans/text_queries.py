@@ -29,7 +29,7 @@ def _sql(expression: str) -> str:
 def sentences_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, para_idx, sent_idx, text of the plain rule."""
     docs = V.noisy_documents(spark, sf_dir).select("doc_id", F.filter(F.split(T.normalize_whitespace(F.col("text")), "\n\n"), lambda p: p != "").alias("p"))
-    rows = docs.select("doc_id", F.posexplode("p").alias("para_idx", "p")).select("doc_id", "para_idx", F.posexplode(T.split_sentences(F.col("p"), "none")).alias("sent_idx", "s"))
+    rows = docs.select("doc_id", F.posexplode_outer("p").alias("para_idx", "p")).select("doc_id", "para_idx", F.posexplode(T.split_sentences(F.col("p"), "none")).alias("sent_idx", "s"))
     return rows.select("doc_id", "para_idx", "sent_idx", T.strip(F.col("s")).alias("text"))
 
 
@@ -43,7 +43,8 @@ def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, chunk_idx, text of greedy chunks, sentences above the limit left whole."""
     docs = V.noisy_documents(spark, sf_dir).select("doc_id", T.normalize_whitespace(F.col("text")).alias("t"))
     docs = docs.select("doc_id", F.filter(F.transform(T.split_sentences(F.col("t"), "none"), T.strip), lambda s: s != "").alias("s"))
-    return docs.select("doc_id", F.posexplode(C.greedy_chunks(F.col("s"), 500)).alias("chunk_idx", "text"))
+    held = docs.select("doc_id", F.posexplode_outer(C.greedy_chunks(F.col("s"), 500)).alias("chunk_idx", "text"))
+    return held.where("text is not null")
 
 
 _SQL_GREEDY = f"""WITH {V.SQL_NOISE}, {_SQL_SENTENCES},
@@ -84,7 +85,9 @@ def _strategy(name: str):
 def finished_sentences(spark: SparkSession, sf_dir: str, verbalise: T.Verbaliser | None = None) -> DataFrame:
     """doc_id, para_idx, sent_idx, text: normalised sentences of noisy documents, default options."""
     held = V.noisy_documents(spark, sf_dir).select("doc_id", T.prepared(F.col("text"), DEFAULT).alias("t")).select("doc_id", T.sentences(F.col("t"), DEFAULT, verbalise).alias("p"))
-    return held.select("doc_id", F.posexplode("p").alias("para_idx", "p")).select("doc_id", "para_idx", F.posexplode("p").alias("sent_idx", "text"))
+    # posexplode() alone makes Spark put a filter on the array below it, which would compute the sentences twice
+    rows = held.select("doc_id", F.posexplode_outer("p").alias("para_idx", "p")).where("p is not null")
+    return rows.select("doc_id", "para_idx", F.posexplode("p").alias("sent_idx", "text"))
 
 
 def spelt(texts: list[str], language: str) -> list[str]:
