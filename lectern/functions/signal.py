@@ -45,26 +45,30 @@ def speech_ratio(segments: Column, total: Column) -> Column:
     return F.when(total > 0, spoken / total).otherwise(0.0)
 
 
-def faded(samples: Column, fade: int) -> Column:
-    """Linear ramps at both ends, at most half as long as the samples each."""
-    n = F.size(samples)
+def faded(samples: Column, fade: int, n: Column | None = None) -> Column:
+    """Linear ramps at both ends, at most half as long as the samples each; `n` is their number, if it is cheaper to have than their size."""
+    n = F.size(samples) if n is None else n
     k = F.least(F.lit(fade), F.floor(n / 2))
     ramp = lambda i: F.when(k <= 1, F.lit(0.0)).otherwise(i / (k - 1))
     return F.transform(samples, lambda x, i: x * F.when(i < k, ramp(i)).when(i >= n - k, ramp(n - 1 - i)).otherwise(1.0))
 
 
 def denoised(samples: Column, segments: Column, fade: int) -> Column:
-    """Zero outside the segments (array of start, end; disjoint), ramps at the ends of each."""
+    """Zero outside the segments (array of start, end; in order, disjoint), ramps at the ends of each.
+
+    Segments and the zeros before them are cut out and put end to end: every sample is touched once.
+    """
+    n = F.size(samples)
+    upto = lambda x: F.least(x, n).cast("int")
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
 
-    def sample(x: Column, i: Column) -> Column:
-        own = F.filter(segments, lambda s: (s["start"] <= i) & (i < s["end"]))
-        s = F.get(own, 0)
-        k = F.least(F.lit(fade), F.floor((s["end"] - s["start"]) / 2))
-        near = F.least(i - s["start"], s["end"] - 1 - i)
-        gain = F.when(near < k, F.when(k <= 1, 0.0).otherwise(near / (k - 1))).otherwise(1.0)
-        return F.when(F.size(own) > 0, x * gain).otherwise(0.0)
+    def part(s: Column, i: Column) -> Column:
+        before = upto(F.coalesce(F.get(segments, i - 1)["end"], F.lit(0)))
+        size = upto(s["end"]) - upto(s["start"])
+        return F.concat(zeros(upto(s["start"]) - before), faded(F.slice(samples, upto(s["start"]) + 1, size), fade, size))
 
-    return F.transform(samples, sample)
+    rest = n - upto(F.coalesce(F.try_element_at(segments, F.lit(-1))["end"], F.lit(0)))
+    return F.concat(F.flatten(F.transform(segments, part)), zeros(rest))
 
 
 def centroid_deviation(samples: np.ndarray, rate: int) -> float | None:

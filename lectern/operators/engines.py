@@ -134,10 +134,28 @@ def generated(jobs: DataFrame, engine_class: type) -> DataFrame:
                     some = part[at : at + ROWS_AT_ONCE]
                     yield some.assign(samples=in_batches(engine, list(some["text"]), int(seed)))[["segment_idx", "candidate_idx", "attempt", "samples"]]
 
-    dealt = jobs.repartition("seed", F.pmod(F.hash("segment_idx"), F.lit(64))).sortWithinPartitions("seed", F.length("text").desc())
+    parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = jobs.repartition("seed", F.pmod(F.hash("segment_idx", "candidate_idx"), F.lit(parts))).sortWithinPartitions("seed", F.length("text").desc())
     return dealt.select("segment_idx", "candidate_idx", "attempt", "seed", "text").mapInPandas(run, "segment_idx long, candidate_idx int, attempt int, samples array<float>")
 
 
+def results_by_name(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """`jobs` (name, ...) with words and error of the results (name, status, words, message) of a batch call.
+
+    Only a success, in whatever case it is spelt, has words; else they are null and error
+    is the message, or says that there is none, or no result.
+    """
+    held = jobs.join(results.select("name", "status", F.col("words").alias("__w"), "message"), "name", "left")
+    good = F.coalesce(F.upper("status") == "SUCCESS", F.lit(False))
+    error = F.when(F.col("status").isNull(), "no result").when(~good, F.coalesce("message", F.lit("unknown error")))
+    return held.withColumn("words", F.when(good, F.col("__w"))).withColumn("error", error).drop("status", "message", "__w")
+
+
+def results_by_key(jobs: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """`jobs` with the columns of the results that have the same keys, null where none has: order plays no part."""
+    return jobs.join(results, list(keys), "left")
+
+
 def voice_lookup(requests: DataFrame, voices: DataFrame) -> DataFrame:
     """Requests with the embedding of their voice token; error INVALID_TOKEN where the token isn't known."""
     held = requests.join(voices.select("token", "embedding"), "token", "left")

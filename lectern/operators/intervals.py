@@ -47,8 +47,8 @@ def gap_speech(gaps: DataFrame, speech: DataFrame, rate: int) -> DataFrame:
 
 
 def longest_silence(speech: DataFrame) -> DataFrame:
-    """clip_id, silence: the longest gap before a segment, the one from 0 included, the one after the last not."""
-    before = F.lag("end").over(Window.partitionBy("clip_id").orderBy("start"))
+    """clip_id, silence: the longest gap before a segment, the one from 0 included, the one after the last not. Segments come by start, then end."""
+    before = F.lag("end").over(Window.partitionBy("clip_id").orderBy("start", "end"))
     gaps = speech.withColumn("gap", F.greatest(F.lit(0), F.col("start") - F.coalesce(before, F.lit(0))))
     return gaps.groupBy("clip_id").agg(F.max("gap").alias("silence"))
 

@@ -32,7 +32,7 @@ def contiguous_silence_check(o: ValidationOptions) -> list[Check]:
 
 def duration_check(o: ValidationOptions) -> list[Check]:
     """Expects syllables, voiced_s, and most_s: the budget of the text (see duration_budget)."""
-    enough, out = F.col("syllables") >= o.min_syllables_for_duration_validation, []
+    enough, out = F.col("syllables") >= (o.min_syllables_for_duration_validation or 0), []
     if o.min_voiced_duration_per_syllable is not None:
         out.append(_check("too_short", enough & (F.col("voiced_s") < F.col("syllables") * o.min_voiced_duration_per_syllable), "voiced ", F.round("voiced_s", 3)))
     if o.max_voiced_duration_per_syllable is not None:
@@ -77,7 +77,7 @@ def spectral_check(o: ValidationOptions) -> list[Check]:
     """Expects centroid_std (null: not known) and syllables."""
     if o.min_spectral_centroid_std_dev is None:
         return []
-    return [_check("spectrum", (F.col("syllables") >= o.min_syllables_for_spectral_validation) & (F.col("centroid_std") < o.min_spectral_centroid_std_dev), F.round("centroid_std", 1))]
+    return [_check("spectrum", (F.col("syllables") >= (o.min_syllables_for_spectral_validation or 0)) & (F.col("centroid_std") < o.min_spectral_centroid_std_dev), F.round("centroid_std", 1))]
 
 
 def first_failure(checks: list[Check]) -> Column:

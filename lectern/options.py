@@ -1,4 +1,7 @@
-"""Options with their defaults and ranges; out of range raises ValueError on the driver."""
+"""Options with their defaults and ranges; out of range raises ValueError on the driver.
+
+Names, defaults and ranges are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -40,8 +43,8 @@ class TextOptions:
         _within("max_repeated_alpha_chars", self.max_repeated_alpha_chars, 1, null=True)
         _within("max_repeated_symbol_chars", self.max_repeated_symbol_chars, 1, null=True)
         _within("shortness_penalty_factor", self.shortness_penalty_factor, 1)
-        _within("ideal_chunk_length", self.ideal_chunk_length, 1, 1000)
-        _within("max_chunk_length", self.max_chunk_length, 1, 1000)
+        _within("ideal_chunk_length", self.ideal_chunk_length, 50, 1000)
+        _within("max_chunk_length", self.max_chunk_length, 50, 1000)
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ class ValidationOptions:
     max_contiguous_silence_s: float | None = 2.8
     min_voiced_duration_per_syllable: float | None = 0.150
     max_voiced_duration_per_syllable: float | None = 0.350
-    min_syllables_for_duration_validation: int = 7
+    min_syllables_for_duration_validation: int | None = 7
     use_word_level_duration_analysis: bool = True
     min_word_len_for_low_complexity_analysis: int = 7
     low_complexity_log_variety_threshold: float = 1.6
@@ -60,11 +63,19 @@ class ValidationOptions:
     low_complexity_max_duration_per_syllable: float = 0.6
     max_clipping_percentage: float | None = 0.1
     min_spectral_centroid_std_dev: float | None = 1800.0
-    min_syllables_for_spectral_validation: int = 7
+    min_syllables_for_spectral_validation: int | None = 7
 
     def __post_init__(self) -> None:
         _within("max_silence_dbfs", self.max_silence_dbfs, -120, -10, null=True)
         _within("max_contiguous_silence_s", self.max_contiguous_silence_s, 0, 10, null=True)
+        _within("min_voiced_duration_per_syllable", self.min_voiced_duration_per_syllable, 0, 2, null=True)
+        _within("max_voiced_duration_per_syllable", self.max_voiced_duration_per_syllable, 0, 5, null=True)
+        _within("min_syllables_for_duration_validation", self.min_syllables_for_duration_validation, 1, null=True)
+        _within("low_complexity_log_variety_threshold", self.low_complexity_log_variety_threshold, 0, 5)
+        _within("low_complexity_chars_per_syllable", self.low_complexity_chars_per_syllable, 1, 10)
+        _within("low_complexity_max_duration_per_syllable", self.low_complexity_max_duration_per_syllable, 0, 10)
+        _within("min_spectral_centroid_std_dev", self.min_spectral_centroid_std_dev, 0, 6000, null=True)
+        _within("min_syllables_for_spectral_validation", self.min_syllables_for_spectral_validation, 1, null=True)
         _within("min_word_len_for_low_complexity_analysis", self.min_word_len_for_low_complexity_analysis, 3, 20)
         _within("max_clipping_percentage", self.max_clipping_percentage, 0, 100, null=True)
 
@@ -93,6 +104,16 @@ class AlignmentOptions:
         _within("consecutive_poor_limit", self.consecutive_poor_limit, 2, null=True)
         _within("consecutive_weak_limit", self.consecutive_weak_limit, 2, null=True)
         _within("window_size", self.window_size, 3, 15)
+        _within("dip_threshold", self.dip_threshold, 0, 1, null=True)
+        _within("dip_min_word_len", self.dip_min_word_len, 1)
+        _within("window_average", self.window_average, 0, 1, null=True)
+        _within("window_base_weight", self.window_base_weight, 0)
+        _within("window_weight_per_char", self.window_weight_per_char, 0)
+        _within("gap_min_ms", self.gap_min_ms, 0)
+        _within("gap_max_speech_ms", self.gap_max_speech_ms, 0, null=True)
+        for name in ("critical", "poor", "weak"):
+            if not getattr(self, name):
+                raise ValueError(f"{name} has no entry")
 
 
 @dataclass(frozen=True)
@@ -117,6 +138,21 @@ class PostOptions:
     export_format: str = "mp3"
     mp3_bitrate: str = "192k"
 
+    def __post_init__(self) -> None:
+        _within("vad_threshold", self.vad_threshold, 0, 1)
+        _within("vad_min_silence_ms", self.vad_min_silence_ms, 0, 5000)
+        _within("vad_min_speech_ms", self.vad_min_speech_ms, 0, 1000)
+        _within("vad_speech_pad_ms", self.vad_speech_pad_ms, 0, 500)
+        _within("vad_fade_ms", self.vad_fade_ms, 0, 200)
+        _within("max_voiced_dynamic_range_db", self.max_voiced_dynamic_range_db, 0, 60, null=True)
+        for name in ("silence_sentence_ms", "silence_paragraph_ms", "silence_fallback_ms"):
+            _within(name, getattr(self, name), 0, 5000)
+        _within("normalize_level", self.normalize_level, -70, -5)
+        _within("lead_in_ms", self.lead_in_ms, 0, 10_000, null=True)
+        _within("lead_out_ms", self.lead_out_ms, 0, 10_000, null=True)
+        if self.export_format not in ("mp3", "wav", "flac"):
+            raise ValueError(f"unknown export format {self.export_format!r}")
+
 
 @dataclass(frozen=True)
 class RequestOptions:

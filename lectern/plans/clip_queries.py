@@ -171,7 +171,7 @@ SQL_MERGED = """timed AS (SELECT clip_id, trunc(start * 24000)::BIGINT AS start,
 opened AS (SELECT *, max("end") OVER (PARTITION BY clip_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM timed),
 islands AS (SELECT *, sum(CASE WHEN pe IS NULL OR start > pe THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM opened)
 SELECT clip_id, min(start) AS start, max("end") AS "end" FROM islands GROUP BY clip_id, g"""
-SQL_SILENCE = """silence AS (SELECT clip_id, max(greatest(0, start - coalesce(p, 0))) AS silence FROM (SELECT *, lag("end") OVER (PARTITION BY clip_id ORDER BY start) AS p FROM segments) GROUP BY 1)"""
+SQL_SILENCE = """silence AS (SELECT clip_id, max(greatest(0, start - coalesce(p, 0))) AS silence FROM (SELECT *, lag("end") OVER (PARTITION BY clip_id ORDER BY start, "end") AS p FROM segments) GROUP BY 1)"""
 SQL_GAPS = """gaps AS (SELECT * FROM (SELECT clip_id, idx, "end" AS start, lead(start) OVER (PARTITION BY clip_id ORDER BY idx) AS "end" FROM words) WHERE "end" > start AND ("end" - start) * 1000 >= {ms})"""
 SQL_GAP_SPEECH = """gap_speech AS (SELECT g.clip_id, g.idx, sum(least(s."end", trunc(g."end" * 24000)::BIGINT) - greatest(s.start, trunc(g.start * 24000)::BIGINT))::BIGINT AS speech
   FROM gaps g JOIN segments s ON g.clip_id = s.clip_id AND s.start < trunc(g."end" * 24000)::BIGINT AND s."end" > trunc(g.start * 24000)::BIGINT GROUP BY 1, 2)"""

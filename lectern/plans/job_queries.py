@@ -79,9 +79,9 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the aligner's stub for clips of the events' signals; one language in five has no aligner."""
-    texts = V.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("language"))
-    clips = V.signal(spark, sf_dir).join(texts, F.col("clip_id") == F.col("doc_id")).withColumn("rate", F.lit(100))
+    """Words of the aligner's stub for a clip of each document, a sample for a character; one language in five has no aligner."""
+    docs = V.table(spark, sf_dir, "documents")
+    clips = docs.select(F.col("doc_id").alias("clip_id"), F.array_repeat(F.lit(0.1), F.length("text")).alias("samples"), F.lit(100).alias("rate"), "text", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("language"))
     return E.aligned(clips, E.EvenAligner).select("clip_id", F.size("words").alias("n_words"), F.round(F.element_at("words", -1)["end"], 6).alias("last_end"), "error")
 
 
@@ -91,6 +91,42 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.voice_lookup(asked, known).select("segment_idx", "token", "error")
 
 
+def named_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a batch call found by name: one in four is missing, some have failed, with a message or without."""
+    jobs = turns(spark, sf_dir).select("segment_idx", F.concat(F.lit("clip_"), F.col("segment_idx").cast("string"), F.lit(".wav")).alias("name"))
+    k = F.col("segment_idx")
+    made = turns(spark, sf_dir).where(k % 4 != 1).select(
+        F.concat(F.lit("clip_"), k.cast("string"), F.lit(".wav")).alias("name"),
+        F.when(k % 3 == 0, "Success").when(k % 3 == 1, "success").otherwise("failed").alias("status"),
+        F.split("text", " ").alias("words"),
+        F.when(k % 2 == 0, "too short").alias("message"),
+    )
+    return E.results_by_name(jobs, made).select("segment_idx", F.when(F.col("words").isNotNull(), F.size("words")).alias("n_words"), "error")
+
+
+def keyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the jobs that were sent (clips that are not empty), joined by the job's key."""
+    jobs = grid(spark, sf_dir)
+    sent = J.job_grid(turns(spark, sf_dir), 3).where((F.col("segment_idx") + F.col("candidate_idx")) % 5 != 0)
+    return E.results_by_key(jobs, sent.select("segment_idx", "candidate_idx", (F.length("text") * (F.col("candidate_idx") + 1)).alias("n")), "segment_idx", "candidate_idx")
+
+
+def folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.array(*map(F.lit, SUFFIXES))
+    docs = V.table(spark, sf_dir, "documents")
+    return A.only_audio(docs.select("doc_id", F.concat(F.lit("in/v1.wav/"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % len(SUFFIXES)).cast("int"))).alias("path")))
+
+
+SUFFIXES = [".wav", ".MP3", ".Flac", ".txt", ".ogg", "", ".wav.bak", ".tar.flac"]
+
+
+def decoded_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's signal as WAV data, read again; one in seven is no WAV data."""
+    wav = A.encoded(V.signal(spark, sf_dir), 8000).select(F.col("clip_id").cast("string").alias("path"), F.when(F.col("clip_id") % 7 == 3, F.lit(b"RIFFnothing")).otherwise(F.col("audio")).alias("content"))
+    out = A.decoded(wav).select(F.col("path").cast("long").alias("clip_id"), "rate", F.col("error").isNotNull().alias("failed"), F.posexplode_outer("samples").alias("pos", "x"))
+    return out.withColumn("x", F.round(F.col("x").cast("double"), 9))
+
+
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(F.lit(None).cast("string"), *map(F.lit, [*E.ERROR_STATUS, "else"]))
     return turns(spark, sf_dir).select("segment_idx", F.get(kinds, (F.col("segment_idx") % 6).cast("int")).alias("kind")).withColumn("status", E.error_status("kind"))
@@ -124,7 +160,7 @@ QUERIES = {
     "j01_grid": grid,
     "j02_seeds": lambda s, d: J.assign_seeds(grid(s, d), 42, "segment_idx"),
     "j02_seed_list": lambda s, d: J.assign_seeds(grid(s, d), [42, 7, 99], "segment_idx"),
-    "j03_retry_seeds": lambda s, d: J.retry_seeds(J.assign_seeds(V.attempts(s, d).select("segment_idx", "candidate_idx", "attempt"), 42)).groupBy("candidate_idx", "attempt").agg(F.countDistinct("seed").alias("n_seeds")),
+    "j03_retry_seeds": lambda s, d: J.retry_seeds(J.assign_seeds(V.attempts(s, d).select("segment_idx", "candidate_idx", "attempt"), 42)).groupBy("candidate_idx", "attempt").agg(F.countDistinct("seed").alias("n_seeds"), F.min(F.when(F.col("attempt") == 0, F.col("seed"))).alias("own"), F.every(F.col("seed") > 0).alias("positive")),
     "j04_batches": lambda s, d: J.seed_batches(J.assign_seeds(grid(s, d), 42)),
     "j05_settled": lambda s, d: J.settled(V.attempts(s, d)),
     "j06_score": scores,
@@ -135,25 +171,29 @@ QUERIES = {
     "j10_words": moved_words,
     "j11_joined": joined,
     "l01_pairs": pairs,
-    "l02_results": voices,
+    "l02_results": named_results,
+    "l03_results": keyed_results,
     "l07_lookup": severity_lookup,
     "s01_requests": requests,
+    "s02_files": folder,
     "s04_manifest": manifest,
     "s04_entries": manifest_entries,
+    "s05_decoded": decoded_clips,
     "s06_audio": spoken,
     "s07_responses": responses,
     "s08_template": lambda s, d: A.config_template(s),
     "s10_aligned": aligned_words,
     "s09_health": lambda s, d: A.health(s, {"tone": True, "other": False}),
     "u05_batch_sizes": batch_sizes,
+    "u07_voices": voices,
     "u08_status": statuses,
 }
 ORACLES = {
     "j01_grid": "SELECT conv_id * 1000 + turn AS segment_idx, unnest(range(3))::INT AS candidate_idx FROM conversations",
     "j02_seeds": "SELECT segment_idx, c AS candidate_idx, (42 + 1000 * c)::BIGINT AS seed FROM (SELECT conv_id * 1000 + turn AS segment_idx, unnest(range(3))::INT AS c FROM conversations)",
     "j02_seed_list": "SELECT segment_idx, c AS candidate_idx, ([42, 7, 99])[c + 1]::BIGINT AS seed FROM (SELECT conv_id * 1000 + turn AS segment_idx, unnest(range(3))::INT AS c FROM conversations)",
-    "j03_retry_seeds": f"{_A} SELECT candidate_idx, attempt, 1::BIGINT AS n_seeds FROM attempts GROUP BY 1, 2",
-    "j04_batches": "SELECT (42 + 1000 * c)::BIGINT AS seed, (SELECT count(*) FROM conversations) AS n FROM unnest(range(3)) AS t(c)",
+    "j03_retry_seeds": f"{_A} SELECT candidate_idx, attempt, count(DISTINCT CASE WHEN attempt = 0 THEN 42 + 1000 * candidate_idx ELSE 10 * attempt + candidate_idx END) AS n_seeds, min(CASE WHEN attempt = 0 THEN 42 + 1000 * candidate_idx END)::BIGINT AS own, true AS positive FROM attempts GROUP BY 1, 2",
+    "j04_batches": "SELECT seed, count(*) AS n FROM (SELECT (42 + 1000 * unnest(range(3)))::BIGINT AS seed FROM conversations) GROUP BY seed",
     "j05_settled": f"{_A}, {_SETTLED} SELECT *, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED_FINAL' END AS status FROM settled",
     "j06_score": f"WITH {V.SQL_WORDS} SELECT clip_id, round(coalesce(avg(CASE WHEN idx % 4 <> 0 THEN score END), 0), 6) AS score FROM words GROUP BY 1",
     "j07_best": f"{_A}, {_SETTLED} SELECT segment_idx, candidate_idx, attempt, score FROM (SELECT *, row_number() OVER (PARTITION BY segment_idx ORDER BY score DESC, candidate_idx) AS k FROM settled WHERE ok) WHERE k = 1",
@@ -163,12 +203,17 @@ ORACLES = {
     "j10_words": f"""{_PLACED}, {V.SQL_WORDS} SELECT o.doc_id, o.idx, w.idx AS word_idx, word, round(greatest(0, w.start - slice_start / rate::DOUBLE) + offset_s, 6) AS start, round(greatest(0, w."end" - slice_start / rate::DOUBLE) + offset_s, 6) AS "end" FROM words w JOIN o ON w.clip_id = o.doc_id * 1000 + o.idx""",
     "j11_joined": "SELECT vec_id AS doc_id, unnest(range(len(e)))::INT AS pos, unnest(e) AS x FROM (SELECT vec_id, embedding[1:64]::DOUBLE[] AS e FROM embeddings)",
     "l01_pairs": "SELECT 'in/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.wav' ELSE '.MP3' END AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE doc_id % 9 <> 0",
-    "l02_results": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 997)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN embeddings v ON v.vec_id::VARCHAR = token",
+    "l02_results": "SELECT k AS segment_idx, CASE WHEN k % 4 <> 1 AND k % 3 < 2 THEN len(string_split(text, ' '))::INT END AS n_words, CASE WHEN k % 4 = 1 THEN 'no result' WHEN k % 3 = 2 THEN CASE WHEN k % 2 = 0 THEN 'too short' ELSE 'unknown error' END END AS error FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations)",
+    "l03_results": "SELECT k AS segment_idx, c AS candidate_idx, CASE WHEN (k + c) % 5 <> 0 THEN (length(text) * (c + 1))::INT END AS n FROM (SELECT conv_id * 1000 + turn AS k, text, unnest(range(3))::INT AS c FROM conversations)",
+    "s02_files": f"SELECT * FROM (SELECT doc_id, 'in/v1.wav/' || doc_id || {SUFFIXES}[doc_id % {len(SUFFIXES)} + 1] AS path FROM documents) WHERE regexp_matches(path, '(?i)\\.(wav|mp3|flac)$')",
+    "s05_decoded": f"WITH {V.SQL_SIGNAL}, e AS (SELECT clip_id, unnest(range(len(samples)))::INT AS pos, unnest(samples) AS x FROM signal WHERE clip_id % 7 <> 3) SELECT clip_id, 8000 AS rate, false AS failed, pos, round(round(x * 32767) / 32768.0::DOUBLE, 9) AS x FROM e UNION ALL SELECT clip_id, NULL, true, NULL, NULL FROM signal WHERE clip_id % 7 = 3",
+    "u05_batch_sizes": "WITH RECURSIVE r AS (SELECT unnest([1, 2, 10, 64]) AS n, 0 AS step, unnest([1, 2, 10, 64]) AS size UNION ALL SELECT n, step + 1, (CASE WHEN step = 0 THEN n - greatest(1, n // 5) ELSE size // 2 END)::INT FROM r WHERE size > 1) SELECT n, step, size FROM r",
+    "u07_voices": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 997)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN embeddings v ON v.vec_id::VARCHAR = token",
     "l07_lookup": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, (CASE WHEN length(word) >= 7 THEN 0.55 WHEN length(word) >= 4 THEN 0.45 WHEN length(word) >= 2 THEN 0.35 ELSE 0.25 END)::DOUBLE AS threshold FROM words",
     "s01_requests": "WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (SELECT i, CASE WHEN i % 7 = 0 THEN 'unknown engine' WHEN i % 5 = 0 THEN 'malformed JSON' WHEN i % 5 = 1 THEN 'text is empty' WHEN i % 13 NOT BETWEEN 1 AND 10 THEN 'best_of is out of range' END AS error FROM t) SELECT i AS segment_idx, (CASE WHEN i % 7 = 0 THEN 404 WHEN error IS NOT NULL THEN 422 ELSE 200 END)::INT AS status, error FROM e",
     "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k",
     "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, text FROM documents WHERE doc_id % 4 <> 0 AND text <> ''",
     "s07_responses": "SELECT conv_id, turn, base64(encode(text)) AS audio_base64 FROM conversations",
-    "s10_aligned": "WITH c AS (SELECT user_id AS clip_id, count(*) AS n FROM events GROUP BY 1), d AS (SELECT clip_id, n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, CASE WHEN doc_id % 5 = 0 THEN 'no aligner for xx' END AS error FROM c JOIN documents ON clip_id = doc_id) SELECT clip_id, CASE WHEN error IS NULL THEN w ELSE NULL END AS n_words, CASE WHEN error IS NULL THEN round(n / 100.0::DOUBLE, 6) END AS last_end, error FROM d",
+    "s10_aligned": "WITH d AS (SELECT doc_id AS clip_id, length(text) AS n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, CASE WHEN doc_id % 5 = 0 THEN 'no aligner for xx' END AS error FROM documents) SELECT clip_id, CASE WHEN error IS NULL THEN w ELSE NULL END AS n_words, CASE WHEN error IS NULL THEN round(n / 100.0::DOUBLE, 6) END AS last_end, error FROM d",
     "u08_status": "SELECT segment_idx, kind, (CASE WHEN kind IS NULL THEN 200 WHEN kind = 'client' THEN 400 WHEN kind = 'invalid_token' THEN 409 ELSE 500 END)::INT AS status FROM (SELECT conv_id * 1000 + turn AS segment_idx, ([NULL, 'client', 'invalid_token', 'synthesis', 'alignment', 'else'])[(conv_id * 1000 + turn) % 6 + 1] AS kind FROM conversations)",
 }

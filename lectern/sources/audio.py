@@ -26,9 +26,14 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
 
 
+def only_audio(files: DataFrame) -> DataFrame:
+    """Files (path, ...) whose suffix, in whatever case, is that of an audio file."""
+    return files.where(suffix(F.col("path")).isin(*AUDIO_SUFFIXES))
+
+
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, content of the audio files of a folder."""
-    return spark.read.format("binaryFile").load(folder).where(suffix(F.col("path")).isin(*AUDIO_SUFFIXES)).select("path", "content")
+    return only_audio(spark.read.format("binaryFile").load(folder)).select("path", "content")
 
 
 def paired_texts(audio: DataFrame, texts: DataFrame) -> DataFrame:
@@ -83,7 +88,12 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     """Rate and mono samples of PCM WAV data, -1 to 1."""
     with wave.open(io.BytesIO(data)) as w:
         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = np.frombuffer(w.readframes(w.getnframes()), {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
+        data = w.readframes(w.getnframes())
+        if width == 3:  # the three bytes are the upper ones of four
+            four = np.zeros((len(data) // 3, 4), np.uint8)
+            four[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+            data, width = four.tobytes(), 4
+        raw = np.frombuffer(data, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
     raw = (raw - 128) / 128 if width == 1 else raw / float(1 << 8 * width - 1)
     return rate, raw.reshape(-1, channels).mean(1)
 
