@@ -50,8 +50,9 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass"), seed) % BUCKETS if p else BUCKETS for p, seed in zip(parts, _SEEDS)]
 
 
-def _ends(word: str) -> bool:
-    return word == "\x01" or not word.isalpha() and word.rstrip("\"')]”’»").endswith((".", "!", "?"))
+def _ends(word: str) -> int:
+    """1 if a sentence ends after the word, 2 for a line feed, which is no word."""
+    return 2 if word == "\x01" else int(not word.isalpha() and word.rstrip("\"')]”’»").endswith((".", "!", "?")))
 
 
 class Sentences:
@@ -62,16 +63,17 @@ class Sentences:
 
     def __init__(self, model: Model | None = None) -> None:
         if model is None:
-            self.known = Vocabulary(lambda w: (*features(w), _ends(w)), [np.int32] * (1 + len(PREFIXES)) + [bool])
+            self.known = Vocabulary(lambda w: (*features(w), _ends(w)), [np.int32] * (1 + len(PREFIXES)) + [np.int8])
         else:
             weight = {k: float(model.weights[k]) for k in np.flatnonzero(model.weights).tolist()}
-            self.known = Vocabulary(lambda w: (sum([weight[f] for f in features(w) if f in weight]), _ends(w)), [np.float64, bool])
+            self.known = Vocabulary(lambda w: (sum([weight[f] for f in features(w) if f in weight]), _ends(w)), [np.float64, np.int8])
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         self.known.begin()
         rows = self.known.rows((text or "").replace("\n", " \x01 ").split())
         *values, ends = (c[rows] for c in self.known.columns)
-        starts = np.flatnonzero(np.concatenate([[True], ends[:-1]])[: len(rows)])
+        start, real = np.concatenate([[True], ends[:-1] > 0])[: len(rows)], ends < 2
+        values, starts = [c[real] for c in values], np.flatnonzero(start[real])
         return (values[0] if len(values) == 1 else np.stack(values, axis=1)), starts.astype(np.int32)
 
 

@@ -59,3 +59,37 @@ def test_offending_sentence_is_located(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     out = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()
     assert all([s.sentence for s in r.sentences] == ([1] if r.doc_id % 2 else []) for r in out)
+
+
+def test_lines_of_spliced_documents_are_told_apart(spark):
+    """Halves of good and bad documents that are held out, joined: their lines keep their states."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    field = quality_crf.train(docs, labels)
+    held = docs.join(labels, "doc_id").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1").orderBy("doc_id").select("text", "quality").collect()
+    lines = [[r.text.split("\n") for r in held if r.quality == q] for q in (0, 1)]
+    rng, right, total, mixed = __import__("random").Random(1), 0, 0, 0
+    for _ in range(300):
+        parts = [(rng.choice(lines[1])[:8], 1), (rng.choice(lines[0])[1:9], 0)]
+        rng.shuffle(parts)
+        x, _ = quality_crf.lines_of("\n".join(line for p, _ in parts for line in p))
+        good = quality_crf.marginals(field, x, np.array([len(x)]))[0] >= 0.5
+        want = np.array([v for p, v in parts for _ in p], bool)
+        right, total, mixed = right + (good == want).sum(), total + len(want), mixed + (good.any() and not good.all())
+    assert right / total >= 0.9 and mixed > 200
+
+
+def test_document_quality_is_the_weighted_mean_of_marginals():
+    rng = np.random.default_rng(3)
+    field = quality_crf.Field(rng.normal(size=3 * quality_crf.WIDTH + 1), rng.normal(size=(2, 2)), 1.7, -0.4)
+    text = "Some words here.\n\nMORE!! WORDS!!\nand | a | table"
+    x, lengths = quality_crf.lines_of(text)
+    z, paths = x @ field.emission, []
+    for k in range(1 << len(x)):
+        y = np.array([k >> i & 1 for i in range(len(x))])
+        paths.append((np.exp(z @ y + sum(field.transition[a, b] for a, b in zip(y, y[1:]))), y))
+    total = sum(p for p, _ in paths)
+    good = sum(p * y for p, y in paths) / total
+    raw = (good * lengths).sum() / lengths.sum()
+    want = 1 / (1 + np.exp(-(1.7 * np.log(raw / (1 - raw)) - 0.4)))
+    got, _ = quality_crf.marginals(field, x, np.array([len(x)]))
+    assert field.scaled(np.array([field.document(got, lengths)]))[0] == pytest.approx(want)

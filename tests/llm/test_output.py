@@ -70,3 +70,25 @@ def test_tokenizers_that_keep_white_space_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     text = "Two  words,\n and a third."
     assert tokens.WordEncoder(path).encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_mixed_is_the_same_again_with_repeated_ids(docs, rows):
+    one, two = (sorted(map(str, mixing.mixed(docs).collect())) for _ in range(2))
+    assert one == two and len(one) > 0
+
+
+def test_copies_share_what_is_taken_of_them(spark):
+    rows = [(None, "one two three", "s")] * 9 + [(i, "w " * (i + 1), "t") for i in range(30)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    copies = [r for r in out if r.doc_id is None]
+    assert len(copies) == 9 and sum(r.taken for r in copies) == pytest.approx(copies[0].target, abs=1) and all(r.taken <= 6 for r in copies)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lectern.llm.common import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
