@@ -6,9 +6,12 @@ candidates come from SimHash links of two bits and from bands of MinHash values:
 documents at 0.8 share none of the bands with a chance of 5 in a million, and a smaller
 one the more alike they are. Every candidate is then compared by its exact sets.
 
-Equal sets are one from the start. Each member of a bucket is compared with one other
-of it first; after that only members that are not in one component yet are, so that a
-large group of near copies doesn't take all of its pairs.
+Equal sets are one from the start. Each member of a bucket is compared with one other of
+it, then, in a few rounds with another centre each time, only where the bucket still has
+several components: so a large group of near copies is joined without taking its pairs.
+A document all the same apart must share 0.8 of its shingles with documents of other
+components to have a link to one; those that don't are left out, which lets others fall
+short in turn. Only what remains is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from lectern.llm.simhash import close_links
 
 #: MinHash values of a band, and bands: (1 - 0.8 ** 6) ** 40 is 5e-6.
 BAND, BANDS = 6, 40
+#: Rounds in which members of a bucket are compared with a centre, and in which those without enough shared shingles leave.
+CENTRES, LEAVING = 3, 3
 #: Shingles whose MinHash values are taken at once.
 STEP = 1024
 
@@ -64,33 +69,70 @@ def bits(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, key (of the set), fp, n, bands, grams of every row."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+def _key(found: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(found.tobytes())
+
+
+def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, th, key (of the set), fp, n, bands of every row (doc_id, text, th: a hash of the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions([batch]):
+                sets = [grams(t.as_py(), shingle) for t in part.column(1)]
+                key = pa.array([_key(s) for s in sets], pa.string())
+                fp = pa.array(np.array([bits(s) for s in sets], np.uint64).view(np.int64))
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.record_batch([part.column(0), part.column(2), key, fp, n, _lists([bands(s) if len(s) else s for s in sets])], names=["doc_id", "th", "key", "fp", "n", "bands"])
+
+    return rows.mapInArrow(run, "doc_id long, th long, key string, fp long, n long, bands array<long>")
+
+
+def _sets(rows: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """row, grams of the needed rows (row, doc_id, th, key; staged), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
-            sets = [grams(t.as_py(), shingle) for t in batch.column(1)]
-            key = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string())
-            fp = pa.array(np.array([bits(s) for s in sets], np.uint64).view(np.int64))
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.record_batch([batch.column(0), key, fp, n, lists([bands(s) if len(s) else s for s in sets]), lists(sets)], names=["doc_id", "key", "fp", "n", "bands", "grams"])
+        for batch in batches:
+            for part in portions([batch]):
+                sets = [grams(t.as_py(), shingle) for t in part.column(0)]
+                yield pa.record_batch([pa.array([_key(s) for s in sets], pa.string()), _lists(sets)], names=["key", "grams"])
 
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, key string, fp long, n long, bands array<long>, grams array<long>")
+    asked = small(needed.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct())
+    texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("text")
+    found = texts.mapInArrow(run, "key string, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))
+    return staged(found.join(needed.select("key", "row"), "key").select("row", "grams"), "grams")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b; staged) of rows whose sets are that similar, compared exactly."""
-    held = staged(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "compared")
-    needed = staged(sets.join(small(held), "row", "left_semi"), "grams")
-    left, right = needed.toDF("a", "ga"), needed.toDF("b", "gb")
+    """The pairs (a, b) of rows whose sets are that similar, compared exactly; staged."""
+    left, right = sets.toDF("a", "ga"), sets.toDF("b", "gb")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ga", "gb")))
     union = F.size("ga") + F.size("gb") - F.col("common")
-    return both.where(F.col("common") >= F.lit(similarity) * union - 1e-9).select("a", "b")
+    return staged(both.where(F.col("common") >= F.lit(similarity) * union - 1e-9).select("a", "b"), "alike")
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (row, n, value) with their root, of buckets that have several; staged."""
+    held = members.select("row", "n", "value").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = held.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
+    return staged(held.join(several, "value", "left_semi"), "apart")
+
+
+def _sharing(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows that share enough of their shingles with rows of other components, without which no link is possible; staged."""
+    rows = staged(members.select("row", "root").distinct(), "rows")
+    for _ in range(LEAVING):
+        each = sets.join(rows, "row").select("row", "root", F.explode("grams").alias("g"))
+        shared = each.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+        counts = each.join(shared, "g").groupBy("row", "root").agg(F.count("*").alias("c"))
+        sizes = sets.select("row", F.size("grams").alias("n"))
+        rows = staged(counts.join(sizes, "row").where(F.col("c") >= F.lit(similarity) * F.col("n") - 1e-9).select("row", "root"), "rows")
+    return rows.select("row")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -100,29 +142,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every row. Null texts and texts without words are alike; repeated rows stay; null ids
     form no id of a group; an empty table gives none. Other columns are not read.
     """
-    every = staged(_signatures(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    every = staged(_signatures(rows, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
     one = staged(every.groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "distinct")
-    held = staged(every.select("row", "fp", "n", "bands").join(one.select("row"), "row", "left_semi"), "bands")
+    held = staged(every.join(one.select("row"), "row", "left_semi"), "bands")
     bits_roots = connected_components(close_links(staged(held.select("fp").distinct(), "fingerprints"), 2))
     by_bits = held.join(bits_roots, held["fp"] == bits_roots["node"], "left").select("row", "n", F.xxhash64(F.lit("bits"), F.coalesce("root", "fp")).alias("value"))
-    by_band = held.select("row", "n", F.explode("bands").alias("value"))
+    members = held.select("row", "n", F.explode("bands").alias("value")).unionByName(by_bits)
     enough = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
-    members = by_band.unionByName(by_bits)
-    centre = members.groupBy("value").agg(F.min(F.struct(F.xxhash64("row", "value").alias("h"), "row", "n")).alias("c"), F.count("*").alias("size"))
-    centre = staged(centre.where("size > 1").select("value", F.col("c.row").alias("other"), F.col("c.n").alias("m")), "centres")
-    first = members.join(centre, "value").where((F.col("row") != F.col("other")) & enough("n", "m"))
-    first = staged(first.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct(), "first")
-    sets = every.select("row", "grams")
-    links = staged(_alike(first, sets, similarity), "alike")
-
-    roots = connected_components(links)
-    shared = staged(by_band.join(centre.select("value"), "value", "left_semi").join(roots.withColumnRenamed("node", "row"), "row", "left").select("value", "row", "n", F.coalesce("root", "row").alias("root")), "shared")
-    apart = shared.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-    left = staged(shared.join(apart, "value", "left_semi"), "apart")
-    right = left.toDF("value", "other", "m", "other_root")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots, sets, done = links.toDF("node", "root"), None, links
+    for k in range(CENTRES):
+        members = _apart(members, roots)
+        centre = members.groupBy("value").agg(F.min(F.struct(F.xxhash64("row", "value", F.lit(k)).alias("h"), "row", "n", "root")).alias("c"))
+        centre = centre.select("value", F.col("c.row").alias("other"), F.col("c.n").alias("m"), F.col("c.root").alias("other_root"))
+        pairs = members.join(centre, "value").where((F.col("root") != F.col("other_root")) & enough("n", "m"))
+        pairs = pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+        pairs = staged(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if sets is None:
+            asked = staged(members.select("row").distinct(), "asked")
+            sets = _sets(rows, staged(held.join(asked, "row", "left_semi").select("row", "doc_id", "th", "key"), "needed"), shingle)
+        links, done = links.unionByName(_alike(pairs, sets, similarity)), done.unionByName(pairs)
+        roots = staged(connected_components(links), "roots")
+    members = _apart(members, roots)
+    left = staged(members.join(small(_sharing(members, sets, similarity)), "row", "left_semi"), "left")
+    right = left.select("value", F.col("row").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     rest = left.join(right, "value").where((F.col("root") < F.col("other_root")) & enough("n", "m"))
-    rest = rest.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     links = links.unionByName(_alike(staged(rest, "rest"), sets, similarity))
 
     roots = connected_components(links)

@@ -1,25 +1,43 @@
+import math
+import zlib
+
+import duckdb
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from lectern.llm import decontaminate, mixing, quality_rules, simhash, tokens
+from lectern.llm import catalog
+from tests.llm import plain
+from tests.llm.test_near_copies import brute
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_are_the_operators_one_after_another(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    text = {r.doc_id: r for r in docs.collect()}
-    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    table = lambda keep: spark.createDataFrame([text[i] for i in keep], docs.schema)
-    kept = sorted(r.doc_id for r in quality_rules.quality_rules(docs).where("kept").collect())
-    assert 0 < len(kept) < len(text)
-    alone = sorted(r.doc_id for r in simhash.near_duplicates(table(kept), shingle=3).where("doc_id = component_id").collect())
-    bad = {r.doc_id for r in decontaminate.contaminated(table(alone), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    clean = [i for i in alone if i not in bad]
-    times = {r.doc_id: r.repeats + (2 * r.extra >= r.size > 0 and r.extra > 0) for r in mixing.mix(table(clean)).collect()}
-    want = sorted(i for i in clean for _ in range(times[i]))
+def test_stages_match_plain_versions_one_after_another(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").toPandas()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    _, good, _ = plain.quality(list(zip(docs["text"], docs["lang"], docs["source"])))
+    docs = docs[good]
+    assert 0 < len(docs) < len(good)
+    first = brute(list(zip(docs["doc_id"], docs["text"])))
+    docs = docs[docs["doc_id"].isin([i for i, least in first if i == least])]
+    docs = docs[[not any(plain.share_found(r.text, t) for r in items) for t in docs["text"]]]
+    con = duckdb.connect()
+    con.register("documents", docs)
+    mix = con.sql(catalog.ORACLES["op2_mixing"]).df()
+    times = {}
+    for r in mix.itertuples():
+        whole = math.floor(r.target / r.source_size)
+        extra = r.taken - whole * r.size
+        times[r.doc_id] = whole + (extra > 0 and 2 * extra >= r.size)
+    tk, at, want = Tokenizer.from_file(catalog.tokenizer_path()), 0, []
+    for i, t in zip(docs["doc_id"], docs["text"]):
+        ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        for _ in range(times[i]):
+            want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+            at += len(ids)
     out = corpus_pipeline.run(spark, SF).orderBy("start").collect()
-    assert [r.doc_id for r in out] == want
-    single = {r.doc_id: r.ids_crc32 for r in tokens.token_files(docs, __import__("lectern.llm.catalog", fromlist=["x"]).tokenizer_path()).collect()}
-    assert all(r.ids_crc32 == single[r.doc_id] for r in out)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out] == want
 
 
 def test_stages_keep_the_columns(spark):
