@@ -3,10 +3,13 @@
 An edge is a window of `window` words. Every word sequence of that length has a least
 short k-mer (by hash), the same one wherever it stands, so only windows matter whose
 least k-mer is the least of some other window too. Successive edges of a document with
-one least k-mer form a path and are one row from the start; joins on the path find its
-occurrences, all of which but the first, by source coordinates, are repeats. Where a
+one least k-mer form a path and are one row from the start, which carries a 128-bit digest
+of all its words; joins on k-mer and digest find its occurrences, whose words are thereby
+the same, and all of which but the first, by source coordinates, are repeats. Where a
 k-mer has one path the graph does not branch. Where it has more, the windows of each
-path's first occurrence are compared one by one.
+path's first occurrence are compared one by one. Repeated paths that follow each other
+both in their document and at the place they repeat are then compacted into one long span
+with the coordinates of both.
 
 An occurrence is where a document first has an edge; what it has again is a repeat
 without any join.
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bloom import filled, sized
@@ -127,8 +130,8 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
     """Paths of each document: runs of windows with one least k-mer, and what repeats inside the document.
 
     Only windows whose least k-mer may repeat count, where the document first has them. A
-    path has its k-mer m, the hashes of its windows, and stop 0. A run of windows that the
-    document had before is one row from pos to stop.
+    path has its k-mer m, a digest of its words (d0, d1), the hashes of its windows, and
+    stop 0. A run of windows that the document had before is one row from pos to stop.
     """
     make = _Hasher(window)
     for batch in portions(batches):
@@ -151,7 +154,9 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
             group = np.cumsum(new) - 1  # runs are cut so that their first and last window have all their words
             step = np.arange(len(pos)) - np.flatnonzero(new)[group]
             start = np.flatnonzero(step % (window - make.seed + 1) == 0)
-            parts.append((m[pos[start]], pos[start], np.diff(np.append(start, len(pos))), h[pos], head, tail + window))
+            size = np.diff(np.append(start, len(pos)))
+            digest = b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + n])) for p, n in zip(pos[start].tolist(), (size + (window - 1)).tolist()))
+            parts.append((m[pos[start]], pos[start], size, h[pos], head, tail + window, *np.frombuffer(digest, np.int64).reshape(-1, 2).T))
             sizes[-1] = len(start) + len(head)
         if not parts:
             continue
@@ -162,7 +167,8 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
         )
         both = lambda k, j: np.concatenate([x for p in parts for x in (p[k], p[j] if j else np.zeros(len(p[4]), p[k].dtype))] or [none])
         stop = np.concatenate([x for p in parts for x in (np.zeros(len(p[1]), np.int64), p[5])])
-        yield pa.record_batch([_signed(both(0, None)), _repeated(batch.column(0), sizes), pa.array(both(1, 4).astype(np.int32)), pa.array(stop.astype(np.int32)), ones], names=["m", "at", "pos", "stop", "ones"])
+        digests = [pa.array(both(k, None)) for k in (6, 7)]
+        yield pa.record_batch([_signed(both(0, None)), *digests, _repeated(batch.column(0), sizes), pa.array(both(1, 4).astype(np.int32)), pa.array(stop.astype(np.int32)), ones], names=["m", "d0", "d1", "at", "pos", "stop", "ones"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def copies_of(docs: DataFrame, rows: int = COPIES_ROWS) -> DataFrame:
-    """at of each document whose text a smaller at has too.
+    """at of each document whose text a smaller at has too, and the least such (least).
 
     Texts that repeat are broadcast if they are at most `rows`; else they are joined with
     each text's documents dealt over SALTS keys, for one text may have very many.
@@ -198,8 +204,8 @@ def copies_of(docs: DataFrame, rows: int = COPIES_ROWS) -> DataFrame:
     if least.limit(rows + 1).count() <= rows:
         found = keyed.join(F.broadcast(least), "k")
     else:
-        found = keyed.withColumn("s", F.pmod(F.xxhash64("at"), F.lit(SALTS))).join(least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["k", "s"])
-    return found.where("at <> least").select("at")
+        found = keyed.withColumn("s", F.pmod(F.xxhash64("at"), F.lit(SALTS))).join(least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["k", "s"])
+    return found.where("at <> least").select("at", "least")
 
 
 def repeated_runs(docs: DataFrame, seeds: DataFrame, window: int, kind: str, filter_keys: int = FILTER_KEYS) -> DataFrame:
@@ -211,7 +217,7 @@ def repeated_runs(docs: DataFrame, seeds: DataFrame, window: int, kind: str, fil
     """
     often = seeds.groupBy("m").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1 or more").select("m")
     often = staged(often, "repeated")
-    schema = f"m long, at {kind}, pos int, stop int, ones array<long>"
+    schema = f"m long, d0 long, d1 long, at {kind}, pos int, stop int, ones array<long>"
     n = often.count()
     if n <= filter_keys:
         keys = _bloom_keys(often)
@@ -246,30 +252,41 @@ def second_hash(x: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, filter_keys: int = FILTER_KEYS) -> DataFrame:
-    """Spans that repeat an earlier span of at least `window` words: at, start, stop (words, half open; stop may be beyond the end).
+    """Spans that repeat an earlier span of at least `window` words: at, start, stop (words, half open; stop may be beyond the end), and where the words stand first: source (an at), source_start; null for a document's repeats of itself.
 
     Expects at (unique) and text; earlier means a smaller at, or the same and an earlier
     start. Of documents with one text only the first takes part; the others repeat it whole.
     """
     kind = docs.schema["at"].dataType.simpleString()
     copies = staged(copies_of(docs), "copies")
-    first_texts = docs.join(small(copies, COPIES_ROWS), "at", "left_anti").select("at", "text")
+    first_texts = docs.join(small(copies.select("at"), COPIES_ROWS), "at", "left_anti").select("at", "text")
     seeds = first_texts.mapInArrow(lambda b: _sample(b, window), f"m long, at {kind}, more boolean")
     runs = staged(repeated_runs(first_texts, seeds, window, kind, filter_keys), "runs")
-    # a path is known by its k-mer, its first and last window and its length, for these hold all its words
-    path = ["m", "h0", "h1", "length"]
-    found = runs.where("stop = 0").select("m", F.get("ones", 0).alias("h0"), F.element_at("ones", -1).alias("h1"), F.size("ones").alias("length"), "at", "pos", "ones")
+    # a path is known by its k-mer and the digest of its words
+    path = ["m", "d0", "d1"]
+    found = runs.where("stop = 0").select(*path, "at", "pos", "ones")
     paths = staged(found.groupBy(*path).agg(F.count("*").alias("n"), F.min(F.struct("at", "pos", "ones")).alias("first")), "paths")
-    again = found.drop("ones").join(paths.where("n > 1").select(*path, F.struct("first.at", "first.pos").alias("f")), path).where(F.struct("at", "pos") != F.col("f"))
-    whole = again.select("at", F.col("pos").alias("start"), (F.col("pos") + F.col("length") + (window - 1)).alias("stop"))
+    again = found.select(*path, "at", "pos").join(paths.where("n > 1").select(*path, F.struct("first.at", "first.pos").alias("f"), F.size("first.ones").alias("length")), path).where(F.struct("at", "pos") != F.col("f"))
+    whole = compacted(again.select("at", "pos", "length", F.col("f.at").alias("source"), F.col("f.pos").alias("source_pos")), window)
     # where paths branch at a k-mer, their windows are compared one by one, each path's first occurrence alone
     forks = paths.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
     steps = paths.join(forks, "m", "left_semi").select("m", "first.at", "first.pos", F.posexplode("first.ones").alias("step", "one"))
     steps = steps.select("m", "one", "at", (F.col("pos") + F.col("step")).alias("pos"))
     earliest = steps.groupBy("m", "one").agg(F.count("*").alias("n"), F.min(F.struct("at", "pos")).alias("f")).where("n > 1").drop("n")
-    part = steps.join(earliest, ["m", "one"]).where(F.struct("at", "pos") != F.col("f")).select("at", F.col("pos").alias("start"), (F.col("pos") + window).alias("stop"))
-    inside = runs.where("stop > 0").select("at", F.col("pos").alias("start"), "stop")
-    return whole.unionByName(part).unionByName(inside).unionByName(copies.select("at", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop")))
+    part = steps.join(earliest, ["m", "one"]).where(F.struct("at", "pos") != F.col("f")).select("at", F.col("pos").alias("start"), (F.col("pos") + window).alias("stop"), F.col("f.at").alias("source"), F.col("f.pos").alias("source_start"))
+    inside = runs.where("stop > 0").select("at", F.col("pos").alias("start"), "stop", F.lit(None).cast(kind).alias("source"), F.lit(None).cast("int").alias("source_start"))
+    same = copies.select("at", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop"), F.col("least").alias("source"), F.lit(0).alias("source_start"))
+    return whole.unionByName(part).unionByName(inside).unionByName(same)
+
+
+def compacted(paths: DataFrame, window: int) -> DataFrame:
+    """Spans of paths (at, pos, length in windows, source, source_pos) that follow each other in both documents: at, start, stop, source, source_start."""
+    order = Window.partitionBy("at", "source", "shift").orderBy("pos")
+    follows = F.lag(F.col("pos") + F.col("length")).over(order).eqNullSafe(F.col("pos"))
+    held = paths.withColumn("shift", F.col("source_pos") - F.col("pos")).withColumn("opens", F.when(follows, 0).otherwise(1))
+    held = held.withColumn("g", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = held.groupBy("at", "source", "shift", "g").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("length") + (window - 1)).alias("stop"), F.min("source_pos").alias("source_start"))
+    return spans.select("at", "start", "stop", "source", "source_start")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

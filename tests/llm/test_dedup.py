@@ -92,6 +92,22 @@ def test_repeats_match_brute_force(spark, rows, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_spans_hold_the_words_of_their_source(docs, rows):
+    one = docs.toDF(*"abcdefg").where("a is not null").select(F.col("a").alias("at"), F.col("b").alias("text")).dropDuplicates(["at"])
+    words = {r.at: (r.text or "").split() for r in one.collect()}
+    spans = [r for r in substrings.repeated_spans(one, 20).collect() if r.source is not None]
+    assert len(spans) > 20 and max(min(r.stop, 10_000) - r.start for r in spans) > 40
+    for r in spans:
+        own, first = words[r.at][r.start : r.stop], words[r.source][r.source_start :][: r.stop - r.start]
+        assert own == first and (r.source, r.source_start) < (r.at, r.start)
+
+
+def test_copies_broadcast_or_salted(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else f"t{i}") for i in range(60)] + [(100, None), (101, None)], "at long, text string")
+    one, two = (sorted(map(tuple, substrings.copies_of(df, n).collect())) for n in (1000, 0))
+    assert one == two == [(i, 1) for i in range(2, 60) if i % 3]
+
+
 def test_repeats_of_null_and_shared_ids(docs, rows):
     found = substrings.remove_repeats(docs, window=20).collect()
     assert len(found) == len(rows)
