@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, filter_keys: int = FILTER_
     again = found.select(*path, "at", "pos").join(paths.where("n > 1").select(*path, F.struct("first.at", "first.pos").alias("f"), F.size("first.ones").alias("length")), path).where(F.struct("at", "pos") != F.col("f"))
     whole = compacted(again.select("at", "pos", "length", F.col("f.at").alias("source"), F.col("f.pos").alias("source_pos")), window)
     # where paths branch at a k-mer, their windows are compared one by one, each path's first occurrence alone
-    forks = paths.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    forks = small(staged(paths.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "forks"), COPIES_ROWS)
     steps = paths.join(forks, "m", "left_semi").select("m", "first.at", "first.pos", F.posexplode("first.ones").alias("step", "one"))
     steps = steps.select("m", "one", "at", (F.col("pos") + F.col("step")).alias("pos"))
     earliest = steps.groupBy("m", "one").agg(F.count("*").alias("n"), F.min(F.struct("at", "pos")).alias("f")).where("n > 1").drop("n")
