@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -119,10 +119,11 @@ def in_batches(engine: Engine, texts: list[str], seed: int) -> list[np.ndarray]:
     return []
 
 
-def generated(jobs: DataFrame, engine_class: type) -> DataFrame:
+def generated(jobs: DataFrame, engine_class: type, encode: Callable[[np.ndarray, int], bytes] | None = None) -> DataFrame:
     """segment_idx, candidate_idx, attempt, samples: rows of one seed are generated together, longest texts first.
 
-    Jobs are dealt by seed and place, so that a seed that many jobs share is spread.
+    With `encode` (of samples and rate) there is a column audio of bytes in place of
+    samples: so waveforms need not pass through Spark as arrays of numbers. Jobs are dealt by seed and place, so that a seed that many jobs share is spread.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,11 +133,13 @@ def generated(jobs: DataFrame, engine_class: type) -> DataFrame:
             for seed, part in batch.groupby("seed", sort=False):
                 for at in range(0, len(part), ROWS_AT_ONCE):
                     some = part[at : at + ROWS_AT_ONCE]
-                    yield some.assign(samples=in_batches(engine, list(some["text"]), int(seed)))[["segment_idx", "candidate_idx", "attempt", "samples"]]
+                    made = in_batches(engine, list(some["text"]), int(seed))
+                    column = {"audio": [encode(x, engine.sample_rate) for x in made]} if encode else {"samples": made}
+                    yield some.assign(**column)[["segment_idx", "candidate_idx", "attempt", *column]]
 
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = jobs.repartition("seed", F.pmod(F.hash("segment_idx", "candidate_idx"), F.lit(parts))).sortWithinPartitions("seed", F.length("text").desc())
-    return dealt.select("segment_idx", "candidate_idx", "attempt", "seed", "text").mapInPandas(run, "segment_idx long, candidate_idx int, attempt int, samples array<float>")
+    return dealt.select("segment_idx", "candidate_idx", "attempt", "seed", "text").mapInPandas(run, f"segment_idx long, candidate_idx int, attempt int, {'audio binary' if encode else 'samples array<float>'}")
 
 
 def results_by_name(jobs: DataFrame, results: DataFrame) -> DataFrame:

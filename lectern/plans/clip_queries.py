@@ -62,7 +62,8 @@ def speech_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             b["segments"] = [[{"start": s, "end": e} for s, e in S.energy_segments(x, 4, -8.0)] for x in b["samples"]]
             yield b[["clip_id", "segments"]]
 
-    return V.signal(spark, sf_dir).mapInPandas(run, "clip_id long, segments array<struct<start:long,end:long>>")
+    found = V.signal(spark, sf_dir).mapInPandas(run, "clip_id long, segments array<struct<start:long,end:long>>")
+    return found.select("clip_id", F.explode("segments").alias("s")).select("clip_id", "s.start", "s.end")
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +247,10 @@ ORACLES = {
     "a06_speech_ratio": f'{_WS} SELECT clip_id, round(sum("end" - start) / max("end")::DOUBLE, 6) AS ratio FROM segments GROUP BY 1',
     "a07_fade": f"WITH {_G}, k AS (SELECT clip_id, samples, len(samples) AS n, least(5, len(samples) // 2) AS k FROM signal), e AS (SELECT *, unnest(range(n))::INT AS pos, unnest(samples) AS x FROM k) SELECT clip_id, pos, round(x * CASE WHEN pos < k THEN CASE WHEN k <= 1 THEN 0 ELSE pos / (k - 1)::DOUBLE END WHEN pos >= n - k THEN CASE WHEN k <= 1 THEN 0 ELSE (n - 1 - pos) / (k - 1)::DOUBLE END ELSE 1 END, 9) AS x FROM e",
     "a08_denoise": f"WITH {_G}, e AS (SELECT clip_id, unnest(range(len(samples)))::INT AS pos, unnest(samples) AS x FROM signal), s AS (SELECT *, CASE WHEN pos BETWEEN 3 AND 11 THEN least(pos - 3, 11 - pos) WHEN pos BETWEEN 20 AND 23 THEN least(pos - 20, 23 - pos) END AS near, CASE WHEN pos < 12 THEN 4 ELSE 2 END AS k FROM e) SELECT clip_id, pos, round(CASE WHEN near IS NULL THEN 0 WHEN near < k THEN x * near / (k - 1)::DOUBLE ELSE x END, 9) AS x FROM s",
+    "a09_speech_runs": f"""WITH {_G}, e AS (SELECT clip_id, len(samples) // 4 AS n, unnest(range(len(samples))) AS pos, unnest(samples) AS x FROM signal),
+f AS (SELECT clip_id, pos // 4 AS k, sqrt(avg(x * x)) AS rms FROM e WHERE pos // 4 < n GROUP BY ALL),
+r AS (SELECT clip_id, k, k - row_number() OVER (PARTITION BY clip_id ORDER BY k) AS g FROM f WHERE 20 * log10(greatest(rms, 1e-9)) >= -8)
+SELECT clip_id, min(k) * 4 AS start, max(k) * 4 + 4 AS "end" FROM r GROUP BY clip_id, g""",
     "i01_coalesce": f"{_WS}, {SQL_MERGED}",
     "i02_gap_speech": f"{_WS}, {SQL_GAPS.format(ms=200)}, {SQL_GAP_SPEECH} SELECT * FROM gap_speech",
     "i03_word_gaps": f'{_W}, {SQL_GAPS.format(ms=200)} SELECT clip_id, idx, round(start, 6) AS start, round("end", 6) AS "end" FROM gaps',

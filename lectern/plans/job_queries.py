@@ -73,9 +73,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = J.job_grid(turns(spark, sf_dir), 2).withColumn("attempt", F.lit(0))
-    made = E.generated(J.assign_seeds(jobs, 42), E.ToneEngine)
-    wav = A.encoded(made, E.ToneEngine.sample_rate).select(F.concat_ws("/", "segment_idx", "candidate_idx").alias("path"), F.col("audio").alias("content"))
-    return A.decoded(wav).select("path", "rate", F.size("samples").alias("n"), "error")
+    made = E.generated(J.assign_seeds(jobs, 42), E.ToneEngine, A.encode_wav)
+    return A.probed(made.select(F.concat_ws("/", "segment_idx", "candidate_idx").alias("path"), F.col("audio").alias("content")))
 
 
 def aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,13 +205,15 @@ ORACLES = {
     "l02_results": "SELECT k AS segment_idx, CASE WHEN k % 4 <> 1 AND k % 3 < 2 THEN len(string_split(text, ' '))::INT END AS n_words, CASE WHEN k % 4 = 1 THEN 'no result' WHEN k % 3 = 2 THEN CASE WHEN k % 2 = 0 THEN 'too short' ELSE 'unknown error' END END AS error FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations)",
     "l03_results": "SELECT k AS segment_idx, c AS candidate_idx, CASE WHEN (k + c) % 5 <> 0 THEN (length(text) * (c + 1))::INT END AS n FROM (SELECT conv_id * 1000 + turn AS k, text, unnest(range(3))::INT AS c FROM conversations)",
     "s02_files": f"SELECT * FROM (SELECT doc_id, 'in/v1.wav/' || doc_id || {SUFFIXES}[doc_id % {len(SUFFIXES)} + 1] AS path FROM documents) WHERE regexp_matches(path, '(?i)\\.(wav|mp3|flac)$')",
-    "s05_decoded": f"WITH {V.SQL_SIGNAL}, e AS (SELECT clip_id, unnest(range(len(samples)))::INT AS pos, unnest(samples) AS x FROM signal WHERE clip_id % 7 <> 3) SELECT clip_id, 8000 AS rate, false AS failed, pos, round(round(x * 32767) / 32768.0::DOUBLE, 9) AS x FROM e UNION ALL SELECT clip_id, NULL, true, NULL, NULL FROM signal WHERE clip_id % 7 = 3",
+    "s05_decoded": f"WITH {V.SQL_SIGNAL}, e AS (SELECT clip_id, unnest(range(len(samples)))::INT AS pos, unnest(samples) AS x FROM signal WHERE clip_id % 7 <> 3) SELECT clip_id, 8000 AS rate, false AS failed, pos, round(round(greatest(-1, least(1, x)) * 32767) / 32768.0::DOUBLE, 9) AS x FROM e UNION ALL SELECT clip_id, NULL, true, NULL, NULL FROM signal WHERE clip_id % 7 = 3",
     "u05_batch_sizes": "WITH RECURSIVE r AS (SELECT unnest([1, 2, 10, 64]) AS n, 0 AS step, unnest([1, 2, 10, 64]) AS size UNION ALL SELECT n, step + 1, (CASE WHEN step = 0 THEN n - greatest(1, n // 5) ELSE size // 2 END)::INT FROM r WHERE size > 1) SELECT n, step, size FROM r",
     "u07_voices": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 997)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN embeddings v ON v.vec_id::VARCHAR = token",
     "l07_lookup": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, (CASE WHEN length(word) >= 7 THEN 0.55 WHEN length(word) >= 4 THEN 0.45 WHEN length(word) >= 2 THEN 0.35 ELSE 0.25 END)::DOUBLE AS threshold FROM words",
     "s01_requests": "WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (SELECT i, CASE WHEN i % 7 = 0 THEN 'unknown engine' WHEN i % 5 = 0 THEN 'malformed JSON' WHEN i % 5 = 1 THEN 'text is empty' WHEN i % 13 NOT BETWEEN 1 AND 10 THEN 'best_of is out of range' END AS error FROM t) SELECT i AS segment_idx, (CASE WHEN i % 7 = 0 THEN 404 WHEN error IS NOT NULL THEN 422 ELSE 200 END)::INT AS status, error FROM e",
     "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k",
     "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, text FROM documents WHERE doc_id % 4 <> 0 AND text <> ''",
+    "s06_audio": "SELECT (conv_id * 1000 + turn) || '/' || c AS path, 24000 AS rate, trunc(length(text) * 0.06::DOUBLE * 24000)::INT AS n, NULL::VARCHAR AS error FROM (SELECT *, unnest(range(2)) AS c FROM conversations)",
+    "s09_health": "SELECT * FROM (VALUES ('tone', true), ('other', false)) AS t(engine, loaded)",
     "s07_responses": "SELECT conv_id, turn, base64(encode(text)) AS audio_base64 FROM conversations",
     "s10_aligned": "WITH d AS (SELECT doc_id AS clip_id, length(text) AS n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w, CASE WHEN doc_id % 5 = 0 THEN 'no aligner for xx' END AS error FROM documents) SELECT clip_id, CASE WHEN error IS NULL THEN w ELSE NULL END AS n_words, CASE WHEN error IS NULL THEN round(n / 100.0::DOUBLE, 6) END AS last_end, error FROM d",
     "u08_status": "SELECT segment_idx, kind, (CASE WHEN kind IS NULL THEN 200 WHEN kind = 'client' THEN 400 WHEN kind = 'invalid_token' THEN 409 ELSE 500 END)::INT AS status FROM (SELECT conv_id * 1000 + turn AS segment_idx, ([NULL, 'client', 'invalid_token', 'synthesis', 'alignment', 'else'])[(conv_id * 1000 + turn) % 6 + 1] AS kind FROM conversations)",

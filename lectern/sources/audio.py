@@ -109,6 +109,23 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def probed(files: DataFrame) -> DataFrame:
+    """path, rate, n (samples), error of WAV files (path, content), from their headers alone."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    with wave.open(io.BytesIO(content)) as w:
+                        rows.append((path, w.getframerate(), w.getnframes(), None))
+                except (wave.Error, EOFError) as e:
+                    rows.append((path, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "rate", "n", "error"]).astype({"rate": "Int32", "n": "Int32"})
+
+    return files.mapInPandas(run, "path string, rate int, n int, error string")
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """path, rate, samples, error of WAV files (path, content); what can't be read has an error."""
 

@@ -8,8 +8,9 @@ from lectern.operators import engines as E
 from lectern.operators import intervals as I
 from lectern.operators import jobs as J
 from lectern.operators import report as R
+from lectern.operators import validate as C
 from lectern.operators import words as W
-from lectern.options import AlignmentOptions, PostOptions
+from lectern.options import AlignmentOptions, PostOptions, ValidationOptions
 from lectern.sources import audio as A
 
 
@@ -76,6 +77,73 @@ def test_signals(spark):
     assert S.energy_segments(np.array([0.0] * 8 + [0.5] * 8 + [0.0] * 4), 4, -40) == [(8, 16)]
 
 
+def plain_deviation(x, rate):
+    """Deviation of the spectral centroid by a plain Fourier sum over frames."""
+    x = np.pad(np.array(x), 512, mode="reflect")
+    k, t = np.arange(513), np.arange(1024)
+    wave, window = np.exp(-2j * np.pi * np.outer(k, t) / 1024), 0.5 - 0.5 * np.cos(2 * np.pi * t / 1024)
+    out = []
+    for at in range(0, len(x) - 1023, 256):
+        power = np.abs(wave @ (x[at : at + 1024] * window)) ** 2
+        out.append((k * rate / 1024 * power).sum() / (power.sum() + 1e-9))
+    mean = sum(out) / len(out)
+    return (sum((c - mean) ** 2 for c in out) / (len(out) - 1)) ** 0.5
+
+
+def test_spectrum_and_its_check(spark):
+    rng = np.random.default_rng(8)
+    clips = {1: np.sin(np.arange(6000) * 0.2), 2: rng.normal(size=4000) * np.repeat([0.1, 1, 0.2, 1], 1000), 3: np.concatenate([np.sin(np.arange(3000) * 0.05), np.sin(np.arange(3000) * 2.5)])}
+    df = spark.createDataFrame([(c, x.tolist(), n, -20.0) for c, x in clips.items() for n in (6, 7)], "clip_id long, samples array<double>, syllables int, db double")
+    o = ValidationOptions()
+    held = C.with_spectrum(df, 24000, C.silence_check(o))
+    for r in held.collect():
+        if r.centroid_std is not None:
+            assert abs(r.centroid_std - plain_deviation(clips[r.clip_id], 24000)) < 1e-6
+    out = {(r.clip_id, r.syllables): r.is_ok for r in C.validated(held, C.spectral_check(o)).collect()}
+    assert out == {(c, n): n < 7 or plain_deviation(x, 24000) >= 1800 for c, x in clips.items() for n in (6, 7)}
+
+
+def test_denoised_like_a_loop(spark):
+    rng = random.Random(4)
+    rows = []
+    for c in range(40):
+        n, at, segments = rng.randint(0, 60), 0, []
+        while at < n + 5 and rng.random() < 0.8:
+            start = at + rng.randint(0, 10)
+            segments.append((start, start + rng.randint(1, 15)))
+            at = segments[-1][1]
+        rows.append((c, [rng.random() for _ in range(n)], segments))
+    df = spark.createDataFrame(rows, "clip_id long, samples array<double>, segments array<struct<start:long,end:long>>")
+    got = {r.clip_id: r.x for r in df.select("clip_id", S.denoised(F.col("samples"), F.col("segments"), 4).alias("x")).collect()}
+    for c, x, segments in rows:
+        want = [0.0] * len(x)
+        for a, b in ((min(a, len(x)), min(b, len(x))) for a, b in segments):
+            k = min(4, (b - a) // 2)
+            for i in range(a, b):
+                near = min(i - a, b - 1 - i)
+                want[i] = x[i] * (1 if near >= k else 0 if k <= 1 else near / (k - 1))
+        assert np.allclose(got[c], want)
+
+
+def test_wav_of_24_bits():
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(3), w.setframerate(8000)
+        w.writeframes(b"".join(int(v * 2**23).to_bytes(3, "little", signed=True) for v in (0.5, -0.25, 0.0)))
+    rate, samples = A.decode_wav(out.getvalue())
+    assert rate == 8000 and samples.tolist() == [0.5, -0.25, 0.0]
+
+
+def test_template_has_all_options(spark):
+    import json
+
+    found = json.loads(A.config_template(spark).first()[0])
+    assert found["text"]["max_chunk_length"] == 500 and found["alignment"]["window_size"] == 4 and found["best_of"] == 1
+
+
 def test_best_of_and_retries(spark):
     rows = [(0, c, a, c != 2 and a >= c, s, f"r{a}") for c, s in enumerate((0.8, 0.95, 0.7)) for a in range(3)] + [(1, c, a, False, 0.5, f"r{c}{a}") for c in range(2) for a in range(3)]
     jobs = J.settled(spark.createDataFrame(rows, "segment_idx long, candidate_idx int, attempt int, ok boolean, score double, reason string"))
@@ -110,6 +178,8 @@ def test_sources_and_engines(spark, tmp_path):
     (tmp_path / "c.txt").write_text("hello")
     out = {r.path.rsplit("/", 1)[1]: r for r in A.decoded(A.audio_files(spark, str(tmp_path))).collect()}
     assert set(out) == {"a.WAV", "b.wav"} and out["b.wav"].error and np.allclose(out["a.WAV"].samples, wave, atol=1e-4)
+    heads = {r.path.rsplit("/", 1)[1]: (r.rate, r.n, bool(r.error)) for r in A.probed(A.audio_files(spark, str(tmp_path))).collect()}
+    assert heads == {"a.WAV": (24000, len(wave), False), "b.wav": (None, None, True)}
     assert E.retry_sizes(10) == [10, 8, 4, 2, 1] and E.retry_sizes(1) == [1] and E.retry_sizes(0) == []
     found, errors = E.load_engines({"tone": "lectern.operators.engines.ToneEngine", "gone": "no.such.Engine"})
     assert set(found) == {"tone"} and set(errors) == {"gone"}
