@@ -6,16 +6,18 @@ candidates come from SimHash links of two bits and from bands of MinHash values:
 documents at 0.8 share none of the bands with a chance of 5 in a million, and a smaller
 one the more alike they are. Every candidate is then compared by its exact sets.
 
-Equal sets are one from the start. Each member of a bucket is compared with one other of
-it, then, in a few rounds with another centre each time, only where the bucket still has
-several components: so a large group of near copies is joined without taking its pairs.
-A document all the same apart must share 0.8 of its shingles with documents of other
-components to have a link to one; those that don't are left out, which lets others fall
-short in turn. Only what remains is compared pair by pair.
+Equal sets are one from the start. Each member of a bucket is compared with a centre of
+it, in a few rounds: one by chance, then the one with most of its shingles in common with
+many others, and each time only where the bucket still has several components. So a large
+group of near copies is joined without taking its pairs. Of two documents still apart,
+those that share a shingle that few have are found by it. Others share only what many
+have, so the number of such shingles in each bounds their similarity, which leaves out
+nearly all pairs of a bucket before they are made. What is left is compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,12 @@ from lectern.llm.simhash import close_links
 
 #: MinHash values of a band, and bands: (1 - 0.8 ** 6) ** 40 is 5e-6.
 BAND, BANDS = 6, 40
-#: Rounds in which members of a bucket are compared with a centre, and in which those without enough shared shingles leave.
-CENTRES, LEAVING = 3, 3
+#: Rounds in which the members of a bucket are compared with a centre.
+CENTRES = 3
+#: A shingle is common in more documents than that, else pairs are made of those that have it.
+FEW = 16
+#: Classes of set sizes have this ratio.
+SIZE_STEP = 1.05
 #: Shingles whose MinHash values are taken at once.
 STEP = 1024
 
@@ -123,16 +129,35 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(held.join(several, "value", "left_semi"), "apart")
 
 
-def _sharing(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Rows that share enough of their shingles with rows of other components, without which no link is possible; staged."""
-    rows = staged(members.select("row", "root").distinct(), "rows")
-    for _ in range(LEAVING):
-        each = sets.join(rows, "row").select("row", "root", F.explode("grams").alias("g"))
-        shared = each.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-        counts = each.join(shared, "g").groupBy("row", "root").agg(F.count("*").alias("c"))
-        sizes = sets.select("row", F.size("grams").alias("n"))
-        rows = staged(counts.join(sizes, "row").where(F.col("c") >= F.lit(similarity) * F.col("n") - 1e-9).select("row", "root"), "rows")
-    return rows.select("row")
+def _common(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of members: row, root, n, f (shingles that more than FEW rows have, staged), and row, root, n, g (shingles that fewer rows, but several components have)."""
+    rows = staged(members.select("row", "root", "n").distinct(), "rows")
+    each = sets.join(rows, "row").select("row", "root", "n", F.explode("grams").alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("x"), F.max("root").alias("y"))
+    counts = staged(counts.where(f"k > {FEW} or x <> y").select("g", "k"), "shared")
+    common = each.join(counts.where(f"k > {FEW}"), "g", "left_semi").groupBy("row").agg(F.count("*").alias("f"))
+    held = staged(rows.join(common, "row", "left").withColumn("f", F.coalesce("f", F.lit(0))), "common")
+    return held, each.join(counts.where(f"k <= {FEW}"), "g", "left_semi")
+
+
+def _possible(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of different components that may be that similar: no other pair of a bucket is."""
+    held, few = _common(members, sets)
+    bound = (1 + similarity) / similarity  # common >= similarity * union says: common * bound >= n + m
+    may = lambda common: common * bound + 1e-6 >= F.col("n") + F.col("m")
+    apart = F.col("root") != F.col("other_root")
+    few = few.join(held.select("row", "f"), "row")
+    other = few.select("g", F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("f").alias("h"))
+    by_few = few.join(other, "g").where(apart & (F.col("row") < F.col("other"))).groupBy("row", "other", "n", "m", "f", "h").agg(F.count("*").alias("r"))
+    by_few = by_few.where(may(F.least("f", "h") + F.col("r"))).select(F.col("row").alias("a"), F.col("other").alias("b"))
+    # by common shingles alone: a row seeks the sizes that its own number of them leaves possible
+    of = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(SIZE_STEP)).cast("int")
+    in_bucket = members.select("row", "value").join(held, "row")
+    least, most = F.col("n") * similarity, F.least(F.col("f") * bound - F.col("n"), F.col("n") / similarity)
+    seekers = in_bucket.where(most >= least - 1e-6).withColumn("size", F.explode(F.sequence(of(least - 1e-6), of(most + 1e-6))))
+    other = in_bucket.select("value", of(F.col("n").cast("double")).alias("size"), F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("f").alias("h"))
+    by_size = seekers.join(other.where(F.col("h") * bound + 1e-6 >= F.col("m") * (1 + similarity)), ["value", "size"]).where(apart & may(F.least("f", "h")))
+    return by_few.unionByName(by_size.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -155,7 +180,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots, sets, done = links.toDF("node", "root"), None, links
     for k in range(CENTRES):
         members = _apart(members, roots)
-        centre = members.groupBy("value").agg(F.min(F.struct(F.xxhash64("row", "value", F.lit(k)).alias("h"), "row", "n", "root")).alias("c"))
+        rank = F.xxhash64("row", "value", F.lit(k))
+        if k == 1:
+            held_common, _ = _common(members, sets)
+            members = staged(members.join(held_common.select("row", (-F.col("f") / F.col("n")).alias("rank")), "row"), "ranked")
+        centre = members.groupBy("value").agg(F.min(F.struct((F.col("rank") if k == 1 else rank).alias("r"), rank.alias("h"), "row", "n", "root")).alias("c"))
         centre = centre.select("value", F.col("c.row").alias("other"), F.col("c.n").alias("m"), F.col("c.root").alias("other_root"))
         pairs = members.join(centre, "value").where((F.col("root") != F.col("other_root")) & enough("n", "m"))
         pairs = pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
@@ -165,12 +194,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sets = _sets(rows, staged(held.join(asked, "row", "left_semi").select("row", "doc_id", "th", "key"), "needed"), shingle)
         links, done = links.unionByName(_alike(pairs, sets, similarity)), done.unionByName(pairs)
         roots = staged(connected_components(links), "roots")
-    members = _apart(members, roots)
-    left = staged(members.join(small(_sharing(members, sets, similarity)), "row", "left_semi"), "left")
-    right = left.select("value", F.col("row").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    rest = left.join(right, "value").where((F.col("root") < F.col("other_root")) & enough("n", "m"))
-    rest = rest.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    links = links.unionByName(_alike(staged(rest, "rest"), sets, similarity))
+    rest = staged(_possible(_apart(members, roots), sets, similarity), "rest")
+    links = links.unionByName(_alike(rest.join(done, ["a", "b"], "left_anti"), sets, similarity))
 
     roots = connected_components(links)
     known = staged(one.join(roots, one["row"] == roots["node"], "left").select("key", "least", F.coalesce("root", "row").alias("root")), "roots")

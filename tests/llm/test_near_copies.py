@@ -49,3 +49,19 @@ def test_pipeline_stage_drops_documents_with_changed_words(spark):
     far = [w if i % 10 else "else" for i, w in enumerate(words)]
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((words, changed, far))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()) == [0, 2]
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    """Few words, many edits: documents apart by one bucket, by rare shingles and by common ones."""
+    rng = random.Random(2)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for _ in range(260):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(6)}"
+        if rng.random() < 0.3:
+            words = words[: rng.randint(30, 60)]
+        rows.append((len(rows), " ".join(words)))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert sorted((r.doc_id, r.component_id) for r in got) == want and 5 < len({c for _, c in want}) < 250
