@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, mixing, quality_crf, quality_rules, simhash, substrings, tokens, toxicity, urls
+from lectern.llm import decontaminate, exponion, licenses, merkle, mixing, quality_crf, quality_rules, simhash, substrings, suffixes, tokens, toxicity, urls
+from lectern.llm.long_sql import EXPONION, MERKLE, SUFFIXES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector after ten rounds of k-means, with inertia and the centroid's hash."""
+    return exponion.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10).drop("scanned")
+
+
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start more than once: counts, runs, and hash of what is left."""
+    return suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the fold of those whose line feeds were deleted (even CRCs of the id)."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"), tampered=tampered)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -84,8 +102,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_tokens": op10_tokens,
+    "op11_centroids": op11_centroids,
+    "op12_suffixes": op12_suffixes,
+    "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {
+    "op11_centroids": EXPONION,
+    "op12_suffixes": SUFFIXES,
+    "op13_merkle": MERKLE,
     "op5_substrings": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
