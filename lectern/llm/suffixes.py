@@ -29,15 +29,18 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.llm.bloom import filled, sized
-from lectern.llm.common import pick, portions, small, staged
+from lectern.llm.common import pick, portions, released, small, staged
 from lectern.llm.substrings import COPIES_ROWS, FILTER_KEYS, FILTER_RATE, SALTS, second_hash
 
 #: Symbols of a suffix.
 SYMBOLS = 10
 #: Documents of a shard.
 SHARD_ROWS = 500
+#: Lists of places go to the tasks of the texts by broadcast up to so many entries (some 30 MB), else texts and lists are joined.
+LISTED = 1_500_000
 #: Stands for a null id.
 _NULL = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -126,7 +129,7 @@ _RUNS = "run long, m long, symbols array<long>, w0 long, w1 long, n long, places
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int, passes) -> Iterator[pa.RecordBatch]:
-    """Runs of each shard's transform: key, symbols, digest of all bytes of its starts (w0, w1), how many suffixes, and where they are."""
+    """Runs of each shard's transform: key (of the sure symbols), the other symbols, digest of all bytes of its starts (w0, w1), how many suffixes, and where they are."""
     s, number = sampler(length), TaskContext.get().partitionId() << 32
     for batch in portions(batches, SHARD_ROWS):
         keys, symbols, places, rows, digests = [], [], [], [], []
@@ -142,7 +145,8 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, passes) -> Iterator[
                 continue
             at, lo, hi, m = at[live], lo[live], hi[live], m[live]
             edge = np.minimum(at[:, None] + s.ends[None, :], len(raw))
-            symbols.append(s.part(sums, edge[:, :-1].ravel(), edge[:, 1:].ravel()).reshape(-1, SYMBOLS) + (edge[:, 1:] - edge[:, :-1]).astype(np.uint64))
+            symbol = s.part(sums, edge[:, s.sure : -1].ravel(), edge[:, s.sure + 1 :].ravel()).reshape(len(at), -1)
+            symbols.append(np.concatenate([m[:, None], symbol + (edge[:, s.sure + 1 :] - edge[:, s.sure : -1]).astype(np.uint64)], axis=1))
             digests.append(b"".join(xxhash.xxh3_128_digest(raw[a : b + length] + (p - a).to_bytes(4, "little")) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist())))
             keys.append(m), places.append((lo, hi, at)), rows.append(np.full(len(at), row))
         if not keys:
@@ -154,7 +158,8 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, passes) -> Iterator[
         first = order[begins]
         ends = np.append(begins, len(order)).astype(np.int32)
         inner = pa.StructArray.from_arrays([batch.column(0).take(pa.array(row[order])), *(pa.array(x[order].astype(np.int32)) for x in (lo, hi, at))], ["at", "lo", "hi", "p"])
-        listed = pa.ListArray.from_arrays(pa.array((np.arange(len(first) + 1) * SYMBOLS).astype(np.int32)), pa.array(symbol[first].ravel().view(np.int64)))
+        rest = np.ascontiguousarray(symbol[first, 1:])
+        listed = pa.ListArray.from_arrays(pa.array((np.arange(len(first) + 1) * rest.shape[1]).astype(np.int32)), pa.array(rest.ravel().view(np.int64)))
         yield pa.record_batch(
             [pa.array(number + np.arange(len(first))), pa.array(m[first].view(np.int64)), listed, *(pa.array(np.ascontiguousarray(digest[first, k])) for k in (0, 1)), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), inner)],
             names=["run", "m", "symbols", "w0", "w1", "n", "places"],
@@ -190,33 +195,33 @@ def shard_runs(docs: DataFrame, length: int, filter_keys: int = FILTER_KEYS) ->
 
 
 def interleaved(runs: DataFrame, length: int) -> DataFrame:
-    """The merged order of shards' runs: run, interval (of the sure symbols), depth, repeated.
+    """The merged order of shards' runs: run, interval (of the sure symbols), depth, repeated, id; staged.
 
     Each round splits the intervals by one symbol more; the last one by the digest of all
     bytes, those before the suffix too. depth counts the symbols that a run shares with
-    another one, or with itself where it holds two suffixes; repeated says that it got
-    through the last round. Runs that share not even the sure symbols are left out.
+    another one, or with itself where it holds two suffixes (the sure ones are taken as
+    shared); repeated says that it got through the last round; runs of one id are alike.
+    A round needs its own symbol and those to come; the table of the round before is deleted.
     """
     sure = sampler(length).sure
-    live = runs.select("run", F.col("m").alias("i"), "symbols", "w0", "w1", "n")
-    first = live.groupBy("i").agg(F.sum("n").alias("t")).where("t > 1").select("i")
-    live = staged(live.join(first, "i", "left_semi").withColumn("interval", F.col("i")), "interleave")
-    done = None
+    rest = [F.col("symbols")[k].alias(f"s{sure + k + 1}") for k in range(SYMBOLS - sure)]
+    live, done = runs.select("run", F.col("m").alias("i"), F.col("m").alias("interval"), "n", *rest, "w0", "w1"), []
     for depth in range(sure + 1, SYMBOLS + 2):
-        symbol = [F.col("symbols")[depth - 1].alias("c")] if depth <= SYMBOLS else [F.col("w0").alias("c"), F.col("w1").alias("c1")]
-        names = ["i", "c", "c1"][: 1 + len(symbol)]
-        split = live.select("*", *symbol)
-        some = split.groupBy(*names).agg(F.sum("n").alias("t"), F.min("run").alias("next")).where("t > 1").select(*names, "next")
-        held = staged(split.join(some, names, "left"), "interleave")
-        alone = held.where("next is null").select("run", "interval", F.lit(depth - 1).alias("depth"), F.lit(False).alias("repeated"), F.col("run").alias("id"))
-        done = alone if done is None else done.unionByName(alone)
-        live = held.where("next is not null").select("run", F.col("next").alias("i"), "symbols", "w0", "w1", "n", "interval")
-    whole = live.select("run", "interval", F.lit(SYMBOLS).alias("depth"), F.lit(True).alias("repeated"), F.col("i").alias("id"))
-    return done.unionByName(whole)
+        names = [f"s{depth}"] if depth <= SYMBOLS else ["w0", "w1"]
+        some = live.groupBy("i", *names).agg(F.sum("n").alias("t"), F.min("run").alias("next")).where("t > 1").drop("t")
+        held = staged(live.join(some, ["i", *names], "left").drop("i", *names), "interleave")
+        done.append(staged(held.where("next is null").select("run", "interval", F.lit(depth - 1).alias("depth"), F.lit(False).alias("repeated"), F.col("run").alias("id")), "retired"))
+        if depth > sure + 1:
+            released(before)
+        before, live = held, held.where("next is not null").withColumnRenamed("next", "i")
+    done.append(live.select("run", "interval", F.lit(SYMBOLS).alias("depth"), F.lit(True).alias("repeated"), F.col("i").alias("id")))
+    for more in done[1:]:
+        done[0] = done[0].unionByName(more)
+    return done[0]
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Digests of the strings of documents' doubtful starts."""
+    """Digests (96 bits) of the strings of documents' doubtful starts."""
     for batch in portions(batches, SHARD_ROWS):
         at, start, digests = [], [], []
         for row in range(batch.num_rows):
@@ -227,7 +232,14 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 start += some
                 at += [row] * len(some)
         two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), *(pa.array(np.ascontiguousarray(two[:, k])) for k in (0, 1))], names=["at", "start", "w0", "w1"])
+        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(two[:, 1].astype(np.int32))], names=["at", "start", "w0", "w1"])
+
+
+def listed(lists: DataFrame, name: str, most: int = LISTED) -> DataFrame:
+    """at with a list, staged: to be broadcast if all lists together have at most `most` entries, else joined."""
+    held = staged(lists, name)
+    entries = held.agg(F.sum(F.size(name))).first()[0] or 0
+    return F.broadcast(held) if entries <= most else held
 
 
 def copied_texts(docs: DataFrame, length: int, rows: int = COPIES_ROWS) -> DataFrame:
@@ -243,8 +255,8 @@ def copied_texts(docs: DataFrame, length: int, rows: int = COPIES_ROWS) -> DataF
 def repeated_spans(docs: DataFrame, length: int = 400, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """Spans (at, start, stop: bytes, half open) that strings of `length` bytes cover which start twice or more in the table.
 
-    Expects at and text; spans of a document may overlap. Of rows with one text the first
-    takes part in the search, all are spans whole (stop is beyond the end).
+    Expects at and text; spans of a document neither overlap nor touch. Of rows with one
+    text the first takes part in the search, all are spans whole (stop is beyond the end).
     """
     s, kind = sampler(length), docs.schema["at"].dataType.simpleString()
     copies = staged(copied_texts(docs, length), "copies")
@@ -260,15 +272,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_keys: int = FILTER
     least = F.element_at(F.array(*[F.lit(int(length - s.ends[min(d + 1, SYMBOLS)] + (d < SYMBOLS))) for d in range(SYMBOLS + 1)]), F.col("depth") + 1)
     first = runs.select("run", F.col("places")[0].alias("x")).join(doubt.withColumn("least", least), "run")
     starts = first.select("x.at", "x.lo", F.least("x.hi", F.col("x.p") - F.col("least")).alias("hi")).where("lo <= hi")
-    starts = starts.groupBy("at").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))  # bounded by a document
-    strings = staged(first_texts.dropDuplicates(["at"]).join(starts, "at").select("at", "text", "starts").mapInArrow(lambda b: _strings(b, length), f"at {kind}, start int, w0 long, w1 long"), "strings")
+    starts = listed(starts.groupBy("at").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")  # bounded by a document
+    texts = first_texts.dropDuplicates(["at"]) if isinstance(docs.schema["at"].dataType, StructType) else first_texts  # rows alike have one at
+    strings = staged(texts.join(starts, "at").select("at", "text", "starts").mapInArrow(lambda b: _strings(b, length), f"at {kind}, start int, w0 long, w1 int"), "strings")
     again = strings.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1").select("w0", "w1")
-    again = strings.join(again, ["w0", "w1"], "left_semi")
-    opens = F.when(F.lag("start").over(Window.partitionBy("at").orderBy("start")).eqNullSafe(F.col("start") - 1), 0).otherwise(1)
-    again = again.select("at", "start", opens.alias("o")).withColumn("g", F.sum("o").over(Window.partitionBy("at").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
-    again = again.groupBy("at", "g").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).select("at", "start", "stop")
+    own = Window.partitionBy("at").orderBy("start")
+    opens = F.when(F.lag("start").over(own).eqNullSafe(F.col("start") - 1), 0).otherwise(1)
+    again = strings.join(again, ["w0", "w1"], "left_semi").select("at", "start", opens.alias("o")).withColumn("g", F.sum("o").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    again = staged(again.groupBy("at", "g").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop")).select("at", "start", "stop"), "again")
+    released(strings)
     same = copies.select("at").distinct().select("at", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop"))
-    return whole.select("at", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")).unionByName(again).unionByName(same)
+    spans = whole.select("at", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")).unionByName(again).unionByName(same)
+    own = Window.partitionBy("at").orderBy("start", "stop")
+    opens = F.when(F.col("start") <= F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    spans = spans.withColumn("o", opens).withColumn("g", F.sum("o").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("at", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("g")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +323,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if rows.groupBy("at").count().where(F.col("count") > 1).limit(1).count():
         rows = rows.select(F.struct("at", F.xxhash64("text").alias("th")).alias("at"), "text")
         doc_id = F.col("at.at")
-    spans = repeated_spans(rows, length, filter_keys).groupBy("at").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = listed(repeated_spans(rows, length, filter_keys).groupBy("at").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     held = rows.join(spans, "at", "left").select("at", "text", "spans")
     kinds = f"at {rows.schema['at'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>"
     done = held.mapInArrow(_removed, kinds)
