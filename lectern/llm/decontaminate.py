@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,6 +41,8 @@ WINDOW = 5
 SIMILARITY = 0.8
 #: Words put in or left out between two hits of an alignment.
 DRIFT = 10
+#: Choices of values that are tried for an alignment at most.
+STEPS = 10_000
 #: Literal words that a window needs.
 LITERALS = 2
 #: The items' windows go to the tasks as a Bloom filter up to so many (under two bytes each); more are joined unfiltered.
@@ -267,24 +270,53 @@ def second_hash(win: np.ndarray) -> np.ndarray:
     return (win ^ win >> np.uint64(29)).view(np.int64)
 
 
-def consistent(chain: list[tuple[int, int]], slots: dict[int, list[int]], values: dict[int, list[int]]) -> int:
-    """Windows without a slot that breaks the one-to-one correspondence of values."""
-    there: dict[int, int] = {}
-    back: dict[int, int] = {}
-    good = 0
+def consistent(chain: list[tuple[int, int]], slots: dict[int, list[int]], values: dict[int, list[int]], least: float = 0.0) -> int:
+    """Windows of a chain that agree with one one-to-one correspondence of values, the one that keeps most windows; 0 if below `least`.
+
+    Windows of the same pairs of values stand or fall together; those whose pairs contradict
+    no others always stand. Among the rest sets without a contradiction are tried, the
+    more frequent windows first, as long as they can still reach `least` and more than
+    the best so far; after STEPS trials the best so far counts.
+    """
+    kinds: Counter = Counter()
     for p, q in chain:
-        pairs = [(a, b) for a, b in zip(slots[p], values[q]) if a]
-        if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs):
-            there.update(pairs)
-            back.update((b, a) for a, b in pairs)
-            good += 1
-    return good
+        pairs = frozenset((a, b) for a, b in zip(slots[p], values[q]) if a)
+        if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            kinds[pairs] += 1
+    there, back = defaultdict(set), defaultdict(set)
+    for pairs in kinds:
+        for a, b in pairs:
+            there[a].add(b)
+            back[b].add(a)
+    open_ = [(n, k) for k, n in kinds.items() if any(len(there[a]) > 1 or len(back[b]) > 1 for a, b in k)]
+    total = sum(kinds.values())
+    if not open_:
+        return total if total >= least else 0
+    open_.sort(key=lambda x: (-x[0], sorted(x[1])))
+    clash = [{j for j, (_, o) in enumerate(open_) if j != i and any(a == c and b != d or b == d and a != c for a, b in k for c, d in o)} for i, (_, k) in enumerate(open_)]
+    best, stack, steps = 0, [(total, 0, frozenset())], 0  # what is left, the next kind, kinds that are out
+    while stack and steps < STEPS:
+        left, i, out = stack.pop()
+        steps += 1
+        if left < least or left <= best:
+            continue
+        while i < len(open_) and (i in out or clash[i] <= out):
+            i += 1  # out already, or without a rival that is in
+        if i == len(open_):
+            best = left
+            continue
+        stack.append((left - open_[i][0], i + 1, out | {i}))
+        gone = {j for j in clash[i] if j not in out}
+        if all(j > i for j in gone):
+            stack.append((left - sum(open_[j][0] for j in gone), i + 1, out | gone))
+    return best
 
 
 def best_alignment(hits: list[tuple], own: int) -> tuple[float, int, int] | None:
     """Share of an item's `own` windows that its best alignment has, first word and number of words of the span.
 
-    Hits are (p, q, first, stop, slots, values). Of equal shares the one with the first
+    The alignments that are judged are those of chains(); each takes the correspondence
+    of values that keeps most of its windows. Hits are (p, q, first, stop, slots, values). Of equal shares the one with the first
     span counts. None below SIMILARITY.
     """
     least = SIMILARITY * own - 1e-9
@@ -295,8 +327,8 @@ def best_alignment(hits: list[tuple], own: int) -> tuple[float, int, int] | None
     first, stop = {h[1]: h[2] for h in hits}, {h[1]: h[3] for h in hits}
     best = None
     for chain in chains([-p for _, p in places], [q for q, _ in places], least):
-        good = consistent(chain, slots, values)
-        if good >= least:
+        good = consistent(chain, slots, values, least)
+        if good and good >= least:
             at = first[chain[0][1]]
             best = max(best or (-1.0, 0, 0), (good / own, -at, stop[chain[-1][1]] - at))
     return best and (best[0], -best[1], best[2])
@@ -337,8 +369,12 @@ def chains(pos: list[int], where: list[int], least: float) -> Iterator[list[tupl
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, item_id, own, hits in zip(*(batch.column(k) for k in range(4))):
-            found = best_alignment([tuple(h.values()) for h in hits.as_py()], own.as_py())
+        for doc_id, item_id, own, windows_, hits in zip(*(batch.column(k) for k in range(5))):
+            places = defaultdict(list)
+            for w in windows_.as_py():
+                places[w["win"]].append((w["p"], w["slots"]))
+            met = [(p, h["q"], h["first"], h["stop"], slots, h["values"]) for h in hits.as_py() for p, slots in places[h["win"]]]
+            found = best_alignment(met, own.as_py())
             if found:
                 out.append((doc_id.as_py(), item_id.as_py(), *found))
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -381,13 +417,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = staged(found.select("row", "win").join(small(anchors), "win").select("row", "item").distinct(), "pairs")
 
     rows = found.join(small(staged(pairs.select("row").distinct(), "rows")), "row", "left_semi")
-    rare = known.where(F.col("items") <= shared_items).select("win", "item", "p", "slots")
-    common = known.where(F.col("items") > shared_items).select("win", "item", "p", "slots")
+    rare = known.where(F.col("items") <= shared_items).select("win", "item").distinct()
+    common = known.where(F.col("items") > shared_items).select("win", "item").distinct()
     hits = rows.join(rare, "win").join(pairs, ["row", "item"], "left_semi")
     shared = rows.join(common.select("win").distinct(), "win", "left_semi").join(pairs, "row").join(common, ["item", "win"])
-    hit = F.struct("p", "q", "first", "stop", "slots", "values")
+    hit = F.struct("win", "q", "first", "stop", "values")  # of a document and an item, as many as the document has words
     hits = hits.unionByName(shared.select(*hits.columns)).groupBy("row", "doc_id", "item").agg(F.collect_list(hit).alias("hits"))
-    return hits.join(items.select("item", "item_id", "own"), "item").select("doc_id", "item_id", "own", "hits").mapInArrow(_judged, kinds)
+    return hits.join(items.select("item", "item_id", "own", "windows"), "item").select("doc_id", "item_id", "own", "windows", "hits").mapInArrow(_judged, kinds)
 
 
 def _found(docs: DataFrame, wins: DataFrame, forms: list[int], id_col: str, text_col: str, filter_keys: int) -> DataFrame:

@@ -8,9 +8,10 @@ verified by the regex library's bounded-error matching, which also counts its ed
 
 from __future__ import annotations
 
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -64,15 +65,27 @@ def spans_end(span: dict) -> int:
     return span["first_word"] + span["n_words"]
 
 
+class Starts:
+    """Numbers of words by where they begin in a line of words between single spaces; the list is made when first asked for."""
+
+    def __init__(self, line: str) -> None:
+        self.line = line
+        self.at: list[int] = []
+
+    def word(self, at: int) -> int:
+        if not self.at:
+            self.at = list(accumulate((len(w) + 1 for w in self.line[1:-1].split(" ")), initial=1))
+        return bisect_left(self.at, at)
+
+
 class Searcher:
-    """Finds base phrases and notices in one text. Strings are UTF-8 bytes read as Latin-1, so a byte is a character."""
+    """Finds base phrases and notices in one text; edits are of characters."""
 
     def __init__(self, notices: tuple = NOTICES, phrases: tuple = PHRASES, per: int = CHARS_PER_ERROR) -> None:
-        encode = lambda s: s.encode().decode("latin-1")
-        self.phrases = [(label, encode(f" {p} ")) for label, p in phrases]
+        self.phrases = [(label, f" {p} ") for label, p in phrases]
         self.notices: list[tuple] = []
         self.seeds: dict[str, list[tuple[int, int]]] = {}
-        for k, (label, notice) in enumerate((label, encode(n)) for label, n in notices):
+        for k, (label, notice) in enumerate(notices):
             errors = errors_allowed(notice, per)
             self.notices.append((label, notice, errors, [regex.compile(f"(?:{regex.escape(notice)}){{e<={e}}}") for e in range(1, errors + 1)]))
             for offset, seed in pieces(notice, errors):
@@ -80,8 +93,9 @@ class Searcher:
 
     def __call__(self, text: str | None) -> tuple[int, list[dict]]:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-        line = f" {b' '.join(words).decode('latin-1')} "
-        return len(words), self._settled(self._base(line) + self._fuzzy(line))
+        line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
+        starts = Starts(line)
+        return len(words), self._settled(self._base(line, starts) + self._fuzzy(line, starts))
 
     @staticmethod
     def _settled(spans: list[dict]) -> list[dict]:
@@ -99,16 +113,17 @@ class Searcher:
             out.append(s)
         return [s for s, others in zip(out, rivals) if s["base"] or not any(meet(s, o) and beats(o, s) for o in others)]
 
-    def _base(self, line: str) -> list[dict]:
+    def _base(self, line: str, starts: Starts) -> list[dict]:
         out = []
         for label, phrase in self.phrases:
-            at = line.find(phrase)
+            at, n = line.find(phrase), phrase.count(" ") - 1
             while at >= 0:
-                out.append({"label": label, "first_word": line.count(" ", 0, at), "n_words": phrase.count(" ") - 1, "errors": 0, "base": True})
+                out.append({"label": label, "first_word": starts.word(at + 1), "n_words": n, "errors": 0, "base": True})
                 at = line.find(phrase, at + 1)
         return out
 
-    def _fuzzy(self, line: str) -> list[dict]:
+    def _fuzzy(self, line: str, starts: Starts | None = None) -> list[dict]:
+        starts = starts or Starts(line)
         near: dict[int, set[tuple[int, int]]] = {}
         for seed, found in self.seeds.items():
             at = line.find(seed)
@@ -116,26 +131,32 @@ class Searcher:
                 for k, offset in found:
                     _, notice, errors, _ = self.notices[k]
                     first, last = at - offset, at - offset + len(notice)
-                    starts = [s for s in range(max(1, first - errors), first + errors + 1) if line[s - 1 : s] == " "]
+                    spans = near.setdefault(k, set())
+                    if first > 0 and line.startswith(f" {notice} ", first - 1):
+                        spans.add((first, last))  # the others near it overlap it and have more errors
+                        continue
                     ends = [e for e in range(last - errors, min(len(line) - 1, last + errors) + 1) if line[e : e + 1] == " "]
-                    near.setdefault(k, set()).update((s, e) for s in starts for e in ends if s < e)
+                    if ends:
+                        spans.update((s, e) for s in range(max(1, first - errors), first + errors + 1) if line[s - 1 : s] == " " for e in ends if s < e)
                 at = line.find(seed, at + 1)
-        return [p for k, spans in near.items() for p in self._places(line, k, spans)]
+        return [p for k, spans in near.items() for p in self._places(line, starts, k, spans)]
 
-    def _places(self, line: str, k: int, spans: set[tuple[int, int]]) -> list[dict]:
+    def _places(self, line: str, starts: Starts, k: int, spans: set[tuple[int, int]]) -> list[dict]:
         """The spans within the bound of notice k; of those that overlap the one with fewest errors, then the first, then the shortest."""
         label, notice, _, patterns = self.notices[k]
-        judged = []
+        judged, known = [], {notice: 0}
         for s, e in spans:
-            errors = 0 if line[s:e] == notice else next((n + 1 for n, p in enumerate(patterns) if p.fullmatch(line, s, e)), None)
-            if errors is not None:
-                judged.append((errors, s, e))
+            run = line[s:e]
+            if run not in known:
+                known[run] = next((n + 1 for n, p in enumerate(patterns) if p.fullmatch(run)), None)
+            if known[run] is not None:
+                judged.append((known[run], s, e))
         taken: list[tuple[int, int, int]] = []
         for errors, s, e in sorted(judged):
             at = bisect(taken, (s,))
             if not (at < len(taken) and taken[at][0] < e or at and taken[at - 1][1] > s):
                 taken.insert(at, (s, e, errors))
-        return [{"label": label, "first_word": line.count(" ", 0, s) - 1, "n_words": line.count(" ", s, e) + 1, "errors": errors, "base": False} for s, e, errors in taken]
+        return [{"label": label, "first_word": starts.word(s), "n_words": line.count(" ", s, e) + 1, "errors": errors, "base": False} for s, e, errors in taken]
 
 
 @lru_cache(maxsize=2)

@@ -8,6 +8,7 @@ document labels. Sentences with a high probability are then the offending ones.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ BUCKETS = 1 << 18
 SAMPLE_ROWS = 4000
 #: Words that the texts of those rows have at most in each class: rows are taken in that order up to it.
 SAMPLE_WORDS = 4_000_000
+#: A document of more than this share of the bound is left out of the sample.
+LONG_SHARE = 0.1
 #: Letters of the prefixes that are features besides the word.
 PREFIXES = (3, 4, 5, 6)
 #: Documents of the sample that a word has to be in.
@@ -37,6 +40,7 @@ PENALTY_DOCS = 1.5
 #: Sentences from this probability on are reported.
 SENTENCE_LIMIT = 0.5
 
+_LOG = logging.getLogger(__name__)
 _OUTER = "\"'()[]{}<>.,;:!?*#&$%“”‘’«»¿¡…–—-_|"
 
 
@@ -153,14 +157,29 @@ def sampled_labels(labels: DataFrame, label_col: str, parts: int, part: int, row
 
 
 def sampled_texts(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, sample_rows: int, most: int, size: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label, share, text of a bounded sample of labelled rows, staged: the documents of sampled_labels() in the order of a hash, whole, up to a sum of `size` (of text) of `most` in each class. Of rows with one id the text with the least hash counts."""
+    """label, share, text of a bounded sample of labelled rows, staged: documents of sampled_labels(), whole, in the order of a hash.
+
+    A class's documents are taken while their `size` (of text) is at most `most` in all.
+    One of more than a LONG_SHARE of that is left out, which is logged; of a
+    class that has such ones alone the shortest is taken, so a class with labels never
+    goes. share undoes the sampling of rows and what is left out. Of rows with one id the
+    text with the least hash counts.
+    """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     picked = F.broadcast(sampled_labels(labels, label_col, parts, part, sample_rows))  # at most twice sample_rows
     one = rows.join(picked, "doc_id").groupBy("doc_id", "label", "share").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     one = staged(one.withColumn("n", size), "sample")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    taken = one.select("doc_id", "label", F.sum("n").over(order).alias("before")).where(F.col("before") <= most).select("doc_id")
-    return staged(one.join(F.broadcast(taken), "doc_id").select("label", "share", "text"), "sample")
+    long = F.when(F.col("n") > most * LONG_SHARE, F.col("n")).otherwise(0)
+    order = Window.partitionBy("label").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    ranked = one.select("doc_id", "label", "n", long.alias("long")).withColumn("k", F.row_number().over(order))
+    ranked = ranked.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ranked.withColumn("take", (F.col("long") == 0) & (F.col("before") + F.col("n") <= most) | (F.col("k") == 1))
+    kept = F.sum(F.col("take").cast("int")).over(Window.partitionBy("label"))
+    taken = ranked.withColumn("more", F.count("*").over(Window.partitionBy("label")) / kept)
+    if (left := taken.where("not take and long > 0").count()):
+        _LOG.warning("%d labelled documents of more than %.0f are left out of the sample", left, most * LONG_SHARE)
+    taken = F.broadcast(taken.where("take").select("doc_id", "more"))
+    return staged(one.join(taken, "doc_id").select("label", (F.col("share") * F.col("more")).alias("share"), "text"), "sample")
 
 
 def chosen_features(sample: DataFrame) -> np.ndarray:

@@ -69,6 +69,24 @@ def windows(words, n):
     return out
 
 
+def most_windows(wanted):
+    """Most windows whose pairs all agree with one one-to-one mapping, all mappings tried."""
+    seen = {pair for pairs in wanted for pair in pairs}
+    to, of = defaultdict(set), defaultdict(set)
+    for a, b in seen:
+        to[a].add(b)
+        of[b].add(a)
+    fixed = {(a, b) for a, b in seen if len(to[a]) == len(of[b]) == 1}
+    open_ = sorted({a for a, b in seen - fixed}, key=str)
+    best = 0
+    for choice in itertools.product(*[[*to[a], None] for a in open_]):
+        taken = [b for b in choice if b is not None]
+        if len(set(taken)) == len(taken):
+            mapping = fixed | set(zip(open_, choice))
+            best = max(best, sum(all(pair in mapping for pair in pairs) for pairs in wanted))
+    return best
+
+
 def share_found(item, doc):
     """Best share of the item's windows on one consistent alignment with the document, or None."""
     for own, other in zip(canonical(item), canonical(doc)):
@@ -99,13 +117,7 @@ def share_found(item, doc):
         chains.append(chain[::-1])
     best = None
     for chain in chains:
-        there, back_, good = {}, {}, 0
-        for p, q in chain:
-            pairs = [(own[p + k][1], other[q + k][1]) for k in range(n) if own[p + k][2] or own[p + k][3]]
-            if all(there.get(a, b) == b and back_.get(b, a) == a for a, b in pairs):
-                there.update(pairs)
-                back_.update((b, a) for a, b in pairs)
-                good += 1
+        good = most_windows([[(own[p + k][1], other[q + k][1]) for k in range(n) if own[p + k][2] or own[p + k][3]] for p, q in chain])
         if good >= least and good > (best or 0):
             best = good
     return best and best / places

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import quality_crf, toxicity
 
@@ -32,6 +33,34 @@ def test_edges(spark, docs, rows, empty, query, parts, part):
     assert query(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("where", ["first", "all of a class"])
+def test_long_documents_leave_both_classes(spark, where):
+    """A document of more words (lines) than the bound takes no other from the sample, and a class of such ones alone stays."""
+    texts = [(i, ("You utter fool of a person.\nNow. " if i % 2 else "Calm words of a fine day.\nHere. ") + f"Some text {i}.", i % 2) for i in range(400)]
+    order = spark.createDataFrame(texts, "doc_id long, text string, y int").orderBy(F.xxhash64("doc_id")).collect()
+    long = {next(r.doc_id for r in order if r.y == y and zlib.crc32(str(r.doc_id).encode()) % 15 not in (0, 1, 4, 5, 7, 10, 13)) for y in (0, 1)} if where == "first" else {r.doc_id for r in order if r.y}
+    rows = [(i, t + " more words\n" * (20_000 if where == "first" else 1_200) * (i in long), y, y) for i, t, y in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
+    for query, bound in ((toxicity, {"sample_words": 4_000}), (quality_crf, {"sample_lines": 2_000})):
+        sample = query.sampled_texts(df, df, "toxic", 5, 0, 1000, 2_000, F.size(F.split("text", r"\s+")))
+        counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+        assert set(counts) == {0, 1} and (where != "first" or min(counts.values()) > 100) and max(counts.values()) > 100
+        model = query.train(df.select("doc_id", "text"), df, **bound)
+        scored = query.score(df.select("doc_id", "text"), model).join(df.select("doc_id", "toxic"), "doc_id").collect()
+        if query is toxicity:
+            assert sum((r.score >= 0.5) == (r.toxic == 1) for r in scored) > 390
+
+
+def test_the_long_document_of_a_labelled_class_is_fitted_last(spark):
+    """5,000,000 words in the first document of each class."""
+    rows = [(i, "fool stone" if i % 2 else "fine stone", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    first = {df.where(F.col("toxic") == y).where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64("doc_id")).first().doc_id for y in (0, 1)}
+    df = df.withColumn("text", F.when(F.col("doc_id").isin(first), F.repeat(F.lit("stone "), 5_000_000)).otherwise(F.col("text")))
+    sample = toxicity.sampled_texts(df, df, "toxic", 5, 0, 4000, toxicity.SAMPLE_WORDS, F.size(F.split("text", r"\s+")))
+    assert {r.label: r["count"] > 15 for r in sample.groupBy("label").count().collect()} == {0: True, 1: True}
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(2)
     x, sizes = rng.normal(size=(9, 3)), np.array([4, 1, 4])

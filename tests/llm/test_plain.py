@@ -1,6 +1,7 @@
 """Operators without SQL against their plain versions."""
 
 import random
+import time
 
 import pytest
 
@@ -103,6 +104,21 @@ def test_notices_with_edits_match_edit_distances():
     assert n > 200
 
 
+def test_notices_in_other_scripts_match_edit_distances():
+    rng, search, n = random.Random(11), licenses.Searcher(), 0
+    for _ in range(60):
+        words = rng.choices("слово é 字字 the".split(), k=rng.randint(0, 3))
+        t = list(rng.choice(licenses.NOTICES)[1])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1, 1])] = rng.choice(["é", "і", " ", "字"])
+        words += "".join(t).split()
+        want = brute_places(words)
+        assert sorted((p["label"], p["first_word"], p["n_words"], p["errors"]) for p in search._fuzzy(f" {' '.join(words)} ")) == want
+        n += len(want)
+    assert n > 50
+
+
 @pytest.mark.parametrize("text, places", [
     ("under teh mit license under the mit license", [("mit", 0, 2, False), ("mit", 4, 0, True)]),
     ("permission is heerby granted free of charge permission is hereby granted free of charge", [("mit", 0, 2, False), ("mit", 7, 0, False)]),
@@ -159,3 +175,24 @@ def test_sample_is_bounded_in_words_and_whole(spark):
     sample = toxicity.sampled_texts(docs, labels, "toxic", 5, 0, 4000, 600, F.size(F.split("text", " ")))
     found = sample.groupBy("label").agg(F.sum(F.size(F.split("text", " "))).alias("n"), F.count("*").alias("rows")).collect()
     assert len(found) == 2 and all(500 < r.n <= 600 and r.rows > 5 for r in found)
+
+
+@pytest.mark.parametrize("text, errors", [
+    ("under the mít license", 1),
+    ("under the mít licénse", 2),
+    ("gnu général public license", 2),
+    ("under the міt license", 2),
+    ("all rights reservèd", 1),
+])
+def test_an_accent_is_one_edit(text, errors):
+    _, spans = licenses.Searcher()(f"слово {text} 字字")
+    assert [(s["first_word"], s["errors"]) for s in spans if not s["base"]] == [(1, errors)]
+
+
+@pytest.mark.parametrize("phrase", ["cc by nc", "all rights reserved", "licensed under cc by nc 4 0", "all rights reservd"])
+def test_many_places_in_one_text_take_linear_time(phrase):
+    search = licenses.Searcher()
+    search("warm " * 10)
+    began = time.process_time()
+    n, spans = search(f"{phrase} " * 100_000)
+    assert time.process_time() - began < 12 and len({s["first_word"] for s in spans}) >= 100_000
