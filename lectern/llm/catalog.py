@@ -82,7 +82,7 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 400-byte strings that start more than once: counts, runs, and hash of what is left."""
-    return suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=400, texts=False)
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

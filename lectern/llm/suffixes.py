@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -226,8 +226,8 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         at, start, digests = [], [], []
         for row in range(batch.num_rows):
             raw = raw_text(batch.column(1)[row].as_py())
-            for d in batch.column(2)[row].as_py():
-                some = range(d["lo"], d["hi"] + 1)
+            for lo, hi in unpacked(batch.column(2)[row]):
+                some = range(lo, hi + 1)
                 digests += [xxhash.xxh3_128_digest(raw[s : s + length]) for s in some]
                 start += some
                 at += [row] * len(some)
@@ -235,6 +235,16 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(np.ascontiguousarray(two[:, 0])), pa.array(two[:, 1].astype(np.int32))], names=["at", "start", "w0", "w1"])
 
 
+def packed(a: str, b: str) -> Column:
+    """Pairs of a group, each as one long."""
+    return F.collect_list(F.col(a).cast("long") + F.shiftleft(F.col(b).cast("long"), 32))
+
+
+def unpacked(pairs: pa.ListScalar) -> list[list[int]]:
+    x = pairs.values.to_numpy(zero_copy_only=False) if pairs.is_valid else np.zeros(0, np.int64)
+    return np.stack([x & 0xFFFFFFFF, x >> 32], axis=1).tolist()
+
+
 def listed(lists: DataFrame, name: str, most: int = LISTED) -> DataFrame:
     """at with a list, staged: to be broadcast if all lists together have at most `most` entries, else joined."""
     held = staged(lists, name)
@@ -272,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_keys: int = FILTER
     least = F.element_at(F.array(*[F.lit(int(length - s.ends[min(d + 1, SYMBOLS)] + (d < SYMBOLS))) for d in range(SYMBOLS + 1)]), F.col("depth") + 1)
     first = runs.select("run", F.col("places")[0].alias("x")).join(doubt.withColumn("least", least), "run")
     starts = first.select("x.at", "x.lo", F.least("x.hi", F.col("x.p") - F.col("least")).alias("hi")).where("lo <= hi")
-    starts = listed(starts.groupBy("at").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")  # bounded by a document
+    starts = listed(starts.groupBy("at").agg(packed("lo", "hi").alias("starts")), "starts")  # bounded by a document
     texts = first_texts.dropDuplicates(["at"]) if isinstance(docs.schema["at"].dataType, StructType) else first_texts  # rows alike have one at
     strings = staged(texts.join(starts, "at").select("at", "text", "starts").mapInArrow(lambda b: _strings(b, length), f"at {kind}, start int, w0 long, w1 int"), "strings")
     again = strings.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1").select("w0", "w1")
@@ -289,30 +299,29 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_keys: int = FILTER
     return spans.groupBy("at", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("g")
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, SHARD_ROWS):
         rows = []
-        for t, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-            raw = np.frombuffer(raw_text(t.as_py()), np.uint8)
-            change = np.zeros(len(raw) + 1, np.int64)
-            for s in spans or []:
-                change[s["start"]] += 1
-                change[min(len(raw), s["stop"])] -= 1
-            gone = np.cumsum(change)[:-1] > 0
-            kept = raw[~gone].tobytes()
-            ends = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            rows.append((len(raw), int(gone.sum()), len(ends) // 2, hashlib.sha256(kept).hexdigest(), kept, ends.tolist()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=["at", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
-
-
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, filter_keys: int = FILTER_KEYS) -> DataFrame:
+        for t, spans in zip(batch.column(1), batch.column(2)):
+            raw = raw_text(t.as_py())
+            kept, at, gone = [], 0, []
+            for start, stop in sorted(unpacked(spans)):  # they neither overlap nor touch
+                kept.append(raw[at:start])
+                at = min(stop, len(raw))
+                gone += [start, at]
+            left = b"".join([*kept, raw[at:]])
+            rows.append((len(raw), len(raw) - len(left), len(gone) // 2, hashlib.sha256(left).hexdigest(), *[left, gone] * texts))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary(), pa.list_(pa.int64())] * texts)
+        yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=["at", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * texts])
+
+
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, filter_keys: int = FILTER_KEYS, texts: bool = True) -> DataFrame:
     """Every document without the bytes of strings of `length` bytes that start more than once in the table.
 
     Strings are of UTF-8 bytes, never cross documents and are judged on the input; all
     occurrences go, the first too. Returns doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256, kept (bytes; a character may be cut), spans (starts and
-    ends of removed runs).
+    removed runs), kept_sha256, and with `texts` kept (bytes; a character may be cut) and
+    spans (starts and ends of removed runs).
 
     Null and empty texts have no bytes. Rows are documents of their own, those with a null
     id or with one id too, so a repeated row of at least `length` bytes goes whole. An
@@ -323,8 +332,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if rows.groupBy("at").count().where(F.col("count") > 1).limit(1).count():
         rows = rows.select(F.struct("at", F.xxhash64("text").alias("th")).alias("at"), "text")
         doc_id = F.col("at.at")
-    spans = listed(repeated_spans(rows, length, filter_keys).groupBy("at").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = listed(repeated_spans(rows, length, filter_keys).groupBy("at").agg(packed("start", "stop").alias("spans")), "spans")
     held = rows.join(spans, "at", "left").select("at", "text", "spans")
-    kinds = f"at {rows.schema['at'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>"
-    done = held.mapInArrow(_removed, kinds)
-    return done.select(F.when(doc_id != _NULL, doc_id).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * texts]
+    kinds = f"at {rows.schema['at'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * texts
+    return held.mapInArrow(lambda b: _removed(b, texts), kinds).select(F.when(doc_id != _NULL, doc_id).alias("doc_id"), *names)
