@@ -71,22 +71,22 @@ def denoised(samples: Column, segments: Column, fade: int) -> Column:
     return F.concat(F.flatten(F.transform(segments, part)), zeros(rest))
 
 
-def centroid_deviation(samples: np.ndarray, rate: int) -> float | None:
+def centroid_deviation(samples: np.ndarray, rate: int, n_fft: int = N_FFT, hop: int = HOP) -> float | None:
     """Sample standard deviation over frames of the spectral centroid; None for too few samples or frames."""
-    if len(samples) < N_FFT:
+    if len(samples) < n_fft:
         return None
-    padded = np.pad(np.asarray(samples, np.float64), N_FFT // 2, mode="reflect")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP]
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
+    padded = np.pad(np.asarray(samples, np.float64), n_fft // 2, mode="reflect")
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
     power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-    centroids = power @ (np.arange(N_FFT // 2 + 1) * rate / N_FFT) / (power.sum(1) + 1e-9)
+    centroids = power @ (np.arange(n_fft // 2 + 1) * rate / n_fft) / (power.sum(1) + 1e-9)
     return float(centroids.std(ddof=1)) if len(centroids) > 1 else None
 
 
-def spectral_deviation(samples: Column, rate: int) -> Column:
+def spectral_deviation(samples: Column, rate: int, n_fft: int = N_FFT, hop: int = HOP) -> Column:
     @F.pandas_udf("double")
     def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda x: centroid_deviation(x, rate), na_action="ignore").astype("Float64")
+        return arrays.map(lambda x: centroid_deviation(x, rate, n_fft, hop), na_action="ignore").astype("Float64")
 
     return run(samples)
 

@@ -40,10 +40,24 @@ def word_gaps(words: DataFrame, least_ms: float) -> DataFrame:
 
 
 def gap_speech(gaps: DataFrame, speech: DataFrame, rate: int) -> DataFrame:
-    """clip_id, idx, speech: samples of speech inside each gap (an overlap join within the clip)."""
-    g = gaps.select("clip_id", "idx", to_samples(F.col("start"), rate).alias("a"), to_samples(F.col("end"), rate).alias("b"))
-    hit = g.join(speech.select("clip_id", "start", "end"), "clip_id").where("start < b and end > a")
-    return hit.groupBy("clip_id", "idx").agg(F.sum(F.least("end", "b") - F.greatest("start", "a")).alias("speech"))
+    """clip_id, idx, speech: samples of speech inside each gap that has any.
+
+    A sweep instead of a join: starts and ends of segments and the edges of gaps are one
+    ordered stream of a clip. With running counts and sums of starts and ends, the speech
+    up to t is t * (starts - ends) - (sum of starts - sum of ends); a gap has the
+    difference between its edges. Segments that overlap count twice where they do.
+    """
+    none = F.lit(0).cast("long")
+    edge = lambda df, t, n, at, idx, sign: df.select("clip_id", t.alias("t"), n.alias("n"), at.alias("at"), idx.alias("idx"), F.lit(sign).alias("sign"))
+    a, b, idx = to_samples(F.col("start"), rate), to_samples(F.col("end"), rate), F.col("idx").cast("long")
+    start, end, one = F.col("start").cast("long"), F.col("end").cast("long"), F.lit(1).cast("long")
+    stream = edge(gaps, a, none, none, idx, -1).unionByName(edge(gaps, b, none, none, idx, 1))
+    held = speech.where("end > start")
+    stream = stream.unionByName(edge(held, start, one, start, F.lit(None).cast("long"), 0)).unionByName(edge(held, end, -one, -end, F.lit(None).cast("long"), 0))
+    upto = Window.partitionBy("clip_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # edges at t add nothing up to t
+    swept = stream.withColumn("f", F.col("t") * F.sum("n").over(upto) - F.sum("at").over(upto)).where("sign <> 0")
+    kind = gaps.schema["idx"].dataType
+    return swept.groupBy("clip_id", F.col("idx").cast(kind).alias("idx")).agg(F.sum(F.col("sign") * F.col("f")).alias("speech")).where("speech > 0")
 
 
 def longest_silence(speech: DataFrame) -> DataFrame:

@@ -89,6 +89,20 @@ def assemble(segments: DataFrame, o: PostOptions, by: str = "doc_id") -> DataFra
     return held.withColumn("offset_s", total - length)
 
 
+def placed_samples(segments: DataFrame, o: PostOptions, by: str = "doc_id") -> DataFrame:
+    """assemble() in whole samples: also out_start, where a segment's slice begins in the output, and out_total, the output's length, silences before and after it included.
+
+    Pauses are truncated to samples each; offset_s, in seconds, is not.
+    """
+    order = Window.partitionBy(by).orderBy("idx")
+    pause = lambda ms: F.greatest(F.lit(0), (ms / 1000 * F.col("rate")).cast("long"))
+    length = F.greatest(F.lit(0).cast("long"), F.col("slice_end") - F.col("slice_start"))
+    held = assemble(segments, o, by)
+    end = F.sum(pause(F.col("pause_ms")) + length).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("out_start", end - length).withColumn("out_end", end)
+    return held.withColumn("out_total", F.max("out_end").over(Window.partitionBy(by)) + pause(F.lit(o.lead_out_ms or 0))).drop("out_end")
+
+
 def shifted_words(words: DataFrame, placed: DataFrame, by: str = "doc_id") -> DataFrame:
     """Words (by, idx, word_idx, word, start, end in seconds) in output time; words without times are left out."""
     held = words.where("start is not null and end is not null").join(placed.select(by, "idx", "slice_start", "rate", "offset_s"), [by, "idx"])

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.lexical import syllables, word_budget
-from lectern.functions.signal import spectral_deviation
-from lectern.operators.intervals import gap_speech, word_gaps
-from lectern.options import AlignmentOptions, ValidationOptions
+from lectern.functions.signal import HOP, N_FFT, spectral_deviation
+from lectern.operators.intervals import gap_speech, loud_segments, word_gaps
+from lectern.operators.samples import CHUNK, clip_levels, sample_index, segment_levels, voiced_samples
+from lectern.operators.words import first_issue, issues
+from lectern.options import AlignmentOptions, PostOptions, ValidationOptions
 
 Check = tuple[str, Column, Column]
 
@@ -31,8 +33,8 @@ def contiguous_silence_check(o: ValidationOptions) -> list[Check]:
 
 
 def duration_check(o: ValidationOptions) -> list[Check]:
-    """Expects syllables, voiced_s, and most_s: the budget of the text (see duration_budget)."""
-    enough, out = F.col("syllables") >= (o.min_syllables_for_duration_validation or 0), []
+    """Expects syllables, voiced_s, and most_s: the budget of the text (see duration_budget). A text of no syllables passes."""
+    enough, out = (F.col("syllables") > 0) & (F.col("syllables") >= (o.min_syllables_for_duration_validation or 0)), []
     if o.min_voiced_duration_per_syllable is not None:
         out.append(_check("too_short", enough & (F.col("voiced_s") < F.col("syllables") * o.min_voiced_duration_per_syllable), "voiced ", F.round("voiced_s", 3)))
     if o.max_voiced_duration_per_syllable is not None:
@@ -96,3 +98,46 @@ def with_spectrum(clips: DataFrame, rate: int, cheap: list[Check]) -> DataFrame:
     return clips.withColumn("centroid_std", spectral_deviation(F.when(ok, F.col("samples")), rate))
 
 
+def measured(clips: DataFrame, chunks: DataFrame, speech: DataFrame, words: DataFrame, rate: int, o: ValidationOptions, post: PostOptions, align: AlignmentOptions, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """What the checks need, one row for each clip, and the speech that passed the energy filter.
+
+    Expects clip_id, text; chunks of samples (clip_id, chunk, samples); speech (clip_id,
+    seg_idx, start, end in samples); words. Speech within max_voiced_dynamic_range_db of
+    the clip's loudest segment is kept: n_found segments, n_removed others. From what is
+    kept come voiced_s, silence_s and clipping (null without any); the level db is the
+    whole clip's, and gaps between words are judged on all speech.
+    """
+    index = sample_index(chunks)
+    levels = clip_levels(index)
+    judged = segment_levels(speech, index, levels, size)
+    kept = loud_segments(judged, post.max_voiced_dynamic_range_db)
+    before = F.lag("end").over(Window.partitionBy("clip_id").orderBy("start", "end"))
+    quiet = F.max(F.greatest(F.lit(0), F.col("start") - F.coalesce("before", F.lit(0))))
+    spoken = kept.withColumn("before", before).groupBy("clip_id").agg(
+        F.count("*").alias("n_found"),
+        (F.sum(F.col("end") - F.col("start")) / rate).alias("voiced_s"),
+        (quiet / rate).alias("silence_s"),
+        F.when(F.sum("n") > 0, 100.0 * F.sum("clipped") / F.sum("n")).otherwise(0.0).alias("clipping"),
+    )
+    all_speech = speech.groupBy("clip_id").agg(F.count("*").alias("n_segments"))
+    aligned = words.groupBy("clip_id").agg(F.count("*").alias("n_aligned"))
+    found = first_issue(issues(words, align)).select("clip_id", F.col("type").alias("issue"))
+    out = clips.select("clip_id", syllables(F.col("text")).alias("syllables"), duration_budget(F.col("text"), o).alias("most_s"))
+    for part in (levels.drop("total"), spoken, all_speech, aligned, found, bad_gaps(words, speech, rate, align)):
+        out = out.join(part, "clip_id", "left")
+    n_found = F.coalesce("n_found", F.lit(0))
+    out = out.withColumns({"n_found": n_found, "n_removed": F.coalesce("n_segments", F.lit(0)) - n_found, "voiced_s": F.coalesce("voiced_s", F.lit(0.0)), "db": F.coalesce("db", F.lit(-180.0))})
+    return out.withColumn("voiced_per_syllable", F.when(F.col("n_found") > 0, F.col("voiced_s") / F.greatest("syllables", F.lit(1)))), kept
+
+
+def judged_clips(clips: DataFrame, chunks: DataFrame, speech: DataFrame, words: DataFrame, rate: int, o: ValidationOptions, post: PostOptions, align: AlignmentOptions, size: int = CHUNK, n_fft: int = N_FFT, hop: int = HOP, report: bool = False) -> DataFrame:
+    """measured() with centroid_std, is_ok and reason: level, then duration, silences, alignment and gaps on kept speech, then clipping and spectrum; the first that fails decides.
+
+    The spectrum is computed for clips that pass all else, or with `report` for all.
+    """
+    held, kept = measured(clips, chunks, speech, words, rate, o, post, align, size)
+    cheap = silence_check(o) + duration_check(o) + contiguous_silence_check(o) + alignment_check() + gap_check(align) + clipping_check(o)
+    held = validated(held, cheap)
+    voiced = voiced_samples(kept if report else kept.join(held.where("is_ok").select("clip_id"), "clip_id", "left_semi"), chunks, size)
+    spectrum = voiced.select("clip_id", spectral_deviation(F.col("samples"), rate, n_fft, hop).alias("centroid_std"))
+    return validated(held.drop("is_ok", "reason").join(spectrum, "clip_id", "left"), cheap + spectral_check(o))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lectern.functions import signal as S
 from lectern.operators import intervals as I
 from lectern.operators import report as R
+from lectern.operators import samples as P
 from lectern.operators import validate as C
 from lectern.operators import words as W
-from lectern.options import AlignmentOptions, ValidationOptions
+from lectern.options import AlignmentOptions, PostOptions, ValidationOptions
 from lectern.plans import views as V
 
 ALIGN, CHECKS = AlignmentOptions(), ValidationOptions()
@@ -83,19 +84,35 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.issues(V.words(spark, sf_dir), ALIGN)
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each clip of words: level, silences, syllables, voiced time, clipping, issues and gaps."""
-    words, speech = V.words(spark, sf_dir), V.segments(spark, sf_dir)
+#: Limits that suit the takes.
+LOOSE = ValidationOptions(max_silence_dbfs=-16.5, min_voiced_duration_per_syllable=0.09, max_voiced_duration_per_syllable=0.16, max_contiguous_silence_s=2.5, max_clipping_percentage=0.1, min_spectral_centroid_std_dev=1.1)
+GAPS, RANGE = AlignmentOptions(gap_min_ms=250, gap_max_speech_ms=130), PostOptions(max_voiced_dynamic_range_db=5.0)
+TAKE_FFT, TAKE_HOP = 16, 4
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple:
     text = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), "text")
-    base = text.select("clip_id", C.syllables(F.col("text")).alias("syllables"), C.duration_budget(F.col("text"), CHECKS).alias("most_s"))
-    spoken = words.groupBy("clip_id").agg(F.count("*").alias("n_aligned"), F.sum(F.col("end") - F.col("start")).alias("voiced_s"), F.sqrt(F.avg(F.col("score") * F.col("score"))).alias("rms"), (100 * F.count_if(F.col("score") >= 0.97) / F.count("*")).alias("clipping"))
-    silence = I.longest_silence(speech).select("clip_id", (F.col("silence") / V.RATE).alias("silence_s"))
-    bad = C.bad_gaps(words, speech, V.RATE, AlignmentOptions(gap_min_ms=250, gap_max_speech_ms=60))
-    found = W.first_issue(W.issues(words, ALIGN)).select("clip_id", F.col("type").alias("issue"))
-    out = base
-    for part in (spoken, silence, bad, found):
-        out = out.join(part, "clip_id", "left")
-    return out.withColumn("db", S.dbfs_of(F.col("rms")))
+    return text, V.takes(spark, sf_dir), V.take_speech(spark, sf_dir), V.take_words(spark, sf_dir), V.TAKE_RATE, LOOSE, RANGE, GAPS, V.TAKE_CHUNK
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each take: level, kept speech, silences, syllables, clipping, issues and gaps."""
+    return C.measured(*_parts(spark, sf_dir))[0]
+
+
+def segment_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = P.sample_index(V.takes(spark, sf_dir))
+    held = P.segment_levels(V.take_speech(spark, sf_dir), index, P.clip_levels(index), V.TAKE_CHUNK)
+    return held.select("clip_id", "seg_idx", "n", "clipped", F.round("db", 6).alias("db"))
+
+
+def kept_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.measured(*_parts(spark, sf_dir))[1].select("clip_id", "seg_idx", "start", "end")
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = C.judged_clips(*_parts(spark, sf_dir), n_fft=TAKE_FFT, hop=TAKE_HOP)
+    return held.select("clip_id", "is_ok", F.split("reason", ":")[0].alias("failed"))
 
 
 def _verdict(*checks):
@@ -105,10 +122,9 @@ def _verdict(*checks):
     return run
 
 
-LOOSE = ValidationOptions(max_contiguous_silence_s=0.7, max_clipping_percentage=3.0, max_silence_dbfs=-10.0)
 ALL = (
     lambda: C.silence_check(LOOSE),
-    lambda: C.duration_check(CHECKS),
+    lambda: C.duration_check(LOOSE),
     lambda: C.contiguous_silence_check(LOOSE),
     C.alignment_check,
     lambda: C.gap_check(ALIGN),
@@ -122,15 +138,19 @@ def spectral_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validated(held, C.silence_check(CHECKS) + C.spectral_check(CHECKS)).select("clip_id", "is_ok")
 
 
-METRICS = ["syllables", "voiced_s", "silence_s", "clipping", "db"]
+METRICS = ["db", "n_found", "n_removed", "voiced_per_syllable", "silence_s", "clipping", "centroid_std"]
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.unpivoted(C.judged_clips(*_parts(spark, sf_dir), n_fft=TAKE_FFT, hop=TAKE_HOP, report=True), METRICS)
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.unpivoted(metrics(spark, sf_dir), METRICS).withColumn("value", F.round("value", 6))
+    return reported(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.summary(R.unpivoted(metrics(spark, sf_dir), METRICS), [*METRICS, "centroid_std"])
+    s = R.summary(reported(spark, sf_dir), [*METRICS, "not computed"])
     return s.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most")])
 
 
@@ -177,32 +197,52 @@ SQL_GAPS = """gaps AS (SELECT * FROM (SELECT clip_id, idx, "end" AS start, lead(
 SQL_GAP_SPEECH = """gap_speech AS (SELECT g.clip_id, g.idx, sum(least(s."end", trunc(g."end" * 24000)::BIGINT) - greatest(s.start, trunc(g.start * 24000)::BIGINT))::BIGINT AS speech
   FROM gaps g JOIN segments s ON g.clip_id = s.clip_id AND s.start < trunc(g."end" * 24000)::BIGINT AND s."end" > trunc(g.start * 24000)::BIGINT GROUP BY 1, 2)"""
 _VOWELS = "[aeiouyáéíóúàèìòùâêîôûäëïöüãõœæ]+"
-SQL_METRICS = f"""{SQL_ISSUES}, {SQL_SILENCE}, {SQL_GAPS.format(ms=250)}, {SQL_GAP_SPEECH},
+_DB = lambda rms: f"CASE WHEN {rms} IS NULL OR {rms} < 1e-9 THEN -180 ELSE 20 * log10({rms}) END"
+_TAKES = f"WITH {V.SQL_TAKE_WORDS}, {V.SQL_TAKE_SPEECH}, {V.SQL_TAKES}"
+SQL_LEVELS = f"""seg_sums AS (SELECT clip_id, seg_idx, start, "end", count(x) AS n, sqrt(avg(x * x)) AS rms, count(*) FILTER (abs(x) >= 0.999) AS clipped
+  FROM segments s LEFT JOIN takes t USING (clip_id) WHERE t.pos IS NULL OR t.pos >= start AND t.pos < "end" GROUP BY ALL),
+seg_levels AS (SELECT s.clip_id, s.seg_idx, s.start, s."end", coalesce(n, 0) AS n, coalesce(clipped, 0) AS clipped, {_DB("rms")} AS db FROM segments s LEFT JOIN seg_sums USING (clip_id, seg_idx)),
+kept AS (SELECT * FROM (SELECT *, max(db) OVER (PARTITION BY clip_id) AS top, count(*) OVER (PARTITION BY clip_id) AS k FROM seg_levels) WHERE k < 2 OR db >= top - 5)"""
+SQL_METRICS = f"""{SQL_ISSUES}, {SQL_LEVELS}, {SQL_GAPS.format(ms=250)}, {SQL_GAP_SPEECH.replace("24000", "40")},
 tok AS (SELECT conv_id * 1000 + turn AS clip_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word FROM conversations),
 cost AS (SELECT clip_id, greatest(1, len(regexp_extract_all(lower(word), '{_VOWELS}')) + len(regexp_extract_all(word, '[0-9A-Za-z_]-[0-9A-Za-z_]'))) AS s, regexp_replace(word, '^{_EDGE}|{_EDGE}$', '', 'g') AS w FROM tok),
-base AS (SELECT clip_id, sum(s)::INT AS syllables, sum(CASE WHEN length(w) >= 7 AND len(list_distinct(string_split(w, ''))) / ln(length(w)) < 1.6 THEN greatest(1, ceil(length(w) / 4.0)) * 0.6 ELSE s * 0.35 END) AS most_s FROM cost GROUP BY 1),
-spoken AS (SELECT clip_id, count(*) AS n_aligned, sum("end" - start) AS voiced_s, sqrt(avg(score * score)) AS rms, 100.0 * count(*) FILTER (score >= 0.97) / count(*) AS clipping FROM words GROUP BY 1),
-bad AS (SELECT clip_id, min(idx) AS bad_gap FROM gap_speech WHERE speech * 1000 / 24000.0 > 60 GROUP BY 1),
-metrics AS (SELECT clip_id, syllables, most_s, n_aligned, voiced_s, clipping, silence / 24000.0 AS silence_s, bad_gap, issue, CASE WHEN rms IS NULL OR rms < 1e-9 THEN -180 ELSE 20 * log10(rms) END AS db
-  FROM base LEFT JOIN spoken USING (clip_id) LEFT JOIN silence USING (clip_id) LEFT JOIN bad USING (clip_id)
+base AS (SELECT clip_id, sum(s)::INT AS syllables, sum(CASE WHEN length(w) >= 7 AND len(list_distinct(string_split(w, ''))) / ln(length(w)) < 1.6 THEN greatest(1, ceil(length(w) / 4.0)) * 0.6 ELSE s * 0.16 END) AS most_s FROM cost GROUP BY 1),
+level AS (SELECT clip_id, {_DB("sqrt(avg(x * x))")} AS db FROM takes GROUP BY 1),
+spoken AS (SELECT clip_id, count(*) AS n_found, sum("end" - start) / 40.0::DOUBLE AS voiced_s, max(greatest(0, start - coalesce(p, 0))) / 40.0::DOUBLE AS silence_s, CASE WHEN sum(n) > 0 THEN 100.0::DOUBLE * sum(clipped) / sum(n) ELSE 0 END AS clipping
+  FROM (SELECT *, lag("end") OVER (PARTITION BY clip_id ORDER BY start, "end") AS p FROM kept) GROUP BY 1),
+aligned AS (SELECT clip_id, count(*) AS n_aligned, count(*) FILTER (idx % 3 <> 1) AS n_segments FROM words GROUP BY 1),
+bad AS (SELECT clip_id, min(idx) AS bad_gap FROM gap_speech WHERE speech * 1000 / 40.0 > 130 GROUP BY 1),
+metrics AS (SELECT clip_id, syllables, most_s, n_aligned, coalesce(n_found, 0) AS n_found, coalesce(n_segments, 0) - coalesce(n_found, 0) AS n_removed, coalesce(voiced_s, 0) AS voiced_s,
+    CASE WHEN n_found > 0 THEN voiced_s / greatest(syllables, 1) END AS voiced_per_syllable, clipping, silence_s, bad_gap, issue, coalesce(db, -180) AS db
+  FROM base LEFT JOIN spoken USING (clip_id) LEFT JOIN level USING (clip_id) LEFT JOIN aligned USING (clip_id) LEFT JOIN bad USING (clip_id)
   LEFT JOIN (SELECT clip_id, arg_min(type, (idx, type)) AS issue FROM issues GROUP BY 1) USING (clip_id))"""
+SQL_CENTROIDS = """voiced AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY seg_idx, pos) - 1 AS i, x FROM kept JOIN takes USING (clip_id) WHERE pos >= start AND pos < "end"),
+long AS (SELECT clip_id, count(*) AS n FROM voiced GROUP BY 1 HAVING count(*) >= 16),
+frames AS (SELECT clip_id, n, unnest(range(n // 4 + 1)) AS f FROM long),
+taps AS (SELECT clip_id, f, k, CASE WHEN j < 0 THEN -j WHEN j >= n THEN 2 * (n - 1) - j ELSE j END AS i FROM (SELECT *, f * 4 + k - 8 AS j FROM frames, (SELECT unnest(range(16)) AS k))),
+bins AS (SELECT k, b, (0.5 - 0.5 * cos(2 * pi() * k / 16)) * cos(2 * pi() * k * b / 16) AS re, (0.5 - 0.5 * cos(2 * pi() * k / 16)) * sin(2 * pi() * k * b / 16) AS im FROM (SELECT unnest(range(16)) AS k), (SELECT unnest(range(9)) AS b)),
+power AS (SELECT clip_id, f, b, sum(x * re) ** 2 + sum(x * im) ** 2 AS p FROM taps JOIN voiced USING (clip_id, i) JOIN bins USING (k) GROUP BY ALL),
+centroids AS (SELECT clip_id, f, sum(p * b * 40 / 16.0) / (sum(p) + 1e-9) AS c FROM power GROUP BY ALL),
+spectrum AS (SELECT clip_id, stddev_samp(c) AS centroid_std FROM centroids GROUP BY 1)"""
 _FAIL = {
-    "v01_silence": [("silence", "db < -10")],
-    "v02_duration": [("too_short", "syllables >= 7 AND voiced_s < syllables * 0.15"), ("too_long", "syllables >= 7 AND voiced_s > most_s")],
-    "v03_contiguous": [("contiguous_silence", "silence_s > 0.7")],
+    "v01_silence": [("silence", "db < -16.5")],
+    "v02_duration": [("too_short", "syllables >= 7 AND voiced_s < syllables * 0.09"), ("too_long", "syllables >= 7 AND voiced_s > most_s")],
+    "v03_contiguous": [("contiguous_silence", "silence_s > 2.5")],
     "v04_alignment": [("no_words", "coalesce(n_aligned, 0) = 0"), ("alignment", "issue IS NOT NULL")],
     "v05_gap_speech": [("gap_speech", "bad_gap IS NOT NULL")],
-    "v06_clipping": [("clipping", "clipping > 3")],
+    "v06_clipping": [("clipping", "clipping > 0.1")],
 }
-_FAIL["v08_first_failure"] = [c for k in ("v01_silence", "v02_duration", "v03_contiguous", "v04_alignment", "v05_gap_speech", "v06_clipping") for c in _FAIL[k]]
+_SEVEN = [c for k in ("v01_silence", "v02_duration", "v03_contiguous", "v04_alignment", "v05_gap_speech", "v06_clipping") for c in _FAIL[k]] + [("spectrum", "syllables >= 7 AND centroid_std < 1.1")]
 
 
-def _sql_verdict(checks: list[tuple[str, str]]) -> str:
+def _sql_verdict(checks: list[tuple[str, str]], more: str = "", table: str = "metrics") -> str:
     case = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in checks) + " END"
-    return f"{_WS}, {SQL_METRICS}, v AS (SELECT clip_id, {case} AS failed FROM metrics) SELECT clip_id, failed IS NULL AS is_ok, failed FROM v"
+    return f"{_TAKES}, {SQL_METRICS}{more}, v AS (SELECT clip_id, {case} AS failed FROM {table}) SELECT clip_id, failed IS NULL AS is_ok, failed FROM v"
 
 
-_UNPIVOT = "UNION ALL ".join(f"SELECT clip_id, '{m}' AS metric, {m}::DOUBLE AS value FROM metrics WHERE {m} IS NOT NULL " for m in METRICS)
+_ALL = f", {SQL_CENTROIDS}"
+_BOTH = "(SELECT * FROM metrics LEFT JOIN spectrum USING (clip_id))"
+_UNPIVOT = "UNION ALL ".join(f"SELECT clip_id, '{m}' AS metric, {m}::DOUBLE AS value FROM {_BOTH} WHERE {m} IS NOT NULL " for m in METRICS)
 
 QUERIES = {
     "a01_dbfs": _signal("db", S.dbfs),
@@ -219,6 +259,8 @@ QUERIES = {
     "i03_word_gaps": lambda s, d: I.word_gaps(V.words(s, d), 200).select("clip_id", "idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end")),
     "i04_longest_silence": lambda s, d: I.longest_silence(V.segments(s, d)),
     "i05_loud_segments": loud,
+    "i05_segment_levels": segment_levels,
+    "i05_kept_speech": kept_speech,
     "w01_severity": lambda s, d: graded(s, d).select("clip_id", "orig_idx", "idx", "word", "severity"),
     "w02_weight": lambda s, d: V.words(s, d).select("clip_id", "idx", F.round(W.word_weight(F.col("word"), 1.0, 0.15), 6).alias("weight")),
     "w03_immediate_fail": lambda s, d: W.immediate_fail(graded(s, d), 3),
@@ -233,7 +275,7 @@ QUERIES = {
     "v05_gap_speech": _verdict(ALL[4]),
     "v06_clipping": _verdict(ALL[5]),
     "v07_spectrum": spectral_verdict,
-    "v08_first_failure": _verdict(*ALL),
+    "v08_first_failure": judged,
     "g01_summary": summary,
     "g02_report": report,
     "g03_aggregates": totals,
@@ -263,9 +305,12 @@ SELECT clip_id, min(k) * 4 AS start, max(k) * 4 + 4 AS "end" FROM r GROUP BY cli
     "w05_dips": f"{_W}, {SQL_GRADED} {_SQL_DIP}",
     "w06_low_windows": f"{_W}, {SQL_GRADED} {_SQL_LOW}",
     "w07_issues": f"{_W}, {SQL_ISSUES} SELECT * FROM issues",
+    "i05_segment_levels": f"{_TAKES}, {SQL_LEVELS} SELECT clip_id, seg_idx, n, clipped, round(db, 6) AS db FROM seg_levels",
+    "i05_kept_speech": f'{_TAKES}, {SQL_LEVELS} SELECT clip_id, seg_idx, start, "end" FROM kept',
     **{k: _sql_verdict(v) for k, v in _FAIL.items()},
-    "g01_summary": f"{_WS}, {SQL_METRICS}, u AS ({_UNPIVOT}), n AS (SELECT unnest(['" + "','".join([*METRICS, "centroid_std"]) + "']) AS metric) SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS most FROM n LEFT JOIN u USING (metric) GROUP BY metric",
-    "g02_report": f"{_WS}, {SQL_METRICS}, u AS ({_UNPIVOT}) SELECT clip_id, metric, round(value, 6) AS value FROM u",
+    "v08_first_failure": _sql_verdict(_SEVEN, _ALL, _BOTH),
+    "g01_summary": f"{_TAKES}, {SQL_METRICS}{_ALL}, u AS ({_UNPIVOT}), n AS (SELECT unnest(['" + "','".join([*METRICS, "not computed"]) + "']) AS metric) SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS most FROM n LEFT JOIN u USING (metric) GROUP BY metric",
+    "g02_report": f"{_TAKES}, {SQL_METRICS}{_ALL}, u AS ({_UNPIVOT}) SELECT clip_id, metric, round(value, 6) AS value FROM u",
     "g03_aggregates": f"{_W} SELECT clip_id, sum(idx)::BIGINT AS s, max(score) AS m, bool_or(score < 0.1) AS any_low, bool_and(score < 0.9) AS all_low, count(*) AS n, count(DISTINCT word) AS d FROM words GROUP BY 1",
     "g04_processed": f"{_W}, c AS (SELECT clip_id, count(*) % 7 = 0 AS bad FROM words GROUP BY 1) SELECT count(*) FILTER (NOT bad) AS n_processed, count(*) FILTER (bad) AS n_failed FROM c",
 }

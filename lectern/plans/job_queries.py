@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import engines as E
 from lectern.operators import jobs as J
+from lectern.operators import samples as P
 from lectern.options import PostOptions
 from lectern.plans import views as V
 from lectern.sources import audio as A
@@ -41,6 +42,20 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.joined_samples(parts).select("doc_id", F.posexplode("samples").alias("pos", "x"))
 
 
+#: Of the assembled takes.
+AUDIO = PostOptions(lead_in_ms=120, lead_out_ms=7_000)
+OUT_CHUNK = 200
+
+
+def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The takes of a conversation cut, with pauses, as chunks of the output; of each its length and two sums of its samples."""
+    chunks = V.takes(spark, sf_dir).select(F.floor(F.col("clip_id") / 1000).alias("doc_id"), (F.col("clip_id") % 1000).alias("idx"), "chunk", "samples")
+    # takes come in chunks of another size than the output's
+    made = P.joined_chunks(J.placed_samples(V.take_timeline(spark, sf_dir), AUDIO), P.rechunked(chunks, V.TAKE_CHUNK, OUT_CHUNK, ("doc_id", "idx")), OUT_CHUNK)
+    weighted = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return made.select("doc_id", "chunk", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(weighted, 6).alias("weighted"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     audio = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".MP3")).alias("path")).where(A.suffix(F.col("path")).isin(*A.AUDIO_SUFFIXES))
@@ -168,6 +183,7 @@ QUERIES = {
     "j09_failures": lambda s, d: J.settled(V.attempts(s, d)).agg(F.count_if(F.col("status") == "FAILED_FINAL").alias("n")),
     "j10_timeline": placed,
     "j10_words": moved_words,
+    "j10_audio": audio,
     "j11_joined": joined,
     "l01_pairs": pairs,
     "l02_results": named_results,
@@ -200,6 +216,23 @@ ORACLES = {
     "j09_failures": f"{_A}, {_SETTLED} SELECT count(*) FILTER (NOT ok) AS n FROM settled",
     "j10_timeline": f"{_PLACED} SELECT doc_id, idx, slice_start, slice_end, pause_ms, round(offset_s, 6) AS offset_s FROM o",
     "j10_words": f"""{_PLACED}, {V.SQL_WORDS} SELECT o.doc_id, o.idx, w.idx AS word_idx, word, round(greatest(0, w.start - slice_start / rate::DOUBLE) + offset_s, 6) AS start, round(greatest(0, w."end" - slice_start / rate::DOUBLE) + offset_s, 6) AS "end" FROM words w JOIN o ON w.clip_id = o.doc_id * 1000 + o.idx""",
+    "j10_audio": f"""WITH {V.SQL_TAKES}, n AS (
+  SELECT *, lag(idx) OVER w IS NULL AS first, lead(idx) OVER w IS NULL AS last, lag(boundary) OVER w AS after FROM (
+    SELECT conv_id AS doc_id, turn AS idx, len(string_split(text, ' ')) * 16 AS n, CASE WHEN turn % 3 = 2 THEN 'PARAGRAPH' ELSE 'SENTENCE' END AS boundary,
+      CASE WHEN turn % 4 <> 3 THEN 6 ELSE 0 END AS vs, CASE WHEN turn % 4 <> 3 THEN len(string_split(text, ' ')) * 16 - 9 ELSE len(string_split(text, ' ')) * 16 END AS ve FROM conversations) WINDOW w AS (PARTITION BY doc_id ORDER BY idx)
+), p AS (
+  SELECT *, CASE WHEN idx % 2 = 0 THEN least(vs, 9) ELSE vs END AS a, least(n, CASE WHEN idx % 2 = 0 THEN greatest(ve, n + 3) ELSE ve END) AS b,
+    trunc(CASE WHEN first THEN 120 WHEN after = 'PARAGRAPH' THEN 600 ELSE 200 END / 1000.0::DOUBLE * 40)::BIGINT AS pause FROM n
+), o AS (
+  SELECT *, greatest(0, b - a) AS l, sum(pause + greatest(0, b - a)) OVER (PARTITION BY doc_id ORDER BY idx) - greatest(0, b - a) AS base FROM p
+), total AS (
+  SELECT doc_id, max(base + l) + 280 AS t FROM o GROUP BY 1
+), x AS (
+  SELECT doc_id, (base + pos - a)::BIGINT AS q, x FROM o JOIN takes ON takes.clip_id = doc_id * 1000 + idx AND pos >= a AND pos < b
+), every AS (
+  SELECT doc_id, unnest(range(t::BIGINT)) AS q FROM total
+)
+SELECT doc_id, q // 200 AS chunk, count(*)::INT AS n, round(sum(coalesce(x, 0)), 6) AS total, round(sum(coalesce(x, 0) * (q % 200 + 1)), 6) AS weighted FROM every LEFT JOIN x USING (doc_id, q) GROUP BY 1, 2""",
     "j11_joined": "SELECT vec_id AS doc_id, unnest(range(len(e)))::INT AS pos, unnest(e) AS x FROM (SELECT vec_id, embedding[1:64]::DOUBLE[] AS e FROM embeddings)",
     "l01_pairs": "SELECT 'in/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.wav' ELSE '.MP3' END AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE doc_id % 9 <> 0",
     "l02_results": "SELECT k AS segment_idx, CASE WHEN k % 4 <> 1 AND k % 3 < 2 THEN len(string_split(text, ' '))::INT END AS n_words, CASE WHEN k % 4 = 1 THEN 'no result' WHEN k % 3 = 2 THEN CASE WHEN k % 2 = 0 THEN 'too short' ELSE 'unknown error' END END AS error FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations)",
