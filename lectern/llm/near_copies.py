@@ -12,7 +12,18 @@ many others, and each time only where the bucket still has several components. S
 group of near copies is joined without taking its pairs. Of two documents still apart,
 those that share a shingle that few have are found by it. Others share only what many
 have, so the number of such shingles in each bounds their similarity, which leaves out
-nearly all pairs of a bucket before they are made. What is left is compared exactly.
+nearly all pairs of a bucket before they are made; one of the two is never in the bucket's
+largest component. What is left is compared exactly.
+
+Pages of one template are alike in nearly all they have, so common shingles bound nothing.
+In a bucket with many components a text is therefore described by its difference from
+what most of the group have: shingles of its own and common ones that it lacks. What two
+texts have in common cancels: at similarity s their differences may differ in (n + m) *
+(1 - s) / (1 + s) shingles at most. So they have to share most of their differences, less
+what that allows, and texts whose differences are their own match none. Shingles that the
+same texts have or lack count as one part with a weight. A text that can miss k of its
+parts has JOINT of those shared among its k + JOINT rarest: pairs are made of texts with a
+set of JOINT such parts in common, which few have who aren't alike.
 """
 
 from __future__ import annotations
@@ -34,6 +45,10 @@ from lectern.llm.simhash import close_links
 BAND, BANDS = 6, 40
 #: Rounds in which the members of a bucket are compared with a centre.
 CENTRES = 3
+#: Buckets with more components than that are searched by what texts differ in.
+LARGE = 64
+#: Parts of differences that have to be shared together, and most that a text may miss for that; with more one part is a key.
+JOINT, MISSED = 4, 8
 #: A shingle is common in more documents than that, else pairs are made of those that have it.
 FEW = 16
 #: Classes of set sizes have this ratio.
@@ -140,8 +155,64 @@ def _common(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held, each.join(counts.where(f"k <= {FEW}"), "g", "left_semi")
 
 
+def _families(members: DataFrame, sets: DataFrame, large: DataFrame) -> DataFrame:
+    """row, root, n, family (rows that large buckets connect), d (shingles that either the row or most of its family has); staged."""
+    held = staged(members.join(large, "value").select("row", "root", "n", "head").distinct(), "large")
+    roots = connected_components(held.select(F.col("row").alias("a"), F.col("head").alias("b")))
+    rows = staged(held.select("row", "root", "n").distinct().join(roots.toDF("row", "family"), "row"), "families")
+    total = rows.groupBy("family").agg(F.count("*").alias("t"))
+    each = sets.join(rows, "row").select("family", F.explode("grams").alias("g"))
+    most = each.groupBy("family", "g").agg(F.count("*").alias("k")).join(total, "family").where("2 * k > t")
+    most = most.groupBy("family").agg(F.collect_list("g").alias("q"))  # at most twice as many as a text of the family has on the average
+    both = rows.join(sets, "row").join(most, "family", "left").withColumn("q", F.coalesce("q", F.array().cast("array<long>")))
+    return staged(both.select("row", "root", "n", "family", F.concat(F.array_except("grams", "q"), F.array_except("q", "grams")).alias("d")), "differences")
+
+
+def _by_difference(members: DataFrame, sets: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of large buckets that may be that similar, by their differences from the family."""
+    rows = _families(members, sets, large)
+    rows = rows.withColumn("e", F.size("d") - F.col("n") * ((1 - similarity) / (1 + similarity)))
+    least = rows.groupBy("family").agg(F.min(F.struct("e", "row")).alias("m")).select("family", F.col("m.e").alias("e0"), F.col("m.row").alias("middle"))
+    rows = staged(rows.join(least, "family").withColumn("need", F.greatest((F.col("e") + F.col("e0")) / 2, F.lit(1e-3))), "needs")
+    # texts that need to share nothing with each other need to share nothing with the one nearest to the family
+    star = rows.where("e + e0 <= 1e-6 and row <> middle").select(F.least("row", "middle").alias("a"), F.greatest("row", "middle").alias("b"))
+    each = rows.select("row", "family", F.explode("d").alias("g"))
+    kinds = each.groupBy("family", "g").agg(F.count("*").alias("c"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("h")).where("c > 1")
+    kinds = kinds.select("family", "g", F.struct("c", F.xxhash64("family", "c", "h").alias("id")).alias("part"))
+    parts = each.join(kinds, ["family", "g"]).groupBy("row", "part").agg(F.count("*").alias("w"))
+    parts = parts.groupBy("row").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.array_sort(F.collect_list("w")).alias("ws"))  # as many as the difference has shingles
+    held = rows.select("row", "root", "family", "need").join(parts, "row")
+    slack = F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w) - F.col("need")
+    missed = F.aggregate("ws", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")), lambda a, w: F.struct((a["n"] + F.when(a["s"] + w <= F.col("slack") + 1e-6, 1).otherwise(0)).cast("long").alias("n"), (a["s"] + w).alias("s")))
+    held = held.withColumn("slack", slack).where("slack >= -1e-6").withColumn("k", missed["n"].cast("int"))
+    held = staged(held.withColumn("tight", (F.size("parts") - F.col("k") >= JOINT) & (F.col("k") <= MISSED)).select("row", "root", "family", "parts", "k", "tight"), "parts")
+    some = held.where("tight").withColumn("ids", F.transform(F.slice("parts", 1, F.col("k") + JOINT), lambda p: p["id"]))
+    for j in range(JOINT):  # every set of JOINT of them, in order
+        at = F.posexplode("ids") if j == 0 else F.posexplode(F.slice("ids", F.col("at") + 2, F.size("ids")))
+        some = some.select("row", "root", "ids", *(["at", "key"] if j else []), at.alias("step", "id"))
+        at = F.col("step") if j == 0 else F.col("at") + 1 + F.col("step")
+        some = some.select("row", "root", "ids", at.cast("int").alias("at"), (F.xxhash64("key", "id") if j else F.xxhash64("id")).alias("key"))
+    other = some.select("key", F.col("row").alias("other"), F.col("root").alias("other_root"))
+    joint = some.join(other, "key").where("row < other and root <> other_root").select(F.col("row").alias("a"), F.col("other").alias("b"))
+    single = held.select("row", "root", "tight", F.explode(F.transform(F.slice("parts", 1, F.col("k") + 1), lambda p: p["id"])).alias("key"))
+    other = single.select("key", F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("tight").alias("also"))
+    loose = single.where("not tight").join(other, "key").where("root <> other_root and (also or row < other)")
+    return star.unionByName(joint).unionByName(loose.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))).distinct()
+
+
 def _possible(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of different components that may be that similar: no other pair of a bucket is."""
+    large = members.groupBy("value").agg(F.countDistinct("root").alias("k"), F.min("row").alias("head")).where(f"k > {LARGE}").select("value", "head")
+    large = staged(large, "large_buckets")
+    if large.limit(1).count():
+        by_difference = _by_difference(members, sets, large, similarity)
+        members = staged(members.join(large, "value", "left_anti"), "others")
+        return by_difference.unionByName(_by_counts(members, sets, similarity)).distinct()
+    return _by_counts(members, sets, similarity)
+
+
+def _by_counts(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs of buckets with few components: by shingles that few have, and by how many common ones each has."""
     held, few = _common(members, sets)
     bound = (1 + similarity) / similarity  # common >= similarity * union says: common * bound >= n + m
     may = lambda common: common * bound + 1e-6 >= F.col("n") + F.col("m")
@@ -154,7 +225,9 @@ def _possible(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     of = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(SIZE_STEP)).cast("int")
     in_bucket = members.select("row", "value").join(held, "row")
     least, most = F.col("n") * similarity, F.least(F.col("f") * bound - F.col("n"), F.col("n") / similarity)
-    seekers = in_bucket.where(most >= least - 1e-6).withColumn("size", F.explode(F.sequence(of(least - 1e-6), of(most + 1e-6))))
+    main = members.groupBy("value", "root").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+    seekers = in_bucket.join(main, "value").where((F.col("root") != F.col("main")) & (most >= least - 1e-6)).drop("main")
+    seekers = seekers.withColumn("size", F.explode(F.sequence(of(least - 1e-6), of(most + 1e-6))))
     other = in_bucket.select("value", of(F.col("n").cast("double")).alias("size"), F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("f").alias("h"))
     by_size = seekers.join(other.where(F.col("h") * bound + 1e-6 >= F.col("m") * (1 + similarity)), ["value", "size"]).where(apart & may(F.least("f", "h")))
     return by_few.unionByName(by_size.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))).distinct()

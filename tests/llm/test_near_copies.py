@@ -65,3 +65,30 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows)
     assert sorted((r.doc_id, r.component_id) for r in got) == want and 5 < len({c for _, c in want}) < 250
+
+
+def template(n, changed, seed):
+    """Pages of one template with some of 40 blocks of their own; some change the same blocks, and a few are one another's copies."""
+    rng, rows = random.Random(seed), []
+    blocks = [" ".join(f"t{i}_{j}" for j in range(8)) for i in range(40)]
+    for d in range(n):
+        page, at = list(blocks), rng.sample(range(40), changed) if d % 3 else rng.sample(range(5), min(5, changed))
+        for i in at:
+            page[i] = " ".join(f"d{d}_{i}_{j}" for j in range(8))
+        if d % 11 == 5:
+            page = rows[-1][1].split("\n")
+            page[rng.randrange(40)] = f"one other line {d}"
+        rows.append((d, "\n".join(page)))
+    return rows
+
+
+def test_pages_of_one_template_match_brute_force(spark, monkeypatch):
+    made, staged = [], near_copies.staged
+    monkeypatch.setattr(near_copies, "LARGE", 8)
+    monkeypatch.setattr(near_copies, "staged", lambda df, name: (lambda out: (made.append(out.count()) if name == "rest" else None, out)[1])(staged(df, name)))
+    for changed in (3, 5):
+        rows = template(160, changed, changed)
+        got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        want = brute(rows)
+        assert sorted((r.doc_id, r.component_id) for r in got) == want and 2 < len({c for _, c in want}) < 160
+    assert made[-1] < 160 * 159 / 2 / 4
