@@ -9,6 +9,7 @@ from lectern.functions import signal as S
 from lectern.operators import intervals as I
 from lectern.operators import report as R
 from lectern.operators import samples as P
+from lectern.operators import speech as D
 from lectern.operators import validate as C
 from lectern.operators import words as W
 from lectern.options import AlignmentOptions, PostOptions, ValidationOptions
@@ -67,6 +68,18 @@ def speech_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("clip_id", F.explode("segments").alias("s")).select("clip_id", "s.start", "s.end")
 
 
+#: Frames and rules of the takes' speech.
+VAD_FRAME = 8
+VAD = PostOptions(vad_threshold=0.62, vad_min_silence_ms=500, vad_min_speech_ms=900, vad_speech_pad_ms=350)
+
+
+def speech_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech of the takes by hysteresis, least silence and speech, and padding; times for 50 samples a second."""
+    takes = V.takes(spark, sf_dir)
+    lengths = takes.groupBy("clip_id").agg(F.sum(F.size("samples")).alias("total"))
+    return D.speech_segments(D.frame_probabilities(takes, VAD_FRAME), lengths, VAD, V.TAKE_RATE, VAD_FRAME, 50)
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_speech(V.segments(spark, sf_dir), V.words(spark, sf_dir), V.RATE)
 
@@ -254,6 +267,7 @@ QUERIES = {
     "a07_fade": faded,
     "a08_denoise": denoised,
     "a09_speech_runs": speech_runs,
+    "a09_speech_rules": speech_rules,
     "i01_coalesce": merged,
     "i02_gap_speech": lambda s, d: I.gap_speech(I.word_gaps(V.words(s, d), 200), V.segments(s, d), V.RATE),
     "i03_word_gaps": lambda s, d: I.word_gaps(V.words(s, d), 200).select("clip_id", "idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end")),
@@ -293,6 +307,17 @@ ORACLES = {
 f AS (SELECT clip_id, pos // 4 AS k, sqrt(avg(x * x)) AS rms FROM e WHERE pos // 4 < n GROUP BY ALL),
 r AS (SELECT clip_id, k, k - row_number() OVER (PARTITION BY clip_id ORDER BY k) AS g FROM f WHERE 20 * log10(greatest(rms, 1e-9)) >= -8)
 SELECT clip_id, min(k) * 4 AS start, max(k) * 4 + 4 AS "end" FROM r GROUP BY clip_id, g""",
+    "a09_speech_rules": f"""WITH {V.SQL_TAKES}, f AS (SELECT clip_id, pos // 8 AS f, sqrt(avg(x * x)) AS rms FROM takes GROUP BY ALL),
+m AS (SELECT clip_id, f, CASE WHEN rms / (rms + 0.1) >= 0.62 THEN 1 WHEN rms / (rms + 0.1) < 0.62 - 0.15 THEN 0 END AS mark FROM f),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY f ROWS UNBOUNDED PRECEDING), 0) AS sp FROM m),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY clip_id ORDER BY f) AS r FROM (SELECT *, (sp <> coalesce(lag(sp) OVER (PARTITION BY clip_id ORDER BY f), 0))::INT AS ch FROM s)),
+runs AS (SELECT clip_id, r, min(sp) AS sp, min(f) AS a, max(f) FILTER (mark = 0) AS low FROM r GROUP BY ALL),
+e AS (SELECT *, sp = 0 AND coalesce((low - a) * 8 >= 20, false) AS e FROM runs),
+g AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY clip_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e),
+k AS (SELECT clip_id, min(a * 8) FILTER (sp = 1) AS s, max(a * 8) FILTER (e) AS z FROM g GROUP BY clip_id, g),
+t AS (SELECT k.clip_id, s, coalesce(z, n) AS z, n FROM k JOIN turns USING (clip_id) WHERE s IS NOT NULL),
+w AS (SELECT *, s - lag(z) OVER o AS b, lead(s) OVER o - z AS c, row_number() OVER o - 1 AS i FROM t WHERE z - s > 36 WINDOW o AS (PARTITION BY clip_id ORDER BY s))
+SELECT clip_id, i::INT AS seg_idx, trunc(greatest(0, s - CASE WHEN b < 28 THEN b // 2 ELSE 14 END) * 1.25::DOUBLE)::BIGINT AS start, trunc(least(n, z + CASE WHEN c < 28 THEN c // 2 ELSE 14 END) * 1.25::DOUBLE)::BIGINT AS "end" FROM w""",
     "i01_coalesce": f"{_WS}, {SQL_MERGED}",
     "i02_gap_speech": f"{_WS}, {SQL_GAPS.format(ms=200)}, {SQL_GAP_SPEECH} SELECT * FROM gap_speech",
     "i03_word_gaps": f'{_W}, {SQL_GAPS.format(ms=200)} SELECT clip_id, idx, round(start, 6) AS start, round("end", 6) AS "end" FROM gaps',

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions import lexical as L
 from lectern.functions import text as T
 from lectern.operators import chunking as C
+from lectern.operators import jobs as J
+from lectern.operators import retries as R
 from lectern.options import TextOptions
 from lectern.plans import text_sql as Q
 from lectern.plans import views as V
@@ -55,6 +57,44 @@ acc AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {{'done': []::VAR
 SELECT doc_id, unnest(range(len(c)))::INT AS chunk_idx, unnest(c) AS text FROM (SELECT doc_id, list_append(r.done, r.now) AS c FROM acc)"""
 
 
+#: Limits of the rounds that chunk until the last chunk is no short one; the second candidate's are 40 lower.
+LIMITS = [500, 380, 300, 220]
+
+
+def _chunk_rounds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    docs = V.noisy_documents(spark, sf_dir).select(F.col("doc_id").alias("segment_idx"), T.normalize_whitespace(F.col("text")).alias("t"))
+    docs = docs.select("segment_idx", F.filter(F.transform(T.split_sentences(F.col("t"), "none"), T.strip), lambda s: s != "").alias("s"))
+
+    def attempt(pending: DataFrame, k: int) -> DataFrame:
+        made = pending.select(*R.KEYS, *[C.greedy_chunks(F.col("s"), LIMITS[k] - 40 * c).alias(f"c{c}") for c in (0, 1)])
+        made = made.select(*R.KEYS, F.when(F.col("candidate_idx") == 0, F.col("c0")).otherwise(F.col("c1")).alias("c")).where("size(c) > 0")
+        last, limit = F.length(F.element_at("c", -1)), LIMITS[k] - 40 * F.col("candidate_idx")
+        held = made.select(*R.KEYS, F.size("c").alias("n_chunks"), last.alias("last"), (last * 2 >= limit).alias("ok"))
+        return held.withColumn("reason", F.concat(F.lit("last chunk of "), F.col("last").cast("string")))
+
+    jobs = J.job_grid(docs, 2)
+    return R.retried(jobs, attempt, len(LIMITS) - 1)
+
+
+def chunk_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chunked with falling limits until their last chunk is long enough: the outcome of each candidate."""
+    return R.outcome(_chunk_rounds(spark, sf_dir)).select("segment_idx", "candidate_idx", "attempt", "n_chunks", "last", "reason", "status")
+
+
+def chunk_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many jobs each round made and passed."""
+    return R.work(_chunk_rounds(spark, sf_dir))
+
+
+_SQL_RETRIES = f"""WITH {V.SQL_NOISE}, {_SQL_SENTENCES},
+flat AS (SELECT doc_id AS segment_idx, list(length(text) ORDER BY para_idx, sent_idx) AS s FROM sents WHERE text <> '' GROUP BY doc_id),
+jobs AS (SELECT segment_idx, s, c::INT AS candidate_idx, a::INT AS attempt, ({LIMITS})[a + 1] - 40 * c AS most FROM flat, (SELECT unnest(range(2)) AS c), (SELECT unnest(range({len(LIMITS)})) AS a)),
+made AS (SELECT * EXCLUDE (s), list_reduce(list_transform(s, lambda x: {{'n': 1, 'size': x, 'most': most}}), lambda p, q: {{
+    'n': p.n + CASE WHEN p.size + q.size + 1 <= p.most THEN 0 ELSE 1 END, 'size': CASE WHEN p.size + q.size + 1 <= p.most THEN p.size + q.size + 1 ELSE q.size END, 'most': p.most}}) AS r FROM jobs),
+judged AS (SELECT segment_idx, candidate_idx, attempt, r.n::INT AS n_chunks, r.size::INT AS last, r.size * 2 >= most AS ok FROM made),
+tried AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY segment_idx, candidate_idx ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM judged)"""
+
+
 def chunk_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.round(C.chunk_cost(F.col("n_chars"), DEFAULT), 6).alias("cost"))
 
@@ -193,6 +233,8 @@ QUERIES = {
     "c04_cost": chunk_costs,
     "c05_balanced": _strategy("balanced"),
     "c06_greedy": greedy,
+    "j05_retries": chunk_retries,
+    "j05_work": chunk_work,
     "c06_greedy_split": _strategy("greedy"),
     "c07_simple": _strategy("simple"),
     "c08_paragraph": _strategy("paragraph"),
@@ -236,6 +278,9 @@ ORACLES = {
     "c02_paragraphs": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, count(DISTINCT para_idx) AS n_paragraphs FROM sents GROUP BY doc_id",
     "c04_cost": "SELECT doc_id, CASE WHEN n_chars > 500 THEN 'inf'::DOUBLE ELSE round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) END AS cost FROM documents",
     "c06_greedy": _SQL_GREEDY,
+    "j05_retries": f"""{_SQL_RETRIES} SELECT segment_idx, candidate_idx, attempt, n_chunks, last, CASE WHEN NOT ok THEN 'last chunk of ' || last END AS reason, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED_FINAL' END AS status
+  FROM tried WHERE NOT done QUALIFY row_number() OVER (PARTITION BY segment_idx, candidate_idx ORDER BY attempt DESC) = 1""",
+    "j05_work": f"{_SQL_RETRIES} SELECT attempt, count(*) AS n_jobs, count(*) FILTER (ok) AS n_passed FROM tried WHERE NOT done GROUP BY 1",
     "c09_boundaries": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, para_idx, sent_idx AS chunk_idx, CASE WHEN lead(para_idx) OVER (PARTITION BY doc_id ORDER BY para_idx, sent_idx) <> para_idx THEN 'PARAGRAPH' ELSE 'SENTENCE' END AS boundary FROM sents",
     "c11_empty": "SELECT doc_id, 'nothing to say' AS error FROM documents WHERE doc_id % 10 = 0",
     "f01_syllables": f"SELECT conv_id, turn, sum(s)::BIGINT AS syllables FROM (SELECT conv_id, turn, {_SQL_SYLL} AS s FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\\s+')) AS word FROM conversations)) GROUP BY ALL",
