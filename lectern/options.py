@@ -132,6 +132,7 @@ class PostOptions:
     silence_paragraph_ms: int = 600
     silence_fallback_ms: int = 150
     normalize_audio: bool = True
+    normalize_method: str = "ebu"
     normalize_level: float = -18.0
     lead_in_ms: int | None = None
     lead_out_ms: int | None = None
@@ -150,6 +151,8 @@ class PostOptions:
         _within("normalize_level", self.normalize_level, -70, -5)
         _within("lead_in_ms", self.lead_in_ms, 0, 10_000, null=True)
         _within("lead_out_ms", self.lead_out_ms, 0, 10_000, null=True)
+        if self.normalize_method not in ("ebu", "peak"):
+            raise ValueError(f"unknown method {self.normalize_method!r}")
         if self.export_format not in ("mp3", "wav", "flac"):
             raise ValueError(f"unknown export format {self.export_format!r}")
 

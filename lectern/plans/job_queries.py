@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import engines as E
 from lectern.operators import jobs as J
+from lectern.operators import loudness as N
 from lectern.operators import samples as P
 from lectern.options import PostOptions
 from lectern.plans import views as V
@@ -47,15 +48,25 @@ AUDIO = PostOptions(lead_in_ms=120, lead_out_ms=7_000)
 OUT_CHUNK = 200
 
 
-def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The takes of a conversation cut, with pauses, as chunks of the output; of each its length and two sums of its samples."""
+def _audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = V.takes(spark, sf_dir).select(F.floor(F.col("clip_id") / 1000).alias("doc_id"), (F.col("clip_id") % 1000).alias("idx"), "chunk", "samples")
     # takes come in chunks of another size than the output's
-    made = P.joined_chunks(J.placed_samples(V.take_timeline(spark, sf_dir), AUDIO), P.rechunked(chunks, V.TAKE_CHUNK, OUT_CHUNK, ("doc_id", "idx")), OUT_CHUNK)
+    return P.joined_chunks(J.placed_samples(V.take_timeline(spark, sf_dir), AUDIO), P.rechunked(chunks, V.TAKE_CHUNK, OUT_CHUNK, ("doc_id", "idx")), OUT_CHUNK)
+
+
+def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The takes of a conversation cut, with pauses, as chunks of the output; of each its length and two sums of its samples."""
+    made = _audio(spark, sf_dir)
     weighted = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return made.select("doc_id", "chunk", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(weighted, 6).alias("weighted"))
 
 
+def audio_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loudness and highest sample of each assembled conversation, as if it had 4,000 samples a second."""
+    found = N.loudness(_audio(spark, sf_dir).withColumnRenamed("doc_id", "clip_id"), 4000)
+    return found.select(F.col("clip_id").alias("doc_id"), F.round("loudness", 6).alias("loudness"), "peak")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     audio = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".MP3")).alias("path")).where(A.suffix(F.col("path")).isin(*A.AUDIO_SUFFIXES))
@@ -184,6 +195,7 @@ QUERIES = {
     "j10_timeline": placed,
     "j10_words": moved_words,
     "j10_audio": audio,
+    "a10_loudness": audio_loudness,
     "j11_joined": joined,
     "l01_pairs": pairs,
     "l02_results": named_results,
