@@ -5,12 +5,39 @@ Names, defaults and ranges are fixed values.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from dataclasses import asdict, dataclass, field
 
 STRATEGIES = ("paragraph", "balanced", "greedy", "simple")
 
 
+#: Where the ranges and choices of a class are noted while limits() makes one.
+_NOTED: ContextVar[dict | None] = ContextVar("noted", default=None)
+
+
+def limits(cls: type) -> dict[str, dict]:
+    """By field: low, high and null of a range, or choices; as the class checks them."""
+    token = _NOTED.set({})
+    try:
+        cls()
+        return _NOTED.get()
+    finally:
+        _NOTED.reset(token)
+
+
+def _note(name: str, **limit) -> None:
+    if (noted := _NOTED.get()) is not None:
+        noted[name] = limit
+
+
+def _one_of(name: str, value, choices: tuple, called: str) -> None:
+    _note(name, choices=choices)
+    if value not in choices:
+        raise ValueError(f"unknown {called} {value!r}")
+
+
 def _within(name: str, value, low, high=None, null: bool = False) -> None:
+    _note(name, low=low, high=high, null=null)
     if value is None and null:
         return
     if value is None or value < low or (high is not None and value > high):
@@ -37,8 +64,7 @@ class TextOptions:
     max_chunk_length: int = 500
 
     def __post_init__(self) -> None:
-        if self.chunking_strategy not in STRATEGIES:
-            raise ValueError(f"unknown chunking strategy {self.chunking_strategy!r}")
+        _one_of("chunking_strategy", self.chunking_strategy, STRATEGIES, "chunking strategy")
         _within("min_scene_break_length", self.min_scene_break_length, 2)
         _within("max_repeated_alpha_chars", self.max_repeated_alpha_chars, 1, null=True)
         _within("max_repeated_symbol_chars", self.max_repeated_symbol_chars, 1, null=True)
@@ -151,10 +177,8 @@ class PostOptions:
         _within("normalize_level", self.normalize_level, -70, -5)
         _within("lead_in_ms", self.lead_in_ms, 0, 10_000, null=True)
         _within("lead_out_ms", self.lead_out_ms, 0, 10_000, null=True)
-        if self.normalize_method not in ("ebu", "peak"):
-            raise ValueError(f"unknown method {self.normalize_method!r}")
-        if self.export_format not in ("mp3", "wav", "flac"):
-            raise ValueError(f"unknown export format {self.export_format!r}")
+        _one_of("normalize_method", self.normalize_method, ("ebu", "peak"), "method")
+        _one_of("export_format", self.export_format, ("mp3", "wav", "flac"), "export format")
 
 
 @dataclass(frozen=True)

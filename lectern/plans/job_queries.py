@@ -12,6 +12,7 @@ from lectern.operators import samples as P
 from lectern.options import PostOptions
 from lectern.plans import views as V
 from lectern.sources import audio as A
+from lectern.sources import requests as Q
 
 POST = PostOptions(lead_in_ms=120)
 
@@ -67,6 +68,18 @@ def audio_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("clip_id").alias("doc_id"), F.round("loudness", 6).alias("loudness"), "peak")
 
 
+def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each error of requests whose options run through and beyond their ranges; one without for those that have none."""
+    i = F.col("segment_idx")
+    text = F.format_string(
+        '{"text": "%s", "best_of": %d, "max_retries": %d, "validation": {"max_silence_dbfs": -%d, "alignment": {"window_size": %d}}, "text_processing": {"chunking_strategy": "%s"}, "field%d": 1',
+        F.when(i % 11 == 0, "").otherwise("hello"), i % 13, i % 25, i % 140, i % 20, F.get(F.array(*map(F.lit, ("greedy", "simple", "odd"))), (i % 3).cast("int")), i % 4,
+    )
+    reqs = turns(spark, sf_dir).select("segment_idx", F.concat(text, F.when(i % 17 == 0, "").otherwise("}")).alias("json"), F.when(i % 19 == 0, "none").otherwise("tone").alias("engine"))
+    held = Q.checked(reqs, ["tone"]).select("segment_idx", "status", F.array_join("unknown", ",").alias("unknown"), F.explode_outer("errors").alias("e"))
+    return held.select("segment_idx", "status", "unknown", "e.path", "e.problem")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     audio = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".MP3")).alias("path")).where(A.suffix(F.col("path")).isin(*A.AUDIO_SUFFIXES))
@@ -202,6 +215,7 @@ QUERIES = {
     "l03_results": keyed_results,
     "l07_lookup": severity_lookup,
     "s01_requests": requests,
+    "s01_checked": checked_requests,
     "s02_files": folder,
     "s04_manifest": manifest,
     "s04_entries": manifest_entries,
@@ -254,6 +268,16 @@ SELECT doc_id, q // 200 AS chunk, count(*)::INT AS n, round(sum(coalesce(x, 0)),
     "u05_batch_sizes": "WITH RECURSIVE r AS (SELECT unnest([1, 2, 10, 64]) AS n, 0 AS step, unnest([1, 2, 10, 64]) AS size UNION ALL SELECT n, step + 1, (CASE WHEN step = 0 THEN n - greatest(1, n // 5) ELSE size // 2 END)::INT FROM r WHERE size > 1) SELECT n, step, size FROM r",
     "u07_voices": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 997)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN embeddings v ON v.vec_id::VARCHAR = token",
     "l07_lookup": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, (CASE WHEN length(word) >= 7 THEN 0.55 WHEN length(word) >= 4 THEN 0.45 WHEN length(word) >= 2 THEN 0.35 ELSE 0.25 END)::DOUBLE AS threshold FROM words",
+    "s01_checked": """WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (
+  SELECT i, '' AS path, 'malformed JSON' AS problem FROM t WHERE i % 17 = 0
+  UNION ALL SELECT i, 'text', 'text is empty' FROM t WHERE i % 11 = 0 AND i % 17 <> 0
+  UNION ALL SELECT i, 'best_of', 'outside 1 to 10' FROM t WHERE i % 13 NOT BETWEEN 1 AND 10 AND i % 17 <> 0
+  UNION ALL SELECT i, 'max_retries', 'outside 0 to 20' FROM t WHERE i % 25 > 20 AND i % 17 <> 0
+  UNION ALL SELECT i, 'validation.max_silence_dbfs', 'outside -120 to -10' FROM t WHERE i % 140 NOT BETWEEN 10 AND 120 AND i % 17 <> 0
+  UNION ALL SELECT i, 'validation.alignment.window_size', 'outside 3 to 15' FROM t WHERE i % 20 NOT BETWEEN 3 AND 15 AND i % 17 <> 0
+  UNION ALL SELECT i, 'text_processing.chunking_strategy', 'none of paragraph, balanced, greedy, simple' FROM t WHERE i % 3 = 2 AND i % 17 <> 0)
+SELECT t.i AS segment_idx, (CASE WHEN t.i % 19 = 0 THEN 404 WHEN problem IS NOT NULL THEN 422 ELSE 200 END)::INT AS status, CASE WHEN t.i % 17 = 0 THEN '' ELSE 'field' || t.i % 4 END AS unknown, path, problem
+FROM t LEFT JOIN e ON e.i = t.i""",
     "s01_requests": "WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (SELECT i, CASE WHEN i % 7 = 0 THEN 'unknown engine' WHEN i % 5 = 0 THEN 'malformed JSON' WHEN i % 5 = 1 THEN 'text is empty' WHEN i % 13 NOT BETWEEN 1 AND 10 THEN 'best_of is out of range' END AS error FROM t) SELECT i AS segment_idx, (CASE WHEN i % 7 = 0 THEN 404 WHEN error IS NOT NULL THEN 422 ELSE 200 END)::INT AS status, error FROM e",
     "s04_manifest": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, key, json_extract(props, '$.' || key)::INT AS value FROM k",
     "s04_entries": "SELECT doc_id::VARCHAR AS id, 'a/' || doc_id AS path, text FROM documents WHERE doc_id % 4 <> 0 AND text <> ''",
