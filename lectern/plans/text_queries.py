@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import lexical as L
 from lectern.functions import text as T
+from lectern.operators import batching as B
 from lectern.operators import chunking as C
 from lectern.operators import jobs as J
 from lectern.operators import retries as R
@@ -86,6 +87,17 @@ def chunk_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.work(_chunk_rounds(spark, sf_dir))
 
 
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of at most 20,000 characters with padding; a longer one is alone."""
+    items = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("n_chars").alias("n"))
+    return B.batch_waste(B.packed(items, 20_000))
+
+
+_SQL_BATCHES = f"""WITH r AS (SELECT doc_id, n_chars AS n, len(list_filter({B.range_bounds()}, lambda b: b <= n_chars))::INT AS size_range FROM documents),
+k AS (SELECT *, greatest(1, 20000 // greatest(max(n) OVER (PARTITION BY size_range), 1)) AS per, row_number() OVER (PARTITION BY size_range ORDER BY n DESC, doc_id) - 1 AS i FROM r)
+SELECT size_range, 0::BIGINT AS part, (i // per)::BIGINT AS batch, count(*) AS n_items, (count(*) * max(n))::BIGINT AS padded, (count(*) * max(n) - sum(n))::BIGINT AS waste FROM k GROUP BY size_range, i // per"""
+
+
 _SQL_RETRIES = f"""WITH {V.SQL_NOISE}, {_SQL_SENTENCES},
 flat AS (SELECT doc_id AS segment_idx, list(length(text) ORDER BY para_idx, sent_idx) AS s FROM sents WHERE text <> '' GROUP BY doc_id),
 jobs AS (SELECT segment_idx, s, c::INT AS candidate_idx, a::INT AS attempt, ({LIMITS})[a + 1] - 40 * c AS most FROM flat, (SELECT unnest(range(2)) AS c), (SELECT unnest(range({len(LIMITS)})) AS a)),
@@ -232,6 +244,7 @@ QUERIES = {
     "c03_force_split": force_split,
     "c04_cost": chunk_costs,
     "c05_balanced": _strategy("balanced"),
+    "a11_batches": padded_batches,
     "c06_greedy": greedy,
     "j05_retries": chunk_retries,
     "j05_work": chunk_work,
@@ -277,6 +290,7 @@ ORACLES = {
     "c01_sentences": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT * FROM sents",
     "c02_paragraphs": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, count(DISTINCT para_idx) AS n_paragraphs FROM sents GROUP BY doc_id",
     "c04_cost": "SELECT doc_id, CASE WHEN n_chars > 500 THEN 'inf'::DOUBLE ELSE round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) END AS cost FROM documents",
+    "a11_batches": _SQL_BATCHES,
     "c06_greedy": _SQL_GREEDY,
     "j05_retries": f"""{_SQL_RETRIES} SELECT segment_idx, candidate_idx, attempt, n_chunks, last, CASE WHEN NOT ok THEN 'last chunk of ' || last END AS reason, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED_FINAL' END AS status
   FROM tried WHERE NOT done QUALIFY row_number() OVER (PARTITION BY segment_idx, candidate_idx ORDER BY attempt DESC) = 1""",
