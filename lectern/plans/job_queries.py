@@ -9,6 +9,7 @@ from lectern.operators import engines as E
 from lectern.operators import jobs as J
 from lectern.operators import loudness as N
 from lectern.operators import samples as P
+from lectern.operators import voices as VO
 from lectern.options import PostOptions
 from lectern.plans import views as V
 from lectern.sources import audio as A
@@ -80,6 +81,34 @@ def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("segment_idx", "status", "unknown", "e.path", "e.problem")
 
 
+def voice_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of requests, a turn each, against a store of 40 voices: hits, misses, invalid tokens and evictions."""
+    t = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), (F.col("turn") % 3).alias("b"), F.col("conv_id"))
+    content = F.concat(F.lit("voice "), F.when(F.col("b") == 1, F.col("conv_id") % 37).otherwise(F.col("conv_id") % 60).cast("string"))
+    named = F.col("conv_id") % 5 == 4
+    reqs = t.select("request_id", "b", F.when(~named, content).alias("content"), F.when(named, VO.voice_token(content)).alias("token"))
+    store, out = VO.empty_store(reqs, "double"), None
+    for b in range(3):
+        answers, after = VO.served(store, reqs.where(F.col("b") == b), lambda m: m.select("token", F.length("content").cast("double").alias("voice")), b, 40)
+        gone = store.select("token").unionByName(answers.where("outcome = 'miss'").select("token").distinct()).join(after.select("token"), "token", "left_anti")
+        counts = answers.agg(*[F.count_if(F.col("outcome") == k).alias(f"n_{k}") for k in ("hit", "miss", "invalid")])
+        row = counts.join(F.broadcast(gone.agg(F.count("*").alias("n_evicted")))).join(F.broadcast(after.agg(F.count("*").alias("n_kept")))).withColumn("batch", F.lit(b))
+        out, store = row if out is None else out.unionByName(row), after
+    return out
+
+
+def _sql_voices() -> str:
+    parts = ["""t AS (SELECT conv_id * 1000 + turn AS r, turn % 3 AS b, 'voice ' || CASE WHEN turn % 3 = 1 THEN conv_id % 37 ELSE conv_id % 60 END AS c, conv_id % 5 = 4 AS named FROM conversations),
+q AS (SELECT r, b, named, sha256(strlen(c) || ':' || c) AS token FROM t), s0 AS (SELECT '' AS token, 0 AS used WHERE false)"""]
+    for b in range(3):
+        parts.append(f"""m{b} AS (SELECT DISTINCT token FROM q WHERE b = {b} AND NOT named AND token NOT IN (SELECT token FROM s{b})),
+a{b} AS (SELECT r, token, CASE WHEN token IN (SELECT token FROM s{b}) THEN 'hit' WHEN token IN (SELECT token FROM m{b}) THEN 'miss' ELSE 'invalid' END AS o FROM q WHERE b = {b}),
+e{b} AS (SELECT token, CASE WHEN token IN (SELECT token FROM a{b} WHERE o <> 'invalid') THEN {b} ELSE used END AS used FROM (SELECT token, used FROM s{b} UNION ALL SELECT token, {b} FROM m{b})),
+s{b + 1} AS (SELECT token, used FROM e{b} ORDER BY used DESC, token LIMIT 40)""")
+    rows = [f"SELECT {b} AS batch, count(*) FILTER (o = 'hit') AS n_hit, count(*) FILTER (o = 'miss') AS n_miss, count(*) FILTER (o = 'invalid') AS n_invalid, (SELECT count(*) FROM e{b} WHERE token NOT IN (SELECT token FROM s{b + 1})) AS n_evicted, (SELECT count(*) FROM s{b + 1}) AS n_kept FROM a{b}" for b in range(3)]
+    return "WITH " + ",\n".join(parts) + " " + " UNION ALL ".join(rows)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents")
     audio = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".wav").otherwise(".MP3")).alias("path")).where(A.suffix(F.col("path")).isin(*A.AUDIO_SUFFIXES))
@@ -215,6 +244,7 @@ QUERIES = {
     "l03_results": keyed_results,
     "l07_lookup": severity_lookup,
     "s01_requests": requests,
+    "u07_store": voice_batches,
     "s01_checked": checked_requests,
     "s02_files": folder,
     "s04_manifest": manifest,
@@ -268,6 +298,7 @@ SELECT doc_id, q // 200 AS chunk, count(*)::INT AS n, round(sum(coalesce(x, 0)),
     "u05_batch_sizes": "WITH RECURSIVE r AS (SELECT unnest([1, 2, 10, 64]) AS n, 0 AS step, unnest([1, 2, 10, 64]) AS size UNION ALL SELECT n, step + 1, (CASE WHEN step = 0 THEN n - greatest(1, n // 5) ELSE size // 2 END)::INT FROM r WHERE size > 1) SELECT n, step, size FROM r",
     "u07_voices": "WITH t AS (SELECT conv_id * 1000 + turn AS segment_idx, ((conv_id * 1000 + turn) % 997)::VARCHAR AS token FROM conversations) SELECT segment_idx, token, CASE WHEN v.vec_id IS NULL THEN 'INVALID_TOKEN' END AS error FROM t LEFT JOIN embeddings v ON v.vec_id::VARCHAR = token",
     "l07_lookup": f"WITH {V.SQL_WORDS} SELECT clip_id, idx, (CASE WHEN length(word) >= 7 THEN 0.55 WHEN length(word) >= 4 THEN 0.45 WHEN length(word) >= 2 THEN 0.35 ELSE 0.25 END)::DOUBLE AS threshold FROM words",
+    "u07_store": _sql_voices(),
     "s01_checked": """WITH t AS (SELECT conv_id * 1000 + turn AS i FROM conversations), e AS (
   SELECT i, '' AS path, 'malformed JSON' AS problem FROM t WHERE i % 17 = 0
   UNION ALL SELECT i, 'text', 'text is empty' FROM t WHERE i % 11 = 0 AND i % 17 <> 0
