@@ -16,7 +16,8 @@ nearly all pairs of a bucket before they are made; one of the two is never in th
 largest component. What is left is compared exactly.
 
 Pages of one template are alike in nearly all they have, so common shingles bound nothing.
-In a bucket with many components a text is therefore described by its difference from
+In a bucket with many components, where some members would get over a hundred partners
+each, a text is therefore described by its difference from
 what most of the group have: shingles of its own and common ones that it lacks. What two
 texts have in common cancels: at similarity s their differences may differ in (n + m) *
 (1 - s) / (1 + s) shingles at most. So they have to share most of their differences, less
@@ -45,8 +46,8 @@ from lectern.llm.simhash import close_links
 BAND, BANDS = 6, 40
 #: Rounds in which the members of a bucket are compared with a centre.
 CENTRES = 3
-#: Buckets with more components than that are searched by what texts differ in.
-LARGE = 64
+#: Buckets with more components than LARGE, where common shingles leave over DENSE pairs a member (by those of about SEEKERS members), are searched by what texts differ in.
+LARGE, DENSE, SEEKERS = 64, 100, 64
 #: Parts of differences that have to be shared together, and most that a text may miss for that; with more one part is a key.
 JOINT, MISSED = 4, 8
 #: A shingle is common in more documents than that, else pairs are made of those that have it.
@@ -200,19 +201,39 @@ def _by_difference(members: DataFrame, sets: DataFrame, large: DataFrame, simila
     return star.unionByName(joint).unionByName(loose.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))).distinct()
 
 
-def _possible(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of different components that may be that similar: no other pair of a bucket is."""
-    large = members.groupBy("value").agg(F.countDistinct("root").alias("k"), F.min("row").alias("head")).where(f"k > {LARGE}").select("value", "head")
+def _seeking(members: DataFrame, held: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Members that seek others of their bucket by size (all but the largest component's), a row for each size, and those sought."""
+    bound = (1 + similarity) / similarity
+    of = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(SIZE_STEP)).cast("int")
+    in_bucket = members.select("row", "value").join(held, "row")
+    main = members.groupBy("value", "root").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+    least, most = F.col("n") * similarity, F.least(F.col("f") * bound - F.col("n"), F.col("n") / similarity)
+    seekers = in_bucket.join(main, "value").where((F.col("root") != F.col("main")) & (most >= least - 1e-6)).drop("main")
+    seekers = seekers.withColumn("size", F.explode(F.sequence(of(least - 1e-6), of(most + 1e-6))))
+    other = in_bucket.select("value", of(F.col("n").cast("double")).alias("size"), F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("f").alias("h"))
+    return seekers, other.where(F.col("h") * bound + 1e-6 >= F.col("m") * (1 + similarity))
+
+
+def _by_size(seekers: DataFrame, other: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that the numbers of their common shingles leave possible."""
+    may = F.least("f", "h") * ((1 + similarity) / similarity) + 1e-6 >= F.col("n") + F.col("m")
+    return seekers.join(other, ["value", "size"]).where((F.col("root") != F.col("other_root")) & may)
+
+
+def _dense(members: DataFrame, seekers: DataFrame, other: DataFrame, similarity: float) -> DataFrame:
+    """value, head of large buckets in which common shingles would leave over DENSE pairs a member; estimated from some SEEKERS members each. Staged."""
+    large = members.groupBy("value").agg(F.countDistinct("root").alias("k"), F.count("*").alias("t"), F.min("row").alias("head")).where(f"k > {LARGE}").select("value", "head", "t")
     large = staged(large, "large_buckets")
-    if large.limit(1).count():
-        by_difference = _by_difference(members, sets, large, similarity)
-        members = staged(members.join(large, "value", "left_anti"), "others")
-        return by_difference.unionByName(_by_counts(members, sets, similarity)).distinct()
-    return _by_counts(members, sets, similarity)
+    if not large.limit(1).count():
+        return large.select("value", "head")
+    step = F.ceil(F.col("t") / SEEKERS)
+    some = seekers.join(large.select("value", "t"), "value").where(F.pmod(F.xxhash64("row", "value"), step) == 0)
+    found = _by_size(some, other, similarity).groupBy("value", "t").agg(F.count("*").alias("c"))
+    return staged(large.join(found.where(F.col("c") * F.ceil(F.col("t") / SEEKERS) > DENSE * F.col("t")).select("value"), "value", "left_semi").select("value", "head"), "dense_buckets")
 
 
-def _by_counts(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs of buckets with few components: by shingles that few have, and by how many common ones each has."""
+def _possible(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of different components that may be that similar: no other pair of a bucket is."""
     held, few = _common(members, sets)
     bound = (1 + similarity) / similarity  # common >= similarity * union says: common * bound >= n + m
     may = lambda common: common * bound + 1e-6 >= F.col("n") + F.col("m")
@@ -222,15 +243,14 @@ def _by_counts(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     by_few = few.join(other, "g").where(apart & (F.col("row") < F.col("other"))).groupBy("row", "other", "n", "m", "f", "h").agg(F.count("*").alias("r"))
     by_few = by_few.where(may(F.least("f", "h") + F.col("r"))).select(F.col("row").alias("a"), F.col("other").alias("b"))
     # by common shingles alone: a row seeks the sizes that its own number of them leaves possible
-    of = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(SIZE_STEP)).cast("int")
-    in_bucket = members.select("row", "value").join(held, "row")
-    least, most = F.col("n") * similarity, F.least(F.col("f") * bound - F.col("n"), F.col("n") / similarity)
-    main = members.groupBy("value", "root").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
-    seekers = in_bucket.join(main, "value").where((F.col("root") != F.col("main")) & (most >= least - 1e-6)).drop("main")
-    seekers = seekers.withColumn("size", F.explode(F.sequence(of(least - 1e-6), of(most + 1e-6))))
-    other = in_bucket.select("value", of(F.col("n").cast("double")).alias("size"), F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("f").alias("h"))
-    by_size = seekers.join(other.where(F.col("h") * bound + 1e-6 >= F.col("m") * (1 + similarity)), ["value", "size"]).where(apart & may(F.least("f", "h")))
-    return by_few.unionByName(by_size.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))).distinct()
+    seekers, other = _seeking(members, held, similarity)
+    dense, by_difference = _dense(members, seekers, other, similarity), None
+    if dense.limit(1).count():
+        by_difference = _by_difference(members, sets, dense, similarity)
+        seekers = seekers.join(dense.select("value"), "value", "left_anti")
+    by_size = _by_size(seekers, other, similarity).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
+    found = by_few.unionByName(by_size)
+    return (found if by_difference is None else found.unionByName(by_difference)).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -85,6 +85,7 @@ def template(n, changed, seed):
 def test_pages_of_one_template_match_brute_force(spark, monkeypatch):
     made, staged = [], near_copies.staged
     monkeypatch.setattr(near_copies, "LARGE", 8)
+    monkeypatch.setattr(near_copies, "DENSE", 2)
     monkeypatch.setattr(near_copies, "staged", lambda df, name: (lambda out: (made.append(out.count()) if name == "rest" else None, out)[1])(staged(df, name)))
     for changed in (3, 5):
         rows = template(160, changed, changed)
