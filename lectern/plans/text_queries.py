@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import hyphens as H
 from lectern.functions import lexical as L
 from lectern.functions import text as T
 from lectern.operators import batching as B
@@ -87,6 +88,20 @@ def chunk_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.work(_chunk_rounds(spark, sf_dir))
 
 
+def hyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllables of conversation turns by hyphenation patterns of a rule."""
+    table = H.broadcast_patterns(spark.createDataFrame([(p,) for p in H.vowel_patterns()], "pattern string"))
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", H.hyphen_syllables(F.col("text"), table).alias("syllables"))
+
+
+_SQL_HYPHENS = """WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM conversations),
+c AS (SELECT conv_id, turn, w, lower(w) AS l FROM w),
+n AS (SELECT conv_id, turn, len(list_filter(range(2, length(l) - 1), lambda i:
+    (regexp_full_match(substr(l, i, 3), '[aeiou][b-df-hj-np-tv-z][aeiou]')) OR (i > 1 AND regexp_full_match(substr(l, i - 1, 4), '[aeiou][b-df-hj-np-tv-z][b-df-hjkmnp-qst-tv-z][aeiou]'))))
+    + length(w) - length(replace(w, '-', '')) + 1 AS s FROM c)
+SELECT t.conv_id, t.turn, coalesce(sum(s), 0)::BIGINT AS syllables FROM conversations t LEFT JOIN n USING (conv_id, turn) GROUP BY ALL"""
+
+
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in batches of at most 20,000 characters with padding; a longer one is alone."""
     items = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("n_chars").alias("n"))
@@ -245,6 +260,7 @@ QUERIES = {
     "c04_cost": chunk_costs,
     "c05_balanced": _strategy("balanced"),
     "a11_batches": padded_batches,
+    "f01_hyphens": hyphenated,
     "c06_greedy": greedy,
     "j05_retries": chunk_retries,
     "j05_work": chunk_work,
@@ -291,6 +307,7 @@ ORACLES = {
     "c02_paragraphs": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, count(DISTINCT para_idx) AS n_paragraphs FROM sents GROUP BY doc_id",
     "c04_cost": "SELECT doc_id, CASE WHEN n_chars > 500 THEN 'inf'::DOUBLE ELSE round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) END AS cost FROM documents",
     "a11_batches": _SQL_BATCHES,
+    "f01_hyphens": _SQL_HYPHENS,
     "c06_greedy": _SQL_GREEDY,
     "j05_retries": f"""{_SQL_RETRIES} SELECT segment_idx, candidate_idx, attempt, n_chunks, last, CASE WHEN NOT ok THEN 'last chunk of ' || last END AS reason, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED_FINAL' END AS status
   FROM tried WHERE NOT done QUALIFY row_number() OVER (PARTITION BY segment_idx, candidate_idx ORDER BY attempt DESC) = 1""",
