@@ -159,10 +159,11 @@ def verbalised(paragraphs: Column, verbalise: Verbaliser, language: str) -> Colu
     return run(paragraphs)
 
 
-def sentences(text: Column, o: TextOptions, verbalise: Verbaliser | None = None) -> Column:
+def sentences(text: Column, o: TextOptions, verbalise: Verbaliser | None = None, split: Callable[[Column], Column] | None = None) -> Column:
     """Array of paragraphs, each an array of finished sentences, of a prepared text.
 
-    `verbalise` may spell out numbers, dates and the like before sentences are finished.
+    `verbalise` may spell out numbers, dates and the like before sentences are finished;
+    `split` cuts a paragraph instead of split_sentences().
     Each step is a transform() of its own: what a lambda is given is computed once.
     """
 
@@ -174,9 +175,10 @@ def sentences(text: Column, o: TextOptions, verbalise: Verbaliser | None = None)
     def finished(s: Column) -> Column:
         return F.trim(F.lower(full_stop(s))) if o.to_lowercase else full_stop(s)
 
+    cut = split or (lambda p: split_sentences(p, o.text_language))
     each = lambda ps, rule: F.transform(ps, lambda p: F.transform(p, rule))
     paragraphs = F.filter(F.split(text, r"\n\n+"), lambda p: p != "")
-    found = F.transform(paragraphs, lambda p: F.transform(split_sentences(p, o.text_language), local))
+    found = F.transform(paragraphs, lambda p: F.transform(cut(p), local))
     if verbalise is not None:
         found = verbalised(found, verbalise, o.text_language)
     done = each(each(found, one_space), finished)

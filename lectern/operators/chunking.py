@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.sentence_ends import split_learned, with_ends
 from lectern.options import TextOptions
 
 # Places to cut a text that is too long, the best first.
@@ -102,11 +103,18 @@ def split_long(sentences: Column, limit: int) -> Column:
     return run(sentences)
 
 
-def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str = "doc_id", text_col: str = "text", verbalise: T.Verbaliser | None = None) -> DataFrame:
-    """doc_id, chunk_idx, text, boundary, n_chars: a row for each chunk. A row stays in its partition; each text goes to the chunker once."""
+def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str = "doc_id", text_col: str = "text", verbalise: T.Verbaliser | None = None, learned: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
+    """doc_id, chunk_idx, text, boundary, n_chars: a row for each chunk. A row stays in its partition; each text goes to the chunker once.
+
+    With `learned`, of learned_ends(), sentences end by what it says of the document's language.
+    """
     o = o or TextOptions()
-    held = docs.select(F.col(id_col).alias("doc_id"), T.prepared(F.col(text_col), o).alias("__t"))
-    held = held.select("doc_id", T.sentences(F.col("__t"), o, verbalise).alias("__p"))
+    split, ends = None, []
+    if learned is not None:
+        docs, ends = with_ends(docs, learned, lang_col), ["__ends"]
+        split = lambda p: split_learned(p, F.col("__ends"))
+    held = docs.select(F.col(id_col).alias("doc_id"), T.prepared(F.col(text_col), o).alias("__t"), *ends)
+    held = held.select("doc_id", T.sentences(F.col("__t"), o, verbalise, split).alias("__p"))
     held = held.select("doc_id", F.posexplode_outer(_chunker(o)("__p")).alias("chunk_idx", "__c")).where("__c is not null")
     return held.select("doc_id", "chunk_idx", F.col("__c.text").alias("text"), F.col("__c.boundary").alias("boundary"), F.length("__c.text").alias("n_chars"))
 

@@ -12,6 +12,7 @@ from lectern.operators import batching as B
 from lectern.operators import chunking as C
 from lectern.operators import jobs as J
 from lectern.operators import retries as R
+from lectern.operators import sentence_ends as E
 from lectern.options import TextOptions
 from lectern.plans import text_sql as Q
 from lectern.plans import views as V
@@ -43,6 +44,54 @@ sents AS (SELECT doc_id, para_idx, unnest(range(len(s)))::INT AS sent_idx, trim(
   SELECT doc_id, para_idx, list_filter(string_split(regexp_replace(regexp_replace(p, '([.?!]["''’”)]?){Q.WS}+', '\\1' || chr(57344), 'g'), '\\n+', chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS s FROM paras))"""
 
 
+def learned_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form that a full stop follows somewhere, with its counts and whether it is an abbreviation."""
+    return E.abbreviations(E.form_counts(V.abbreviated_documents(spark, sf_dir)))
+
+
+def learned_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, starter: forms that start sentences."""
+    learned = E.learned_ends(V.abbreviated_documents(spark, sf_dir))
+    return learned.select("lang", F.explode("starters").alias("starter"))
+
+
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sent_idx, text by learned sentence ends."""
+    docs = V.abbreviated_documents(spark, sf_dir)
+    held = E.with_ends(docs, E.learned_ends(docs)).select("doc_id", E.split_learned(F.col("text"), F.col("__ends")).alias("s"))
+    return held.select("doc_id", F.posexplode("s").alias("sent_idx", "text"))
+
+
+def _sql_form(word: str) -> str:
+    return rf"lower(regexp_replace({word}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'))"
+
+
+_SPACE = Q.WS.replace(r"\s", r"\t\n\f\r ")
+_SQL_ENDS = rf"""{V.sql_planted()},
+listed AS (SELECT coalesce(lang, '') AS lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM planted),
+toks AS (SELECT lang, unnest(ws) AS w, unnest(list_concat(ws[2:], [''])) AS ahead, unnest(list_concat([''], ws[:-2])) AS back FROM listed WHERE len(ws) > 0),
+shaped AS (SELECT lang, ahead, {_sql_form('w')} AS f, back FROM toks),
+formed AS (SELECT lang, regexp_replace(f, '\.+$', '') AS form, regexp_matches(f, '[^.]\.$') AS dot, ahead, back, {_sql_form('back')} AS b FROM shaped WHERE regexp_matches(f, '\p{{L}}')),
+counts AS (SELECT lang, form, count(*) AS n_all, count(*) FILTER (dot) AS n_dot, count(DISTINCT (ascii(ahead) * 31 + length(ahead)) % 63) FILTER (dot AND ahead <> '') AS kinds FROM formed GROUP BY ALL),
+judged AS (SELECT *, length(form) - length(replace(form, '.', '')) AS inner_, length(replace(form, '.', '')) AS letters, sum(n_dot) OVER w / sum(n_all) OVER w AS p FROM counts WINDOW w AS (PARTITION BY lang)),
+abbr AS (SELECT lang, form, n_all, n_dot, kinds, n_dot >= {E.LEAST} AND kinds >= {E.LEAST_KINDS} AND exp(-letters) * (inner_ + 1) * pow(letters, -{E.PENALTY_OF} * (n_all - n_dot) / n_all)
+    * -2 * (n_dot * ln(p) + CASE WHEN n_all > n_dot THEN (n_all - n_dot) * ln(1 - p) ELSE 0 END - n_dot * ln({E.SURE}::DOUBLE) - (n_all - n_dot) * ln(1 - {E.SURE}::DOUBLE)) >= {E.ABBREVIATION_SCORE} AS abbreviation FROM judged WHERE n_dot > 0),
+begun AS (SELECT f.lang, f.form, count(*) AS k FROM formed f LEFT JOIN (SELECT lang, form FROM abbr WHERE abbreviation) a ON a.lang = f.lang AND a.form = regexp_replace(f.b, '\.+$', '') AND f.back LIKE '%.'
+  WHERE regexp_matches(f.back, '[.?!]$') AND a.form IS NULL GROUP BY ALL),
+ratios AS (SELECT b.lang, b.form, k::DOUBLE AS k, n_all::DOUBLE AS n, (sum(k) OVER (PARTITION BY b.lang))::DOUBLE AS s, t.words AS nn FROM begun b JOIN counts c ON c.lang = b.lang AND c.form = b.form JOIN (SELECT lang, sum(n_all)::DOUBLE AS words FROM counts GROUP BY lang) t ON t.lang = b.lang),
+odds AS (SELECT *, n / nn AS p, k / s AS p1, CASE WHEN nn > s THEN (n - k) / (nn - s) ELSE 0 END AS p2 FROM ratios),
+xlog AS (SELECT *, list_transform([{{'x': k, 'q': p, 'z': -2}}, {{'x': s - k, 'q': 1 - p, 'z': -2}}, {{'x': n - k, 'q': p, 'z': -2}}, {{'x': nn - s - n + k, 'q': 1 - p, 'z': -2}}, {{'x': k, 'q': p1, 'z': 2}}, {{'x': s - k, 'q': 1 - p1, 'z': 2}}, {{'x': n - k, 'q': p2, 'z': 2}}, {{'x': nn - s - n + k, 'q': 1 - p2, 'z': 2}}], lambda r: CASE WHEN r.x = 0 THEN 0.0::DOUBLE ELSE r.z * r.x * ln(r.q) END) AS terms FROM odds),
+starts AS (SELECT lang, form FROM xlog WHERE list_sum(terms) >= {E.STARTER_SCORE} AND k * nn >= {E.STARTER_LIFT} * n * s)"""
+_SQL_LEARNED = rf"""WITH {_SQL_ENDS},
+cut AS (SELECT doc_id, coalesce(lang, '') AS lang, string_split(regexp_replace(regexp_replace(text, '\n+', chr(57344), 'g'), '([.?!]["''’”)]?)({_SPACE})', '\1' || chr(57346) || '\2', 'g'), chr(57346)) AS ps FROM planted),
+pieces AS (SELECT doc_id, lang, unnest(range(len(ps))) AS i, unnest(ps) AS p, unnest(list_concat(ps[2:], [''])) AS ahead FROM cut),
+ends AS (SELECT doc_id, lang, i, p, regexp_extract(ahead, '^{_SPACE}*([^{_SPACE[1:]}+)', 1) AS a, regexp_replace({_sql_form(f"regexp_extract(p, '([^{_SPACE[1:]}+)$', 1)")}, '\.+$', '') AS last FROM pieces),
+whole AS (SELECT doc_id, string_agg(p || CASE WHEN p LIKE '%.' AND x.form IS NOT NULL AND NOT (y.form IS NOT NULL AND regexp_matches(a, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}')) THEN '' ELSE chr(57344) END, '' ORDER BY i) AS t FROM ends e
+  LEFT JOIN (SELECT lang, form FROM abbr WHERE abbreviation) x ON x.lang = e.lang AND x.form = e.last LEFT JOIN starts y ON y.lang = e.lang AND y.form = regexp_replace({_sql_form('e.a')}, '\.+$', '') GROUP BY doc_id),
+sents AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(57344)), lambda x: regexp_replace(x, '^{_SPACE}+', '')), lambda x: x <> '') AS s FROM whole)
+SELECT doc_id, unnest(range(len(s)))::INT AS sent_idx, unnest(s) AS text FROM sents"""
+
+
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, chunk_idx, text of greedy chunks, sentences above the limit left whole."""
     docs = V.noisy_documents(spark, sf_dir).select("doc_id", T.normalize_whitespace(F.col("text")).alias("t"))
@@ -255,6 +304,9 @@ QUERIES = {
     "t12_verbalised": lambda s, d: finished_sentences(s, d, spelt),
     "t15_prepare": finished_sentences,
     "c01_sentences": sentences_flat,
+    "c01_abbreviations": learned_abbreviations,
+    "c01_starters": learned_starters,
+    "c01_learned": learned_sentences,
     "c02_paragraphs": lambda s, d: sentences_flat(s, d).groupBy("doc_id").agg(F.countDistinct("para_idx").alias("n_paragraphs")),
     "c03_force_split": force_split,
     "c04_cost": chunk_costs,
@@ -304,6 +356,9 @@ ORACLES = {
     "c08_paragraph": Q.chunk_query("noisy", V.SQL_NOISE, "paragraph"),
     "c10_entry_point": f"SELECT doc_id, count(*) AS n_chunks, max(n_chars) AS longest FROM ({Q.chunk_query('documents', '', 'paragraph')}) GROUP BY doc_id",
     "c01_sentences": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT * FROM sents",
+    "c01_abbreviations": f"WITH {_SQL_ENDS} SELECT lang, form, n_all, n_dot, kinds, abbreviation FROM abbr",
+    "c01_starters": f"WITH {_SQL_ENDS} SELECT lang, form AS starter FROM starts",
+    "c01_learned": _SQL_LEARNED,
     "c02_paragraphs": f"WITH {V.SQL_NOISE}, {_SQL_SENTENCES} SELECT doc_id, count(DISTINCT para_idx) AS n_paragraphs FROM sents GROUP BY doc_id",
     "c04_cost": "SELECT doc_id, CASE WHEN n_chars > 500 THEN 'inf'::DOUBLE ELSE round(pow((n_chars - 300) / 300.0::DOUBLE, 2) * CASE WHEN n_chars < 150 THEN 2 ELSE 1 END, 6) END AS cost FROM documents",
     "a11_batches": _SQL_BATCHES,

@@ -23,6 +23,25 @@ NOISE = ["First part.\n\nSecond part.", "A scene.\n***\nNext", "What?!?!?! Yes,,
 SQL_NOISE = "noisy AS (SELECT doc_id, lang, ([" + ", ".join("'" + n.replace("\n", "' || chr(10) || '") + "'" for n in NOISE) + "])[doc_id % 8 + 1] || ' ' || text AS text FROM documents)"
 
 
+def abbreviated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with some common words written as abbreviations."""
+    text = F.col("text")
+    for word, short in PLANTED.items():
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {short} "))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", text.alias("text"))
+
+
+#: Common words, and the abbreviations that stand for them.
+PLANTED = {"with": "Capt.", "for": "approx.", "die": "bzgl.", "le": "env.", "los": "p.ej.", "was": "e.g."}
+
+
+def sql_planted() -> str:
+    text = "text"
+    for word, short in PLANTED.items():
+        text = f"replace({text}, ' {word} ', ' {short} ')"
+    return f"planted AS (SELECT doc_id, lang, {text} AS text FROM documents)"
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, idx, word, start, end, score of the words of conversations."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), F.split("text", " ").alias("w"))
