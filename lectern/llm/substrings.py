@@ -4,12 +4,14 @@ An edge is a window of `window` words. Every word sequence of that length has a
 short k-mer (by hash), the same one wherever it stands, so only windows matter whose
 least k-mer is the least of some other window too. Successive edges of a document with
 one least k-mer form a path and are one row from the start, which carries a 128-bit digest
-of all its words; joins on k-mer and digest find its occurrences, whose words are thereby
-the same, and all of which but the first, by source coordinates, are repeats. Where a
-k-mer has one path the graph does not branch. Where it has more, the windows of each
-path's first occurrence are compared one by one. Repeated paths that follow each other
-both in their document and at the place they repeat are then compacted into one long span
-with the coordinates of both.
+of all its words; joins on the digest find its occurrences, whose words are thereby the
+same. A path has one way in if all its occurrences follow the same path, and that one has
+one way out if it occurs no more often: such paths are linked, and links are followed into
+chains, the unbranched paths of the graph. Only a chain's head is then joined with its
+occurrences: all but the first are repeats of the whole chain, from the source coordinates
+of the first. Chains that follow each other in both documents are put together into long
+spans. Where a k-mer has several paths, the windows of each path's first occurrence are
+compared one by one besides.
 
 An occurrence is where a document first has an edge; what it has again is a repeat
 without any join.
@@ -130,8 +132,8 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
     """Paths of each document: runs of windows with one least k-mer, and what repeats inside the document.
 
     Only windows whose least k-mer may repeat count, where the document first has them. A
-    path has its k-mer m, a digest of its words (d0, d1), the hashes of its windows, and
-    stop 0. A run of windows that the document had before is one row from pos to stop.
+    path has its k-mer m, a digest of its words (d0, d1), its number of windows and their
+    hashes, and stop 0. A run of windows that the document had before is one row from pos to stop.
     """
     make = _Hasher(window)
     for batch in portions(batches):
@@ -168,7 +170,8 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, may_repeat) -> Iterato
         both = lambda k, j: np.concatenate([x for p in parts for x in (p[k], p[j] if j else np.zeros(len(p[4]), p[k].dtype))] or [none])
         stop = np.concatenate([x for p in parts for x in (np.zeros(len(p[1]), np.int64), p[5])])
         digests = [pa.array(both(k, None)) for k in (6, 7)]
-        yield pa.record_batch([_signed(both(0, None)), *digests, _repeated(batch.column(0), sizes), pa.array(both(1, 4).astype(np.int32)), pa.array(stop.astype(np.int32)), ones], names=["m", "d0", "d1", "at", "pos", "stop", "ones"])
+        ints = [pa.array(x.astype(np.int32)) for x in (both(1, 4), stop, both(2, None))]
+        yield pa.record_batch([_signed(both(0, None)), *digests, _repeated(batch.column(0), sizes), *ints, ones], names=["m", "d0", "d1", "at", "pos", "stop", "length", "ones"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -217,7 +220,7 @@ def repeated_runs(docs: DataFrame, seeds: DataFrame, window: int, kind: str, fil
     """
     often = seeds.groupBy("m").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1 or more").select("m")
     often = staged(often, "repeated")
-    schema = f"m long, d0 long, d1 long, at {kind}, pos int, stop int, ones array<long>"
+    schema = f"m long, d0 long, d1 long, at {kind}, pos int, stop int, length int, ones array<long>"
     n = often.count()
     if n <= filter_keys:
         keys = _bloom_keys(often)
@@ -264,14 +267,15 @@ def repeated_spans(docs: DataFrame, window: int = 20, filter_keys: int = FILTER_
     runs = staged(repeated_runs(first_texts, seeds, window, kind, filter_keys), "runs")
     # a path is known by its k-mer and the digest of its words
     path = ["m", "d0", "d1"]
-    found = runs.where("stop = 0").select(*path, "at", "pos", "ones")
-    paths = staged(found.groupBy(*path).agg(F.count("*").alias("n"), F.min(F.struct("at", "pos", "ones")).alias("first")), "paths")
-    again = found.select(*path, "at", "pos").join(paths.where("n > 1").select(*path, F.struct("first.at", "first.pos").alias("f"), F.size("first.ones").alias("length")), path).where(F.struct("at", "pos") != F.col("f"))
-    whole = compacted(again.select("at", "pos", "length", F.col("f.at").alias("source"), F.col("f.pos").alias("source_pos")), window)
+    found = runs.where("stop = 0")
+    paths = found.groupBy(*path).agg(F.count("*").alias("n"), F.max("length").alias("length"), F.min(F.struct("at", "pos")).alias("first"))
+    paths = staged(paths, "paths")
+    whole = compacted(repeated_chains(found, paths), window)
     # where paths branch at a k-mer, their windows are compared one by one, each path's first occurrence alone
     forks = small(staged(paths.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "forks"), COPIES_ROWS)
-    steps = paths.join(forks, "m", "left_semi").select("m", "first.at", "first.pos", F.posexplode("first.ones").alias("step", "one"))
-    steps = steps.select("m", "one", "at", (F.col("pos") + F.col("step")).alias("pos"))
+    firsts = found.join(forks, "m", "left_semi").groupBy(*path).agg(F.min(F.struct("at", "pos", "ones")).alias("first"))
+    steps = firsts.select("m", "first.at", "first.pos", F.posexplode("first.ones").alias("step", "one"))
+    steps = staged(steps.select("m", "one", "at", (F.col("pos") + F.col("step")).alias("pos")), "steps")
     earliest = steps.groupBy("m", "one").agg(F.count("*").alias("n"), F.min(F.struct("at", "pos")).alias("f")).where("n > 1").drop("n")
     part = steps.join(earliest, ["m", "one"]).where(F.struct("at", "pos") != F.col("f")).select("at", F.col("pos").alias("start"), (F.col("pos") + window).alias("stop"), F.col("f.at").alias("source"), F.col("f.pos").alias("source_start"))
     inside = runs.where("stop > 0").select("at", F.col("pos").alias("start"), "stop", F.lit(None).cast(kind).alias("source"), F.lit(None).cast("int").alias("source_start"))
@@ -279,8 +283,32 @@ def repeated_spans(docs: DataFrame, window: int = 20, filter_keys: int = FILTER_
     return whole.unionByName(part).unionByName(inside).unionByName(same)
 
 
+def repeated_chains(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """Repeats of chains of paths: at, pos, length in windows, source, source_pos (the chain's first occurrence).
+
+    Expects the occurrences of paths (d0, d1, at, pos), of which a document has each once,
+    and the paths (d0, d1, n, length, first).
+    """
+    key = ["d0", "d1"]
+    often = paths.where("n > 1")
+    order = Window.partitionBy("at").orderBy("pos")
+    before = lambda c: F.lag(c).over(order)
+    held = found.select(*key, "at", "pos").join(often.select(*key, "n", "length"), key)
+    # a path as frequent as the one that all its occurrences follow is the only way on from there
+    follows = (before(F.col("pos") + F.col("length")) == F.col("pos")) & (before(F.col("n")) == F.col("n"))
+    held = staged(held.select(*key, "at", "pos", "n", F.when(follows, before(F.col("d0"))).alias("back")), "occurrences")
+    ways = held.where("back is not null").groupBy(*key).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("back").alias("low"), F.max("back").alias("high"))
+    linked = ways.where("k = n and low = high").select(*key, F.lit(True).alias("linked"))
+    # linked paths have their first occurrences in one document, one after the other
+    nodes = often.join(linked, key, "left").select(*key, "length", "first.at", "first.pos", F.when(F.col("linked"), 0).otherwise(1).alias("opens"))
+    nodes = nodes.withColumn("chain", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = nodes.groupBy("at", "chain").agg(F.min(F.struct("pos", *key)).alias("head"), F.sum("length").cast("int").alias("length"))
+    chains = chains.select("head.d0", "head.d1", "length", F.col("at").alias("source"), F.col("head.pos").alias("source_pos"))
+    return held.select(*key, "at", "pos").join(chains, key).where(F.struct("at", "pos") != F.struct("source", "source_pos")).drop(*key)
+
+
 def compacted(paths: DataFrame, window: int) -> DataFrame:
-    """Spans of paths (at, pos, length in windows, source, source_pos) that follow each other in both documents: at, start, stop, source, source_start."""
+    """Spans of chains (at, pos, length in windows, source, source_pos) that follow each other in both documents: at, start, stop, source, source_start."""
     order = Window.partitionBy("at", "source", "shift").orderBy("pos")
     follows = F.lag(F.col("pos") + F.col("length")).over(order).eqNullSafe(F.col("pos"))
     held = paths.withColumn("shift", F.col("source_pos") - F.col("pos")).withColumn("opens", F.when(follows, 0).otherwise(1))

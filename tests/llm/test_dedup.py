@@ -122,3 +122,25 @@ def test_both_ways_to_find_repeated_kmers_agree(docs, rows):
         return {(r.at, k) for r in df.collect() for k in range(r.start, min(r.stop, 10_000))}
 
     assert cover(substrings.repeated_spans(one, 20, filter_keys=0)) == cover(substrings.repeated_spans(one, 20))
+
+
+def test_chains_of_paths_end_where_the_graph_branches(spark):
+    # paths of five windows; p2 goes on to p3 or p4, p4 also begins a document
+    places = {1: [(1, 0), (2, 5), (3, 10)], 2: [(1, 20), (2, 25), (3, 30)], 3: [(1, 7), (2, 12), (4, 17)], 4: [(4, 0)], 5: [(5, 0), (6, 5)], 6: [(5, 0), (6, 9)]}
+    found = spark.createDataFrame([(p, -p, at, pos) for at, ps in places.items() for p, pos in ps], "d0 long, d1 long, at long, pos int")
+    paths = found.groupBy("d0", "d1").agg(F.count("*").alias("n"), F.lit(5).alias("length"), F.min(F.struct("at", "pos")).alias("first"))
+    got = {tuple(r) for r in substrings.repeated_chains(found, paths).select("at", "pos", "length", "source", "source_pos").collect()}
+    # p5 and p6 are apart in document 6, so they are no chain
+    assert got == {(2, 20, 10, 1, 0), (3, 7, 10, 1, 0), (2, 30, 5, 1, 10), (4, 0, 5, 3, 17), (6, 0, 5, 5, 0), (6, 9, 5, 5, 5)}
+
+
+def test_long_passages_are_one_span_of_chains(spark):
+    def text(*parts):
+        return " ".join(f"{p}{i}" for p, n in parts for i in range(n))
+
+    rows = [(1, text(("a", 300), ("b", 200))), (2, text(("x", 10), ("a", 300), ("b", 200), ("y", 5))), (3, text(("b", 200), ("z", 30))), (4, text(("a", 300), ("w", 40)))]
+    docs = spark.createDataFrame(rows, "at long, text string")
+    spans = {(r.at, r.start, r.stop, r.source, r.source_start) for r in substrings.repeated_spans(docs, 20).collect()}
+    covered = {at: sorted({w for a, s, e, *_ in spans if a == at for w in range(s, e)}) for at in (2, 3, 4)}
+    assert covered == {2: list(range(10, 510)), 3: list(range(200)), 4: list(range(300))}
+    assert max(e - s for a, s, e, src, _ in spans if a == 2 and src == 1) >= 450
