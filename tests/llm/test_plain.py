@@ -3,7 +3,9 @@
 import random
 import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, licenses, quality_rules, toxicity
 from lectern.llm.common import staged
@@ -151,8 +153,6 @@ def test_verdicts_and_limits_match_exact_quantiles(spark):
 
 
 def test_noisy_or_of_sentences(spark):
-    import numpy as np
-
     rng = np.random.default_rng(4)
     model = toxicity.Model(np.zeros(toxicity.BUCKETS + 1), -1.0)
     for w in ("bad", "worse", "fine"):
@@ -196,3 +196,21 @@ def test_many_places_in_one_text_take_linear_time(phrase):
     began = time.process_time()
     n, spans = search(f"{phrase} " * 100_000)
     assert time.process_time() - began < 12 and len({s["first_word"] for s in spans}) >= 100_000
+
+
+def test_limits_of_a_large_group_are_near_exact_quantiles(spark):
+    """50,000 documents of one source: the sketches sample there, their ranks are right to within 0.015."""
+    rows = spark.range(0, 50_000, 1, 8).select(
+        F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(1000).cast("long").alias("n_words"), F.lit(10).cast("long").alias("n_lines"),
+        (F.lit(3000) + F.pmod(F.xxhash64("id"), F.lit(2001))).alias("word_chars"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(300)).alias("n_symbols"),
+        F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"),
+    )
+    got = quality_rules.limits(rows).first().limits
+    for name, values in {"word_length": rows.select(F.col("word_chars") / 1000), "symbols": rows.select(F.col("n_symbols") / 1000)}.items():
+        x = np.sort(np.array([r[0] for r in values.collect()]))
+        at = lambda q: x[int(q * len(x))]
+        outer, far, e = quality_rules.OUTER[name], quality_rules.SPREADS, 0.015
+        most = [far * at(1 - outer - s * e) - (far - 1) * at(0.5 + s * e) for s in (1, -1)]
+        least = [far * at(outer - s * e) - (far - 1) * at(0.5 + s * e) for s in (1, -1)]
+        assert most[0] <= got[f"{name}_most"] <= most[1]
+        assert least[0] <= got[f"{name}_least"] <= least[1]
