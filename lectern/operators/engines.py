@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Texts that an engine gets at once; their samples are passed on before the next.
-ROWS_AT_ONCE = 64
+#: Texts that an engine gets at once, and their characters (a longer text is alone); their samples are passed on before the next.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 64, 4_000
 
 
 class Engine(Protocol):
@@ -119,6 +119,18 @@ def in_batches(engine: Engine, texts: list[str], seed: int) -> list[np.ndarray]:
     return []
 
 
+def text_ranges(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that an engine gets at once."""
+    start, size = 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start == ROWS_AT_ONCE or size + n > CHARS_AT_ONCE):
+            yield start, i
+            start, size = i, 0
+        size += n
+    if lengths:
+        yield start, len(lengths)
+
+
 def generated(jobs: DataFrame, engine_class: type, encode: Callable[[np.ndarray, int], bytes] | None = None) -> DataFrame:
     """segment_idx, candidate_idx, attempt, samples: rows of one seed are generated together, longest texts first.
 
@@ -131,14 +143,14 @@ def generated(jobs: DataFrame, engine_class: type, encode: Callable[[np.ndarray,
         engine.load()
         for batch in batches:
             for seed, part in batch.groupby("seed", sort=False):
-                for at in range(0, len(part), ROWS_AT_ONCE):
-                    some = part[at : at + ROWS_AT_ONCE]
+                for a, b in text_ranges([len(t) for t in part["text"]]):
+                    some = part[a:b]
                     made = in_batches(engine, list(some["text"]), int(seed))
                     column = {"audio": [encode(x, engine.sample_rate) for x in made]} if encode else {"samples": made}
                     yield some.assign(**column)[["segment_idx", "candidate_idx", "attempt", *column]]
 
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = jobs.repartition("seed", F.pmod(F.hash("segment_idx", "candidate_idx"), F.lit(parts))).sortWithinPartitions("seed", F.length("text").desc())
+    dealt = jobs.repartition(parts, "seed", F.pmod(F.hash("segment_idx", "candidate_idx"), F.lit(parts))).sortWithinPartitions("seed", F.length("text").desc())
     return dealt.select("segment_idx", "candidate_idx", "attempt", "seed", "text").mapInPandas(run, f"segment_idx long, candidate_idx int, attempt int, {'audio binary' if encode else 'samples array<float>'}")
 
 

@@ -210,3 +210,15 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     run.awaitTermination(120)
     want = chunk_documents(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("chunks").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_engines_get_few_characters_and_probes_few_bytes(spark):
+    assert list(E.text_ranges([5_000, 3_000, 900, 200])) == [(0, 1), (1, 3), (3, 4)] and list(E.text_ranges([])) == []
+    assert list(E.text_ranges([1] * 70)) == [(0, 64), (64, 70)]
+    plain = A.encode_wav(np.zeros(100_000), 8000)
+    note = b"LIST" + (4).to_bytes(4, "little") + b"data"  # a chunk between format and samples
+    files = spark.createDataFrame([("a", plain), ("b", plain[:36] + note + plain[36:]), ("c", b"RIFF"), ("d", None)], "path string, content binary")
+    sizes = {r.path: r.n for r in files.select("path", F.length(A.wav_head(F.col("content"))).alias("n")).collect()}
+    assert sizes == {"a": A.HEAD, "b": len(plain) + len(note), "c": 4, "d": None}
+    got = {r.path: (r.rate, r.n, bool(r.error)) for r in A.probed(files.where("path < 'd'")).collect()}
+    assert got == {"a": (8000, 100_000, False), "b": (8000, 100_000, False), "c": (None, None, True)}
