@@ -6,12 +6,12 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from lectern.functions.parts import by_parts, by_values
 from lectern.options import TextOptions
 
 #: Marks a place inside expressions; private-use characters are gone after clean_characters().
@@ -22,14 +22,15 @@ Verbaliser = Callable[[list[str], str], list[str]]
 _WORD = r"\p{L}\p{N}_"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _nfkc(text: Column) -> Column:
+    return by_values(text, lambda t: unicodedata.normalize("NFKC", t), "string", pa.string())
 
 
 def normalize_unicode(text: Column) -> Column:
     """Corner brackets become double quotes, then NFKC; only rows beyond ASCII reach Python."""
-    quoted = F.translate(text, "「」『』", "“”“”")
+    quoted = text
+    for corner, quote in zip("「」『』", "“”“”"):  # translate() makes an object of each character
+        quoted = F.replace(quoted, F.lit(corner), F.lit(quote))
     return F.coalesce(_nfkc(F.when(F.regexp_like(quoted, F.lit(r"[^\x00-\x7F]")), quoted)), quoted)
 
 
@@ -121,7 +122,9 @@ def one_space(text: Column) -> Column:
 
 def full_stop(flat: Column) -> Column:
     """A full stop unless a terminator ends the text, quotes aside; texts of quotes alone stay. `flat` is used twice: bind it first where it is dear."""
-    last = F.substring(F.rtrim(flat, F.lit(" \"'’”")), -1, 1)  # the empty string is in any other
+    quotes, end = F.lit(" \"'’”"), F.substring(flat, -1, 1)  # the empty string is in any other
+    # rtrim() with characters goes through the whole text, so it is left to texts that end with such
+    last = F.when(F.instr(quotes, end) > 0, F.substring(F.rtrim(flat, quotes), -1, 1)).otherwise(end)
     return F.when(F.instr(F.lit(".?!"), last) == 0, F.concat(flat, F.lit("."))).otherwise(flat)
 
 
@@ -149,14 +152,13 @@ def split_sentences(paragraph: Column, language: str = "en") -> Column:
 
 
 def verbalised(paragraphs: Column, verbalise: Verbaliser, language: str) -> Column:
-    """Sentences of all paragraphs of a batch through a hook that takes and gives a list of texts."""
+    """Sentences of all paragraphs of a part of a batch through a hook that takes and gives a list of texts."""
 
-    @F.pandas_udf("array<array<string>>")
-    def run(batch: pd.Series) -> pd.Series:
-        texts = iter(verbalise([s for ps in batch if ps is not None for p in ps for s in p], language))
-        return batch.map(lambda ps: [[next(texts) for _ in p] for p in ps], na_action="ignore")
+    def rule(values: list) -> list:
+        texts = iter(verbalise([s for ps in values if ps is not None for p in ps for s in p], language))
+        return [None if ps is None else [[next(texts) for _ in p] for p in ps] for ps in values]
 
-    return run(paragraphs)
+    return by_parts(paragraphs, rule, "array<array<string>>", pa.list_(pa.list_(pa.string())))
 
 
 def sentences(text: Column, o: TextOptions, verbalise: Verbaliser | None = None, split: Callable[[Column], Column] | None = None) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.parts import by_values
 from lectern.operators.sentence_ends import split_learned, with_ends
 from lectern.options import TextOptions
 
@@ -85,22 +86,14 @@ def chunk_paragraphs(paragraphs: list[list[str]], o: TextOptions) -> list[tuple[
     return [c for c in out if c[0]]
 
 
-def _chunker(o: TextOptions):
-    @F.pandas_udf("array<struct<text:string,boundary:string>>")
-    def run(paragraphs: pd.Series) -> pd.Series:
-        return paragraphs.map(lambda ps: [{"text": t, "boundary": b} for t, b in chunk_paragraphs([list(p) for p in ps], o)], na_action="ignore")
-
-    return run
+def _chunks(paragraphs: Column, o: TextOptions) -> Column:
+    kind = pa.list_(pa.struct([("text", pa.string()), ("boundary", pa.string())]))
+    return by_values(paragraphs, lambda ps: [{"text": t, "boundary": b} for t, b in chunk_paragraphs(ps, o)], "array<struct<text:string,boundary:string>>", kind)
 
 
 def split_long(sentences: Column, limit: int) -> Column:
     """Array of each sentence's pieces of at most `limit` characters."""
-
-    @F.pandas_udf("array<array<string>>")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ss: [force_split(s, limit) for s in ss], na_action="ignore")
-
-    return run(sentences)
+    return by_values(sentences, lambda ss: [force_split(s, limit) for s in ss], "array<array<string>>", pa.list_(pa.list_(pa.string())))
 
 
 def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str = "doc_id", text_col: str = "text", verbalise: T.Verbaliser | None = None, learned: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
@@ -115,7 +108,7 @@ def chunk_documents(docs: DataFrame, o: TextOptions | None = None, id_col: str =
         split = lambda p: split_learned(p, F.col("__ends"))
     held = docs.select(F.col(id_col).alias("doc_id"), T.prepared(F.col(text_col), o).alias("__t"), *ends)
     held = held.select("doc_id", T.sentences(F.col("__t"), o, verbalise, split).alias("__p"))
-    held = held.select("doc_id", F.posexplode_outer(_chunker(o)("__p")).alias("chunk_idx", "__c")).where("__c is not null")
+    held = held.select("doc_id", F.posexplode_outer(_chunks(F.col("__p"), o)).alias("chunk_idx", "__c")).where("__c is not null")
     return held.select("doc_id", "chunk_idx", F.col("__c.text").alias("text"), F.col("__c.boundary").alias("boundary"), F.length("__c.text").alias("n_chars"))
 
 
