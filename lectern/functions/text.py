@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import regex
@@ -76,10 +76,16 @@ def scene_breaks(text: Column, least: int = 3) -> Column:
 
 # The patterns of repeated_punctuation(), collapse_stutter() and strip_emphasis().
 def repeated_punctuation(text: Column) -> Column:
-    out = F.regexp_replace(text, r"(?:!\?|\?!){2,}", "?!")
-    out = F.regexp_replace(out, "--+", "—")
-    out = F.regexp_replace(out, r"\.{4,}", "...")
-    return F.regexp_replace(out, r"([!?,;:])\1{2,}", "$1")
+    """A search of bytes says which texts a pattern goes through at all."""
+    rules = [(("!?", "?!"), r"(?:!\?|\?!){2,}", "?!"), (("--",), "--+", "—"), (("....",), r"\.{4,}", "..."), (("!!!", "???", ",,,", ";;;", ":::"), r"([!?,;:])\1{2,}", "$1")]
+    for signs, pattern, new in rules:
+
+        def rule(t: Column, signs: tuple = signs, pattern: str = pattern, new: str = new) -> Column:
+            held = reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in signs])
+            return F.when(held, F.regexp_replace(t, pattern, new)).otherwise(t)
+
+        text = F.get(F.transform(F.array(text), lambda t: rule(t)), F.lit(0))  # what a lambda is given is computed once
+    return text
 
 
 def repeated_letters(text: Column, limit: int) -> Column:
@@ -122,9 +128,7 @@ def one_space(text: Column) -> Column:
 
 def full_stop(flat: Column) -> Column:
     """A full stop unless a terminator ends the text, quotes aside; texts of quotes alone stay. `flat` is used twice: bind it first where it is dear."""
-    quotes, end = F.lit(" \"'’”"), F.substring(flat, -1, 1)  # the empty string is in any other
-    # rtrim() with characters goes through the whole text, so it is left to texts that end with such
-    last = F.when(F.instr(quotes, end) > 0, F.substring(F.rtrim(flat, quotes), -1, 1)).otherwise(end)
+    last = F.substring(F.rtrim(flat, F.lit(" \"'’”")), -1, 1)  # the empty string is in any other
     return F.when(F.instr(F.lit(".?!"), last) == 0, F.concat(flat, F.lit("."))).otherwise(flat)
 
 

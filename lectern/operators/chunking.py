@@ -130,6 +130,17 @@ def greedy_chunks(sentences: Column, limit: int) -> Column:
     return F.filter(F.split(joined, T.MARK), lambda c: c != "")
 
 
+def greedy_sizes(lengths: Column, limit: int) -> Column:
+    """Number (n) and last length (last) of the chunks that greedy_chunks() makes of sentences of those lengths, none empty."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"))
+
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["last"] > 0) & (acc["last"] + n + 1 <= limit)
+        return F.struct(F.when(fits, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(fits, acc["last"] + n + 1).otherwise(n).alias("last"))
+
+    return F.aggregate(lengths, start, step)
+
+
 def label_boundaries(chunks: DataFrame, by_paragraph: bool = True) -> DataFrame:
     """Boundary of rows (doc_id, para_idx, chunk_idx): PARAGRAPH before a new paragraph, else SENTENCE."""
     from pyspark.sql import Window
