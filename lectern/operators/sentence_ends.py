@@ -42,11 +42,17 @@ def _xlog(x: Column, p: Column) -> Column:
     return F.when(x == 0, 0.0).otherwise(x * F.log(p))
 
 
-def _words(docs: DataFrame, lang_col: str, text_col: str, *more: str) -> DataFrame:
-    """lang, w, ahead, back: each word with its neighbours (empty at the ends), and `more` columns; a null word for a text of none."""
-    held = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), GAP), lambda w: w != "").alias("ws"), *more)
-    near = F.arrays_zip(F.col("ws").alias("w"), F.concat(F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), F.array(F.lit(""))).alias("ahead"), F.concat(F.array(F.lit("")), F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0)))).alias("back"))
-    return held.select("lang", F.explode(near).alias("x"), *more).select("lang", "x.w", "x.ahead", "x.back", *more)
+def _words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """lang, w, ahead, back: each word with its neighbours (empty at the ends); a null word for a text of none."""
+    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), GAP), lambda w: w != "")
+
+    def near(ws: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(ws, i), F.lit(""))
+        return F.transform(ws, lambda w, i: F.struct(w.alias("w"), at(i + 1).alias("ahead"), at(i - 1).alias("back")))
+
+    # words are bound by a transform(), or each neighbour would have them split anew; explode() would too, by a filter below it
+    held = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.get(F.transform(F.array(words), near), F.lit(0)).alias("ws"))
+    return held.select("lang", F.explode_outer("ws").alias("x")).select("lang", "x.w", "x.ahead", "x.back")
 
 
 def form_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -55,11 +61,14 @@ def form_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     Null languages count as one named by the empty string; null texts have no words; forms
     have a letter. Equal rows count as often as they stand.
     """
-    w = _words(docs, lang_col, text_col).select("lang", form(F.col("w")).alias("f"), "ahead")
-    w = w.select("lang", bare(F.col("f")).alias("form"), F.regexp_like("f", F.lit(r"[^.]\.$")).alias("dot"), "ahead").where(F.regexp_like("form", F.lit(r"\p{L}")))
+    w = _words(docs, lang_col, text_col).where("w is not null")
+    # words are put together before their forms are made: patterns run once for each word as it is written
     kind = (F.ascii("ahead") * 31 + F.length("ahead")) % 63
-    kinds = F.bit_or(F.when(F.col("dot") & (F.col("ahead") != ""), F.call_function("shiftleft", F.lit(1).cast("long"), kind)).otherwise(F.lit(0).cast("long")))
-    return w.groupBy("lang", "form").agg(F.count("*").alias("n_all"), F.sum(F.col("dot").cast("long")).alias("n_dot"), F.bit_count(kinds).cast("long").alias("kinds"))
+    zero = F.lit(0).cast("long")
+    kinds = F.when(F.contains("w", F.lit(".")) & (F.col("ahead") != ""), F.call_function("shiftleft", F.lit(1).cast("long"), kind)).otherwise(zero)
+    seen = w.groupBy("lang", "w").agg(F.count("*").alias("n"), F.bit_or(kinds).alias("kinds")).select("lang", form(F.col("w")).alias("f"), "n", "kinds")
+    seen = seen.select("lang", bare(F.col("f")).alias("form"), F.regexp_like("f", F.lit(r"[^.]\.$")).alias("dot"), "n", "kinds").where(F.regexp_like("form", F.lit(r"\p{L}")))
+    return seen.groupBy("lang", "form").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("dot"), F.col("n")).otherwise(zero)).alias("n_dot"), F.bit_count(F.bit_or(F.when(F.col("dot"), F.col("kinds")).otherwise(zero))).cast("long").alias("kinds"))
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -84,10 +93,12 @@ def starters(docs: DataFrame, counts: DataFrame, known: DataFrame, lang_col: str
 
     `known` has a row a language.
     """
-    held = docs.withColumn("__l", F.coalesce(F.col(lang_col), F.lit(""))).join(F.broadcast(known.select(F.col("lang").alias("__l"), F.col("forms").alias("__k"))), "__l", "left")
-    w = _words(held, "__l", text_col, "__k").where(F.regexp_like("back", F.lit(r"[.?!]$")))
-    w = w.where(~F.coalesce(F.array_contains("__k", bare(form(F.col("back")))) & F.endswith("back", F.lit(".")), F.lit(False)))
-    begun = w.select("lang", bare(form(F.col("w"))).alias("form")).where(F.regexp_like("form", F.lit(r"\p{L}"))).groupBy("lang", "form").agg(F.count("*").alias("n_start"))
+    w = _words(docs, lang_col, text_col)
+    w = w.where(F.endswith("back", F.lit(".")) | F.endswith("back", F.lit("?")) | F.endswith("back", F.lit("!")))
+    w = w.join(F.broadcast(known.select("lang", F.col("forms").alias("__k"))), "lang", "left")
+    w = w.where(~F.coalesce(F.endswith("back", F.lit(".")) & F.array_contains("__k", bare(form(F.col("back")))), F.lit(False)))
+    begun = w.groupBy("lang", "w").agg(F.count("*").alias("n")).select("lang", bare(form(F.col("w"))).alias("form"), "n")
+    begun = begun.where(F.regexp_like("form", F.lit(r"\p{L}"))).groupBy("lang", "form").agg(F.sum("n").alias("n_start"))
     totals = counts.groupBy("lang").agg(F.sum("n_all").alias("words")).join(begun.groupBy("lang").agg(F.sum("n_start").alias("starts")), "lang")
     c = begun.join(counts.select("lang", "form", "n_all"), ["lang", "form"]).join(F.broadcast(totals), "lang")
     n, k, N, S = (F.col(x) for x in ("n_all", "n_start", "words", "starts"))

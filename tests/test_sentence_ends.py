@@ -1,3 +1,4 @@
+import re
 import random
 
 from pyspark.sql import functions as F
@@ -72,3 +73,29 @@ def test_long_text_is_linear(spark):
     learned = spark.createDataFrame([("en", ["capt"], ["the"])], "lang string, abbreviations array<string>, starters array<string>")
     docs = spark.range(1).select(F.lit("en").alias("lang"), F.repeat(F.lit("A capt. went. "), 40_000).alias("text"))
     assert E.with_ends(docs, learned).select(F.size(E.split_learned(F.col("text"), F.col("__ends"))).alias("n")).first().n == 40_000
+
+
+def test_words_are_counted_before_patterns_run(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["Dr.", "dr.", "(dr.)", "etc..", "a", "Bee", "bee,", "3.", "x.y.", "—", "No?", "yes!"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(rng.choice(["en", None]), t) for t in texts] + [("en", None)], "lang string, text string")
+    want, kinds = {}, {}
+    for lang, text in df.collect():
+        ws = (text or "").split()
+        for w, ahead in zip(ws, ws[1:] + [""]):
+            f = re.sub(r"^[^\w]+|[^\w.]+$", "", w).lower()
+            if not re.search("[a-z]", f):
+                continue
+            key = (lang or "", f.rstrip("."))
+            n = want.setdefault(key, [0, 0])
+            n[0] += 1
+            if re.search(r"[^.]\.$", f):
+                n[1] += 1
+                kinds.setdefault(key, set()).update({(ord(ahead[0]) * 31 + len(ahead)) % 63} if ahead else set())
+    got = {(r.lang, r.form): (r.n_all, r.n_dot, r.kinds) for r in E.form_counts(df).collect()}
+    assert got == {k: (*n, len(kinds.get(k, ()))) for k, n in want.items()}
+    plan = E.form_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # no text is split again for its neighbours or by a filter
