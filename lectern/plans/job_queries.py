@@ -12,6 +12,7 @@ from lectern.operators import samples as P
 from lectern.operators import voices as VO
 from lectern.options import PostOptions
 from lectern.plans import views as V
+from lectern.shared import shared_folder, written
 from lectern.sources import audio as A
 from lectern.sources import requests as Q
 
@@ -65,7 +66,8 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audio_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loudness and highest sample of each assembled conversation, as if it had 4,000 samples a second."""
-    found = N.loudness(_audio(spark, sf_dir).withColumnRenamed("doc_id", "clip_id"), 4000)
+    made = written(_audio(spark, sf_dir).withColumnRenamed("doc_id", "clip_id"), shared_folder(spark, "audio"))  # filtered twice
+    found = N.loudness(made, 4000)
     return found.select(F.col("clip_id").alias("doc_id"), F.round("loudness", 6).alias("loudness"), "peak")
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lectern.operators import loudness as L
@@ -73,3 +74,14 @@ def test_weighting_of_a_full_scale_tone():
     """A stereo reference has its 997 Hz tone at -3.01; one channel is measured here."""
     x = [math.sin(2 * math.pi * 997 * i / 48_000) for i in range(48_000)]
     assert plain_loudness(x, 48_000) == pytest.approx(-3.01, abs=0.05)
+
+
+def test_signals_filtered_together_are_those_filtered_alone():
+    rng = np.random.default_rng(3)
+    xs = [rng.normal(size=n) for n in [50] * 40 + [7] * 3 + [0] * 2 + [50]]
+    states = rng.normal(size=(len(xs), 4))
+    got = {i: (y, s) for i, y, s in L.weighted_batch(xs, 4000, states)}
+    assert sorted(got) == list(range(len(xs)))
+    for i, x in enumerate(xs):
+        y, s = L.weighted(x, 4000, states[i])
+        assert np.array_equal(got[i][0], y) and np.array_equal(got[i][1], s)
