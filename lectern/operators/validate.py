@@ -13,6 +13,7 @@ from lectern.operators.intervals import gap_speech, loud_segments, word_gaps
 from lectern.operators.samples import CHUNK, clip_levels, sample_index, segment_levels, voiced_samples
 from lectern.operators.words import first_issue, issues
 from lectern.options import AlignmentOptions, PostOptions, ValidationOptions
+from lectern.shared import shared_folder, written
 
 Check = tuple[str, Column, Column]
 
@@ -98,19 +99,30 @@ def with_spectrum(clips: DataFrame, rate: int, cheap: list[Check]) -> DataFrame:
     return clips.withColumn("centroid_std", spectral_deviation(F.when(ok, F.col("samples")), rate))
 
 
-def measured(clips: DataFrame, chunks: DataFrame, speech: DataFrame, words: DataFrame, rate: int, o: ValidationOptions, post: PostOptions, align: AlignmentOptions, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """A table that is used more than once, written so that it is made once."""
+    return written(df, shared_folder(df.sparkSession, name))
+
+
+def indexed(chunks: DataFrame) -> DataFrame:
+    """The prefix-sum index, with the chunks' samples, written: levels, segments and the spectrum all read it."""
+    return _once(sample_index(chunks), "samples")
+
+
+def measured(clips: DataFrame, chunks: DataFrame, speech: DataFrame, words: DataFrame, rate: int, o: ValidationOptions, post: PostOptions, align: AlignmentOptions, size: int = CHUNK, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What the checks need, one row for each clip, and the speech that passed the energy filter.
 
     Expects clip_id, text; chunks of samples (clip_id, chunk, samples); speech (clip_id,
     seg_idx, start, end in samples); words. Speech within max_voiced_dynamic_range_db of
     the clip's loudest segment is kept: n_found segments, n_removed others. From what is
     kept come voiced_s, silence_s and clipping (null without any); the level db is the
-    whole clip's, and gaps between words are judged on all speech.
+    whole clip's, and gaps between words are judged on all speech. `index` is indexed(chunks),
+    if it is there already.
     """
-    index = sample_index(chunks)
+    index = indexed(chunks) if index is None else index
     levels = clip_levels(index)
     judged = segment_levels(speech, index, levels, size)
-    kept = loud_segments(judged, post.max_voiced_dynamic_range_db)
+    kept = _once(loud_segments(judged, post.max_voiced_dynamic_range_db), "speech")
     before = F.lag("end").over(Window.partitionBy("clip_id").orderBy("start", "end"))
     quiet = F.max(F.greatest(F.lit(0), F.col("start") - F.coalesce("before", F.lit(0))))
     spoken = kept.withColumn("before", before).groupBy("clip_id").agg(
@@ -135,9 +147,10 @@ def judged_clips(clips: DataFrame, chunks: DataFrame, speech: DataFrame, words:
 
     The spectrum is computed for clips that pass all else, or with `report` for all.
     """
-    held, kept = measured(clips, chunks, speech, words, rate, o, post, align, size)
+    index = indexed(chunks)
+    held, kept = measured(clips, chunks, speech, words, rate, o, post, align, size, index)
     cheap = silence_check(o) + duration_check(o) + contiguous_silence_check(o) + alignment_check() + gap_check(align) + clipping_check(o)
-    held = validated(held, cheap)
-    voiced = voiced_samples(kept if report else kept.join(held.where("is_ok").select("clip_id"), "clip_id", "left_semi"), chunks, size)
+    held = _once(validated(held, cheap), "judged")
+    voiced = voiced_samples(kept if report else kept.join(held.where("is_ok").select("clip_id"), "clip_id", "left_semi"), index.select("clip_id", "chunk", "samples"), size)
     spectrum = voiced.select("clip_id", spectral_deviation(F.col("samples"), rate, n_fft, hop).alias("centroid_std"))
     return validated(held.drop("is_ok", "reason").join(spectrum, "clip_id", "left"), cheap + spectral_check(o))

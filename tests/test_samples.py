@@ -145,3 +145,23 @@ def test_checks_see_speech_that_passed_the_filter(spark):
     assert (held[2].n_found, held[2].db, held[2].reason.split(":")[0]) == (0, -180.0, "silence")
     everything = PostOptions(max_voiced_dynamic_range_db=None)
     assert C.judged_clips(*args[:6], everything, *args[7:], n_fft=16, hop=4).where("clip_id = 1").first().n_found == 2
+
+
+def test_judged_clips_make_their_chunks_once(spark):
+    from lectern.operators import validate as C
+    from lectern.plans import clip_queries as Q
+
+    clips, chunks, *rest = Q._parts(spark, "/root/testdata/sf0.001")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    chunks = chunks.localCheckpoint()
+    held = C.judged_clips(clips, chunks.mapInArrow(counted, chunks.schema), *rest, n_fft=Q.TAKE_FFT, hop=Q.TAKE_HOP)
+    want = C.judged_clips(clips, chunks, *rest, n_fft=Q.TAKE_FFT, hop=Q.TAKE_HOP)
+    row = lambda r: (r.clip_id, r.is_ok, r.reason)
+    assert sorted(map(row, held.collect())) == sorted(map(row, want.collect()))
+    assert made.value == chunks.count()
