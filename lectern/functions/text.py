@@ -22,49 +22,87 @@ Verbaliser = Callable[[list[str], str], list[str]]
 _WORD = r"\p{L}\p{N}_"
 
 
-def _nfkc(text: Column) -> Column:
-    return by_values(text, lambda t: unicodedata.normalize("NFKC", t), "string", pa.string())
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of ascending numbers."""
+    ranges, start = [], None
+    for a, b in zip([*points], [*points[1:], -1]):
+        start = a if start is None else start
+        if b != a + 1:
+            ranges.append((start, a))
+            start = None
+    return ranges
+
+
+def _class(ranges: list[tuple[int, int]], sign: str = "") -> str:
+    return f"[{sign}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+#: Corner brackets and the quotes that they become.
+_QUOTES = str.maketrans("「」『』", "“”“”")
+
+
+@lru_cache(maxsize=1)
+def changing_class() -> str:
+    """Regex class of corner brackets and of the characters that NFKC changes, orders or puts together: it leaves texts without any as they are."""
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in points)
+    second = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3), *_QUOTES}
+    found = [c for c in points if c in second or unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+    calm = [r for r in _ranges(sorted({*points} - {*found})) if r[1] - r[0] > 64]
+    # the first range answers for ASCII, long ones for nearly all other characters
+    return f"[\\x{{80}}-\\x{{10ffff}}&&{_class(calm, '^')}&&{_class(_ranges(found))}]"
 
 
 def normalize_unicode(text: Column) -> Column:
-    """Corner brackets become double quotes, then NFKC; only rows beyond ASCII reach Python."""
-    quoted = text
-    for corner, quote in zip("「」『』", "“”“”"):  # translate() makes an object of each character
-        quoted = F.replace(quoted, F.lit(corner), F.lit(quote))
-    return F.coalesce(_nfkc(F.when(F.regexp_like(quoted, F.lit(r"[^\x00-\x7F]")), quoted)), quoted)
+    """Corner brackets become double quotes, then NFKC; only rows that this may change reach Python."""
+    changing = F.when(F.regexp_like(text, F.lit(changing_class())), text)
+    return F.coalesce(by_values(changing, lambda t: unicodedata.normalize("NFKC", t.translate(_QUOTES)), "string", pa.string()), text)
 
 
 @lru_cache(maxsize=1)
 def pictograph_class() -> str:
     """Regex class of emoji shown as pictures and of drawing, geometric and symbol blocks, from the Unicode property."""
     points = [c for c in range(0x2300, 0x1FB00) if regex.match(r"\p{Emoji_Presentation}", chr(c))]
-    ranges, start = [], None
-    for a, b in zip([*points], [*points[1:], -1]):
-        start = a if start is None else start
-        if b != a + 1:
-            ranges.append((start, a))
-            start = None
-    ranges += [(0x2500, 0x25FF), (0x2600, 0x26FF), (0x1F300, 0x1F5FF)]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return _class([*_ranges(points), (0x2500, 0x25FF), (0x2600, 0x26FF), (0x1F300, 0x1F5FF)])
 
 
+# In the classes the first part answers for nearly every character.
 def clean_characters(text: Column) -> Column:
     """Runs of what is no letter, number, punctuation, symbol or white space become a space, then runs of pictographs."""
-    kept = F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\p{P}\p{S}\s\x1C-\x1F]+", " ")
-    # the first range alone answers for nearly every character
+    kept = F.regexp_replace(text, r"(?U)[[^\x20-\x7E]&&[^\p{L}\p{N}\p{P}\p{S}\s\x1C-\x1F]]+", " ")
     return F.regexp_replace(kept, f"[\\x{{2300}}-\\x{{1fb00}}&&{pictograph_class()}]+", " ")
 
 
+def _if(text: Column, held: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Column:
+    """A rule for texts of which `held` says that it may change them."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(held(t), rule(t)).otherwise(t)), F.lit(0))  # what a lambda is given is computed once
+
+
+def _has(*signs: str) -> Callable[[Column], Column]:
+    """Whether a text has one of `signs`: a search of bytes."""
+    return lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in signs])
+
+
+def _where(text: Column, signs: tuple[str, ...], pattern: str, new: str) -> Column:
+    """A pattern for texts that have one of `signs`."""
+    return _if(text, _has(*signs), lambda t: F.regexp_replace(t, pattern, new))
+
+
+#: White space as the JVM's Unicode classes have it, and four separators.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
+# The patterns of normalize_whitespace().
 def normalize_whitespace(text: Column) -> Column:
     """One kind of line end; runs of spaces become one; blank lines become one paragraph break."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"(?U)\s*\n\n\s*", MARK)
-    out = F.regexp_replace(out, r"(?U)\s*\n\s*", "\n")
+    out = _where(text, ("\r",), r"\r\n?", "\n")
+    out = _where(out, ("  ", "\t"), r"[ \t]+", " ")
+    lines = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\n\n\s*", MARK), r"(?U)\s*\n\s*", "\n")
+    out = _if(out, lambda t: F.regexp_like(t, F.lit(r"(?U)\n(?:(?=\s)|(?<=\s\n))")), lines)
     return strip(F.replace(out, F.lit(MARK), F.lit("\n\n")))
 
 
@@ -76,15 +114,9 @@ def scene_breaks(text: Column, least: int = 3) -> Column:
 
 # The patterns of repeated_punctuation(), collapse_stutter() and strip_emphasis().
 def repeated_punctuation(text: Column) -> Column:
-    """A search of bytes says which texts a pattern goes through at all."""
     rules = [(("!?", "?!"), r"(?:!\?|\?!){2,}", "?!"), (("--",), "--+", "—"), (("....",), r"\.{4,}", "..."), (("!!!", "???", ",,,", ";;;", ":::"), r"([!?,;:])\1{2,}", "$1")]
-    for signs, pattern, new in rules:
-
-        def rule(t: Column, signs: tuple = signs, pattern: str = pattern, new: str = new) -> Column:
-            held = reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in signs])
-            return F.when(held, F.regexp_replace(t, pattern, new)).otherwise(t)
-
-        text = F.get(F.transform(F.array(text), lambda t: rule(t)), F.lit(0))  # what a lambda is given is computed once
+    for rule in rules:
+        text = _where(text, *rule)
     return text
 
 
@@ -114,16 +146,18 @@ def remove_brackets(text: Column) -> Column:
 
 
 def collapse_stutter(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?iU)\b([A-Za-z])(?:[-.]\1)+", "$1")
+    inner = lambda t: _has("-", ".")(F.rtrim(t, F.lit(".")))
+    return _if(text, inner, lambda t: F.regexp_replace(t, r"(?iU)\b([A-Za-z])(?:[-.]\1)+", "$1"))
 
 
 def strip_emphasis(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(\*\*|__)(.+?)\1", "$2"), r"(\*|_)(.+?)\1", "$2")
+    return _where(_where(text, ("**", "__"), r"(\*\*|__)(.+?)\1", "$2"), ("*", "_"), r"(\*|_)(.+?)\1", "$2")
 
 
 def one_space(text: Column) -> Column:
     """One space between words, none around them."""
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+    other = F.lit(r"(?U)[[^\x20-\x7E]&&[\s\x1C-\x1F]]")
+    return F.trim(_if(text, lambda t: F.contains(t, F.lit("  ")) | F.regexp_like(t, other), lambda t: F.regexp_replace(t, r"(?U)[\s\x1C-\x1F]+", " ")))
 
 
 def full_stop(flat: Column) -> Column:
@@ -152,7 +186,7 @@ def split_sentences(paragraph: Column, language: str = "en") -> Column:
     known = "|".join(ABBREVIATIONS.get(language, ()))
     guard = f"(?<!\\b(?:{known})\\.)" if known else ""
     cut = F.regexp_replace(paragraph, f"(?U)([.?!][\"'’”)]?){guard}\\s+", "$1" + MARK)
-    return F.filter(F.split(F.regexp_replace(cut, r"\n+", MARK), MARK), lambda s: s != "")
+    return F.filter(F.split(cut, f"[\\n{MARK}]+"), lambda s: s != "")
 
 
 def verbalised(paragraphs: Column, verbalise: Verbaliser, language: str) -> Column:
