@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.parts import by_values
+from lectern.functions.parts import by_slices, by_values
 from lectern.operators.sentence_ends import split_learned, with_ends
 from lectern.options import TextOptions
 
@@ -34,18 +38,24 @@ def chunk_cost(length: Column, o: TextOptions) -> Column:
     return F.when(length > o.max_chunk_length, float("inf")).otherwise(cost)
 
 
+@lru_cache(maxsize=8)
+def _costs(ideal: int, most: int, penalty: float) -> list[float]:
+    """Cost of a chunk of each length up to `most`."""
+    return [((size - ideal) / ideal) ** 2 * (penalty if size < ideal * 0.5 else 1.0) for size in range(most + 1)]
+
+
 def balanced_groups(lengths: list[int], ideal: int, most: int, penalty: float) -> list[tuple[int, int]]:
     """Ranges of sentences with the least total cost; of equal costs the shortest last range."""
-    best, cut = [0.0], [0]
+    best, cut, costs = [0.0], [0], _costs(ideal, most, penalty)
     for i in range(1, len(lengths) + 1):
         least, at, size = float("inf"), 0, -1
         for j in range(i - 1, -1, -1):
             size += lengths[j] + 1
             if size > most:
                 break
-            cost = ((size - ideal) / ideal) ** 2 * (penalty if size < ideal * 0.5 else 1.0)
-            if best[j] + cost < least:
-                least, at = best[j] + cost, j
+            total = best[j] + costs[size]
+            if total < least:
+                least, at = total, j
         best.append(least)
         cut.append(at)
     out, end = [], len(lengths)
@@ -66,29 +76,63 @@ def greedy_groups(lengths: list[int], most: int) -> list[tuple[int, int]]:
     return [*out, (start, len(lengths))] if lengths else out
 
 
-def chunk_paragraphs(paragraphs: list[list[str]], o: TextOptions) -> list[tuple[str, str]]:
-    """(text, boundary) of the chunks of one text."""
-    units = [[piece for s in p for piece in force_split(s, o.max_chunk_length)] for p in paragraphs]
-    flat = [u for p in units for u in p]
-    if o.chunking_strategy == "simple":
-        parts = force_split(" ".join(flat), o.max_chunk_length)
-        return [(p, "SENTENCE" if k == len(parts) - 1 else "HARD_LIMIT") for k, p in enumerate(parts)]
-    groups = [u for u in units if u] if o.chunking_strategy == "paragraph" else [flat] if flat else []
-    out: list[tuple[str, str]] = []
-    for g, group in enumerate(groups):
-        lengths = [len(u) for u in group]
+_CHUNK = pa.struct([("text", pa.string()), ("boundary", pa.string())])
+
+
+def _simple_chunks(paragraphs: list[list[str]], most: int) -> list[dict]:
+    """Pieces of all sentences of one text in a row."""
+    parts = force_split(" ".join(u for p in paragraphs for s in p for u in force_split(s, most)), most)
+    return [{"text": t, "boundary": "SENTENCE" if k == len(parts) - 1 else "HARD_LIMIT"} for k, t in enumerate(parts)]
+
+
+def _units(sentences: pa.Array, most: int) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of sentences, and which sentence each is of. Sentences above the limit alone become Python objects."""
+    n = pc.utf8_length(sentences).to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(n > most)
+    pieces = [force_split(sentences[k].as_py(), most) for k in long.tolist()]
+    counts = (n > 0).astype(np.int64)
+    counts[long] = [len(p) for p in pieces]
+    of = np.repeat(np.arange(len(n)), counts)
+    if len(of) == len(n) and not len(long):
+        return sentences, of
+    at, cut = of.copy(), n[of] > most
+    at[cut] = len(n) + np.arange(np.count_nonzero(cut))
+    return pa.concat_arrays([sentences, pa.array([u for p in pieces for u in p], sentences.type)]).take(pa.array(at)), of
+
+
+def chunk_array(paragraphs: pa.Array, o: TextOptions) -> pa.Array:
+    """Chunks (text, boundary) of texts that are lists of paragraphs, which are lists of sentences.
+
+    Ranges come from lengths; texts are put together in Arrow.
+    """
+    owned = paragraphs.flatten()
+    size = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    units, of = _units(owned.flatten(), o.max_chunk_length)
+    paragraph = np.repeat(np.arange(len(owned)), size(owned))[of]
+    text = np.repeat(np.arange(len(paragraphs)), size(paragraphs))[paragraph]
+    group = paragraph if o.chunking_strategy == "paragraph" else text
+    last = np.append(group[1:] != group[:-1], True)[: len(group)]
+    lengths, ends, start = pc.utf8_length(units).to_pylist(), [], 0
+    for stop in (np.flatnonzero(last) + 1).tolist():
         if o.chunking_strategy == "greedy":
-            ranges = greedy_groups(lengths, o.max_chunk_length)
+            ranges = greedy_groups(lengths[start:stop], o.max_chunk_length)
         else:
-            ranges = balanced_groups(lengths, o.ideal_chunk_length, o.max_chunk_length, o.shortness_penalty_factor)
-        ends = "PARAGRAPH" if o.chunking_strategy == "paragraph" and g < len(groups) - 1 else "SENTENCE"
-        out += [(" ".join(group[a:b]), ends if b == len(group) else "SENTENCE") for a, b in ranges]
-    return [c for c in out if c[0]]
+            ranges = balanced_groups(lengths[start:stop], o.ideal_chunk_length, o.max_chunk_length, o.shortness_penalty_factor)
+        ends += [start + b for _, b in ranges]
+        start = stop
+    stops = np.array(ends, np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), units), " ").cast(pa.string())
+    inner = last & (np.append(text[1:] == text[:-1], False)[: len(text)])
+    boundary = pc.if_else(pa.array(inner[stops - 1]), "PARAGRAPH", "SENTENCE")
+    offsets = np.append(0, np.cumsum(np.bincount(text[stops - 1], minlength=len(paragraphs))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([joined, boundary], fields=list(_CHUNK)), mask=paragraphs.is_null())
 
 
 def _chunks(paragraphs: Column, o: TextOptions) -> Column:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("boundary", pa.string())]))
-    return by_values(paragraphs, lambda ps: [{"text": t, "boundary": b} for t, b in chunk_paragraphs(ps, o)], "array<struct<text:string,boundary:string>>", kind)
+    kind = "array<struct<text:string,boundary:string>>"
+    if o.chunking_strategy == "simple":
+        return by_values(paragraphs, lambda ps: _simple_chunks(ps, o.max_chunk_length), kind, pa.list_(_CHUNK))
+    return by_slices(paragraphs, lambda part: chunk_array(part, o), kind, pa.list_(_CHUNK))
 
 
 def split_long(sentences: Column, limit: int) -> Column:
