@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,35 @@ def test_repeats_at_every_edge(spark):
         assert removed(df, length=length) == want
 
 
+def test_batches_of_texts_are_small(spark, monkeypatch):
+    """What Python holds of texts at once is a shard's, not 10,000 documents; the session's own setting stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, real = spark.conf.get(name), {}, suffixes.staged
+    most = lambda df, rows: real(df.mapInArrow(sizes, "n long"), "sizes", rows).agg(F.max("n")).first()[0]
+    whole = spark.range(0, 3000, 1, 1)
+    assert most(whole, None) == 3000
+    assert most(whole, 500) == 500
+    spark.conf.set(name, 70)
+    assert most(whole, 500) == 70
+    assert spark.conf.get(name) == "70"
+    spark.conf.set(name, before)
+
+    def watched(df, table, rows=None):
+        seen[table] = rows
+        return real(df, table, rows)
+
+    monkeypatch.setattr(suffixes, "staged", watched)
+    docs = spark.createDataFrame([(i, "x" * 30 + f"{i % 3} and more") for i in range(9)], "doc_id long, text string")
+    assert suffixes.remove_repeated_bytes(docs, length=20, texts=False).count() == 9
+    assert {seen.get(t) for t in ("repeated", "runs", "strings", "removed")} == {suffixes.SHARD_ROWS}
+    assert spark.conf.get(name) == before
+
+
 def test_interleaving_gives_common_prefixes(spark):
     """Two shards' runs: depth is the number of symbols shared with another suffix."""
     rng = np.random.default_rng(1)
