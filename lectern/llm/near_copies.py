@@ -8,7 +8,9 @@ one the more alike they are. Every candidate is then compared by its exact sets.
 
 Equal sets are one from the start. Each member of a bucket is compared with a centre of
 it, in a few rounds: one by chance, then the one with most of its shingles in common with
-many others, and each time only where the bucket still has several components. So a large
+many others, and each time only where the bucket still has several components. Chance
+ranks rows alike in all buckets, so buckets of the same rows have one centre, and a pair
+is not made anew for each of them. A round hands on components, not all links. So a large
 group of near copies is joined without taking its pairs. Of two documents still apart,
 those that share a shingle that few have are found by it. Others share only what many
 have, so the number of such shingles in each bounds their similarity, which leaves out
@@ -269,11 +271,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = held.select("row", "n", F.explode("bands").alias("value")).unionByName(by_bits)
     enough = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    roots, sets, done = links.toDF("node", "root"), None, links
+    done = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots, sets = done.toDF("node", "root"), None
+    joined = lambda roots, alike: connected_components(roots.toDF("a", "b").unionByName(alike))  # noqa: E731  a link to the root for each row, however many links there were
     for k in range(CENTRES):
         members = _apart(members, roots)
-        rank = F.xxhash64("row", "value", F.lit(k))
+        rank = F.xxhash64("row", F.lit(k))  # the same in all buckets
         if k == 1:
             held_common, _ = _common(members, sets)
             members = staged(members.join(held_common.select("row", (-F.col("f") / F.col("n")).alias("rank")), "row"), "ranked")
@@ -285,12 +288,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if sets is None:
             asked = staged(members.select("row").distinct(), "asked")
             sets = _sets(rows, staged(held.join(asked, "row", "left_semi").select("row", "doc_id", "th", "key"), "needed"), shingle)
-        links, done = links.unionByName(_alike(pairs, sets, similarity)), done.unionByName(pairs)
-        roots = staged(connected_components(links), "roots")
+        roots, done = staged(joined(roots, _alike(pairs, sets, similarity)), "roots"), done.unionByName(pairs)
     rest = staged(_possible(_apart(members, roots), sets, similarity), "rest")
-    links = links.unionByName(_alike(rest.join(done, ["a", "b"], "left_anti"), sets, similarity))
-
-    roots = connected_components(links)
+    roots = joined(roots, _alike(rest.join(done, ["a", "b"], "left_anti"), sets, similarity))
     known = staged(one.join(roots, one["row"] == roots["node"], "left").select("key", "least", F.coalesce("root", "row").alias("root")), "roots")
     group = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return every.select("doc_id", "key").join(known.join(group, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -93,3 +93,19 @@ def test_pages_of_one_template_match_brute_force(spark, monkeypatch):
         want = brute(rows)
         assert sorted((r.doc_id, r.component_id) for r in got) == want and 2 < len({c for _, c in want}) < 160
     assert made[-1] < 160 * 159 / 2 / 4
+
+
+def test_a_large_group_makes_few_pairs_a_member_and_hands_on_one_link_each(spark, monkeypatch):
+    """The centre of many buckets is one row, and rounds join components, not all links found."""
+    made, linked, staged, components = [], [], near_copies.staged, near_copies.connected_components
+    monkeypatch.setattr(near_copies, "staged", lambda df, name: (lambda out: (made.append(out.count()) if name in ("pairs", "rest") else None, out)[1])(staged(df, name)))
+    monkeypatch.setattr(near_copies, "connected_components", lambda edges: (linked.append(edges.where("a <> b").distinct().count()), components(edges))[1])
+    n, rng, base, rows = 300, random.Random(300), [f"w{i}" for i in range(150)], []
+    for d in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            words[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(words)))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == brute(rows)
+    assert sum(made) < 18 * n and max(linked) < 3 * n, (made, linked)
