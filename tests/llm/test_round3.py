@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import exponion, merkle, suffixes
+from lectern.llm import exponion, merkle, substrings, suffixes
 
 
 # --- repeated bytes ---------------------------------------------------------------------------
@@ -239,3 +239,22 @@ def test_slots_are_cut_and_spliced():
     path = [(1, "a" * 64 + "b" * 64 + "c" * 64), (0, "d" * 64)]
     assert merkle.siblings(path) == "a" * 64 + "c" * 64
     assert merkle.fold("x" * 64, path) == sha(sha("a" * 64 + "x" * 64 + "c" * 64))
+
+
+def test_op5_brings_few_texts_to_python_at_once(spark, monkeypatch):
+    """As op12: batches of 500 texts, and none of them come back from Python."""
+    seen, real = {}, substrings.staged
+
+    def watched(df, table, rows=None):
+        seen[table] = (rows, df.columns)
+        return real(df, table, rows)
+
+    monkeypatch.setattr(substrings, "staged", watched)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 3) * 5 + k}" for k in range(40 + i))) for i in range(9)] + [(9, None), (10, "")], "doc_id long, text string")
+    short = substrings.remove_repeats(docs, window=20, texts=False)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert short.columns == columns
+    got = sorted(map(tuple, short.collect()))
+    assert got == sorted(map(tuple, substrings.remove_repeats(docs, window=20).select(*columns).collect())) and len(got) == 11
+    assert sum(r[2] for r in got) > 0
+    assert {seen[t][0] for t in ("repeated", "runs", "removed")} == {substrings.BATCH_ROWS} and "kept" not in seen["removed"][1]
