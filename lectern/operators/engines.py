@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,14 @@ class Aligner(Protocol):
     def align(self, clips: list[np.ndarray], rate: int, texts: list[str], language: str) -> list[list[dict]]: ...
 
 
+@lru_cache(maxsize=1)
+def _one_hertz(rate: int) -> np.ndarray:
+    """A second of a tone of one hertz."""
+    return (0.3 * np.sin(2 * np.pi * np.arange(rate) / rate)).astype(np.float32)
+
+
 class ToneEngine:
-    """Stub: a tone of 60 ms for each character, its pitch from text and seed."""
+    """Stub: a tone of 60 ms for each character, its pitch from text and seed: whole hertz, so that every second is the same."""
 
     sample_rate = 24_000
 
@@ -43,9 +52,9 @@ class ToneEngine:
     def generate(self, texts: list[str], seed: int) -> list[np.ndarray]:
         out = []
         for text in texts:
-            t = np.arange(int(len(text) * 0.06 * self.sample_rate)) / self.sample_rate
             pitch = 110 + (sum(map(ord, text)) + seed) % 330
-            out.append((0.3 * np.sin(2 * np.pi * pitch * t)).astype(np.float32))
+            second = _one_hertz(self.sample_rate)[np.arange(self.sample_rate) * pitch % self.sample_rate]
+            out.append(np.resize(second, int(len(text) * 0.06 * self.sample_rate)))
         return out
 
 
@@ -131,27 +140,36 @@ def text_ranges(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def generated(jobs: DataFrame, engine_class: type, encode: Callable[[np.ndarray, int], bytes] | None = None) -> DataFrame:
+def _sample_lists(clips: list[np.ndarray], rate: int) -> pa.Array:
+    """Clips as lists of numbers."""
+    ends = pa.array(np.cumsum([0, *map(len, clips)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(clips), pa.float32()))
+
+
+def generated(jobs: DataFrame, engine_class: type, encode: Callable[[list[np.ndarray], int], pa.Array] | None = None) -> DataFrame:
     """segment_idx, candidate_idx, attempt, samples: rows of one seed are generated together, longest texts first.
 
-    With `encode` (of samples and rate) there is a column audio of bytes in place of
-    samples: so waveforms need not pass through Spark as arrays of numbers. Jobs are dealt by seed and place, so that a seed that many jobs share is spread.
+    With `encode` (of clips and their rate) there is a column audio of bytes in place of
+    samples: so waveforms need not pass through Spark as arrays of numbers. Jobs are dealt by their keys, evenly and whatever seed they share.
     """
+    keys, column = ["segment_idx", "candidate_idx", "attempt"], "audio" if encode else "samples"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = engine_class()
         engine.load()
         for batch in batches:
-            for seed, part in batch.groupby("seed", sort=False):
-                for a, b in text_ranges([len(t) for t in part["text"]]):
-                    some = part[a:b]
-                    made = in_batches(engine, list(some["text"]), int(seed))
-                    column = {"audio": [encode(x, engine.sample_rate) for x in made]} if encode else {"samples": made}
-                    yield some.assign(**column)[["segment_idx", "candidate_idx", "attempt", *column]]
+            seeds, lengths = batch["seed"].to_numpy(), pc.utf8_length(batch["text"]).to_pylist()
+            starts = [0, *(np.flatnonzero(seeds[1:] != seeds[:-1]) + 1).tolist()]
+            for start, stop in zip(starts, [*starts[1:], len(seeds)]):
+                for a, b in text_ranges(lengths[start:stop]):
+                    some = batch.slice(start + a, b - a)
+                    made = in_batches(engine, some["text"].to_pylist(), int(seeds[start]))
+                    yield pa.RecordBatch.from_arrays([*map(some.column, keys), (encode or _sample_lists)(made, engine.sample_rate)], [*keys, column])
 
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = jobs.repartition(parts, "seed", F.pmod(F.hash("segment_idx", "candidate_idx"), F.lit(parts))).sortWithinPartitions("seed", F.length("text").desc())
-    return dealt.select("segment_idx", "candidate_idx", "attempt", "seed", "text").mapInPandas(run, f"segment_idx long, candidate_idx int, attempt int, {'audio binary' if encode else 'samples array<float>'}")
+    dealt = jobs.repartition(parts, "segment_idx", "candidate_idx").sortWithinPartitions("seed", F.length("text").desc())
+    kinds = {"segment_idx": "long", "candidate_idx": "int", "attempt": "int"}
+    return dealt.select(*[F.col(k).cast(kind) for k, kind in kinds.items()], "seed", "text").mapInArrow(run, ", ".join(f"{k} {kind}" for k, kind in kinds.items()) + f", {column} {'binary' if encode else 'array<float>'}")
 
 
 def results_by_name(jobs: DataFrame, results: DataFrame) -> DataFrame:

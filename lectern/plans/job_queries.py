@@ -143,7 +143,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = J.job_grid(turns(spark, sf_dir), 2).withColumn("attempt", F.lit(0))
-    made = E.generated(J.assign_seeds(jobs, 42), E.ToneEngine, A.encode_wav)
+    made = E.generated(J.assign_seeds(jobs, 42), E.ToneEngine, A.encode_wavs)
     return A.probed(made.select(F.concat_ws("/", "segment_idx", "candidate_idx").alias("path"), F.col("audio").alias("content")))
 
 

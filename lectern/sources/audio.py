@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,19 +101,28 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, raw.reshape(-1, channels).mean(1)
 
 
-def encode_wav(samples: np.ndarray, rate: int) -> bytes:
-    """PCM 16-bit mono WAV data."""
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes((np.clip(np.asarray(samples), -1, 1) * 32767).round().astype("<i2").tobytes())
-    return out.getvalue()
-
-
 #: Bytes of a WAV header that has nothing but its format before the samples.
 HEAD = 44
+#: Samples that are encoded at once: they stay in a processor's cache.
+SAMPLES_AT_ONCE = 1 << 15
+
+
+def encode_wavs(clips: list[np.ndarray], rate: int) -> pa.Array:
+    """PCM 16-bit mono WAV data of each clip, put where Arrow has it: none is copied again."""
+    ends = np.cumsum([0, *(HEAD + 2 * len(x) for x in clips)])
+    offsets, data = pa.array(ends, pa.int32()), np.empty(ends[-1], np.uint8)
+    for samples, start, end in zip(map(np.asarray, clips), ends, ends[1:]):
+        size = 2 * len(samples)
+        struct.pack_into("<4sI4s4sIHHIIHH4sI", data, start, b"RIFF", HEAD - 8 + size, b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", size)
+        out = data[start + HEAD : end].view("<i2")
+        for at in range(0, len(samples), SAMPLES_AT_ONCE):
+            out[at : at + SAMPLES_AT_ONCE] = (np.clip(samples[at : at + SAMPLES_AT_ONCE], -1, 1) * 32767).round()
+    return pa.Array.from_buffers(pa.binary(), len(clips), [None, offsets.buffers()[1], pa.py_buffer(data)])
+
+
+def encode_wav(samples: np.ndarray, rate: int) -> bytes:
+    """PCM 16-bit mono WAV data."""
+    return encode_wavs([samples], rate)[0].as_py()
 
 
 def wav_head(content: Column) -> Column:
