@@ -195,5 +195,6 @@ def label_boundaries(chunks: DataFrame, by_paragraph: bool = True) -> DataFrame:
 
 
 def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id and error of the documents that have nothing to say."""
-    return docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("nothing to say").alias("error"))
+    """doc_id and error of the documents that have nothing to say. Documents without an id count as one, as in every grouping."""
+    said = chunks.select(F.col("doc_id").alias("__said")).distinct()
+    return docs.join(said, F.col("doc_id").eqNullSafe(F.col("__said")), "left_anti").select("doc_id", F.lit("nothing to say").alias("error"))
